@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermend.workspace import fresh_path
+from ledgermend.workspace import fresh_path, stored
 
 RECORDS_PER_FILE = 1000
 MIN_REVISIT_BYTES = 100
+#: Rows of a digest and a number, about 120 bytes each.
+MAX_BROADCAST_ROWS = 250_000
 DATE = "1970-01-01T00:00:00Z"
 VERSION = b"WARC/1."
 MEMBER = b"\x1f\x8b\x08"
@@ -163,6 +165,10 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
     narrow = pages.select("page_id", F.sha2(html.cast("binary"), 256).alias("digest"), size.alias("size"))
     first = narrow.where((F.col("size") >= min_bytes)).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     rows = pages.select("page_id", F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\x00-\x20]", "").alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"), size.alias("size"))
+    # The repeated digests are written and counted: few are broadcast, which spares shuffling the html; more are shuffled.
+    first = stored(first.select("digest", "first_id"), "warc-copies")
+    if first.count() <= MAX_BROADCAST_ROWS:
+        first = F.broadcast(first)
     rows = rows.join(first, "digest", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     end = F.lit("\r\n")
