@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgermend.llm import language, mixing, toolcalls, toxicity, warc
+from ledgermend.llm import ann, decontam, language, mixing, toolcalls, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (mixing, language, warc, toolcalls, toxicity):
+for _module in (mixing, language, warc, toolcalls, toxicity, decontam, ann):
     QUERIES |= _module.QUERIES
     ORACLES |= getattr(_module, "ORACLES", {})
