@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 FIT_ROWS = 16_384
 MAX_CELLS = 1024
-#: Half the cells: vectors without any structure (the hardest case) need that for a recall of 0.95.
-PROBE_SHARE = 0.5
-MIN_PROBES = 8
+#: So many cells because vectors without any structure (the hardest case) need them for a recall above 0.9.
+PROBE_SHARE = 0.6
+MIN_PROBES = 32
 SUBSPACES = 16
 CODES = 256
 SHORTLIST = 40
