@@ -55,8 +55,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     rest = F.sum("weight").over(total) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     wanted = F.sum("source_size").over(total) * F.lit(float(share))
     each = each.withColumn("level", (wanted - capped) / rest)
-    # The first source in that order whose level it can bear sets the level for all.
-    each = each.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.col("level"))).over(total))
+    # The first source in that order that can bear its level sets the level for all; later ones give less.
+    each = each.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.col("level"))).over(total))
     target = F.least(F.col("limit"), F.coalesce(F.col("level") * F.col("weight"), F.col("limit")))
     return each.select("source", "sid", "source_size", target.alias("target"))
 
@@ -136,7 +136,7 @@ e2 AS (SELECT *, ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM
 e3 AS (SELECT *, CASE sid % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight, source_size * 2.0::DOUBLE AS lim FROM e2),
 e4 AS (SELECT *, (SUM(source_size) OVER () * 1.5::DOUBLE - COALESCE(SUM(lim) OVER pre, 0)) / (SUM(weight) OVER () - COALESCE(SUM(weight) OVER pre, 0)) AS lv
        FROM e3 WINDOW pre AS (ORDER BY lim / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-e5 AS (SELECT *, MIN(CASE WHEN lv * weight <= lim THEN lv END) OVER () AS level FROM e4),
+e5 AS (SELECT *, MAX(CASE WHEN lv * weight <= lim THEN lv END) OVER () AS level FROM e4),
 e6 AS (SELECT source, sid, source_size, LEAST(lim, COALESCE(level * weight, lim)) AS target, 1 AS one FROM e5),
 e7 AS (SELECT *, CAST(FLOOR(SUM(target) OVER () / {BLOCK_WORDS} + 0.5) AS BIGINT) AS blocks FROM e6),
 {apportioned.format(out="src_q", src="e7", g="one", p="sid", w="target", s="blocks")},
