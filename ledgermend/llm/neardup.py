@@ -15,10 +15,10 @@ Steps, and why they hold on large inputs:
   only these enter lists.  Values of common lines and phrases drop out, unless
   they make up more than half a text.
 * Small lists give all their pairs.  A large list gives one pair per member, with
-  its centre; members are then merged and the lists that still hold more than one
-  component choose other centres, until that links nothing new.  What is left
-  is compared in full, in blocks, within neighbouring size classes.  A list with a
-  third of all texts never becomes all its pairs.
+  its least member as centre.  Members are merged, and lists that still hold more
+  than one component give one pair per member again, with centres drawn from
+  ``CENTRES`` draws.  What is left is compared by sketches across components, in
+  blocks of neighbouring size classes, and only pairs that may be links are verified.
 """
 
 from __future__ import annotations
@@ -36,8 +36,9 @@ WORDS = 5
 SIMILARITY = 75  # per cent
 K = 64
 SHARE = 0.5
+WHOLE = K * SIMILARITY // 100
 SMALL_LIST = 8
-STAR_ROUNDS = 6
+CENTRES = 8
 BLOCK = 1024
 
 
@@ -93,7 +94,7 @@ def _estimate(batches):
         keep = []
         for x, y in zip(a, b, strict=True):
             same, size = sketch_matches(np.array(x, np.int64).view(U64), np.array(y, np.int64).view(U64))
-            keep.append(same >= SHARE * size)
+            keep.append(same >= (SHARE if size == K else SIMILARITY / 100) * size)
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -125,8 +126,11 @@ def candidate_lists(sketches: DataFrame) -> DataFrame:
     held = sketches.select("node", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
     common = held.groupBy("value").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
     shared = held.join(common, "value").groupBy("node").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("uses", "value"))).alias("values"))
-    spare = F.size("values") - F.ceil(F.col("size") * SHARE).cast("int") + 1
-    rare = shared.where(spare > 0).select("node", F.explode(F.slice("values", F.lit(1), spare)).alias("x")).select("node", F.col("x.value").alias("value"))
+    # A set of at most WHOLE values and all its near copies are sketched whole, so the similarity itself is needed.
+    need = F.ceil(F.col("size") * F.when(F.col("size") <= WHOLE, F.lit(SIMILARITY / 100)).otherwise(F.lit(SHARE))).cast("int")
+    spare = F.size("values") - need + 1
+    kept = shared.where(spare > 0).select("node", F.slice("values", F.lit(1), spare).alias("values"))
+    rare = kept.select("node", F.explode("values").alias("x")).select("node", F.col("x.value").alias("value"))
     members = rare.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     return rare.join(members, "value")
 
@@ -135,63 +139,87 @@ def ordered(a: F.Column, b: F.Column) -> list[F.Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def star_pairs(lists: DataFrame, turn: int) -> DataFrame:
-    """Each member of a list with the list's centre, another one each turn, unless their components are the same."""
-    order = F.struct((F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))).alias("rank"), "node", "component")
-    centre = lists.groupBy("value").agg(F.min(order).alias("c")).select("value", F.col("c.node").alias("centre"), F.col("c.component").alias("centre_component"))
+def star_pairs(lists: DataFrame, draws: int = 0) -> DataFrame:
+    """Each member of a list with the list's centre, unless their components are the same.
+
+    The centre is the least member, or the first of one of ``draws`` orders by hash.
+    """
+    rank = F.xxhash64("node", F.pmod("value", F.lit(draws))) if draws else F.col("node")
+    centre = lists.groupBy("value").agg(F.min(F.struct(rank.alias("rank"), "node", "component")).alias("c")).select("value", F.col("c.node").alias("centre"), F.col("c.component").alias("centre_component"))
     return lists.join(centre, "value").where("component <> centre_component").select(*ordered(F.col("node"), F.col("centre"))).distinct()
 
 
-def with_components(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+def with_components(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """Lists that still hold several components, members with theirs."""
-    if labels is None:
-        return lists.withColumn("component", F.col("node"))
     joined = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = joined.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     return joined.join(split.select("value"), "value", "left_semi")
 
 
+def possible_pairs(sketches: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of sorted sketches whose estimated similarity doesn't rule out a link.
+
+    Both sketches are complete up to the smaller of their largest values (a whole set has no
+    end), so the values up to there estimate the similarity.
+    """
+    sizes = np.array([len(x) for x in sketches])
+    top = np.array([x[-1] if len(x) == K else np.iinfo(np.uint64).max for x in sketches], U64)
+    values, column = np.unique(np.concatenate(sketches), return_inverse=True)
+    held = np.zeros((len(sketches), len(values)), np.float32)
+    held[np.repeat(np.arange(len(sketches)), sizes), column] = 1
+    held = held[:, held.sum(axis=0) > 1]
+    same = held @ held.T
+    upto = np.stack([np.searchsorted(x, top, "right") for x in sketches])  # [a, b]: values of a up to the end of b
+    each = np.minimum(upto, sizes[:, None])
+    union = each + each.T - same
+    a, b = np.nonzero(np.triu(same >= SHARE * np.maximum(union, 1), 1))
+    return a, b
+
+
 def _compare(batches):
-    """Rows of (value, class, block pair) come together; emits the pairs across components that sketches don't rule out."""
+    """Rows of one list, size class and pair of blocks come together; emits each possible pair across components once."""
     held: dict = {"key": None, "rows": []}
 
     def flush():
-        rows = held["rows"]
-        found = []
-        if len(rows) > 1:
-            left = [r for r in rows if r[0]]
-            right = [r for r in rows if r[1]]
-            for _, _, a, ca, sa in left:
-                for _, _, b, cb, sb in right:
-                    if a < b and ca != cb:
-                        same, size = sketch_matches(sa, sb)
-                        if same >= SHARE * size:
-                            found.append((a, b))
+        rows, value = held["rows"], held["value"]
         held["rows"] = []
+        if len(rows) < 2:
+            return
+        found = []
+        for a, b in zip(*possible_pairs([np.array(r[5], np.int64).view(U64) for r in rows]), strict=True):
+            x, y = rows[a], rows[b]
+            # A pair meets in every list that both are in: the least common value's list reports it.
+            if x[3] != y[3] and ((x[0] and y[1]) or (y[0] and x[1])) and min(set(x[4]) & set(y[4])) == value:
+                found.append((min(x[2], y[2]), max(x[2], y[2])))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
 
     for batch in batches:
-        for key, is_left, is_right, node, component, sketch in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+        for key, value, *row in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
             if key != held["key"]:
-                yield from flush()
-                held["key"] = key
-            held["rows"].append((is_left, is_right, node, component, np.array(sketch, np.int64).view(U64)))
-    yield from flush()
+                if held["key"] is not None:
+                    yield from flush()
+                held["key"], held["value"] = key, value
+            held["rows"].append(row)
+    if held["key"] is not None:
+        yield from flush()
 
 
-def remaining_pairs(lists: DataFrame, sketches: DataFrame) -> DataFrame:
+def remaining_pairs(lists: DataFrame, sketches: DataFrame, every: DataFrame) -> DataFrame:
     """All pairs of different components within a list whose sizes and sketches allow a link, compared in blocks."""
-    sized = lists.join(sketches.select("node", "n", "sketch"), "node")
+    own = every.join(lists.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_list("value").alias("values"))
+    sized = lists.join(sketches.select("node", "n", "sketch"), "node").join(own, "node")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / SIMILARITY))).cast("int")
     # A pair's bands differ by one at most; both meet in the lower of the two.
-    banded = sized.withColumn("band", F.explode(F.array(band, band - 1))).withColumn("own", band)
-    parts = banded.groupBy("value", "band").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks"))
+    banded = sized.withColumn("band", F.explode(F.array(band, band - 1)))
+    parts = banded.groupBy("value", "band").agg(F.count(F.lit(1)).alias("n_band"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    parts = parts.select("value", "band", F.greatest(F.lit(1), F.ceil(F.col("n_band") / BLOCK)).cast("int").alias("blocks"))
     placed = banded.join(parts, ["value", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pair = lambda x, y: F.concat_ws("/", "value", "band", x, y)
     each = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = placed.select(F.explode(F.transform(each, lambda k: F.struct(F.col("block").alias("i"), k.alias("j")))).alias("x"), "*").select(pair(F.col("x.i"), F.col("x.j")).alias("key"), F.lit(True).alias("is_left"), (F.col("x.i") == F.col("x.j")).alias("is_right"), "node", "component", "sketch")
-    right = placed.select(F.explode(F.filter(each, lambda k: k != F.col("block"))).alias("i"), "*").select(pair(F.col("i"), F.col("block")).alias("key"), F.lit(False).alias("is_left"), F.lit(True).alias("is_right"), "node", "component", "sketch")
+    row = ["node", "component", "values", "sketch"]
+    left = placed.select(F.explode(each).alias("j"), "*").select(pair(F.col("block"), F.col("j")).alias("key"), "value", F.lit(True).alias("is_left"), (F.col("block") == F.col("j")).alias("is_right"), *row)
+    right = placed.select(F.explode(F.filter(each, lambda k: k != F.col("block"))).alias("i"), "*").select(pair(F.col("i"), F.col("block")).alias("key"), "value", F.lit(False).alias("is_left"), F.lit(True).alias("is_right"), *row)
     return left.union(right).repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "a long, b long").distinct()
 
 
@@ -213,24 +241,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     small = lists.where(F.col("members") <= SMALL_LIST).select("value", "node")
     pairs = small.join(small.select("value", F.col("node").alias("other")), "value").where("node < other").select(F.col("node").alias("a"), F.col("other").alias("b"))
     large = lists.where(F.col("members") > SMALL_LIST).select("value", "node")
-    pairs = pairs.union(star_pairs(with_components(large, None), 0)).distinct()
+    pairs = pairs.union(star_pairs(large.withColumn("component", F.col("node")))).distinct()
     # Rows of one doc_id with different texts are linked by it.
     links = stored(linked_pairs(pairs, sketches, docs).union(_same_id(full, classes)), "near-links")
     labels = components(links)
-    for turn in range(1, STAR_ROUNDS):
+    for nearer in (lambda open_lists: star_pairs(open_lists, CENTRES), lambda open_lists: remaining_pairs(open_lists, sketches, large)):
         left = stored(with_components(large, labels), "open-lists")
         if left.isEmpty():
             break
-        more = stored(linked_pairs(star_pairs(left, turn), sketches, docs), "near-links")
-        if more.isEmpty():
-            break
-        links = links.union(more)
-        labels = components(links)
-    left = stored(with_components(large, labels), "open-lists")
-    if not left.isEmpty():
-        more = stored(linked_pairs(remaining_pairs(left, sketches), sketches, docs), "near-links")
+        more = stored(linked_pairs(nearer(left), sketches, docs), "near-links")
         if not more.isEmpty():
-            labels = components(links.union(more))
+            links = links.union(more)
+            labels = components(links)
 
     own = full.select("doc_id", "n", "fp1", "fp2").join(classes.select("fp1", "fp2", "node"), ["fp1", "fp2"])
     out = own.join(labels, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
