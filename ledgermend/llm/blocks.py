@@ -119,22 +119,23 @@ KEYS, COMMON = 1, 2
 
 
 def tally(keys: list[np.ndarray], blocks: list[np.ndarray], n: int, kind: int = KEYS) -> Iterator[pa.RecordBatch]:
-    """Mail of distinct 64-bit keys as 32 bits within a shard, with how often each occurs (255 at most)."""
+    """Mail of distinct 64-bit keys as 32 bits within a shard, with how often each occurs (255 at most) and its block.
+
+    One letter goes to each shard, whatever the number of blocks.
+    """
     if not keys:
         return
     key, block = np.concatenate(keys), np.concatenate(blocks)
     shard = (key >> np.uint64(32)) % np.uint64(n)
-    packed = ((block.astype(np.uint64) * np.uint64(n) + shard) << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF))
+    packed = ((shard * np.uint64(n) + block.astype(np.uint64)) << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF))
     packed, counts = np.unique(packed, return_counts=True)
     place = packed >> np.uint64(32)
-    yield from pack(kind, place % np.uint64(n), place // np.uint64(n), [packed.astype(np.uint32), np.minimum(counts, 255).astype(np.uint8)])
+    yield from pack(kind, place // np.uint64(n), 0, [packed.astype(np.uint32), np.minimum(counts, 255).astype(np.uint8), (place % np.uint64(n)).astype(np.uint16)])
 
 
 def common_keys(shard: int, rows: list, kind: int = COMMON, many: int = 1 << 30) -> Iterator[pa.RecordBatch]:
     """Answers: to each block those of its keys that occur more than once anywhere, and whether over ``many`` times."""
-    keys, sizes = unpack(rows, 2, np.uint32)
-    counts, _ = unpack(rows, 3, np.uint8)
-    blocks = np.repeat(np.array([r[1] for r in rows], np.int64), sizes)
+    keys, counts, blocks = unpack(rows, 2, np.uint32)[0], unpack(rows, 3, np.uint8)[0], unpack(rows, 4, np.uint16)[0].astype(np.int64)
     order = np.argsort(keys, kind="stable")
     keys, counts, blocks = keys[order], counts[order], blocks[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)

@@ -39,6 +39,7 @@ CHUNK = 16  # grams in a chunk, on average
 HOT = 2000
 CHUNKS, SETTLED, STRETCHES, COVERED = 10, 11, 12, 13
 BATCH_SYMBOLS = 1 << 21
+HOMES = np.dtype([("block", "u2"), ("several", "u1")])
 
 
 # -- suffix arrays ---------------------------------------------------------------------
@@ -253,13 +254,14 @@ def _first_mail(n: int):
             yield from tally(keys, blocks, n)
             if chunks:
                 place, shard, key, doc = (np.concatenate(c) for c in zip(*chunks, strict=True))
-                by = np.lexsort((doc, key, shard, place))
+                by = np.lexsort((doc, key, place, shard))
                 place, shard, key, doc = place[by], shard[by], key[by], doc[by]
                 new = np.ones(len(key), bool)
                 new[1:] = (key[1:] != key[:-1]) | (shard[1:] != shard[:-1]) | (place[1:] != place[:-1])
                 at = np.flatnonzero(new)
-                several = np.diff(np.append(at, len(key))) > 1
-                yield from pack(CHUNKS, shard[at], place[at], [key[at], doc[at], several.astype(np.uint8)])
+                homes = np.zeros(len(at), HOMES)
+                homes["block"], homes["several"] = place[at], np.diff(np.append(at, len(key))) > 1
+                yield from pack(CHUNKS, shard[at], 0, [key[at], doc[at], homes])
 
     return run
 
@@ -267,10 +269,8 @@ def _first_mail(n: int):
 def _first_answers(shard: int, rows: list):
     yield from common_keys(shard, [r for r in rows if r[0] != CHUNKS], many=HOT)
     mine = [r for r in rows if r[0] == CHUNKS]
-    keys, sizes = unpack(mine, 2, np.uint64)
-    docs, _ = unpack(mine, 3, np.int64)
-    several, _ = unpack(mine, 4, np.uint8)
-    blocks = np.repeat(np.array([r[1] for r in mine], np.int64), sizes)
+    keys, docs, homes = unpack(mine, 2, np.uint64)[0], unpack(mine, 3, np.int64)[0], unpack(mine, 4, HOMES)[0]
+    several, blocks = homes["several"], homes["block"].astype(np.int64)
     by = np.argsort(keys, kind="stable")
     keys, docs, several, blocks = keys[by], docs[by], several[by], blocks[by]
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
