@@ -15,12 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ledgermend.workspace import partitions
 
 MAX_SHARDS = 65_535
-#: kind says what the arrays of a row are; kinds below DOCUMENT come first in a block.
-DOCUMENT = 100
+#: kind says what the arrays of a row are.
 MAIL = "kind int, shard int, block int, a binary, b binary, c binary"
 
 
@@ -52,43 +53,21 @@ def to_shards(mail: DataFrame, fn: Callable[[int, list], Iterator[pa.RecordBatch
 
 
 def to_blocks(answers: DataFrame, placed: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``fn(block, mail rows, batches of documents)`` for each block, mail first; its record batches follow ``schema``."""
+    """``fn(block, mail rows, batches of documents)`` for each block; its record batches follow ``schema``.
+
+    Documents and mail have an exchange each, so calls with the same ``placed`` in one
+    plan share the documents' exchange.  A block is held in memory: its size is the
+    table's divided by the number of shuffle partitions.
+    """
     columns = [c for c in placed.columns if c != "block"]
-    n = shards(placed)
-    empty = {c: F.lit(None).cast(placed.schema[c].dataType).alias(c) for c in columns}
-    mail = answers.select("kind", "shard", "block", "a", "b", "c", *empty.values())
-    none = [F.lit(None).cast("binary").alias(c) for c in "abc"]
-    docs = placed.select(F.lit(DOCUMENT).alias("kind"), F.lit(0).alias("shard"), "block", *none, *columns)
+    wanted = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(batches):
-        # A partition holds one block: repartitionById sends block k to partition k.
-        letters: list = []
-        source = iter(batches)
-        first: list[pa.RecordBatch] = []
-        block = 0
-        for batch in source:
-            if not batch.num_rows:
-                continue
-            block = batch.column(2)[0].as_py()
-            kinds = np.array(batch.column(0))
-            n_mail = int((kinds < DOCUMENT).sum())
-            head = batch.slice(0, n_mail)
-            parts = [head.column(k).to_pylist() for k in (0, 1, 3, 4, 5)]
-            letters += zip(*parts, strict=True)
-            if n_mail < batch.num_rows:
-                first.append(batch.slice(n_mail))
-                break
-
-        def documents():
-            for batch in first:
-                yield batch.select(columns)
-            for batch in source:
-                yield batch.select(columns)
-
-        yield from fn(block, letters, documents())
-
-    dealt = mail.unionByName(docs).repartitionById(n, F.col("block")).sortWithinPartitions("kind")
-    return dealt.mapInArrow(run, schema)
+    def run(key, docs: pa.Table, mail: pa.Table) -> pa.Table:
+        letters = list(zip(*(mail.column(c).to_pylist() for c in ("kind", "shard", "a", "b", "c")), strict=True))
+        made = fn(key[0].as_py(), letters, iter(docs.select(columns).to_batches()))
+        return pa.Table.from_batches([b.select(wanted.names).cast(wanted) for b in made], wanted)
+
+    return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
 def pack(kind: int, shard: np.ndarray, block: np.ndarray | int, arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:

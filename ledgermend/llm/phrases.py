@@ -177,13 +177,13 @@ def remove_repeats(docs: DataFrame, keep: list[str], with_text: bool = False) ->
     rows.
     """
     n = shards(docs)
-    placed = in_blocks(docs, ["doc_id"])
+    placed = in_blocks(docs, [*keep, "doc_id"])
     common = to_shards(placed.select("block", "text").mapInArrow(_phrase_keys(n), MAIL), common_keys)
     windows = to_blocks(common, placed, _window_keys(n), MAIL)
     confirmed = to_shards(windows, _confirm)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     schema = f"{fields}, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return to_blocks(confirmed, in_blocks(docs, [*keep, "doc_id"]), _remove(keep, with_text), schema)
+    return to_blocks(confirmed, placed, _remove(keep, with_text), schema)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

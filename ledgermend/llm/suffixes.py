@@ -148,9 +148,10 @@ def least_owner(stretches: np.ndarray, starts: np.ndarray, sizes: np.ndarray, bu
     if not len(bucket):
         return first_window, out
     symbols_in = np.add.reduceat(sizes + 1, b_lo) + 1
+    symbols_to = np.cumsum(symbols_in)
     at = 0
     while at < len(b_lo):
-        stop = max(at + 1, int(np.searchsorted(np.cumsum(symbols_in[at:]), BATCH_SYMBOLS, "right")) + at)
+        stop = max(at + 1, int(np.searchsorted(symbols_to, (symbols_to[at - 1] if at else 0) + BATCH_SYMBOLS, "right")))
         s_lo, s_hi = b_lo[at], b_hi[stop - 1]
         # Each stretch is followed by 1, each text by 0; bytes are 2 and up.
         closing = np.zeros(s_hi - s_lo, np.int64)
@@ -182,6 +183,24 @@ def least_owner(stretches: np.ndarray, starts: np.ndarray, sizes: np.ndarray, bu
     return first_window, out
 
 
+def least_owners(stretches, starts, sizes, bucket, owner) -> tuple[np.ndarray, np.ndarray]:
+    """The same, with suffix arrays only for buckets that stretches of several documents share.
+
+    In any other bucket no window has another document's equal.
+    """
+    windows = sizes - WINDOW + 1
+    first_window = np.cumsum(windows) - windows
+    out = np.repeat(owner, windows)
+    if not len(bucket):
+        return first_window, out
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    several = np.repeat(np.minimum.reduceat(owner, cut) < np.maximum.reduceat(owner, cut), np.diff(np.append(cut, len(bucket))))
+    part = np.flatnonzero(several)
+    _, least = least_owner(stretches, starts[part], sizes[part], bucket[part], owner[part])
+    out[ranges(first_window[part], windows[part])] = least
+    return first_window, out
+
+
 # -- documents -------------------------------------------------------------------------
 
 
@@ -365,7 +384,7 @@ def _compare(shard: int, rows: list):
     new[1:] = (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])
     at = np.flatnonzero(new)
     one = by[at]
-    first_window, least = least_owner(data, start[one], size[one], facts["bucket"][one], facts["doc"][one])
+    first_window, least = least_owners(data, start[one], size[one], facts["bucket"][one], facts["doc"][one])
     stretch = np.empty(len(by), np.int64)
     stretch[by] = np.cumsum(new) - 1
     windows = size - WINDOW + 1
@@ -437,12 +456,12 @@ def remove_later_copies(docs: DataFrame, keep: list[str], with_text: bool = Fals
     empty table gives no rows.
     """
     n = shards(docs)
-    placed = in_blocks(docs, ["doc_id"])
+    placed = in_blocks(docs, [*keep, "doc_id"])
     first = to_shards(placed.select("block", "doc_id", "text").mapInArrow(_first_mail(n), MAIL), _first_answers)
     answers = to_shards(to_blocks(first, placed, _stretches(n), MAIL), _compare)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     schema = f"{fields}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_bytes binary" if with_text else "")
-    return to_blocks(first.unionByName(answers), in_blocks(docs, [*keep, "doc_id"]), _cut(n, keep, with_text), schema)
+    return to_blocks(first.unionByName(answers), placed, _cut(n, keep, with_text), schema)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

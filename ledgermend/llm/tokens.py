@@ -24,10 +24,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, U64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """1, base, base**2, ... modulo 2**64; computed once in a task for the longest slice."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1), base, U64)
+        known[:1] = 1
+        known = _POWERS[base] = np.multiply.accumulate(known)
+    return known[:n]
 
 
 def inverse(base: int) -> int:
