@@ -26,6 +26,7 @@ CONVERSATION_TOOLS: Schemas = {
     "follow_up": {"after": ("array", True), "text": ("string", True), "turn": ("integer", True)},
 }
 MAX_ROUNDS = 1000
+STEPS = 1 << 20
 
 
 def canonical(json: F.Column) -> F.Column:
@@ -85,34 +86,35 @@ def link(messages: DataFrame, schemas: Schemas) -> DataFrame:
         "conv_id", F.col("turn").cast("long").alias("turn"), "role", "text", "call_id", "name", "arguments", "depends_on",
         F.when(F.col("name").isNotNull(), "call").when(F.col("call_id").isNotNull(), "result").otherwise("message").alias("kind"),
     )
-    calls = m.where("kind = 'call' and call_id is not null").groupBy("conv_id", "call_id").agg(F.min("turn").alias("call_turn"))
-    answers = m.where("kind = 'result'").groupBy("conv_id", "call_id").agg(F.min("turn").alias("first_answer"))
-    at = calls.join(answers, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "call_turn", F.coalesce("first_answer", "call_turn").alias("first_answer"))
-    at = at.withColumn("call_at", F.col("call_turn")).withColumn("done_at", F.greatest("call_turn", "first_answer"))
+    # A place in the order: the turn, and within it the step (STEPS at most).
+    place = F.col("turn") * STEPS
+    calls = m.where("kind = 'call' and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(place).alias("call_at"))
+    answers = m.where("kind = 'result'").groupBy("conv_id", "call_id").agg(F.min(place).alias("answered"))
+    after_call = F.greatest(F.col("call_at") + 1, F.col("answered"))
+    at = calls.join(answers, ["conv_id", "call_id"], "left").withColumn("done_at", F.coalesce(F.when(F.col("answered").isNotNull(), after_call), F.col("call_at")))
 
     needs = m.where("kind = 'call' and size(depends_on) > 0").select("conv_id", "call_id", F.explode("depends_on").alias("needed")).distinct()
     needs = stored(needs, "tool-needs")
     if not needs.isEmpty():
         at = stored(at, "tool-order")
         for _ in range(MAX_ROUNDS):
-            ready = at.select("conv_id", F.col("call_id").alias("needed"), F.col("done_at").alias("ready_at"))
+            ready = at.select("conv_id", F.col("call_id").alias("needed"), (F.col("done_at") + 1).alias("ready_at"))
             after = needs.join(ready, ["conv_id", "needed"]).groupBy("conv_id", "call_id").agg(F.max("ready_at").alias("ready_at"))
-            late = at.join(after, ["conv_id", "call_id"]).where("ready_at > call_at")
-            if late.isEmpty():
+            if at.join(after, ["conv_id", "call_id"]).where("ready_at > call_at").isEmpty():
                 break
-            moved = F.greatest("call_at", F.coalesce("ready_at", "call_at"))
-            at = stored(at.join(after, ["conv_id", "call_id"], "left").withColumn("call_at", moved).withColumn("done_at", F.greatest("first_answer", moved)).drop("ready_at"), "tool-order")
+            moved = at.join(after, ["conv_id", "call_id"], "left").withColumn("call_at", F.greatest("call_at", F.coalesce("ready_at", "call_at"))).drop("ready_at")
+            at = stored(moved.withColumn("done_at", F.coalesce(F.when(F.col("answered").isNotNull(), after_call), F.col("call_at"))), "tool-order")
 
-    found = at.select("conv_id", "call_id", "call_at", F.col("call_turn").alias("linked_turn"), F.lit(True).alias("known"))
+    found = at.select("conv_id", "call_id", "call_at", F.lit(True).alias("known"))
     j = m.join(found, ["conv_id", "call_id"], "left")
     linked = F.when(F.col("kind") == "message", F.lit(None)).otherwise(F.coalesce("known", F.lit(False)))
+    earliest = F.when(F.col("kind") == "result", F.col("call_at") + 1).when(F.col("kind") == "call", F.col("call_at"))
+    sort_key = F.greatest(place, F.coalesce(earliest, place))
     valid = F.when(F.col("kind") == "call", arguments_valid(F.col("name"), F.col("arguments"), schemas))
-    sort_turn = F.greatest("turn", F.coalesce("call_at", "turn"))
-    step = F.when((F.col("kind") == "result") & F.col("known"), 1).otherwise(0)
     body = F.when(F.col("kind") == "call", F.concat(F.lit('{"arguments":'), F.coalesce(canonical(F.col("arguments")), F.lit("null")), F.lit(',"id":'), quoted(F.col("call_id")), F.lit(',"name":'), quoted(F.col("name")), F.lit(',"role":'), quoted(F.col("role")), F.lit("}")))
     body = body.when(F.col("kind") == "result", F.concat(F.lit('{"call_id":'), quoted(F.col("call_id")), F.lit(',"content":'), quoted(F.col("text")), F.lit(',"role":"tool"}')))
     body = body.otherwise(F.concat(F.lit('{"content":'), quoted(F.col("text")), F.lit(',"role":'), quoted(F.col("role")), F.lit("}")))
-    return j.select("conv_id", "turn", "role", "kind", "call_id", linked.alias("linked"), valid.alias("valid"), sort_turn.alias("sort_turn"), step.alias("sort_step"), body.alias("json"))
+    return j.select("conv_id", "turn", "role", "kind", "call_id", linked.alias("linked"), valid.alias("valid"), F.floor(sort_key / STEPS).alias("sort_turn"), F.pmod(sort_key, F.lit(STEPS)).cast("int").alias("sort_step"), body.alias("json"))
 
 
 def conversation_messages(conversations: DataFrame) -> DataFrame:
@@ -148,7 +150,7 @@ k AS (SELECT DISTINCT conv_id, call_id, TRUE AS known FROM m WHERE kind = 'call'
 SELECT m.conv_id, m.turn, m.role, m.kind, m.call_id,
   CASE WHEN m.kind <> 'message' THEN COALESCE(known, FALSE) END AS linked,
   CASE WHEN m.kind = 'call' THEN text IS NOT NULL END AS valid,
-  m.turn AS sort_turn, CASE WHEN m.kind = 'result' AND known THEN 1 ELSE 0 END AS sort_step,
+  m.turn AS sort_turn, CAST(0 AS INT) AS sort_step,
   CASE m.kind
     WHEN 'call' THEN '{"arguments":{' || CASE WHEN turn = 0 THEN '' ELSE '"after":["' || m.conv_id || ':' || (turn - 2) || '"],' END || '"text":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn
       || '},"id":"' || m.call_id || '","name":"' || CASE WHEN turn = 0 THEN 'answer' ELSE 'follow_up' END || '","role":"user"}'
