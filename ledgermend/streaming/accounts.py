@@ -11,10 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
 
 STATE = "status string, cycle int, step int, last_sent timestamp, next_eligible timestamp, violations int"
 OUTPUT = f"account_id string, seq long, event string, {STATE}"
+COLUMNS = ("account_id", "seq", "event", "status", "cycle", "step", "last_sent", "next_eligible", "violations")
 START = ("PLANNED", 0, 0, None, None, 0)
 SLA = pd.Timedelta(days=30)
 
@@ -54,7 +54,7 @@ class AccountProcessor(StatefulProcessor):
             state = transition(state, str(e.event).lower(), e.at)
             out.append((key[0], int(e.seq), e.event, *state))
         self.state.update(state)
-        yield pd.DataFrame(out, columns=StructType.fromDDL(OUTPUT).names)
+        yield pd.DataFrame(out, columns=list(COLUMNS))
 
     def close(self) -> None:
         pass
