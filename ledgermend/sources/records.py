@@ -49,8 +49,10 @@ def read_accounts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_records(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """JSON lines of a known schema, and the lines that don't parse."""
-    rows = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.where("_corrupt is null").drop("_corrupt"), rows.where("_corrupt is not null").select("_corrupt")
+    parsed = F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    rows = spark.read.text(path).select("value", parsed.alias("r"))
+    broken = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
+    return rows.where(~broken).select("r.*").drop("_corrupt"), rows.where(broken).select(F.col("value").alias("line"))
 
 
 def rule_table(spark: SparkSession, rules: dict[str, dict[str, str]], names: tuple[str, str, str]) -> DataFrame:
