@@ -6,10 +6,13 @@ itself, so accounts are grouped and planned in pandas; an account has few findin
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 
 PLAN = "account string, field string, role string, position int, submit_day int, due_day int, unused_days int, span int, start_weekday int"
+COLUMNS = ("account", "field", "role", "position", "submit_day", "due_day", "unused_days", "span", "start_weekday")
 WEEKEND = (5, 6)
 SPAN = 45
 
@@ -69,6 +72,16 @@ def last_answers(items: list[tuple], handoff: tuple[int, int], start_weekday: in
     return states
 
 
+def _earliest(items: list[tuple], handoff: tuple[int, int], start_weekday: int) -> int:
+    """The earliest day of the last answer: the widest gap each time, as rolling and due days keep order."""
+    day = _roll(0, start_weekday)
+    due = _due(day, items[0][2], start_weekday, items[0][3])
+    for item in items[1:]:
+        day = _roll(max(day + 1, due - handoff[1]), start_weekday)
+        due = _due(day, item[2], start_weekday, item[3])
+    return due
+
+
 def best_plan(items: list[tuple], handoff: tuple[int, int] = (1, 3), span: int = SPAN) -> tuple[list[tuple], list[tuple[int, int]], int]:
     """The order, days and start weekday whose last answer comes latest within the span; earliest weekday and smallest gaps on ties.
 
@@ -77,7 +90,7 @@ def best_plan(items: list[tuple], handoff: tuple[int, int] = (1, 3), span: int =
     """
     order = sequence(items)
     while order:
-        found = [(-due, weekday, gaps, days) for weekday in range(7) if weekday not in WEEKEND for (_, due), (gaps, days) in last_answers(order, handoff, weekday, span).items() if due <= span]
+        found = [(-due, weekday, gaps, days) for weekday in range(7) if weekday not in WEEKEND and _earliest(order, handoff, weekday) <= span for (_, due), (gaps, days) in last_answers(order, handoff, weekday, span).items() if due <= span]
         if found:
             _, weekday, _, days = min(found)
             return order, list(days), weekday
@@ -89,15 +102,29 @@ def best_plan(items: list[tuple], handoff: tuple[int, int] = (1, 3), span: int =
     return [], [], 0
 
 
-def _plan(rows: pd.DataFrame) -> pd.DataFrame:
-    items = list(rows[["field", "strength", "min_days", "business"]].itertuples(index=False, name=None))
-    order, days, weekday = best_plan([(f, int(s), int(d), bool(b)) for f, s, d, b in items])
-    account, last = rows["account"].iloc[0], days[-1][1] if days else 0
+def _plan(account: str, items: list[tuple]) -> list[tuple]:
+    order, days, weekday = best_plan(items)
+    last = days[-1][1] if days else 0
     role = lambda k: "opener" if k == 0 else "closer" if k == len(order) - 1 else "supporter"
-    out = [(account, item[0], role(k), k + 1, sent, due, max(0, (days[k + 1][0] if k + 1 < len(days) else due) - sent - item[2]), last, weekday) for k, (item, (sent, due)) in enumerate(zip(order, days, strict=True))]
-    return pd.DataFrame(out, columns=[c.split()[0] for c in PLAN.split(", ")])
+    return [(account, item[0], role(k), k + 1, sent, due, max(0, (days[k + 1][0] if k + 1 < len(days) else due) - sent - item[2]), last, weekday) for k, (item, (sent, due)) in enumerate(zip(order, days, strict=True))]
+
+
+def _plans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by account: an account may go on in the next batch."""
+    account, items = None, []
+    for batch in batches:
+        out = []
+        for name, field, strength, days, business in batch[["account", "field", "strength", "min_days", "business"]].itertuples(index=False, name=None):
+            if name != account and items:
+                out += _plan(account, items)
+                items = []
+            account = name
+            items.append((field, int(strength), int(days), bool(business)))
+        yield pd.DataFrame(out, columns=list(COLUMNS))
+    if items:
+        yield pd.DataFrame(_plan(account, items), columns=list(COLUMNS))
 
 
 def plans(findings: DataFrame) -> DataFrame:
     """``account, field, strength, min_days, business`` to one row per planned submission."""
-    return findings.groupBy("account").applyInPandas(_plan, PLAN)
+    return findings.repartition("account").sortWithinPartitions("account").mapInPandas(_plans, PLAN)
