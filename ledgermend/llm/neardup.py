@@ -156,70 +156,77 @@ def with_components(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.join(split.select("value"), "value", "left_semi")
 
 
-def possible_pairs(sketches: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def possible_pairs(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of sorted sketches whose estimated similarity doesn't rule out a link.
 
     Both sketches are complete up to the smaller of their largest values (a whole set has no
     end), so the values up to there estimate the similarity.
     """
-    sizes = np.array([len(x) for x in sketches])
-    top = np.array([x[-1] if len(x) == K else np.iinfo(np.uint64).max for x in sketches], U64)
-    values, column = np.unique(np.concatenate(sketches), return_inverse=True)
-    held = np.zeros((len(sketches), len(values)), np.float32)
-    held[np.repeat(np.arange(len(sketches)), sizes), column] = 1
-    held = held[:, held.sum(axis=0) > 1]
-    same = held @ held.T
-    upto = np.stack([np.searchsorted(x, top, "right") for x in sketches])  # [a, b]: values of a up to the end of b
-    each = np.minimum(upto, sizes[:, None])
-    union = each + each.T - same
-    a, b = np.nonzero(np.triu(same >= SHARE * np.maximum(union, 1), 1))
-    return a, b
+
+    def counts(rows: list[np.ndarray], values: np.ndarray) -> np.ndarray:
+        held = np.zeros((len(rows), len(values)), np.float32)
+        for k, x in enumerate(rows):
+            at = np.minimum(np.searchsorted(values, x), len(values) - 1)
+            held[k, at[values[at] == x]] = 1
+        return held
+
+    ends = lambda rows: np.array([x[-1] if len(x) == K else np.iinfo(np.uint64).max for x in rows], U64)
+    upto = lambda rows, tops: np.stack([np.searchsorted(x, tops, "right") for x in rows])
+    values = np.unique(np.concatenate(left))
+    same = counts(left, values) @ counts(right, values).T
+    union = upto(left, ends(right)) + upto(right, ends(left)).T - same
+    return np.nonzero(same >= SHARE * np.maximum(union, 1))
 
 
 def _compare(batches):
-    """Rows of one list, size class and pair of blocks come together; emits each possible pair across components once."""
-    held: dict = {"key": None, "rows": []}
+    """Rows of one list, size class and pair of blocks come together; emits each possible pair across components."""
+    held: dict = {"key": None, "value": None, "left": [], "right": []}
 
     def flush():
-        rows, value = held["rows"], held["value"]
-        held["rows"] = []
-        if len(rows) < 2:
+        left, right, value = held["left"], held["right"], held["value"]
+        held["left"], held["right"] = [], []
+        if not left or not right:
             return
-        found = []
-        for a, b in zip(*possible_pairs([np.array(r[5], np.int64).view(U64) for r in rows]), strict=True):
-            x, y = rows[a], rows[b]
+        sketch = lambda rows: [np.array(r[3], np.int64).view(U64) for r in rows]
+        found = set()
+        for a, b in zip(*possible_pairs(sketch(left), sketch(right)), strict=True):
+            x, y = left[a], right[b]
             # A pair meets in every list that both are in: the least common value's list reports it.
-            if x[3] != y[3] and ((x[0] and y[1]) or (y[0] and x[1])) and min(set(x[4]) & set(y[4])) == value:
-                found.append((min(x[2], y[2]), max(x[2], y[2])))
+            if x[1] != y[1] and min(set(x[2]) & set(y[2])) == value:
+                found.add((min(x[0], y[0]), max(x[0], y[0])))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
 
     for batch in batches:
-        for key, value, *row in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+        for key, value, is_left, *row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
             if key != held["key"]:
-                if held["key"] is not None:
-                    yield from flush()
+                yield from flush()
                 held["key"], held["value"] = key, value
-            held["rows"].append(row)
-    if held["key"] is not None:
-        yield from flush()
+            held["left" if is_left else "right"].append(row)
+    yield from flush()
 
 
 def remaining_pairs(lists: DataFrame, sketches: DataFrame, every: DataFrame) -> DataFrame:
-    """All pairs of different components within a list whose sizes and sketches allow a link, compared in blocks."""
+    """All pairs of different components within a list whose sizes and sketches allow a link.
+
+    Members outside a list's largest component are compared with all its members, in
+    blocks; inside the largest there is nothing left to link.
+    """
     own = every.join(lists.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_list("value").alias("values"))
     sized = lists.join(sketches.select("node", "n", "sketch"), "node").join(own, "node")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / SIMILARITY))).cast("int")
     # A pair's bands differ by one at most; both meet in the lower of the two.
-    banded = sized.withColumn("band", F.explode(F.array(band, band - 1)))
-    parts = banded.groupBy("value", "band").agg(F.count(F.lit(1)).alias("n_band"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    parts = parts.select("value", "band", F.greatest(F.lit(1), F.ceil(F.col("n_band") / BLOCK)).cast("int").alias("blocks"))
-    placed = banded.join(parts, ["value", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pair = lambda x, y: F.concat_ws("/", "value", "band", x, y)
-    each = F.sequence(F.lit(0), F.col("blocks") - 1)
+    banded = stored(sized.withColumn("band", F.explode(F.array(band, band - 1))).select("value", "band", "node", "component", "values", "sketch"), "open-members")
+    held = banded.groupBy("value", "band", "component").agg(F.count(F.lit(1)).alias("size"))
+    parts = held.groupBy("value", "band").agg(F.sum("size").alias("all"), F.max(F.struct("size", "component")).alias("top")).where("all > top.size")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    parts = parts.select("value", "band", F.col("top.component").alias("largest"), blocks(F.col("all") - F.col("top.size")).alias("lefts"), blocks(F.col("all")).alias("rights"))
+    placed = banded.join(parts, ["value", "band"])
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    key = lambda i, j: F.concat_ws("/", "value", "band", i, j).alias("key")
     row = ["node", "component", "values", "sketch"]
-    left = placed.select(F.explode(each).alias("j"), "*").select(pair(F.col("block"), F.col("j")).alias("key"), "value", F.lit(True).alias("is_left"), (F.col("block") == F.col("j")).alias("is_right"), *row)
-    right = placed.select(F.explode(F.filter(each, lambda k: k != F.col("block"))).alias("i"), "*").select(pair(F.col("i"), F.col("block")).alias("key"), "value", F.lit(False).alias("is_left"), F.lit(True).alias("is_right"), *row)
+    left = placed.where("component <> largest").select("*", F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j")).select(key(block("lefts"), F.col("j")), "value", F.lit(True).alias("is_left"), *row)
+    right = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i")).select(key(F.col("i"), block("rights")), "value", F.lit(False).alias("is_left"), *row)
     return left.union(right).repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "a long, b long").distinct()
 
 
