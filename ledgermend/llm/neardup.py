@@ -156,26 +156,29 @@ def with_components(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.join(split.select("value"), "value", "left_semi")
 
 
-def possible_pairs(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of sorted sketches whose estimated similarity doesn't rule out a link.
+def held_values(rows: list[np.ndarray], values: np.ndarray) -> np.ndarray:
+    """A row of ones and zeros for each array: which of the sorted values it holds."""
+    held = np.zeros((len(rows), len(values)), np.float32)
+    if len(values):
+        for k, x in enumerate(rows):
+            at = np.minimum(np.searchsorted(values, x), len(values) - 1)
+            held[k, at[values[at] == x]] = 1
+    return held
+
+
+def possible_pairs(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Which pairs of sorted sketches have an estimated similarity that doesn't rule out a link.
 
     Both sketches are complete up to the smaller of their largest values (a whole set has no
     end), so the values up to there estimate the similarity.
     """
 
-    def counts(rows: list[np.ndarray], values: np.ndarray) -> np.ndarray:
-        held = np.zeros((len(rows), len(values)), np.float32)
-        for k, x in enumerate(rows):
-            at = np.minimum(np.searchsorted(values, x), len(values) - 1)
-            held[k, at[values[at] == x]] = 1
-        return held
-
     ends = lambda rows: np.array([x[-1] if len(x) == K else np.iinfo(np.uint64).max for x in rows], U64)
     upto = lambda rows, tops: np.stack([np.searchsorted(x, tops, "right") for x in rows])
     values = np.unique(np.concatenate(left))
-    same = counts(left, values) @ counts(right, values).T
+    same = held_values(left, values) @ held_values(right, values).T
     union = upto(left, ends(right)) + upto(right, ends(left)).T - same
-    return np.nonzero(same >= SHARE * np.maximum(union, 1))
+    return same >= SHARE * np.maximum(union, 1)
 
 
 def _compare(batches):
@@ -188,12 +191,15 @@ def _compare(batches):
         if not left or not right:
             return
         sketch = lambda rows: [np.array(r[3], np.int64).view(U64) for r in rows]
-        found = set()
-        for a, b in zip(*possible_pairs(sketch(left), sketch(right)), strict=True):
-            x, y = left[a], right[b]
-            # A pair meets in every list that both are in: the least common value's list reports it.
-            if x[1] != y[1] and min(set(x[2]) & set(y[2])) == value:
-                found.add((min(x[0], y[0]), max(x[0], y[0])))
+        # A pair meets in every list that both are in: the least common value's list reports it.
+        before = lambda rows: [np.sort([v for v in r[2] if v < value]).astype(np.int64) for r in rows]
+        earlier = before(left)
+        known = np.unique(np.concatenate(earlier))
+        repeated = held_values(earlier, known) @ held_values(before(right), known).T > 0
+        other = np.array([r[1] for r in left])[:, None] != np.array([r[1] for r in right])
+        a, b = np.nonzero(possible_pairs(sketch(left), sketch(right)) & other & ~repeated)
+        x, y = np.array([r[0] for r in left], np.int64)[a], np.array([r[0] for r in right], np.int64)[b]
+        found = set(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
 
