@@ -5,13 +5,13 @@ homoglyphs and digit substitutions are folded, normalised by length, with
 exception phrases that cancel a match.
 
 The lexicon is learned from labelled rows: whole words and word beginnings that
-occur far more often in toxic texts, chosen greedily by how many toxic texts each
-newly explains (so the other words of a text with many copies add nothing).
-Phrases of a lexicon word and its neighbour that only clean texts use become
+occur far more often in toxic texts, each judged by itself: a word stays however
+many of its texts hold other words of the lexicon.  Equal toxic texts have one vote,
+so the words of a text with many copies are not learned from the copies.  Phrases of a lexicon word and its neighbour that only clean texts use become
 exceptions.  A logistic function of weighted hits and of hits by length is then
 fitted.  All fitting uses about ``FIT_ROWS`` labelled rows, chosen by a hash of
 doc_id; scoring is one narrow pass over all texts with a model of at most
-``MAX_TERMS`` terms and ``MAX_EXCEPTIONS`` phrases.
+``MAX_CANDIDATES`` terms and ``MAX_EXCEPTIONS`` phrases.
 """
 
 from __future__ import annotations
@@ -30,9 +30,7 @@ from pyspark.sql import functions as F
 FIT_ROWS = 20_000
 MIN_DOCS = 5
 MIN_LOG_ODDS = 3.0
-MIN_GAIN = 3
 MAX_CANDIDATES = 50_000
-MAX_TERMS = 2_000
 MAX_EXCEPTIONS = 2_000
 BEGINNINGS = (4, 5, 6, 7)
 MAX_BROADCAST_LABELS = 200_000
@@ -111,21 +109,21 @@ def measures(text: str | None, built, exceptions: set[str]) -> tuple[float, floa
 
 
 def _features(batches):
-    toxic: dict[str, list[int]] = {}
+    toxic: dict[str, set[int]] = {}
     clean: Counter[str] = Counter()
     for batch in batches:
-        for doc, label, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for vote, label, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             words = set(_WORD.findall(fold(text or "")))
             found = {w + " " for w in words if 2 < len(w) < 40} | {w[:n] for w in words for n in BEGINNINGS if len(w) > n}
             if label:
                 for x in found:
-                    toxic.setdefault(x, []).append(doc)
+                    toxic.setdefault(x, set()).add(vote)
             else:
                 clean.update(found)
     names = list(toxic.keys() | clean.keys())
     for k in range(0, len(names), 20_000):
         part = names[k : k + 20_000]
-        yield pa.RecordBatch.from_pydict({"term": pa.array(part, pa.string()), "docs": pa.array([toxic.get(x, []) for x in part], pa.list_(pa.int64())), "clean": pa.array([clean.get(x, 0) for x in part], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"term": pa.array(part, pa.string()), "votes": pa.array([list(toxic.get(x, ())) for x in part], pa.list_(pa.int64())), "clean": pa.array([clean.get(x, 0) for x in part], pa.int64())})
 
 
 def _contexts(terms):
@@ -152,26 +150,15 @@ def _measured(model):
     return run
 
 
-def choose_terms(candidates: list[tuple[str, list[int], float]]) -> dict[str, float]:
-    """Terms in the order of toxic texts newly explained, times weight; ties by term."""
-    import heapq
+def choose_terms(candidates: list[tuple[str, float]]) -> dict[str, float]:
+    """All candidates but those that decide nothing: wherever they match, a beginning of theirs matches with no less weight."""
+    found = dict(candidates)
 
-    heap = [(-len(docs) * weight, term, docs, weight) for term, docs, weight in candidates]
-    heapq.heapify(heap)
-    explained: set[int] = set()
-    terms: dict[str, float] = {}
-    while heap and len(terms) < MAX_TERMS:
-        _, term, docs, weight = heapq.heappop(heap)
-        left = [d for d in docs if d not in explained]
-        if len(left) < MIN_GAIN:
-            continue
-        worth = -len(left) * weight
-        if heap and worth > heap[0][0]:
-            heapq.heappush(heap, (worth, term, left, weight))
-            continue
-        terms[term] = weight
-        explained.update(left)
-    return terms
+    def shadowed(term: str, weight: float) -> bool:
+        word = term.strip()
+        return any(found.get(word[:n], -math.inf) >= weight for n in BEGINNINGS if n < len(word))
+
+    return {term: weight for term, weight in candidates if not shadowed(term, weight)}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> tuple[float, ...]:
@@ -188,16 +175,17 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
 
 def fit(labelled: DataFrame) -> Model:
     """From a bounded table of doc_id, toxic and text."""
-    totals = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    bad, good = totals.get(1, 0), totals.get(0, 0)
+    vote = F.xxhash64("text")
+    totals = {r["toxic"]: r for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(vote).alias("votes")).collect()}
+    bad, good = totals[1]["votes"] if 1 in totals else 0, totals[0]["n"] if 0 in totals else 0
     if not bad or not good:
         return Model(weights=(-1.0 if good else 0.0, 0.0, 0.0))
-    parts = labelled.select("doc_id", "toxic", "text").mapInArrow(_features, "term string, docs array<long>, clean long")
-    summed = parts.groupBy("term").agg(F.flatten(F.collect_list("docs")).alias("docs"), F.sum("clean").alias("clean"))
-    odds = F.log((F.size("docs") + 0.5) / (bad + 1.0)) - F.log((F.col("clean") + 0.5) / (good + 1.0))
-    useful = summed.where(F.size("docs") >= MIN_DOCS).withColumn("weight", odds).where(F.col("weight") >= MIN_LOG_ODDS)
-    useful = useful.orderBy(F.size("docs").desc(), "term").limit(MAX_CANDIDATES)
-    model = Model(choose_terms([(r["term"], r["docs"], r["weight"]) for r in useful.collect()]))
+    parts = labelled.select(vote, "toxic", "text").mapInArrow(_features, "term string, votes array<long>, clean long")
+    summed = parts.groupBy("term").agg(F.size(F.array_distinct(F.flatten(F.collect_list("votes")))).alias("votes"), F.sum("clean").alias("clean"))
+    odds = F.log((F.col("votes") + 0.5) / (bad + 1.0)) - F.log((F.col("clean") + 0.5) / (good + 1.0))
+    useful = summed.where(F.col("votes") >= MIN_DOCS).withColumn("weight", odds).where(F.col("weight") >= MIN_LOG_ODDS)
+    useful = useful.orderBy(F.col("votes").desc(), "term").limit(MAX_CANDIDATES)
+    model = Model(choose_terms([(r["term"], r["weight"]) for r in useful.collect()]))
     seen = labelled.select("doc_id", "toxic", "text").mapInArrow(_contexts(model.terms), "phrase string, toxic int, n long")
     only_clean = seen.groupBy("phrase").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"))
     only_clean = only_clean.where("clean >= 3 and bad = 0").orderBy(F.col("clean").desc(), "phrase").limit(MAX_EXCEPTIONS)

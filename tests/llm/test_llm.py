@@ -343,6 +343,30 @@ def test_toxicity(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_toxic_words_that_come_with_others_are_learned(spark):
+    rng = np.random.default_rng(6)
+    rows, labels = [], []
+    for k in range(400):
+        w = [f"word{x}" for x in rng.integers(0, 50, 60)]
+        if k % 4 == 0:
+            w[10], w[30] = "idiot", ("moron", "scum")[k // 4 % 2]  # each text with moron or scum holds idiot
+        rows.append((k, " ".join(w), "en", "s", 0, "x"))
+        labels.append((k, 1, int(k % 4 == 0)))
+    copied = " ".join(["idiot", *[f"copied{x}" for x in "abcdefghij"], *words(40, 7)])
+    rows += [(k, copied, "en", "s", 0, "x") for k in range(500, 520)]
+    labels += [(k, 1, 1) for k in range(500, 520)]
+    rows += [(1000, "you moron", "en", "s", 0, "x"), (1001, "such scum here", "en", "s", 0, "x"), (1002, "a clean text", "en", "s", 0, "x")]
+    df = spark.createDataFrame(rows, DOCS)
+    model = toxicity.fit(toxicity.training_rows(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).cache())
+    got = {r.doc_id: r.predicted for r in toxicity.score(df, model, ["doc_id"]).collect()}
+    assert (got[1000], got[1001], got[1002]) == (1, 1, 0)
+    assert not [t for t in model.terms if t.startswith("copied")]
+
+
+def test_choose_terms_drops_only_what_decides_nothing():
+    assert toxicity.choose_terms([("idio", 5.0), ("idiot ", 5.0), ("lose", 3.5), ("loser ", 6.0), ("scum ", 4.0)]) == {"idio": 5.0, "lose": 3.5, "loser ": 6.0, "scum ": 4.0}
+
+
 def test_exception_phrases_cancel():
     built = toxicity.automaton({"clown ": 5.0})
     assert toxicity.measures("a clown fish", built, {"clown fish"}) == (0.0, 0.0)
