@@ -5,7 +5,9 @@ tokens and ignore the others, so a substituted token leaves most seeds whole.
 Seeds of the texts that equal a seed of a benchmark item give an alignment of
 the two; the item is then compared token by token along it, and the best
 stretch (match +1, substitution -1) must reach a score that a substitution
-tolerant copy reaches and chance doesn't.
+tolerant copy reaches and chance doesn't.  For items of fewer than ``SHORT`` tokens
+the seed is a run of tokens that every copy scoring enough must hold whole, so no
+such copy is missed.
 
 Tokens are runs of letters and digits, A-Z lower-cased; punctuation is ignored.
 
@@ -30,6 +32,7 @@ MIN_SCORE = 10
 MIN_SHARE = 0.6
 BLOCK_TOKENS = 1_000_000
 MAX_PAIRS = 1 << 21
+SHORT = 17
 
 
 def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,9 +57,27 @@ def seed_hashes(tokens: np.ndarray, mask: tuple[int, ...], number: int) -> np.nd
     return mix(out)
 
 
-def masks_for(length: int) -> tuple[tuple[int, ...], ...]:
-    """An item shorter than the span has one mask of all its tokens."""
-    return MASKS if length >= SPAN else (tuple(range(length)),)
+def needed(size):
+    """The score that a stretch must reach for an item of ``size`` tokens."""
+    return np.minimum(MIN_SCORE, np.ceil(MIN_SHARE * size))
+
+
+def run_of(size: int) -> int:
+    """How many tokens in a row agree at least in a copy that scores enough.
+
+    With k substitutions in the stretch, need + k tokens agree in k + 1 runs, and need + 2 k tokens fit the item.
+    """
+    need = int(needed(size))
+    return min(-(-(need + k) // (k + 1)) for k in range((size - need) // 2 + 1))
+
+
+def seeds_for(size: int) -> list[tuple[tuple[int, ...], int]]:
+    """Masks and their numbers for an item of ``size`` tokens."""
+    return [run_seed(run_of(size))] if size < SHORT else [(mask, k) for k, mask in enumerate(MASKS)]
+
+
+def run_seed(run: int) -> tuple[tuple[int, ...], int]:
+    return tuple(range(run)), run << 8
 
 
 def build(items: pa.Table) -> dict:
@@ -70,12 +91,12 @@ def build(items: pa.Table) -> dict:
                 if firsts[k + 1] > firsts[k]:
                     tokens.append(hashed[firsts[k] : firsts[k + 1]])
                     ids.append(part.column(0)[rows.start + k].as_py())
-    seeds, place, item, lengths = [], [], [], set()
+    seeds, place, item, runs = [], [], [], set()
     for k, own in enumerate(tokens):
-        if len(own) < SPAN:
-            lengths.add(len(own))
-        for number, mask in enumerate(masks_for(len(own))):
-            found = seed_hashes(own, mask, number + (len(own) << 8 if len(own) < SPAN else 0))
+        if len(own) < SHORT:
+            runs.add(run_of(len(own)))
+        for mask, number in seeds_for(len(own)):
+            found = seed_hashes(own, mask, number)
             seeds.append(found)
             place.append(np.arange(len(found)))
             item.append(np.full(len(found), k))
@@ -85,15 +106,18 @@ def build(items: pa.Table) -> dict:
     sizes = np.array([len(t) for t in tokens], np.int64)
     return {
         "seeds": seeds[order], "place": place[order], "item": item[order], "tokens": join(tokens, U64),
-        "first": np.cumsum(sizes) - sizes, "size": sizes, "ids": np.array(ids, np.int64), "short": sorted(lengths),
+        "first": np.cumsum(sizes) - sizes, "size": sizes, "ids": np.array(ids, np.int64), "short": sorted(runs),
     }
 
 
 def hits(tokens: np.ndarray, firsts: np.ndarray, bench: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, item, shift): the item's first token would stand at ``shift`` among all tokens."""
+    """Distinct (text, item, shift): the item's first token would stand at ``shift`` among all tokens.
+
+    Runs of few tokens hit often, so of their alignments only those that score enough are kept.
+    """
     out = []
-    shapes = [(m, k) for k, m in enumerate(MASKS)] + [(tuple(range(n)), n << 8) for n in bench["short"]]
-    for mask, number in shapes:
+    shapes = [(m, k, False) for k, m in enumerate(MASKS)] + [(*run_seed(n), True) for n in bench["short"]]
+    for mask, number, short in shapes:
         found = seed_hashes(tokens, mask, number)
         if not len(found):
             continue
@@ -103,9 +127,15 @@ def hits(tokens: np.ndarray, firsts: np.ndarray, bench: dict) -> tuple[np.ndarra
         inside = hit + max(mask) < firsts[text + 1]
         hit, text = hit[inside], text[inside]
         lo, hi = lo[hit], np.searchsorted(bench["seeds"], found[hit], "right")
-        rows = ranges(lo, hi - lo)
-        hit, text = np.repeat(hit, hi - lo), np.repeat(text, hi - lo)
-        out.append(np.stack([text, bench["item"][rows], hit - bench["place"][rows]]))
+        part = np.cumsum(hi - lo) // MAX_PAIRS
+        for some in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(part)) + 1):
+            n = (hi - lo)[some]
+            rows = ranges(lo[some], n)
+            found = np.stack([np.repeat(text[some], n), bench["item"][rows], np.repeat(hit[some], n) - bench["place"][rows]])
+            if short:
+                found = np.unique(found, axis=1)
+                found = found[:, overlaps(tokens, firsts, *found, bench)[0] >= needed(bench["size"][found[1]])]
+            out.append(found)
     every = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((3, 0), np.int64)
     return every[0], every[1], every[2]
 
@@ -146,7 +176,7 @@ def _marker(shared, keep: list[str]):
                 tokens, firsts = token_hashes(data, offsets)
                 text, item, shift = hits(tokens, firsts, bench)
                 score, share = overlaps(tokens, firsts, text, item, shift, bench)
-                ok = score >= np.minimum(MIN_SCORE, np.ceil(MIN_SHARE * bench["size"][item]))
+                ok = score >= needed(bench["size"][item])
                 text, item, share = text[ok], item[ok], share[ok]
                 pairs = np.unique(text * len(bench["ids"]) + item) // max(len(bench["ids"]), 1)
                 np.add.at(n_items, rows.start + pairs, 1)

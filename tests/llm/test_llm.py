@@ -180,6 +180,31 @@ def test_decontamination(spark, docs, nothing):
     assert not any(r.contaminated for r in decontam.decontaminate(docs, bench.limit(0), ["doc_id"]).collect())
 
 
+def test_short_items_equal_brute_force(spark):
+    rng = np.random.default_rng(31)
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in range(1, 17)}
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    texts = []
+    for n, w in items.items():
+        for _ in range(40):
+            copy = [f"z{x}" if rng.random() < 0.2 else word for word, x in zip(w, rng.integers(0, 9, n))]
+            texts.append([*words(int(rng.integers(0, 3)), 33), *copy[int(rng.integers(0, 2)) :], *words(int(rng.integers(0, 3)), 34)])
+
+    def leaks(text, item):
+        for shift in range(-len(item), len(text)):
+            run = 0
+            for k, word in enumerate(item):
+                run = max(0, run + (1 if 0 <= shift + k < len(text) and text[shift + k] == word else -1))
+                if run >= min(10, -(-6 * len(item) // 10)):
+                    return True
+        return False
+
+    df = spark.createDataFrame([(k, " ".join(t), "en", "s", 0, "x") for k, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.n_items for r in decontam.decontaminate(df, bench, ["doc_id"]).collect()}
+    want = {k: sum(leaks(t, w) for w in items.values()) for k, t in enumerate(texts)}
+    assert got == want and 0 < sum(want.values()) < len(texts)
+
+
 # -- repeated words ----------------------------------------------------------------------------------
 
 
