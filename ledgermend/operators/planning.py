@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PLAN = "account string, field string, role string, position int, submit_day int, due_day int, unused_days int, span int, start_weekday int"
 COLUMNS = ("account", "field", "role", "position", "submit_day", "due_day", "unused_days", "span", "start_weekday")
@@ -126,5 +127,11 @@ def _plans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def plans(findings: DataFrame) -> DataFrame:
-    """``account, field, strength, min_days, business`` to one row per planned submission."""
+    """``account, field, strength, min_days, business`` to one row per planned submission.
+
+    Of a field the strongest finding counts, then the one with the longest answer
+    time, then business days; Spark picks it, so an account has a row a field.
+    """
+    best = F.max(F.struct("strength", "min_days", "business")).alias("x")
+    findings = findings.groupBy("account", "field").agg(best).select("account", "field", "x.*")
     return findings.repartition("account").sortWithinPartitions("account").mapInPandas(_plans, PLAN)

@@ -91,8 +91,9 @@ def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, CAST(LEN(t) AS INT) AS tokens, CAST(LEN(LIST_FILTER(t, lambda x: x = 'CO')) AS INT) AS charge_offs, CAST(LEN(LIST_FILTER(t, lambda x: x = '30')) AS INT) AS late30, CAST(LEN(LIST_FILTER(t, lambda x: x = '60')) AS INT) AS late60, CAST(LEN(LIST_FILTER(t, lambda x: x = '120')) AS INT) AS late90 FROM h""")
 def history_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.expr("case event_type when 'error' then 'co' when 'click' then '30' when 'view' then 'ok' when 'purchase' then ' 60' else '120' end")
-    h = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(status).alias("h")).select("user_id", histories.two_year(F.col("h")).alias("x"))
-    return h.select("user_id", F.size("x.tokens").alias("tokens"), F.col("x.counts.CO").alias("charge_offs"), F.col("x.counts.late30").alias("late30"), F.col("x.counts.late60").alias("late60"), F.col("x.counts.late90").alias("late90"))
+    each = table(spark, sf_dir, "events").select("user_id", histories.two_year(F.array(status)).alias("x"))  # a row is a history of one token
+    counts = {"tokens": F.size("x.tokens"), "charge_offs": F.col("x.counts.CO")} | {k: F.col(f"x.counts.{k}") for k in ("late30", "late60", "late90")}
+    return each.groupBy("user_id").agg(*[F.sum(v).cast("int").alias(k) for k, v in counts.items()])
 
 
 @query("history_similarity", """WITH h AS (SELECT l_orderkey, LIST(l_returnflag ORDER BY l_shipdate, l_linenumber, l_partkey) AS a FROM lineitem GROUP BY 1),

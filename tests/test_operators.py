@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgermend.functions.money import close_for_consensus
-from ledgermend.operators import analytics, consensus, findings, matching, outcomes, rules, sequence
+from ledgermend.operators import analytics, consensus, findings, matching, outcomes, planning, rules, sequence
 from ledgermend.streaming import accounts
 
 
@@ -35,6 +35,23 @@ def test_reasons(spark):
     assert got == ["C1", "C3", "C2", "C4", "C5", "C6"]
 
 
+def test_plans_take_one_finding_of_a_field_in_any_order(spark):
+    ties = [("a", "f", 3, 10, False), ("a", "f", 3, 10, True), ("a", "f", 2, 40, True)]
+    kind = "account string, field string, strength int, min_days int, business boolean"
+    got = [planning.plans(spark.createDataFrame(rows, kind).coalesce(1)).collect() for rows in (ties, ties[::-1])]
+    assert got[0] == got[1] == planning.plans(spark.createDataFrame(ties[1:2], kind)).collect()
+
+
+def test_history_tokens_gathers_no_user(spark, tmp_path):
+    from ledgermend.plans import scalars
+
+    kinds = ["error", "click", "view", "purchase", "signup", "error", None]
+    spark.createDataFrame([(k % 2, x) for k, x in enumerate(kinds)], "user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    found = scalars.history_tokens(spark, str(tmp_path))
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    assert {tuple(r) for r in found.collect()} == {(0, 4, 1, 0, 0, 2), (1, 3, 1, 1, 1, 0)}
+
+
 def test_two_percentiles_differ(spark):
     ten = spark.range(1, 11).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("v"))
     assert sequence.floor_rank(ten, ["g"], "v", 95, "p").first().p == 9.0
