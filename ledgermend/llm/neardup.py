@@ -8,38 +8,45 @@ Steps, and why they hold on large inputs:
 
 * Texts with equal shingle sets are one node (grouped by a 128-bit fingerprint of
   the set with map-side combining), so thousands of copies cost nothing further.
-* A link needs ``SHARE`` of the sketch in common (at the least similarity of 0.75
-  that is 4.6 standard deviations below the mean; a whole set, when it is smaller
-  than the sketch, gives no loss at all).  So a node with ``r`` values that occur
-  elsewhere, of which a link needs ``t``, must share one of its ``r - t + 1`` rarest:
-  only these enter lists.  Values of common lines and phrases drop out, unless
-  they make up more than half a text.
-* Small lists give all their pairs.  A large list gives one pair per member, with
-  its least member as centre.  Members are merged, and lists that still hold more
-  than one component give one pair per member again, with centres drawn from
-  ``CENTRES`` draws.  What is left is compared by sketches across components, in
-  blocks of neighbouring size classes, and only pairs that may be links are verified.
+* Every node has a sketch of ``K`` values.  A link needs ``SHARE`` of it in common
+  (at the least similarity of 0.75 that is 4.6 standard deviations below the
+  mean), so a node with fewer values that occur elsewhere is out.  That leaves
+  the few nodes with much repeated text.
+* Only these get a sketch of ``DEEP`` values, of which a link needs ``DEEP_SHARE``
+  (4.7 deviations; sets that fit into a sketch need the similarity itself, without
+  loss).  A node with ``r`` values that occur elsewhere, of which a link needs ``t``,
+  must share one of its ``r - t + 1`` rarest: only these enter inverted lists.
+  Values of common lines and phrases drop out, unless they make up most of a text.
+* Near copies share many values, so most lists have the same members as another:
+  one list of each kind stays.
+* Each list gives one pair per member, with its least member as centre; pairs whose
+  sketches allow a link are verified and linked members merge.  In lists that still hold several
+  components, the members outside the largest are compared with all others by deep
+  sketches, in blocks; a block gives only pairs that pass, so nothing grows with the
+  square of a group but arithmetic inside a task.
+* Lists with many members are dealt in parts (``PART``); the join that counts how often
+  values occur leaves a very common value to Spark's skew join.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermend.llm.components import components
 from ledgermend.llm.tokens import U64, gram_hashes, lowered, mix, slices, span_hashes, word_spans
-from ledgermend.workspace import stored
+from ledgermend.workspace import discard, stored
 
 WORDS = 5
 SIMILARITY = 75  # per cent
-K = 64
-SHARE = 0.5
-WHOLE = K * SIMILARITY // 100
-SMALL_LIST = 8
-CENTRES = 8
+K, SHARE = 64, 0.5
+DEEP, DEEP_SHARE = 512, 0.66
+PART = 1024
 BLOCK = 1024
+#: Columns of a block's value matrix held at a time.
+STRIP = 4096
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray):
@@ -62,6 +69,10 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _signed(x: np.ndarray) -> np.ndarray:
+    return x.view(np.int64)
+
+
 def _sketches(batches):
     for batch in batches:
         n, fp1, fp2, sketch = [], [], [], []
@@ -72,30 +83,25 @@ def _sketches(batches):
                     fp1.append(int(_signed(mix(own + U64(1)).sum(dtype=U64, keepdims=True))[0]))
                     fp2.append(int(_signed(mix(own ^ U64(0x5BD1E995A5A5A5A5)).sum(dtype=U64, keepdims=True))[0]))
                 sketch.append(_signed(own[:K]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "n", "fp1", "fp2", "sketch"])
+        columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "n", "fp1", "fp2", "sketch"])
 
 
 def _sets(batches):
+    """``node, deep, whole``: the deep sketch as values, the full set as bytes."""
     for batch in batches:
-        found = [own.tobytes() for _, data, offsets in slices(batch) for own in shingle_sets(data, offsets)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "whole"])
+        own = [s for _, data, offsets in slices(batch) for s in shingle_sets(data, offsets)]
+        deep = pa.array([_signed(s[:DEEP]) for s in own], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), deep, pa.array([s.tobytes() for s in own], pa.binary())], ["node", "deep", "whole"])
 
 
-def sketch_matches(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """How many of the union's bottom-k values both sketches hold, and how many values that is."""
-    union = np.union1d(a, b)[:K]
+def may_link(a: np.ndarray, b: np.ndarray, k: int = K, share: float = SHARE) -> bool:
+    """Whether the bottom-k values of the union leave a link of two sorted sets possible."""
+    a, b = a[:k], b[:k]
+    union = np.union1d(a, b)[:k]
     both = np.intersect1d(a, b, assume_unique=True)
-    return int((both <= union[-1]).sum()) if len(both) else 0, len(union)
-
-
-def _estimate(batches):
-    for batch in batches:
-        a, b = (batch.column(k).to_pylist() for k in (2, 3))
-        keep = []
-        for x, y in zip(a, b, strict=True):
-            same, size = sketch_matches(np.array(x, np.int64).view(U64), np.array(y, np.int64).view(U64))
-            keep.append(same >= (SHARE if size == K else SIMILARITY / 100) * size)
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    same = int((both <= union[-1]).sum()) if len(both) else 0
+    return same >= (share if len(union) == k else SIMILARITY / 100) * len(union)
 
 
 def _verify(batches):
@@ -103,136 +109,167 @@ def _verify(batches):
         keep = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
             a, b = np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64)
-            same = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(100 * same >= SIMILARITY * (len(a) + len(b) - same))
+            linked = may_link(a, b)
+            if linked:
+                same = len(np.intersect1d(a, b, assume_unique=True))
+                linked = 100 * same >= SIMILARITY * (len(a) + len(b) - same)
+            keep.append(linked)
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def linked_pairs(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose full sets reach the similarity."""
-    side = lambda c, v: sketches.select(F.col("node").alias(c), F.col("sketch").alias(v))
-    near = pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b").select("a", "b", "sa", "sb")
-    near = stored(near.mapInArrow(_estimate, "a long, b long"), "near-pairs")
-    wanted = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b"))).distinct()
-    sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "node long, whole binary")
-    sets = stored(sets, "near-sets")
-    full = near.join(sets.select(F.col("node").alias("a"), F.col("whole").alias("wa")), "a")
-    full = full.join(sets.select(F.col("node").alias("b"), F.col("whole").alias("wb")), "b").select("a", "b", "wa", "wb")
-    return full.mapInArrow(_verify, "a long, b long").distinct()
-
-
-def candidate_lists(sketches: DataFrame) -> DataFrame:
-    """``value, node, members``: the inverted lists of each node's rarest values, those with two members or more."""
-    held = sketches.select("node", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
-    common = held.groupBy("value").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
-    shared = held.join(common, "value").groupBy("node").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("uses", "value"))).alias("values"))
-    # A set of at most WHOLE values and all its near copies are sketched whole, so the similarity itself is needed.
-    need = F.ceil(F.col("size") * F.when(F.col("size") <= WHOLE, F.lit(SIMILARITY / 100)).otherwise(F.lit(SHARE))).cast("int")
-    spare = F.size("values") - need + 1
-    kept = shared.where(spare > 0).select("node", F.slice("values", F.lit(1), spare).alias("values"))
-    rare = kept.select("node", F.explode("values").alias("x")).select("node", F.col("x.value").alias("value"))
-    members = rare.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    return rare.join(members, "value")
+def linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose sketches allow a link and whose full sets reach the similarity."""
+    side = lambda c, v: sets.select(F.col("node").alias(c), F.col("whole").alias(v))
+    return pairs.join(side("a", "wa"), "a").join(side("b", "wb"), "b").select("a", "b", "wa", "wb").mapInArrow(_verify, "a long, b long").distinct()
 
 
-def ordered(a: F.Column, b: F.Column) -> list[F.Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def _needed(size: F.Column, k: int, share: float) -> F.Column:
+    """How many values of a sketch a link needs.  Near copies of a set of at most 3/4 k values are sketched whole."""
+    return F.ceil(size * F.when(size <= k * SIMILARITY // 100, F.lit(SIMILARITY / 100)).otherwise(F.lit(share))).cast("int")
 
 
-def star_pairs(lists: DataFrame, draws: int = 0) -> DataFrame:
-    """Each member of a list with the list's centre, unless their components are the same.
+def _shared(sketches: DataFrame, column: str) -> DataFrame:
+    """``node, size, value, uses``: the values of sketches that occur more than once."""
+    held = sketches.select("node", F.size(column).alias("size"), F.explode(column).alias("value"))
+    return held.join(held.groupBy("value").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1"), "value")
 
-    The centre is the least member, or the first of one of ``draws`` orders by hash.
-    """
-    rank = F.xxhash64("node", F.pmod("value", F.lit(draws))) if draws else F.col("node")
-    centre = lists.groupBy("value").agg(F.min(F.struct(rank.alias("rank"), "node", "component")).alias("c")).select("value", F.col("c.node").alias("centre"), F.col("c.component").alias("centre_component"))
-    return lists.join(centre, "value").where("component <> centre_component").select(*ordered(F.col("node"), F.col("centre"))).distinct()
+
+def repeated_nodes(sketches: DataFrame) -> DataFrame:
+    """The nodes with as many values of others as a link needs."""
+    own = _shared(sketches, "sketch").groupBy("node").agg(F.min("size").alias("size"), F.count(F.lit(1)).alias("found"))
+    return own.where(F.col("found") >= _needed(F.col("size"), K, SHARE)).select("node")
+
+
+def candidate_lists(sets: DataFrame) -> DataFrame:
+    """``value, node, members``: inverted lists of each node's rarest values, one of those with equal members."""
+    own = _shared(sets, "deep").groupBy("node").agg(F.min("size").alias("size"), F.array_sort(F.collect_set(F.struct("uses", "value"))).alias("values"))
+    spare = F.size("values") - _needed(F.col("size"), DEEP, DEEP_SHARE) + 1
+    rare = own.where(spare > 0).select("node", F.explode(F.slice("values", F.lit(1), spare)).alias("x")).select("node", F.col("x.value").alias("value"))
+    rare = stored(rare, "rare-values")
+    mark = lambda seed: F.bit_xor(F.xxhash64("node", F.lit(seed)))
+    marks = rare.groupBy("value").agg(F.count(F.lit(1)).alias("members"), mark(1).alias("m1"), mark(2).alias("m2")).where("members > 1")
+    chosen = marks.groupBy("members", "m1", "m2").agg(F.min("value").alias("value")).select("value", "members")
+    lists = stored(rare.join(chosen, "value"), "lists")
+    discard(rare)
+    return lists
 
 
-def with_components(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Lists that still hold several components, members with theirs."""
-    joined = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = joined.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    return joined.join(split.select("value"), "value", "left_semi")
+def with_list_columns(lists: DataFrame, each: DataFrame) -> DataFrame:
+    """Members with the columns of their list: ``each(value, members, ...)``; lists of over ``PART`` members are dealt in parts."""
+    parts = F.ceil(F.col("members") / PART).cast("int")
+    many = each.select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    dealt = lists.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    return dealt.join(many.drop("members"), ["value", "part"]).drop("part")
 
 
-def held_values(rows: list[np.ndarray], values: np.ndarray) -> np.ndarray:
-    """A row of ones and zeros for each array: which of the sorted values it holds."""
-    held = np.zeros((len(rows), len(values)), np.float32)
-    if len(values):
-        for k, x in enumerate(rows):
-            at = np.minimum(np.searchsorted(values, x), len(values) - 1)
-            held[k, at[values[at] == x]] = 1
-    return held
+def star_pairs(lists: DataFrame) -> DataFrame:
+    """Each member of a list with the list's least member."""
+    centres = lists.groupBy("value", "members").agg(F.min("node").alias("a"))
+    return with_list_columns(lists, centres).where("a < node").select("a", F.col("node").alias("b")).distinct()
+
+
+def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Lists that still hold several components: members with theirs, the list's largest, and how many are outside it."""
+    joined = stored(lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "list-components")
+    sizes = joined.groupBy("value", "members", "component").agg(F.count(F.lit(1)).alias("size"))
+    each = sizes.groupBy("value", "members").agg(F.max(F.struct("size", "component")).alias("top")).where("top.size < members")
+    each = each.select("value", "members", F.col("top.component").alias("largest"), (F.col("members") - F.col("top.size")).alias("outside"))
+    found = stored(with_list_columns(joined, each), "open-lists")
+    discard(joined)
+    return found
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each pair of arrays of distinct values has in common, as products of strips of 0/1 matrices."""
+    flat = lambda rows: (np.repeat(np.arange(len(rows)), [len(x) for x in rows]), np.concatenate(rows))
+    (at_l, in_l), (at_r, in_r) = flat(left), flat(right)
+    both = np.intersect1d(in_l, in_r)
+    count = np.zeros((len(left), len(right)), np.float32)
+
+    def strips(at, values, n):
+        column = np.searchsorted(both, values)
+        known = column < len(both)
+        known[known] = both[column[known]] == values[known]
+        at, column = at[known], column[known]
+        order = np.argsort(column, kind="stable")
+        at, column = at[order], column[order]
+        cuts = np.searchsorted(column, np.arange(0, len(both) + STRIP, STRIP))
+        for k in range(len(cuts) - 1):
+            held = np.zeros((n, min(STRIP, len(both) - k * STRIP)), np.float32)
+            held[at[cuts[k] : cuts[k + 1]], column[cuts[k] : cuts[k + 1]] - k * STRIP] = 1
+            yield held
+
+    for x, y in zip(strips(at_l, in_l, len(left)), strips(at_r, in_r, len(right)), strict=True):
+        count += x @ y.T
+    return count
 
 
 def possible_pairs(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Which pairs of sorted sketches have an estimated similarity that doesn't rule out a link.
+    """Which pairs of sorted deep sketches (the high 32 bits of each value) don't rule out a link.
 
     Both sketches are complete up to the smaller of their largest values (a whole set has no
-    end), so the values up to there estimate the similarity.
+    end), so the values up to there estimate the similarity; of two whole sets they give it.
+    Equal high bits of different values take a value or two at most, hence the margin.
     """
-
-    ends = lambda rows: np.array([x[-1] if len(x) == K else np.iinfo(np.uint64).max for x in rows], U64)
+    top = np.iinfo(np.uint32).max
+    ends = lambda rows: np.array([x[-1] if len(x) == DEEP else top for x in rows], np.uint32)
     upto = lambda rows, tops: np.stack([np.searchsorted(x, tops, "right") for x in rows])
-    values = np.unique(np.concatenate(left))
-    same = held_values(left, values) @ held_values(right, values).T
-    union = upto(left, ends(right)) + upto(right, ends(left)).T - same
-    return same >= SHARE * np.maximum(union, 1)
+    end_l, end_r = ends(left), ends(right)
+    same = shared_counts(left, right)
+    union = upto(left, end_r) + upto(right, end_l).T - same
+    whole = (end_l == top)[:, None] & (end_r == top)[None, :]
+    return same >= np.where(whole, SIMILARITY / 100 - 0.01, DEEP_SHARE) * np.maximum(union, 1)
 
 
 def _compare(batches):
-    """Rows of one list, size class and pair of blocks come together; emits each possible pair across components."""
-    held: dict = {"key": None, "value": None, "left": [], "right": []}
+    """Rows of one pair of blocks of a list come together; emits the pairs across components that may be links."""
+    held: dict = {"key": None, "left": [], "right": []}
 
     def flush():
-        left, right, value = held["left"], held["right"], held["value"]
+        left, right = held["left"], held["right"]
         held["left"], held["right"] = [], []
         if not left or not right:
             return
-        sketch = lambda rows: [np.array(r[3], np.int64).view(U64) for r in rows]
-        # A pair meets in every list that both are in: the least common value's list reports it.
-        before = lambda rows: [np.sort([v for v in r[2] if v < value]).astype(np.int64) for r in rows]
-        earlier = before(left)
-        known = np.unique(np.concatenate(earlier))
-        repeated = held_values(earlier, known) @ held_values(before(right), known).T > 0
-        other = np.array([r[1] for r in left])[:, None] != np.array([r[1] for r in right])
-        a, b = np.nonzero(possible_pairs(sketch(left), sketch(right)) & other & ~repeated)
-        x, y = np.array([r[0] for r in left], np.int64)[a], np.array([r[0] for r in right], np.int64)[b]
-        found = set(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
+        sketch = lambda rows: [np.unique(np.frombuffer(r[2], np.uint32)) for r in rows]
+        column = lambda rows, k: np.array([r[k] for r in rows], np.int64)
+        other = column(left, 1)[:, None] != column(right, 1)[None, :]
+        a, b = np.nonzero(possible_pairs(sketch(left), sketch(right)) & other)
+        x, y = column(left, 0)[a], column(right, 0)[b]
+        # Pairs of the same two components count once: one link of them is enough, but each may fail its exact test.
+        if len(x):
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     for batch in batches:
-        for key, value, is_left, *row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+        for key, is_left, *row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
             if key != held["key"]:
                 yield from flush()
-                held["key"], held["value"] = key, value
+                held["key"] = key
             held["left" if is_left else "right"].append(row)
     yield from flush()
 
 
-def remaining_pairs(lists: DataFrame, sketches: DataFrame, every: DataFrame) -> DataFrame:
-    """All pairs of different components within a list whose sizes and sketches allow a link.
+def _high_bits(batches):
+    for batch in batches:
+        deep = [np.asarray(x.values).view(U64) >> U64(32) for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(np.uint32).tobytes() for x in deep], pa.binary())], ["node", "high"])
+
+
+def remaining_pairs(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of different components within an open list that deep sketches don't rule out.
 
     Members outside a list's largest component are compared with all its members, in
     blocks; inside the largest there is nothing left to link.
     """
-    own = every.join(lists.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_list("value").alias("values"))
-    sized = lists.join(sketches.select("node", "n", "sketch"), "node").join(own, "node")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / SIMILARITY))).cast("int")
-    # A pair's bands differ by one at most; both meet in the lower of the two.
-    banded = stored(sized.withColumn("band", F.explode(F.array(band, band - 1))).select("value", "band", "node", "component", "values", "sketch"), "open-members")
-    held = banded.groupBy("value", "band", "component").agg(F.count(F.lit(1)).alias("size"))
-    parts = held.groupBy("value", "band").agg(F.sum("size").alias("all"), F.max(F.struct("size", "component")).alias("top")).where("all > top.size")
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
-    parts = parts.select("value", "band", F.col("top.component").alias("largest"), blocks(F.col("all") - F.col("top.size")).alias("lefts"), blocks(F.col("all")).alias("rights"))
-    placed = banded.join(parts, ["value", "band"])
-    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    key = lambda i, j: F.concat_ws("/", "value", "band", i, j).alias("key")
-    row = ["node", "component", "values", "sketch"]
-    left = placed.where("component <> largest").select("*", F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("j")).select(key(block("lefts"), F.col("j")), "value", F.lit(True).alias("is_left"), *row)
-    right = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("i")).select(key(F.col("i"), block("rights")), "value", F.lit(False).alias("is_left"), *row)
+    high = sets.join(lists.select("node").distinct(), "node", "left_semi").select("node", "deep").mapInArrow(_high_bits, "node long, high binary")
+    placed = lists.join(high, "node")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1)).alias("other")
+    key = lambda i, j: F.concat_ws("/", "value", i, j).alias("key")
+    row = ["node", "component", "high"]
+    left = placed.where("component <> largest").select("*", every("members")).select(key(block("outside"), F.col("other")), F.lit(True).alias("is_left"), *row)
+    right = placed.select("*", every("outside")).select(key(F.col("other"), block("members")), F.lit(False).alias("is_left"), *row)
     return left.union(right).repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "a long, b long").distinct()
 
 
@@ -240,32 +277,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
 
     A null or empty text, or one without words, has the empty set and is linked
-    with nothing.  Rows that share a doc_id are one node.  Rows with a null doc_id
-    are described but linked with nothing, their component_id is null and kept is
-    false.  An empty table gives no rows.
+    with nothing.  Rows that share a doc_id are linked by it, whatever their texts.  Rows
+    with a null doc_id are described but linked with nothing, their component_id is null
+    and kept is false.  An empty table gives no rows; other columns are not read.
     """
     a = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketches, "doc_id long, n long, fp1 long, fp2 long, sketch array<long>"), "sketches")
     full = a.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = stored(classes, "classes")
-    sketches = classes.select("node", "n", "sketch")
-    lists = stored(candidate_lists(sketches), "lists")
-
-    small = lists.where(F.col("members") <= SMALL_LIST).select("value", "node")
-    pairs = small.join(small.select("value", F.col("node").alias("other")), "value").where("node < other").select(F.col("node").alias("a"), F.col("other").alias("b"))
-    large = lists.where(F.col("members") > SMALL_LIST).select("value", "node")
-    pairs = pairs.union(star_pairs(large.withColumn("component", F.col("node")))).distinct()
-    # Rows of one doc_id with different texts are linked by it.
-    links = stored(linked_pairs(pairs, sketches, docs).union(_same_id(full, classes)), "near-links")
+    classes = stored(full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")), "classes")
+    nodes = repeated_nodes(classes)
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi").distinct()
+    sets = stored(texts.mapInArrow(_sets, "node long, deep array<long>, whole binary").where("octet_length(whole) > 0"), "sets")
+    lists = candidate_lists(sets)
+    links = stored(linked_pairs(star_pairs(lists), sets).union(_same_id(full, classes)), "links")
     labels = components(links)
-    for nearer in (lambda open_lists: star_pairs(open_lists, CENTRES), lambda open_lists: remaining_pairs(open_lists, sketches, large)):
-        left = stored(with_components(large, labels), "open-lists")
-        if left.isEmpty():
-            break
-        more = stored(linked_pairs(nearer(left), sketches, docs), "near-links")
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = components(links)
+    left = open_lists(lists, labels)
+    more = stored(linked_pairs(remaining_pairs(left, sets), sets), "links")
+    discard(left, lists, sets)
+    if not more.isEmpty():
+        labels = components(links.union(more))
+    discard(links, more)
 
     own = full.select("doc_id", "n", "fp1", "fp2").join(classes.select("fp1", "fp2", "node"), ["fp1", "fp2"])
     out = own.join(labels, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
@@ -274,6 +304,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def ordered(a: F.Column, b: F.Column) -> list[F.Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
 def _same_id(full: DataFrame, classes: DataFrame) -> DataFrame:
     """Links between the classes that rows of one doc_id belong to."""
     several = full.groupBy("doc_id").agg(F.count_distinct("fp1").alias("texts")).where("texts > 1").select("doc_id")
