@@ -20,24 +20,27 @@ from pyspark.sql.types import StructType
 
 from ledgermend.workspace import partitions
 
-MAX_SHARDS = 65_535
+#: A block of documents is held by one task.
+BLOCK_BYTES = 64 << 20
 #: kind says what the arrays of a row are.
 MAIL = "kind int, shard int, block int, a binary, b binary, c binary"
 
 
-def shards(df: DataFrame) -> int:
-    return min(partitions(df.sparkSession), MAX_SHARDS)
+def shards(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
+    """How many blocks (and shards) ``docs(text)`` is dealt to: about ``block_bytes`` of text each, whatever the table's size."""
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(partitions(docs.sparkSession), -(-total // block_bytes))
 
 
-def in_blocks(docs: DataFrame, keep: Iterable[str]) -> DataFrame:
-    """Documents with their block: the columns ``keep`` and text."""
+def in_blocks(docs: DataFrame, keep: Iterable[str], n: int) -> DataFrame:
+    """Documents with their block of ``n``: the columns ``keep`` and text.  Rows of one doc_id share a block, rows without one go by text."""
     key = F.coalesce(F.xxhash64(F.when(F.col("doc_id").isNotNull(), F.col("doc_id"))), F.lit(0))
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(key)
-    return docs.select(F.pmod(key, F.lit(shards(docs))).cast("int").alias("block"), *dict.fromkeys([*keep, "text"]))
+    return docs.select(F.pmod(key, F.lit(n)).cast("int").alias("block"), *dict.fromkeys([*keep, "text"]))
 
 
-def to_shards(mail: DataFrame, fn: Callable[[int, list], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """``fn(shard, rows)`` for each shard; rows are (kind, block, a, b, c) and answers are mail again."""
+def to_shards(mail: DataFrame, n: int, fn: Callable[[int, list], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``fn(shard, rows)`` for each of ``n`` shards; rows are (kind, block, a, b, c) and answers are mail again."""
 
     def run(batches):
         held: dict[int, list] = {}
@@ -48,7 +51,6 @@ def to_shards(mail: DataFrame, fn: Callable[[int, list], Iterator[pa.RecordBatch
         for shard in sorted(held):
             yield from fn(shard, held.pop(shard))
 
-    n = shards(mail)
     return mail.repartitionById(n, F.col("shard")).mapInArrow(run, MAIL)
 
 
@@ -56,8 +58,7 @@ def to_blocks(answers: DataFrame, placed: DataFrame, fn: Callable, schema: str)
     """``fn(block, mail rows, batches of documents)`` for each block; its record batches follow ``schema``.
 
     Documents and mail have an exchange each, so calls with the same ``placed`` in one
-    plan share the documents' exchange.  A block is held in memory: its size is the
-    table's divided by the number of shuffle partitions.
+    plan share the documents' exchange.  A block and its mail are held in memory.
     """
     columns = [c for c in placed.columns if c != "block"]
     wanted = to_arrow_schema(StructType.fromDDL(schema))
@@ -105,16 +106,19 @@ def tally(keys: list[np.ndarray], blocks: list[np.ndarray], n: int, kind: int =
     if not keys:
         return
     key, block = np.concatenate(keys), np.concatenate(blocks)
-    shard = (key >> np.uint64(32)) % np.uint64(n)
-    packed = ((shard * np.uint64(n) + block.astype(np.uint64)) << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF))
-    packed, counts = np.unique(packed, return_counts=True)
-    place = packed >> np.uint64(32)
-    yield from pack(kind, place // np.uint64(n), 0, [packed.astype(np.uint32), np.minimum(counts, 255).astype(np.uint8), (place % np.uint64(n)).astype(np.uint16)])
+    place = (((key >> np.uint64(32)) % np.uint64(n)) << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF))
+    by = np.lexsort((block, place))
+    place, block = place[by], block[by]
+    new = np.ones(len(place), bool)
+    new[1:] = (place[1:] != place[:-1]) | (block[1:] != block[:-1])
+    at = np.flatnonzero(new)
+    counts = np.diff(np.append(at, len(place)))
+    yield from pack(kind, place[at] >> np.uint64(32), 0, [place[at].astype(np.uint32), np.minimum(counts, 255).astype(np.uint8), block[at].astype(np.uint32)])
 
 
 def common_keys(shard: int, rows: list, kind: int = COMMON, many: int = 1 << 30) -> Iterator[pa.RecordBatch]:
     """Answers: to each block those of its keys that occur more than once anywhere, and whether over ``many`` times."""
-    keys, counts, blocks = unpack(rows, 2, np.uint32)[0], unpack(rows, 3, np.uint8)[0], unpack(rows, 4, np.uint16)[0].astype(np.int64)
+    keys, counts, blocks = unpack(rows, 2, np.uint32)[0], unpack(rows, 3, np.uint8)[0], unpack(rows, 4, np.uint32)[0].astype(np.int64)
     order = np.argsort(keys, kind="stable")
     keys, counts, blocks = keys[order], counts[order], blocks[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)

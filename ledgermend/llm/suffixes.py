@@ -18,8 +18,8 @@ grams' hashes to shards, and only stretches around grams that occur elsewhere go
 on to a suffix array with the other stretches around that gram.  Before that,
 content-defined chunks that a smaller document holds too are settled as a whole, so
 near copies of a document cost little.  Everything is sent once per block of
-documents, and a gram with very many occurrences is split into single windows,
-which copies share.
+documents, and a gram with over ``HOT`` occurrences is split into single windows,
+which copies share: that changes where windows meet, not what is found.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ CHUNK = 16  # grams in a chunk, on average
 HOT = 2000
 CHUNKS, SETTLED, STRETCHES, COVERED = 10, 11, 12, 13
 BATCH_SYMBOLS = 1 << 21
-HOMES = np.dtype([("block", "u2"), ("several", "u1")])
+HOMES = np.dtype([("block", "u4"), ("several", "u1")])
 
 
 # -- suffix arrays ---------------------------------------------------------------------
@@ -285,8 +285,8 @@ def _first_mail(n: int):
     return run
 
 
-def _first_answers(shard: int, rows: list):
-    yield from common_keys(shard, [r for r in rows if r[0] != CHUNKS], many=HOT)
+def _first_answers(shard: int, rows: list, hot: int = HOT):
+    yield from common_keys(shard, [r for r in rows if r[0] != CHUNKS], many=hot)
     mine = [r for r in rows if r[0] == CHUNKS]
     keys, docs, homes = unpack(mine, 2, np.uint64)[0], unpack(mine, 3, np.int64)[0], unpack(mine, 4, HOMES)[0]
     several, blocks = homes["several"], homes["block"].astype(np.int64)
@@ -456,9 +456,9 @@ def remove_later_copies(docs: DataFrame, keep: list[str], with_text: bool = Fals
     empty table gives no rows.
     """
     n = shards(docs)
-    placed = in_blocks(docs, [*keep, "doc_id"])
-    first = to_shards(placed.select("block", "doc_id", "text").mapInArrow(_first_mail(n), MAIL), _first_answers)
-    answers = to_shards(to_blocks(first, placed, _stretches(n), MAIL), _compare)
+    placed = in_blocks(docs, [*keep, "doc_id"], n)
+    first = to_shards(placed.select("block", "doc_id", "text").mapInArrow(_first_mail(n), MAIL), n, _first_answers)
+    answers = to_shards(to_blocks(first, placed, _stretches(n), MAIL), n, _compare)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     schema = f"{fields}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_bytes binary" if with_text else "")
     return to_blocks(first.unionByName(answers), placed, _cut(n, keep, with_text), schema)
