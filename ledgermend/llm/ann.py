@@ -119,7 +119,9 @@ def best_of(queries: tuple, rows: tuple, shared: tuple, top: int) -> list[tuple[
         short = np.argsort(-np.where(ids == q_ids[k], -np.inf, near[k]), kind="stable")[:size]
         short = short[ids[short] != q_ids[k]]
         cosine = raw[short] @ q_raw[k] / (norm[short] * q_norm[k])
-        pick = np.lexsort((ids[short], -cosine))[:top]
+        pick = np.lexsort((ids[short], -cosine))
+        # Several vectors of one id are one candidate, with the best of their scores.
+        pick = pick[np.sort(np.unique(ids[short][pick], return_index=True)[1])][:top]
         out.append((np.full(len(pick), q_ids[k]), ids[short][pick], cosine[pick]))
     return out
 
@@ -169,12 +171,13 @@ def search(vectors: DataFrame, queries: F.Column, top: int = 5) -> DataFrame:
     Returns query_id, rank (from 1), vec_id, score (exact cosine in double
     precision), nearest first, ties to the smaller vec_id.  Vectors that are null,
     zero, not finite, of another length than the most common one, or without
-    vec_id take no part.  A row is no candidate of a query with its vec_id.  An
-    empty table gives no rows.
+    vec_id take no part.  A row is no candidate of a query with its vec_id.  Repeated
+    rows count once; different vectors under one vec_id are one query or one candidate,
+    with the best score of any pair.  An empty table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
     empty = "query_id long, rank int, vec_id long, score double"
-    good = vectors.where(usable() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(queries, F.lit(False)).alias("asks"))
+    good = vectors.where(usable() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(queries, F.lit(False)).alias("asks")).distinct()
     sizes = good.groupBy(F.size("embedding").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "size").limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], empty)
@@ -201,6 +204,7 @@ def search(vectors: DataFrame, queries: F.Column, top: int = 5) -> DataFrame:
     q_rows = asked.select("cell", F.explode(F.transform(F.sequence(F.lit(0), v_n - 1), lambda k: k * q_n + own(q_n))).alias("part"), F.lit(0).alias("kind"), "vec_id", "embedding", F.lit(None).cast("binary").alias("codes"))
     dealt = q_rows.unionByName(v_rows).repartition("cell", "part").sortWithinPartitions("cell", "part", "kind")
     found = dealt.mapInArrow(_searcher(shared, top), "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
