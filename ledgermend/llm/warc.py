@@ -10,11 +10,12 @@ Method of reading: where a record fails its checks (version line, headers,
 length, closing empty lines, digest, gzip checksum) the reader searches for the
 next member or version line that reads well, goes on from there, and logs the
 bytes between as a quarantined gap.  One archive file is read by one task, so files are kept
-small (``RECORDS_PER_FILE``).
+small (``RECORDS_PER_FILE``, ``FILE_BYTES``).
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -25,7 +26,11 @@ from pyspark.sql import functions as F
 
 from ledgermend.workspace import fresh_path, stored
 
+#: A file is read whole: so many records at most, and fewer if the largest page would make more than FILE_BYTES of them.
 RECORDS_PER_FILE = 1000
+FILE_BYTES = 256 << 20
+#: Bytes of a gzip member that are unpacked at a time.
+PIECE = 1 << 16
 MIN_REVISIT_BYTES = 100
 #: Rows of a digest and a number, about 120 bytes each.
 MAX_BROADCAST_ROWS = 250_000
@@ -58,33 +63,49 @@ def read_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     if tail != b"\r\n\r\n" and stop + len(tail) != len(data):
         raise ValueError("ending")
     for name, what in (("warc-block-digest", block), ("warc-payload-digest", payload_of(headers, block))):
-        kind, _, said = headers.get(name, "").partition(":")
-        if what is not None and kind in ("sha256", "sha1") and hashlib.new(kind, what).hexdigest() != said.lower():
+        if what is not None and not digest_agrees(headers.get(name, ""), what):
             raise ValueError("digest")
     return headers, block, stop + len(tail)
 
 
+def digest_agrees(label: str, data: bytes) -> bool:
+    """Whether ``algorithm:digest`` in base 32 or hexadecimal, told apart by length, is that of ``data``; other labels can't be checked."""
+    kind, _, said = label.partition(":")
+    kind = kind.strip().lower().replace("-", "")
+    if kind not in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        return True
+    own, said = hashlib.new(kind, data).digest(), said.strip().rstrip("=")
+    if len(said) == 2 * len(own):
+        return said.lower() == own.hex()
+    spelled = base64.b32encode(own).decode().rstrip("=")
+    return said.upper() == spelled if len(said) == len(spelled) else True
+
+
 def payload_of(headers: dict[str, str], block: bytes) -> bytes | None:
-    """The body of a response's HTTP message; None for records without a payload."""
+    """The body of a response's HTTP message; None for records without a payload, and for bodies in transfer coding (their digest may be of the decoded one)."""
     if headers.get("warc-type") != "response":
         return None
-    return block.partition(b"\r\n\r\n")[2]
+    head, _, body = block.partition(b"\r\n\r\n")
+    return None if b"\ntransfer-encoding:" in head.lower() else body
 
 
 def read_member(data: bytes, at: int) -> tuple[list, int]:
     """Records of the gzip member at ``at`` and the member's end."""
-    unpack = zlib.decompressobj(31)
+    unpack, parts, end = zlib.decompressobj(31), [], at
     try:
-        plain = unpack.decompress(data[at:]) + unpack.flush()
+        while not unpack.eof and end < len(data):
+            parts.append(unpack.decompress(data[end : end + PIECE]))
+            end = min(end + PIECE, len(data))
     except zlib.error:
         raise ValueError("member") from None
     if not unpack.eof:
         raise ValueError("truncated")
+    plain = b"".join(parts)
     records, inside = [], 0
     while inside < len(plain):
         headers, block, inside = read_record(plain, inside)
         records.append((headers, block))
-    return records, len(data) - len(unpack.unused_data)
+    return records, end - len(unpack.unused_data)
 
 
 def salvage(data: bytes):
@@ -185,7 +206,9 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
         F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block,
     )
     record_rows = rows.select(record.alias("value"))
-    record_rows.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 1
+    per_file = max(1, min(RECORDS_PER_FILE, FILE_BYTES // largest))
+    record_rows.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
