@@ -212,7 +212,10 @@ def _scorer(shared, keep: list[str]):
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep``, with score (0 to 1) and predicted.  A null or empty text scores as one without hits."""
+    """The columns ``keep``, with score (0 to 1) and predicted, for every row, repeated ones included.
+
+    A null or empty text scores as one without hits; an even score of 0.5 is predicted as 1.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.terms, model.exceptions, model.weights))
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(_scorer(shared, keep), f"{fields}, score double, predicted int")
@@ -222,7 +225,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     """About ``fit_rows`` labelled texts outside the held-out fifth: doc_id, toxic, text.
 
     Rows of ``labels`` with a null doc_id or label are left out; of repeated
-    labels the highest counts.
+    labels the highest counts, and of several rows of a document the text with the least hash.
     """
     usable = labels.where("doc_id is not null and toxic is not null").where(~held_out())
     total = usable.count()
@@ -231,7 +234,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     drawn = drawn.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     if fit_rows <= MAX_BROADCAST_LABELS:  # the sample's size is bounded, whatever the tables hold
         drawn = F.broadcast(drawn)
-    return docs.select("doc_id", "text").join(drawn, "doc_id").select("doc_id", "toxic", "text")
+    found = docs.select("doc_id", "text").join(drawn, "doc_id")
+    return found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def held_out() -> F.Column:
