@@ -7,6 +7,7 @@ its decisions take effect; the last returns the mix.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,22 @@ from ledgermend.workspace import stored
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 MIN_LANGUAGE_SCORE = 0.5
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def shielded(stage: Stage) -> Stage:
+    """``stage`` over documents whose further columns go under reserved names, so that they clash with none of its own."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in DOCUMENT else f"_further_{k}" for k, c in enumerate(docs.columns)]
+        out = stage(spark, docs.toDF(*names), sf_dir)
+        return out.toDF(*docs.columns) if out.columns == names else out
+
+    return run
+
+
+@shielded
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; lang becomes the predicted one.
 
@@ -32,16 +47,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.withColumn("lang", F.col("lang_pred")).select(docs.columns)
 
 
+@shielded
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id, one row of it.
+    """One document of each group of near copies: that with the smallest doc_id.
 
-    Rows with a null doc_id can't be told apart by it and stay.
+    Several rows of that doc_id are one document, whatever their texts: the row with the least hash of
+    all its columns stays, so reruns agree.  Rows with a null doc_id can't be told apart by it and stay.
     """
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    kept = stored(neardup.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept-ids")
+    single = docs.join(kept.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
+    several = docs.join(kept.where("rows > 1").select("doc_id"), "doc_id", "left_semi")
+    several = several.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*")
+    return single.select(docs.columns).unionByName(several.select(docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
+@shielded
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their recurring passages; a document of which nothing is left goes."""
     columns = [c for c in docs.columns if c not in ("text", "n_chars")]
@@ -52,12 +72,14 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return named.select(docs.columns)
 
 
+@shielded
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontam.decontaminate(docs, benchmark, docs.columns).where(~F.col("contaminated")).select(docs.columns)
 
 
+@shielded
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
     return mixing.mix(docs)
@@ -71,7 +93,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("mixing", mix_sources),
 ]
 
-#: Language ID and sketches have no SQL form: tests hold the stages against brute-force versions.
+#: Language ID and sketches have no SQL form: tests/llm/test_pipeline.py holds every stage against a brute-force version.
 ORACLE_SQL = None
 
 
