@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgermend.functions.lets import bound
 from ledgermend.functions.predicates import missing_exact, missing_trimmed
 
 
@@ -60,10 +61,15 @@ def account_type(raw: Column, aliases: Mapping[str, str]) -> Column:
     return F.when(~missing_exact(raw) & (text != ""), F.coalesce(named, F.when(card.contains("credit card"), "credit card").otherwise(card)))
 
 
+#: Legal forms in names, and account numbers that say there is none.
+LEGAL_FORMS = r"\b(bank|usa|na|n.a\.|llc|inc|corp|co|company)\b"
+NO_NUMBER = ("NA", "NONE", "NOTAVAILABLE", "NOTPROVIDED", "UNKNOWN")
+
+
 def creditor(raw: Column, aliases: Sequence[tuple[str, str]]) -> Column:
     """The first alias, in order, that the name contains; else the name without legal forms and signs."""
     name = F.lower(F.trim(raw))
-    bare = F.regexp_replace(name, r"\b(bank|usa|na|n.a\.|llc|inc|corp|co|company)\b", "")
+    bare = F.regexp_replace(name, LEGAL_FORMS, "")
     out = F.trim(F.regexp_replace(F.regexp_replace(bare, "[^a-z0-9 ]", ""), r"\s+", " "))
     for alias, canonical in reversed(aliases):
         out = F.when(name.contains(alias), canonical).otherwise(out)
@@ -122,7 +128,7 @@ def number_class(raw: Column) -> Column:
     text = F.upper(F.trim(raw))
     n = F.length(F.regexp_replace(text, r"\D", ""))
     letters = F.regexp_replace(text, "[^A-Z]+", "")
-    none = F.when((letters == "") | letters.isin("NA", "NONE", "NOTAVAILABLE", "NOTPROVIDED", "UNKNOWN") | text.rlike(r"^[\s\-#*X]+$"), "missing").otherwise("nondigit")
+    none = F.when((letters == "") | letters.isin(*NO_NUMBER) | text.rlike(r"^[\s\-#*X]+$"), "missing").otherwise("nondigit")
     some = F.when(text.rlike("[#*X]"), F.when(n <= 4, "masked_last4").otherwise("masked"))
     some = some.when(text.rlike("[A-Z]"), F.when(n <= 4, "text_last4").otherwise("alphanumeric")).when(n <= 4, "last4_only").otherwise("unmasked")
     return F.when(missing_trimmed(raw), "missing").when(n == 0, none).otherwise(some)
@@ -157,16 +163,58 @@ def redaction_counts(text: Column) -> Column:
     return F.struct(count(EMAIL).alias("emails"), count(PHONE).alias("phones"), count(SSN).alias("ssns"), count(ACCOUNT).alias("accounts"))
 
 
+#: Words and patterns by which the kind of a report value is told.
+ACCOUNT_STATUSES = ("open", "closed", "paid", "current", "delinquent", "chargeoff", "collection")
+PAYMENT_STATUSES = ("current", "late", "ok", "paid", "120", "90", "60", "30", "co", "cof", "collection/chargeoff")
+ACCOUNT_RATINGS = ("individual", "joint", "authorized user", "co-signer", "authorized", "authorizeduser")
+CREDITOR_TYPES = ("bank - mortgage loans", "mortgage companies - finance", "bank", "credit card", "auto loan")
+ENUM_WORDS = ("closed", "current", "paid", "individual", "open", "delinquent")
+TEXT_WORDS = ("mortgage", "loan", "card", "finance", "bank", "company")
+HISTORY_STATUSES = ("ok", "30", "60", "90", "120", "150", "180")
+HEBREW_MONTHS = ("ינו׳", "פבר׳", "מרץ", "אפר׳", "מאי", "יוני", "יולי", "אוג׳", "ספט׳", "אוק׳", "נוב׳", "דצמ׳")
+ENGLISH_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+
+
+def _has_any(text: Column, words: Sequence[str]) -> Column:
+    out = F.lit(False)
+    for word in words:
+        out = out | text.contains(word)
+    return out
+
+
 def value_type(text: Column) -> Column:
-    """What a report value looks like, by the first pattern that fits."""
+    """What a report value looks like: empty, money, date, term, enum, text or id, by the first test that it passes."""
     t = F.trim(F.coalesce(text, F.lit("")))
+    low = F.lower(t)
+    listed = low.isin(*ACCOUNT_STATUSES, *PAYMENT_STATUSES, *ACCOUNT_RATINGS, *CREDITOR_TYPES)
     return (
-        F.when((t == "") | t.isin("--", "-"), "empty").when(t.rlike(r"^\(?-?\$\s?\d[\d,]*(\.\d+)?\)?$"), "money")
-        .when(t.rlike(r"^(\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[./]\d{1,2}[./]\d{2,4})$"), "date").when(t.rlike(r"(?i)^\d+\s*(months?|mos?|years?|yrs?)$"), "term")
-        .when(t.rlike(r"^[\dXx*#\-]{4,}$"), "id").when(t.rlike(r"^[A-Z][A-Za-z]+$"), "enum").otherwise("text")
+        F.when(t == "", "empty").when(t.rlike(r"\$\s*\d"), "money").when(t.rlike(r"\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b"), "date")
+        .when(t.rlike(r"(?i)\b\d{2,4}\s*month\(s\)\b"), "term").when(listed | _has_any(low, ("chargeoff", "collection", *ENUM_WORDS)), "enum")
+        .when(_has_any(low, TEXT_WORDS), "text").when(low.rlike(r"\b[\d*]{4,}\b"), "id").otherwise("text")
     )
 
 
+def history_token(text: Column) -> Column:
+    """Whether a text is a payment status or starts with a month."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    low = F.lower(t)
+    return low.isin(*HISTORY_STATUSES) | t.isin(*HEBREW_MONTHS) | F.left(low, F.lit(3)).isin(*ENGLISH_MONTHS)
+
+
+def bare_label(text: Column) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\W+", "")
+
+
+def canonical_labels(lines: Column, plain_labels: Sequence[str]) -> Column:
+    """Labels of an account block: lines above the first bureau name that end in a colon or are known without one, each once."""
+    trimmed = F.transform(lines, lambda t: F.trim(F.coalesce(t, F.lit(""))))
+    end = lambda t: F.array_position(F.transform(t, lambda x: bare_label(x).isin("transunion", "experian", "equifax")), True)
+    above = bound(trimmed, lambda t: F.when(end(t) > 0, F.slice(t, F.lit(1), (end(t) - 1).cast("int"))).otherwise(t))
+    kept = F.filter(above, lambda t: (t != "") & (t.endswith(":") | bare_label(t).isin(*plain_labels)))
+    first = lambda k: F.filter(k, lambda t, n: F.array_position(F.transform(k, bare_label), bare_label(t)) == n + 1)
+    return bound(kept, first)
+
+
 def summary_hash(*columns: str) -> Column:
     """SHA-256 of the JSON object of the columns in the order of their names."""
     return F.sha2(F.to_json(F.struct(*sorted(columns))).cast("binary"), 256)

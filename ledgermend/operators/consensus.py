@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermend.functions.lets import bound
+from ledgermend.functions.text import strict_level, visible_match
 
 SOURCES = ("transunion", "experian", "equifax")
 
@@ -124,6 +125,82 @@ def dates_agree(values: Sequence[Column], tol_days: int = 5) -> Column:
     return F.when(F.size(shown) < 2, True).otherwise(F.datediff(F.array_max(shown), F.array_min(shown)) <= tol_days)
 
 
+def number_relation(a: Column, b: Column) -> Column:
+    """match, conflict or insufficient: by visible digits, else by letters and digits, else by letters alone."""
+    bare = lambda c, p: F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), p, ""))
+    level = strict_level(a, b)
+    digits = (bare(a, r"\D") != "") & (bare(b, r"\D") != "")
+    x, y = bare(a, "[^A-Za-z]"), bare(b, "[^A-Za-z]")
+    words = (level == "empty") & (x != "") & (y != "") & (x != y)
+    return F.when(visible_match(a, b), "match").when(digits, "conflict").when(level == "match", "match").when(level.isin("digit_conflict", "alnum_conflict") | words, "conflict").otherwise("insufficient")
+
+
+def number_groups(values: Sequence[Column]) -> Column:
+    """A group number for each of three sources' account numbers, as an array.
+
+    A number joins the first group that it conflicts with in no member and matches in one, else the
+    first without a conflict.
+    """
+    a, b, c = values
+    clash = lambda r: r == "conflict"
+    relations = F.struct(number_relation(b, a).alias("ab"), number_relation(c, a).alias("ac"), number_relation(c, b).alias("bc"))
+
+    def labels(r: Column) -> Column:
+        apart = clash(r["ab"])
+        alone = F.when(clash(r["ac"]) | clash(r["bc"]), 2).otherwise(1)
+        first, second = ~clash(r["ac"]), ~clash(r["bc"])
+        split = F.when(first & ((r["ac"] == "match") | ~(second & (r["bc"] == "match"))), 1).when(second, 2).otherwise(3)
+        return F.array(F.lit(1), F.when(apart, 2).otherwise(1), F.when(apart, split).otherwise(alone))
+
+    return bound(relations, labels)
+
+
+def tolerated(kind: Column, amounts: Sequence[Column], days: Sequence[Column], tol_abs: float = 50.0, tol_ratio: float = 0.01, tol_days: int = 5) -> Column:
+    """Whether a field still differs once its tolerance is applied: struct of is_mismatch, metric (the span) and ceiling.
+
+    ``kind`` is ``date``, ``amount`` or anything else, which has no tolerance.
+    """
+    money, dates_ = F.array_compact(F.array(*amounts)), F.array_compact(F.array(*days))
+
+    def result(x: Column) -> Column:
+        span = F.when(F.size(x["m"]) >= 2, F.array_max(x["m"]) - F.array_min(x["m"]))
+        ceiling = F.greatest(F.lit(tol_abs), F.coalesce(F.greatest(F.abs(F.array_max(x["m"])), F.abs(F.array_min(x["m"]))), F.lit(0.0)) * tol_ratio)
+        apart = F.when(F.size(x["d"]) >= 2, F.datediff(F.array_max(x["d"]), F.array_min(x["d"])).cast("double"))
+        metric = F.when(kind == "amount", span).when(kind == "date", apart)
+        limit = F.when(kind == "amount", ceiling).when(kind == "date", F.lit(float(tol_days)))
+        within = limit.isNotNull() & F.coalesce(metric <= limit, F.lit(True))
+        return F.struct((~within).alias("is_mismatch"), F.when(within, metric).alias("metric"), F.when(within, limit).alias("ceiling"))
+
+    return bound(F.struct(money.alias("m"), dates_.alias("d")), result)
+
+
+def tolerance_hits(df: DataFrame, keys: list[str], field: str, value: str, tol_abs: float, tol_ratio: float) -> DataFrame:
+    """Per key how many fields have different amounts that a tolerance lets pass."""
+    each = df.groupBy(*keys, field).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    allowed = F.greatest(F.lit(tol_abs), F.greatest(F.abs("hi"), F.abs("lo")) * tol_ratio)
+    hit = (F.col("hi") != F.col("lo")) & (F.col("hi") - F.col("lo") <= allowed)
+    return each.groupBy(*keys).agg(F.sum(F.when(hit, 1).otherwise(0)).alias("hits"))
+
+
+def mapping_coverage(labels: DataFrame, mapping: DataFrame) -> DataFrame:
+    """The share of a table's (bureau, label) rows that a registry maps, in per cent, per bureau: mapped, total, percent."""
+    known = mapping.select("bureau", "label").distinct().withColumn("_known", F.lit(1))
+    joined = labels.join(known, ["bureau", "label"], "left")
+    return joined.groupBy("bureau").agg(F.count("_known").alias("mapped"), F.count(F.lit(1)).alias("total")).withColumn("percent", F.round(100.0 * F.col("mapped") / F.col("total"), 2))
+
+
+def month_language(lines: DataFrame, keys: list[str], order: str, text: str, marker: str, foreign: Sequence[str], english: Sequence[str]) -> DataFrame:
+    """Which language the months below the first line with ``marker`` are in, and the date order that follows: he and DMY, en and MDY, or unknown."""
+    first = lines.where(F.col(text).contains(marker)).groupBy(*keys).agg(F.min(order).alias("_from"))
+    below = lines.join(first, keys).where(F.col(order) >= F.col("_from"))
+    words = F.split(F.lower(F.col(text)), r"(?U)[^\p{L}]+")
+    en = F.size(F.filter(words, lambda w: w.isin(*english)))
+    he = sum((F.size(F.split(F.col(text), F.lit(m))) - 1 for m in foreign), F.lit(0))
+    votes = below.agg(F.coalesce(F.sum(he), F.lit(0)).alias("he_hits"), F.coalesce(F.sum(en), F.lit(0)).alias("en_hits"))
+    pick = lambda a, b: F.when(F.col("he_hits") > F.col("en_hits"), a).when(F.col("en_hits") > F.col("he_hits"), b)
+    return votes.select("he_hits", "en_hits", F.coalesce(pick("he", "en"), F.lit("unknown")).alias("language"), pick("DMY", "MDY").alias("convention"))
+
+
 def coverage(fields: Sequence[Column]) -> Column:
     """Per cent of expected fields that are filled, half to even."""
     filled = sum((F.when(c.isNotNull() & (c.cast("string") != ""), 1).otherwise(0) for c in fields), F.lit(0))

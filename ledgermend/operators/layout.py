@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgermend.functions.lets import bound
+
 BUREAU_NAMES = ("transunion", "experian", "equifax")
 GAP = 1 / 2
 
@@ -98,23 +100,71 @@ def headings(lines: DataFrame, keys: Sequence[str], order: str, text: str, above
     return lines.withColumn("heading", F.last(heading, ignorenulls=True).over(w)).where(F.lower(text).rlike(r"account\s*(#|number|no\.)"))
 
 
+#: The head of the inquiries section, one of its lines, and an inquiry in running text.
+INQUIRY_HEAD = r"(?i)Creditor Name\s+Date of Inquiry\s+Credit Bureau"
+INQUIRY_LINE = r"(?i)([A-Za-z0-9 .,'&/-]+?)\s+(\d{1,2}/\d{1,2}/\d{2,4})\s+(TransUnion|Trans Union|TU|Experian|EX|Equifax|EQ)"
+INQUIRY_TEXT = r"(?i)([A-Za-z0-9 .,'&/-]{3,})\s+(\d{1,2}/\d{2,4})\s+(TransUnion|Experian|Equifax)"
+
+
 def inquiries(text: Column) -> Column:
-    """``array<struct<creditor, day, bureau>>`` of lines such as ``ACME BANK 01/02/2024 Experian``."""
-    lines = F.filter(F.split(text, "\n"), lambda t: t.rlike(r"(?i)^.+\s\d{1,2}/\d{1,2}/\d{2,4}\s+(transunion|experian|equifax)\s*$"))
-    part = lambda t, k: F.trim(F.regexp_extract(t, r"(?i)^(.+?)\s+(\d{1,2}/\d{1,2}/\d{2,4})\s+(transunion|experian|equifax)\s*$", k))
-    return F.transform(lines, lambda t: F.struct(part(t, 1).alias("creditor"), part(t, 2).alias("day"), F.lower(part(t, 3)).alias("bureau")))
+    """``array<struct<creditor, day, bureau>>`` of a report text.
+
+    From the lines after the head that stands one or two lines below ``Inquiries``, up to ``Creditor
+    Contacts``; if they give none, from the whole text with its line breaks as spaces.
+    """
+    lines = F.transform(F.split(text, r"\r\n|\r|\n"), lambda t: F.trim(t))
+    bureau = lambda b: F.when(b.startswith("t"), "transunion").when(b.startswith("ex"), "experian").otherwise("equifax")
+
+    def found(source: Column, pattern: str) -> Column:
+        part = lambda k: F.trim(F.regexp_extract(source, pattern, k))
+        return F.struct(part(1).alias("creditor"), part(2).alias("day"), bureau(F.lower(part(3))).alias("bureau"))
+
+    def section(own: Column) -> Column:
+        at = F.transform(own, lambda t, k: F.when(t == "Inquiries", F.coalesce(*[F.when(F.coalesce(F.get(own, k + n), F.lit("")).rlike(INQUIRY_HEAD), k + n + 1) for n in (1, 2)])))
+        start = F.array_min(F.filter(at, lambda x: x.isNotNull()))
+        rest = F.when(start.isNotNull(), F.slice(own, start + 1, F.size(own))).otherwise(F.array().cast("array<string>"))
+        stop = F.array_position(F.transform(rest, lambda t: t.startswith("Creditor Contacts")), True)
+        listed = F.when(stop > 0, F.slice(rest, F.lit(1), (stop - 1).cast("int"))).otherwise(rest)
+        return F.transform(F.filter(listed, lambda t: t.rlike(INQUIRY_LINE)), lambda t: found(t, INQUIRY_LINE))
+
+    running = F.transform(F.regexp_extract_all(F.regexp_replace(text, r"\s+", " "), F.lit(INQUIRY_TEXT), F.lit(0)), lambda t: found(t, INQUIRY_TEXT))
+    return bound(bound(lines, section), lambda listed: F.when(F.size(listed) > 0, listed).otherwise(running))
+
+
+#: How a count of late payments is written.
+LATE_COUNT = r"(?<!\d){code}[\s-]*:?\s*(\d+)(?!\d)"
 
 
 def late_counts(segment: Column) -> Column:
     """The last plausible count (12 at most) of 30, 60 and 90 days in a text such as ``30: 2 60: 1``."""
 
     def last(code: str) -> Column:
-        found = F.transform(F.regexp_extract_all(segment, F.lit(rf"(?<!\d){code}[\s-]*:?\s*(\d+)(?!\d)"), F.lit(1)), lambda t: t.try_cast("int"))
+        found = F.transform(F.regexp_extract_all(segment, F.lit(LATE_COUNT.replace("{code}", code)), F.lit(1)), lambda t: t.try_cast("int"))
         return F.try_element_at(F.filter(found, lambda n: n <= 12), F.lit(-1))
 
     return F.struct(*[last(c).alias(f"late{c}") for c in ("30", "60", "90")])
 
 
+def late_grid(lines: DataFrame, keys: Sequence[str], order: str, text: str) -> DataFrame:
+    """Per block and bureau its late counts (null if none could be read) and its grid text, the last mention counting.
+
+    A bureau's line holds them itself; one without counts takes the next line along unless that is a bureau's.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    clean = F.trim(text)
+    named = F.lower(F.regexp_extract(clean, r"(?i)^(TransUnion|Experian|Equifax)\s*:?(.*)", 1))
+    rest = F.trim(F.regexp_extract(clean, r"(?i)^(TransUnion|Experian|Equifax)\s*:?(.*)", 2))
+    some = lambda c: F.coalesce(c["late30"], c["late60"], c["late90"]).isNotNull()
+    placed = lines.withColumn("_bureau", F.nullif(named, F.lit(""))).withColumn("_rest", rest)
+    placed = placed.withColumn("_own", late_counts(F.col("_rest"))).withColumn("_next", F.when(F.lead("_bureau").over(w).isNull(), F.lead(clean).over(w)))
+    open_ = ~some(F.col("_own")) & F.col("_next").isNotNull()
+    later = late_counts(F.col("_next"))
+    counts = F.when(some(F.col("_own")), F.col("_own")).when(open_ & some(later), later)
+    grid = F.when(open_, F.trim(F.concat_ws(" ", "_rest", "_next"))).otherwise(F.col("_rest"))
+    rows = placed.where("_bureau is not null").select(*keys, F.col("_bureau").alias("bureau"), order, counts.alias("counts"), grid.alias("grid"))
+    return rows.groupBy(*keys, "bureau").agg(F.max_by("counts", F.when(F.col("counts").isNotNull(), F.col(order))).alias("counts"), F.max_by("grid", order).alias("grid"))
+
+
 #: Words that deny or tell of late payments.
 NO_LATE = r"no late|never late|0 late|zero late"
 LATE = r"(?i)\blate\b|past due|delinquen|charge[- ]?off|collection"

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgermend.functions.lets import bound
 from ledgermend.functions.money import close_for_matching
+from ledgermend.functions.text import strict_level, visible_match
 
 #: Points of a matched field.
 WEIGHTS = {"account_number": 1.0, "date_opened": 1.0, "balance_owed": 3.0, "account_type": 0.5, "account_status": 0.5, "history_2y": 1.0, "history_7y": 1.0, "account_label": 1.0}
@@ -36,6 +38,72 @@ def best_of_nine(left: Sequence[Column], right: Sequence[Column], match) -> Colu
     return F.coalesce(*hits, *both)
 
 
+def any_source_match(left: Sequence[Column], right: Sequence[Column], match) -> Column:
+    """The first matching pair of sources in order, else the first with both values (null if there is none), and all that was tried.
+
+    struct of matched, left, right (source numbers) and tried: left, right, evaluated, matched and reasons of all pairs.
+    """
+    def entry(i: int, j: int) -> Column:
+        a, b = left[i], right[j]
+        both = a.isNotNull() & b.isNotNull()
+        hit = F.coalesce(both & match(a, b), F.lit(False))
+        why = F.array(F.when(a.isNull(), "left_missing"), F.when(b.isNull(), "right_missing"), F.when(both & ~hit, "no_match"))
+        return F.struct(F.lit(i).alias("left"), F.lit(j).alias("right"), both.alias("evaluated"), hit.alias("matched"), F.array_compact(why).alias("reasons"))
+
+    def pick(tried: Column) -> Column:
+        hits, both = F.filter(tried, lambda e: e["matched"]), F.filter(tried, lambda e: e["evaluated"])
+        best = F.coalesce(F.get(hits, F.lit(0)), F.get(both, F.lit(0)))
+        return F.struct((F.size(hits) > 0).alias("matched"), best["left"].alias("left"), best["right"].alias("right"), tried.alias("tried"))
+
+    return bound(F.array(*[entry(i, j) for i in range(len(left)) for j in range(len(right))]), pick)
+
+
+def strict_number_pair(left: Sequence[Column], right: Sequence[Column]) -> Column:
+    """The first pair of sources whose account numbers agree in letters and digits: level ``match`` or ``none`` (then the first pair), left, right."""
+    pair = lambda level, i, j: F.struct(F.lit(level).alias("level"), F.lit(i).alias("left"), F.lit(j).alias("right"))
+    hits = [F.when(strict_level(a, b) == "match", pair("match", i, j)) for i, a in enumerate(left) for j, b in enumerate(right)]
+    return F.coalesce(*hits, pair("none", 0, 0))
+
+
+def number_pair(left: Sequence[Column], right: Sequence[Column], min_length: int = 0, hard: bool = True) -> Column:
+    """The pair of sources whose visible digits contain one another, both at least ``min_length`` long.
+
+    struct of matched, left, right: the first match; else the first pair of best level, short ones
+    included; null numbers if no pair shows digits.  Without ``hard`` nothing matches.
+    """
+    shown = lambda c: F.length(F.regexp_replace(F.coalesce(c, F.lit("")), r"\D", ""))
+    found, contained, some = [], [], []
+    pair = lambda matched, i, j: F.struct(F.lit(matched).alias("matched"), F.lit(i).alias("left"), F.lit(j).alias("right"))
+    for i, a in enumerate(left):
+        for j, b in enumerate(right):
+            there, inside = (shown(a) > 0) & (shown(b) > 0), visible_match(a, b)
+            long = (shown(a) >= min_length) & (shown(b) >= min_length)
+            found.append(F.when(there & inside & long & F.lit(hard), pair(True, i, j)))
+            contained.append(F.when(there & inside, pair(False, i, j)))
+            some.append(F.when(there, pair(False, i, j)))
+    empty = F.struct(F.lit(False).alias("matched"), F.lit(None).cast("int").alias("left"), F.lit(None).cast("int").alias("right"))
+    return F.coalesce(*found, *contained, *some, empty)
+
+
+def amount_conflicts(fields: dict[str, tuple[Column, Column]], tol_abs: float, tol_ratio: float, exact: Sequence[str] = ("balance_owed",)) -> Column:
+    """``amount_conflict:<field>`` for each field whose arrays of amounts have no close pair.
+
+    Fields of ``exact`` must share a value other than zero; other fields conflict only where both sides have amounts.
+    """
+    def near_any(mine: Column, theirs: Column) -> Column:
+        return F.exists(mine, lambda a: F.exists(theirs, lambda b: close_for_matching(a, b, tol_abs, tol_ratio)))
+
+    out = []
+    for name, (left, right) in sorted(fields.items()):
+        mine, theirs = (F.filter(x, lambda v: v.isNotNull()) for x in (left, right))
+        if name in exact:
+            bad = ~exact_balance(mine, theirs)
+        else:
+            bad = (F.size(mine) > 0) & (F.size(theirs) > 0) & ~near_any(mine, theirs)
+        out.append(F.when(bad, F.lit(f"amount_conflict:{name}")))
+    return F.array_compact(F.array(*out))
+
+
 def exact_balance(left: Column, right: Column) -> Column:
     """Whether two arrays of cents share a value other than zero."""
     real = lambda a: F.filter(a, lambda x: x.isNotNull() & (x != 0))

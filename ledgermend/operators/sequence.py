@@ -124,3 +124,18 @@ def clusters_from_mean(positions: Column, tolerance: float) -> Column:
         return F.struct(total.alias("sum"), F.when(new, 1).otherwise(acc["size"] + 1).alias("size"), n.alias("n"), F.concat(acc["out"], F.array(n)).alias("out"))
 
     return F.aggregate(positions, start, step, lambda acc: acc["out"])
+
+
+def clusters_from_median(positions: Column, tolerance: float) -> Column:
+    """The same against the upper median of the cluster."""
+    start = F.struct(F.array().cast("array<double>").alias("own"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        own = acc["own"]
+        middle = F.get(F.array_sort(own), F.floor(F.size(own) / 2).cast("int"))
+        new = F.coalesce(F.abs(x - middle) > tolerance, F.lit(True))
+        n = acc["n"] + F.when(new, 1).otherwise(0)
+        held = F.when(new, F.array(x.cast("double"))).otherwise(F.concat(own, F.array(x.cast("double"))))
+        return F.struct(held.alias("own"), n.alias("n"), F.concat(acc["out"], F.array(n)).alias("out"))
+
+    return F.aggregate(positions, start, step, lambda acc: acc["out"])

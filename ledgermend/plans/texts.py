@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermend.functions import text, udfs
-from ledgermend.operators import layout, planning
+from ledgermend.functions import pages, text
+from ledgermend.operators import layout, planning, similarity
 from ledgermend.plans.catalog import query, table
 
 
@@ -48,26 +48,42 @@ def late_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", layout.late_indicator(counts, flags, words).alias("late"))
 
 
-@query("value_types", """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'money' WHEN 1 THEN 'date' WHEN 2 THEN 'term' WHEN 3 THEN 'id' WHEN 4 THEN 'empty' ELSE 'text' END AS kind FROM part""")
+VALUES_SQL = """WITH v AS (SELECT p_partkey, UNNEST([p_name, p_type, '$ ' || CAST(p_size AS VARCHAR), CAST(p_size % 28 + 1 AS VARCHAR) || '.' || CAST(p_size % 12 + 1 AS VARCHAR) || '.2024 paid', '****' || CAST(p_partkey AS VARCHAR),
+  CAST(p_size + 10 AS VARCHAR) || ' month(s)x', 'Paid as agreed', 'CHARGEOFF ' || p_brand, 'Jan ' || CAST(p_size AS VARCHAR), CAST(30 * (p_size % 8) AS VARCHAR), '  ']) AS t FROM part),
+c AS (SELECT p_partkey, t, TRIM(COALESCE(t, '')) AS z, LOWER(TRIM(COALESCE(t, ''))) AS l FROM v)
+SELECT p_partkey, t AS value, CASE WHEN z = '' THEN 'empty' WHEN REGEXP_MATCHES(z, '\\$\\s*\\d') THEN 'money' WHEN REGEXP_MATCHES(z, '\\b\\d{1,2}[./]\\d{1,2}[./]\\d{2,4}\\b') THEN 'date' WHEN REGEXP_MATCHES(l, '\\b\\d{2,4}\\s*month\\(s\\)\\b') THEN 'term'
+  WHEN l IN ('late', 'ok', '120', '90', '60', '30', 'co', 'cof', 'joint', 'authorized user', 'co-signer', 'authorized', 'authorizeduser', 'bank - mortgage loans', 'mortgage companies - finance', 'bank', 'credit card', 'auto loan')
+    OR REGEXP_MATCHES(l, 'chargeoff|collection|closed|current|paid|individual|open|delinquent') THEN 'enum' WHEN REGEXP_MATCHES(l, 'mortgage|loan|card|finance|bank|company') THEN 'text' WHEN REGEXP_MATCHES(l, '\\b[0-9*]{4,}\\b') THEN 'id' ELSE 'text' END AS kind,
+  l IN ('ok', '30', '60', '90', '120', '150', '180') OR REGEXP_MATCHES(l, '^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)') AS is_history FROM c"""
+
+
+@query("value_types", VALUES_SQL)
 def value_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey").cast("string")
-    raw = F.element_at(F.array(F.concat(F.lit("$"), k), F.lit("1/2/2024"), F.concat(k, F.lit(" months")), F.concat(F.lit("****"), k), F.lit(" -- "), F.concat(F.lit("part no "), k)), (F.col("p_partkey") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", text.value_type(raw).alias("kind"))
+    """The kind of every text of a part, and of numbers, dates and statuses made from its columns."""
+    size, key = F.col("p_size"), F.col("p_partkey").cast("string")
+    as_text = lambda c: c.cast("string")
+    values = [
+        F.col("p_name"), F.col("p_type"),
+        F.concat(F.lit("$ "), as_text(size)), F.concat(as_text(size % 28 + 1), F.lit("."), as_text(size % 12 + 1), F.lit(".2024 paid")), F.concat(F.lit("****"), key), F.concat(as_text(size + 10), F.lit(" month(s)x")),
+        F.lit("Paid as agreed"), F.concat(F.lit("CHARGEOFF "), "p_brand"), F.concat(F.lit("Jan "), as_text(size)), as_text(30 * (size % 8)), F.lit("  "),
+    ]
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(*values)).alias("value"))
+    return rows.select("p_partkey", "value", text.value_type(F.col("value")).alias("kind"), text.history_token(F.col("value")).alias("is_history"))
 
 
 @query("ratio_similarity")
 def ratio_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names against the next part's: difflib has no SQL form; tests compare it row by row."""
+    """Part names against the next part's, by matching blocks; a recursion that SQL can't give, so tests compare it with difflib row by row."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     following = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next_name"))
-    return part.join(following, "p_partkey").select("p_partkey", udfs.ratio("p_name", "next_name").alias("ratio"))
+    return similarity.ratio(part.join(following, "p_partkey"), "p_partkey", "p_name", "next_name").select("p_partkey", "ratio")
 
 
 @query("normalized_pages")
 def normalized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compatibility forms, validated dates and amounts of every page; no SQL form."""
-    pages = table(spark, sf_dir, "pages").select("page_id", udfs.normalized_page("html").alias("p"))
-    return pages.select("page_id", F.sha2(F.col("p.text").cast("binary"), 256).alias("digest"), "p.dates", "p.amounts", "p.marks", "p.spaces")
+    normal = table(spark, sf_dir, "pages").select("page_id", pages.normalized_page(F.col("html")).alias("p"))
+    return normal.select("page_id", F.sha2(F.col("p.text").cast("binary"), 256).alias("digest"), "p.dates", "p.amounts", "p.marks", "p.spaces")
 
 
 @query("dispute_plans")

@@ -118,12 +118,15 @@ def rule_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("o_orderkey", F.col("q1.declared_state").alias("state"), *[c["status"].alias(k) for k, c in named.items()])
 
 
-MONTH_SQL = f"""WITH {HISTORY_SQL}, e AS (SELECT o_orderkey, paid, UNNEST(hist) AS e, GENERATE_SUBSCRIPTS(hist, 1) AS pos FROM q),
-a AS (SELECT o_orderkey, MIN(pos) AS start FROM e WHERE e.m = STRFTIME(paid, '%Y-%m') GROUP BY 1),
-v AS (SELECT e.o_orderkey, pos, e.e.m AS m, CASE LOWER(e.e.s) WHEN 'ok' THEN 0 WHEN '30' THEN 30 WHEN '60' THEN 60 WHEN '90' THEN 90 WHEN 'co' THEN 999 END AS s FROM e JOIN a ON e.o_orderkey = a.o_orderkey AND pos >= start),
-l AS (SELECT *, LAG(s) OVER (PARTITION BY o_orderkey ORDER BY pos) AS ps, LAG(m) OVER (PARTITION BY o_orderkey ORDER BY pos) AS pm FROM v WHERE s IS NOT NULL),
-f AS (SELECT o_orderkey, ARG_MIN(pm, pos) AS previous_month, ARG_MIN(m, pos) AS month FROM l WHERE s < ps GROUP BY 1)
-SELECT q.o_orderkey, CASE WHEN a.start IS NULL THEN 'skipped_missing_data' WHEN f.month IS NOT NULL THEN 'conflict' ELSE 'ok' END AS status, f.previous_month, f.month FROM q LEFT JOIN a ON a.o_orderkey = q.o_orderkey LEFT JOIN f ON f.o_orderkey = q.o_orderkey"""
+LINES_SQL = """l AS (SELECT l_orderkey, STRFTIME(l_shipdate, '%Y-%m') AS m, CAST(l_quantity AS INT) % 7 AS q, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_quantity, l_partkey, l_suppkey) AS pos FROM lineitem)"""
+
+MONTH_SQL = f"""WITH {LINES_SQL},
+o AS (SELECT o_orderkey, CASE WHEN o_custkey % 3 > 0 THEN STRFTIME(CAST(o_orderdate AS DATE) + CAST(o_custkey % 120 AS INT) - 20, '%Y-%m') END AS paid FROM orders),
+j AS (SELECT o_orderkey, m, pos, CASE q WHEN 0 THEN NULL WHEN 1 THEN 30 WHEN 2 THEN 60 WHEN 3 THEN 90 WHEN 4 THEN 999 ELSE 0 END AS s, MIN(CASE WHEN m = paid THEN pos END) OVER (PARTITION BY o_orderkey) AS start FROM o JOIN l ON l_orderkey = o_orderkey),
+v AS (SELECT o_orderkey, pos, m, s, LAG(s) OVER (PARTITION BY o_orderkey ORDER BY pos) AS ps, LAG(m) OVER (PARTITION BY o_orderkey ORDER BY pos) AS pm FROM j WHERE pos >= start AND s IS NOT NULL),
+f AS (SELECT o_orderkey, ARG_MIN(pm, pos) AS previous_month, ARG_MIN(m, pos) AS month FROM v WHERE s < ps GROUP BY 1),
+a AS (SELECT DISTINCT o_orderkey FROM j WHERE start IS NOT NULL)
+SELECT o.o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'skipped_missing_data' WHEN f.month IS NOT NULL THEN 'conflict' ELSE 'ok' END AS status, f.previous_month, f.month FROM o LEFT JOIN a ON a.o_orderkey = o.o_orderkey LEFT JOIN f ON f.o_orderkey = o.o_orderkey"""
 
 
 @query("payment_monotone", MONTH_SQL)
@@ -132,11 +135,11 @@ def payment_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("o_orderkey", rules.payment_monotone(F.col("last_payment"), F.col("history")).alias("r")).select("o_orderkey", "r.status", "r.previous_month", "r.month")
 
 
-SEVEN_SQL = f"""WITH {HISTORY_SQL}, e AS (SELECT o_orderkey, UNNEST(hist) AS e, GENERATE_SUBSCRIPTS(hist, 1) AS pos FROM q),
-b AS (SELECT o_orderkey, e.m AS m, MAX(CASE LOWER(e.s) WHEN '30' THEN 1 WHEN '60' THEN 2 WHEN '90' THEN 3 WHEN 'co' THEN 3 END) AS k, MIN(pos) FILTER (LOWER(e.s) IN ('30', '60', '90', 'co')) AS p FROM e GROUP BY 1, 2 HAVING k IS NOT NULL),
-c AS (SELECT o_orderkey, COUNT(*) FILTER (k = 1) AS c1, COUNT(*) FILTER (k = 2) AS c2, COUNT(*) FILTER (k = 3) AS c3, LIST(m ORDER BY k DESC, p) AS months FROM b GROUP BY 1)
-SELECT q.o_orderkey, CASE WHEN c.c1 IS NULL THEN 'skipped_missing_data' WHEN c1 > o_custkey % 3 OR c2 > o_custkey % 2 OR c3 > o_custkey % 4 THEN 'conflict' ELSE 'ok' END AS status,
-  CASE WHEN c1 > o_custkey % 3 OR c2 > o_custkey % 2 OR c3 > o_custkey % 4 THEN ARRAY_TO_STRING(months[1:5], ',') END AS examples FROM q LEFT JOIN c ON c.o_orderkey = q.o_orderkey"""
+SEVEN_SQL = f"""WITH {LINES_SQL}, b AS (SELECT l_orderkey, m, MAX(LEAST(q, 3)) AS k, MIN(pos) AS p FROM l WHERE q BETWEEN 1 AND 4 GROUP BY 1, 2),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY k DESC, p) AS n FROM b),
+c AS (SELECT l_orderkey, COUNT(*) FILTER (k = 1) AS c1, COUNT(*) FILTER (k = 2) AS c2, COUNT(*) FILTER (k = 3) AS c3, STRING_AGG(m, ',' ORDER BY n) FILTER (n <= 5) AS months FROM r GROUP BY 1)
+SELECT o_orderkey, CASE WHEN c1 IS NULL THEN 'skipped_missing_data' WHEN c1 > o_custkey % 3 OR c2 > o_custkey % 2 OR c3 > o_custkey % 4 THEN 'conflict' ELSE 'ok' END AS status,
+  CASE WHEN c1 > o_custkey % 3 OR c2 > o_custkey % 2 OR c3 > o_custkey % 4 THEN months END AS examples FROM orders LEFT JOIN c ON l_orderkey = o_orderkey"""
 
 
 @query("seven_against_two", SEVEN_SQL)

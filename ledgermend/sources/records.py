@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,22 +70,63 @@ def export_rows(df: DataFrame, wanted: ExportFilter) -> DataFrame:
     return rows.select(*EXPORT_COLUMNS)
 
 
-def csv_lines(rows: DataFrame) -> Iterator[str]:
-    """A version line, a header and the rows, unquoted; streamed partition by partition."""
-    yield "export_version=1\n"
-    yield ",".join(EXPORT_COLUMNS) + "\n"
-    text = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in EXPORT_COLUMNS])
-    for row in rows.select(text.alias("line")).toLocalIterator():
-        yield row["line"] + "\n"
+def write_csv_export(rows: DataFrame, path: str) -> None:
+    """Text parts that read, in the order of their names, as a version line, a header and the rows, unquoted."""
+    head = rows.sparkSession.createDataFrame([("export_version=1\n" + ",".join(EXPORT_COLUMNS),)], "line string")
+    head.write.text(f"{path}/part=0-head")
+    rows.select(F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in EXPORT_COLUMNS]).alias("line")).write.text(f"{path}/part=1-rows")
+
+
+def write_json_export(rows: DataFrame, path: str) -> None:
+    """Text parts that read, in the order of their names, as one JSON document: a version and an array of rows."""
+    spark = rows.sparkSession
+    lines = rows.select(F.monotonically_increasing_id().alias("n"), F.to_json(F.struct(*EXPORT_COLUMNS), {"ignoreNullFields": "false"}).alias("line"))
+    first = lines.agg(F.min("n")).first()[0]
+    spark.createDataFrame([('{"export_version":1,"rows":[',)], "line string").write.text(f"{path}/part=0-head")
+    lines.select(F.when(F.col("n") == F.lit(first), F.col("line")).otherwise(F.concat(F.lit(","), "line")).alias("line")).write.text(f"{path}/part=1-rows")
+    spark.createDataFrame([("]}",)], "line string").write.text(f"{path}/part=2-tail")
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A report as CSV with a header in every part."""
+    rows.write.option("header", True).csv(path)
+
+
+def append_events(events: DataFrame, path: str) -> None:
+    """Events as JSON lines, added to those of earlier calls."""
+    events.write.mode("append").json(path)
+
+
+def account_files(spark: SparkSession, path: str) -> DataFrame:
+    """``session, account, file`` of every ``<session>/cases/accounts/<account>/bureaus.json`` under a folder; contents are not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "bureaus.json").option("recursiveFileLookup", True).load(path).select("path")
+    part = lambda k: F.element_at(F.split("path", "/"), k)
+    return found.where(part(-3) == "accounts").select(part(-5).alias("session"), part(-2).alias("account"), F.col("path").alias("file"))
+
+
+def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The elements of files that hold one JSON array each."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def read_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """``session, body`` of a store that is one JSON object of sessions; bodies are JSON text."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
+    return whole.select(F.explode("m").alias("session", "body"))
+
+
+def read_rules(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
+    """A configuration file, one JSON object of rules by name, as rows: ``key`` and the columns of ``schema``."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,struct<{schema}>>").alias("m"))
+    return whole.select(F.explode("m").alias(key, "rule")).select(key, "rule.*")
 
 
-def json_chunks(rows: DataFrame) -> Iterator[str]:
-    yield '{"export_version":1,"rows":[\n'
-    lead = ""
-    for row in rows.select(F.to_json(F.struct(*EXPORT_COLUMNS), {"ignoreNullFields": "false"}).alias("line")).toLocalIterator():
-        yield lead + row["line"]
-        lead = ",\n"
-    yield "\n]}"
+def flattened_tradelines(reports: DataFrame, report: str) -> DataFrame:
+    """A row per account of a report ``map<bureau, map<section, array<map>>>``, inquiries left out: bureau, creditor, account_number, data."""
+    sides = reports.select("*", F.explode(report).alias("bureau", "_sections")).select("*", F.explode("_sections").alias("_section", "_items")).where("_section <> 'inquiries'")
+    rows = sides.select(*[c for c in reports.columns if c != report], "bureau", F.explode("_items").alias("data"))
+    named = lambda k: F.try_element_at("data", F.lit(k))
+    return rows.withColumns({"creditor": F.coalesce(named("name"), F.lit("")), "account_number": named("account_number")})
 
 
 def write_by_bureau(df: DataFrame, path: str) -> None:
