@@ -141,30 +141,64 @@ def _reach(n: Column, holidays: Column | None) -> Column:
     return (n * 7 + 7 + (F.lit(0) if holidays is None else F.size(holidays))).cast("int")
 
 
+def _plain(holidays: Column | None, weekend: Sequence[int]) -> bool:
+    """Saturdays and Sundays only: then a count of days is arithmetic, without a list of them."""
+    return holidays is None and tuple(weekend) == (5, 6)
+
+
+def _days_after(start: Column, n: Column) -> Column:
+    """Calendar days to the ``n``-th business day after the start; a weekend counts as its Friday."""
+    back = F.greatest(F.weekday(start) - 4, F.lit(0))
+    rest = n % 5
+    over = F.when(F.least(F.weekday(start), F.lit(4)) + rest > 4, 2).otherwise(0)
+    return (F.floor(n / 5) * 7 + rest + over - back).cast("int")
+
+
+def _business_days_upto(day: Column) -> Column:
+    """Business days from a Monday long ago through the day."""
+    k = F.unix_date(day) + 3  # 1970-01-01 was a Thursday
+    return F.floor(k / 7) * 5 + F.least(F.pmod(k, F.lit(7)) + 1, F.lit(5))
+
+
 def advance_business_days(start: Column, n: Column, holidays: Column | None = None, weekend: Sequence[int] = WEEKEND) -> Column:
     """``n`` business days after the start, which doesn't count."""
+    if _plain(holidays, weekend):
+        return F.when(n <= 0, start).otherwise(F.date_add(start, _days_after(start, n)))
     days = _open_days(F.date_add(start, 1), F.date_add(start, _reach(n, holidays)), holidays, weekend)
     return F.when(n <= 0, start).otherwise(F.try_element_at(days, n.cast("int")))
 
 
 def subtract_business_days(start: Column, n: Column, holidays: Column | None = None, weekend: Sequence[int] = WEEKEND) -> Column:
+    if _plain(holidays, weekend):
+        w = F.weekday(start)
+        ahead, rest = F.when(w > 4, 7 - w).otherwise(0), n % 5
+        over = F.when(F.when(w > 4, 0).otherwise(w) - rest < 0, 2).otherwise(0)
+        return F.when(n <= 0, start).otherwise(F.date_sub(start, (F.floor(n / 5) * 7 + rest + over - ahead).cast("int")))
     days = _open_days(F.date_sub(start, _reach(n, holidays)), F.date_sub(start, F.lit(1)), holidays, weekend)
     return F.when(n <= 0, start).otherwise(F.try_element_at(days, (-n).cast("int")))
 
 
 def business_days_between(start: Column, end: Column, holidays: Column | None = None, weekend: Sequence[int] = WEEKEND) -> Column:
     """Business days after the start up to the end, which counts."""
+    if _plain(holidays, weekend):
+        return F.when(start >= end, 0).otherwise(_business_days_upto(end) - _business_days_upto(start)).cast("int")
     return F.when(start >= end, 0).otherwise(F.size(_open_days(F.date_add(start, 1), end, holidays, weekend)))
 
 
 def business_to_calendar(start: Column, n: Column, holidays: Column | None = None, weekend: Sequence[int] = WEEKEND) -> Column:
     """Calendar days until ``n`` business days are over, the start itself counting."""
+    if _plain(holidays, weekend):
+        return F.when(n <= 0, 0).otherwise(_days_after(F.date_sub(start, 1), n))
     days = _open_days(start, F.date_add(start, _reach(n, holidays)), holidays, weekend)
     return F.when(n <= 0, 0).otherwise(F.datediff(F.try_element_at(days, n.cast("int")), start) + 1)
 
 
 def roll_forward(day: Column, holidays: Column | None = None, weekend: Sequence[int] = WEEKEND) -> Column:
     """The day itself or the next business day, and why it moved."""
+    if _plain(holidays, weekend):
+        shift = F.greatest(7 - F.weekday(day), F.lit(0))
+        shift = F.when(F.weekday(day) > 4, shift).otherwise(0)
+        return F.struct(F.date_add(day, shift).alias("day"), F.when(shift > 0, "shifted_to_avoid_weekend").alias("reason"))
     rolled = F.try_element_at(_open_days(day, F.date_add(day, _reach(F.lit(1), holidays)), holidays, weekend), F.lit(1))
     why = F.when(rolled == day, F.lit(None)).when(F.weekday(day).isin(*weekend), "shifted_to_avoid_weekend").otherwise("shifted_due_to_holiday")
     return F.struct(rolled.alias("day"), why.alias("reason"))

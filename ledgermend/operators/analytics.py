@@ -31,30 +31,47 @@ def latency(samples: DataFrame, template: str, value: str, percent: float = 95.0
     return mean.join(floor_rank(filled, [template], "_v", percent, "p95"), template)
 
 
-def batch_report(samples: DataFrame) -> DataFrame:
-    """The whole report as rows of section, category, item, extra and value.
+#: Sections of the report: counted entries, shares, and measures with the names of their mean and percentile.
+RATES = ("finalization_pass_rate", "sanitizer_applied_rate")
+MEASURES = {"render_ms": ("render_latency_avg_ms", "render_latency_p95_ms"), "ai_cost": ("ai_cost_avg", "ai_cost_p95")}
+
+
+def batch_report(samples: DataFrame, percent: float = 95.0) -> DataFrame:
+    """The whole report as rows of section, category, item, extra and value, from one pass over the samples.
 
     ``samples`` has action_tag, template, candidate_missing_fields,
     validation_failed_fields, final_missing_fields, sanitizer_overrides, render_ms
-    and ai_cost.
+    and ai_cost.  Every sample gives one entry for each rate, measure and array element; equal entries are counted
+    before they are shuffled, and means and floor ranks follow from the counts.
     """
     failed = F.coalesce(F.size("validation_failed_fields") > 0, F.lit(False))
     cleaned = F.coalesce(F.size("sanitizer_overrides") > 0, F.lit(False))
 
-    def rows(df: DataFrame, section: str, category: str, value: str, item: Column | None = None) -> DataFrame:
-        return df.select(F.lit(section).alias("section"), F.col(category).alias("category"), (item if item is not None else F.lit("")).alias("item"), F.lit("").alias("extra"), F.col(value).cast("double").alias("value"))
-
-    field = F.col("field")
-    out = rows(pass_rates(samples, "action_tag", failed), "finalization_pass_rate", "action_tag", "pass_rate")
-    out = out.union(rows(heatmap(samples, "action_tag", "candidate_missing_fields"), "missing_fields_after_normalization", "action_tag", "n", field))
-    out = out.union(rows(heatmap(samples, "action_tag", "final_missing_fields"), "missing_fields_after_strategy", "action_tag", "n", field))
-    out = out.union(rows(heatmap(samples, "template", "validation_failed_fields"), "validation_failed", "template", "n", field))
-    out = out.union(rows(applied_rates(samples, "template", cleaned), "sanitizer_applied_rate", "template", "applied_rate"))
-    out = out.union(rows(heatmap(samples, "template", "sanitizer_overrides"), "policy_override_reason", "template", "n", F.replace(field, F.lit(" "), F.lit("_"))))
-    for measure, name in (("render_ms", "render_latency_{}_ms"), ("ai_cost", "ai_cost_{}")):
-        both = latency(samples, "template", measure)
-        out = out.union(rows(both, name.format("avg"), "template", "avg")).union(rows(both, name.format("p95"), "template", "p95"))
-    return out
+    def entry(section: str, category: str, item: Column, value: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), F.col(category).alias("category"), item.alias("item"), value.cast("double").alias("v"))
+
+    def listed(section: str, category: str, fields: str, clean=lambda x: x) -> Column:
+        return F.transform(F.coalesce(F.col(fields), F.array().cast("array<string>")), lambda x: entry(section, category, clean(x), F.lit(1.0)))
+
+    single = F.array(
+        entry(RATES[0], "action_tag", F.lit(""), (~failed).cast("int")), entry(RATES[1], "template", F.lit(""), cleaned.cast("int")),
+        *[entry(m, "template", F.lit(""), F.coalesce(F.col(m), F.lit(0.0))) for m in MEASURES],
+    )
+    many = F.concat(
+        single, listed("missing_fields_after_normalization", "action_tag", "candidate_missing_fields"), listed("missing_fields_after_strategy", "action_tag", "final_missing_fields"),
+        listed("validation_failed", "template", "validation_failed_fields"), listed("policy_override_reason", "template", "sanitizer_overrides", lambda x: F.replace(x, F.lit(" "), F.lit("_"))),
+    )
+    group = ["section", "category", "item"]
+    counted = samples.select(F.explode(many).alias("e")).select("e.*").groupBy(*group, "v").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*group)
+    ranked = counted.withColumn("upto", F.sum("n").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
+    reached = F.col("upto") >= F.greatest(F.lit(1), F.floor(F.col("all") * percent / 100))
+    summed = ranked.groupBy(*group).agg(F.sum("n").cast("double").alias("all"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), F.min(F.when(reached, F.col("v"))).alias("rank"))
+    named = lambda name, value: F.struct(F.lit(name).alias("section"), F.col(value).alias("value"))
+    shown = F.array(F.struct("section", F.when(F.col("section").isin(*RATES), F.col("mean")).otherwise(F.col("all")).alias("value")))
+    for measure, (mean, rank) in MEASURES.items():
+        shown = F.when(F.col("section") == measure, F.array(named(mean, "mean"), named(rank, "rank"))).otherwise(shown)
+    return summed.select("category", "item", F.explode(shown).alias("x")).select("x.section", "category", "item", F.lit("").alias("extra"), "x.value")
 
 
 def counters(emitted: DataFrame) -> DataFrame:

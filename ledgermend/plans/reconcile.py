@@ -13,12 +13,16 @@ NAMES = ("a", "b", "c")
 
 
 def three_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines 1 to 3 of an order as three sources of one account: flag, price and date each (the least row of a number)."""
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber between 1 and 3")
-    row = F.min(F.struct("l_extendedprice", "l_returnflag", "l_shipdate"))
-    each = [F.min(F.when(F.col("l_linenumber") == k, F.struct("l_extendedprice", "l_returnflag", F.to_date("l_shipdate").alias("l_shipdate")))).alias(n) for k, n in enumerate(NAMES, 1)]
-    del row
-    return lines.groupBy("l_orderkey").agg(*each)
+    """Every three consecutive line numbers of an order as the three sources of one account: price, flag and date each (the least row of a number)."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("account", account("l_orderkey", "l_linenumber"))
+    row = F.struct("l_extendedprice", "l_returnflag", F.to_date("l_shipdate").alias("l_shipdate"))
+    each = [F.min(F.when(F.col("l_linenumber") % 3 == k % 3, row)).alias(n) for k, n in enumerate(NAMES, 1)]
+    return lines.groupBy("account").agg(*each)
+
+
+def account(order: str, number: str) -> F.Column:
+    """Ten accounts an order at most, numbered by its key."""
+    return F.col(order) * 10 + F.floor((F.col(number) - 1) / 3)
 
 
 def _values(field: str) -> tuple[list, list]:
@@ -26,27 +30,27 @@ def _values(field: str) -> tuple[list, list]:
     return values, [v.isNull() for v in values]
 
 
-_SOURCES_SQL = """s AS (SELECT l_orderkey,
-  MIN(CASE WHEN l_linenumber = 1 THEN {'p': l_extendedprice, 'f': l_returnflag, 'd': CAST(l_shipdate AS DATE)} END) AS a,
-  MIN(CASE WHEN l_linenumber = 2 THEN {'p': l_extendedprice, 'f': l_returnflag, 'd': CAST(l_shipdate AS DATE)} END) AS b,
-  MIN(CASE WHEN l_linenumber = 3 THEN {'p': l_extendedprice, 'f': l_returnflag, 'd': CAST(l_shipdate AS DATE)} END) AS c
-  FROM lineitem WHERE l_linenumber BETWEEN 1 AND 3 GROUP BY 1)"""
+_SOURCES_SQL = """s AS (SELECT l_orderkey * 10 + (l_linenumber - 1) // 3 AS account,
+  MIN(CASE WHEN l_linenumber % 3 = 1 THEN {'p': l_extendedprice, 'f': l_returnflag, 'd': CAST(l_shipdate AS DATE)} END) AS a,
+  MIN(CASE WHEN l_linenumber % 3 = 2 THEN {'p': l_extendedprice, 'f': l_returnflag, 'd': CAST(l_shipdate AS DATE)} END) AS b,
+  MIN(CASE WHEN l_linenumber % 3 = 0 THEN {'p': l_extendedprice, 'f': l_returnflag, 'd': CAST(l_shipdate AS DATE)} END) AS c
+  FROM lineitem GROUP BY 1)"""
 
 
 def _labels_sql(field: str, match: str) -> str:
     m = lambda x, y: match.replace("$x", f"{x}.{field}").replace("$y", f"{y}.{field}")
-    return f"""{field}1 AS (SELECT l_orderkey, a.{field} IS NULL AS ma, b.{field} IS NULL AS mb, c.{field} IS NULL AS mc,
+    return f"""{field}1 AS (SELECT account, a.{field} IS NULL AS ma, b.{field} IS NULL AS mb, c.{field} IS NULL AS mc,
   COALESCE({m('b', 'a')}, FALSE) AS ab, COALESCE({m('c', 'a')}, FALSE) AS ac, COALESCE({m('c', 'b')}, FALSE) AS bc FROM s),
 {field}2 AS (SELECT *, CASE WHEN ma THEN 0 ELSE 1 END AS la, CASE WHEN mb THEN 0 WHEN NOT ma AND ab THEN 1 ELSE 2 END AS lb FROM {field}1),
 {field}3 AS (SELECT *, CASE WHEN mc THEN 0 WHEN NOT ma AND ac THEN 1 WHEN NOT mb AND lb = 2 AND bc THEN 2 ELSE 3 END AS lc FROM {field}2),
-{field}4 AS (SELECT l_orderkey, CASE WHEN la = lb AND lb = lc THEN 'unanimous' WHEN la = lb OR la = lc OR lb = lc THEN 'majority' ELSE 'split' END AS consensus,
+{field}4 AS (SELECT account, CASE WHEN la = lb AND lb = lc THEN 'unanimous' WHEN la = lb OR la = lc OR lb = lc THEN 'majority' ELSE 'split' END AS consensus,
   CASE WHEN la = lb AND lb = lc THEN '' WHEN la = lb THEN 'c' WHEN la = lc THEN 'b' WHEN lb = lc THEN 'a' ELSE 'a,b,c' END AS disagreeing FROM {field}3 WHERE NOT (ma AND mb AND mc))"""
 
 
 CONSENSUS_SQL = f"""WITH {_SOURCES_SQL}, {_labels_sql('f', '$x = $y')}, {_labels_sql('p', 'ABS($x - $y) <= GREATEST(50.0, GREATEST(ABS($x), ABS($y)) * 0.01)')}, {_labels_sql('d', 'ABS($x - $y) <= 5')}
-SELECT l_orderkey, 'returnflag' AS field, consensus, disagreeing FROM f4 UNION ALL
-SELECT l_orderkey, 'price' AS field, consensus, disagreeing FROM p4 UNION ALL
-SELECT l_orderkey, 'shipdate' AS field, consensus, disagreeing FROM d4"""
+SELECT account, 'returnflag' AS field, consensus, disagreeing FROM f4 UNION ALL
+SELECT account, 'price' AS field, consensus, disagreeing FROM p4 UNION ALL
+SELECT account, 'shipdate' AS field, consensus, disagreeing FROM d4"""
 
 
 @query("consensus_orders", CONSENSUS_SQL)
@@ -58,8 +62,8 @@ def consensus_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         "shipdate": ("l_shipdate", consensus.days_apart(5)),
     }
     fields = F.array(*[F.struct(F.lit(name).alias("field"), consensus.consensus(*_values(column), match, NAMES).alias("x")) for name, (column, match) in rules.items()])
-    long = sources.select("l_orderkey", F.explode(fields).alias("r")).where("r.x is not null")
-    return long.select("l_orderkey", "r.field", "r.x.consensus", F.array_join("r.x.disagreeing", ",").alias("disagreeing"))
+    long = sources.select("account", F.explode(fields).alias("r")).where("r.x is not null")
+    return long.select("account", "r.field", "r.x.consensus", F.array_join("r.x.disagreeing", ",").alias("disagreeing"))
 
 
 @query("inconsistent_orders", f"SELECT * FROM ({CONSENSUS_SQL}) WHERE consensus <> 'unanimous'")
@@ -68,8 +72,8 @@ def inconsistent_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REASON_SQL = f"""WITH {_SOURCES_SQL},
-v AS (SELECT l_orderkey, LIST_FILTER([a.f, b.f, c.f], lambda x: x IS NOT NULL) AS shown, [a.f, b.f, c.f] AS every FROM s),
-n AS (SELECT l_orderkey, CAST(LEN(shown) AS INT) AS present_count, CAST(3 - LEN(shown) AS INT) AS missing_count, CAST(LEN(LIST_DISTINCT(shown)) AS INT) AS distinct_values FROM v)
+v AS (SELECT account, LIST_FILTER([a.f, b.f, c.f], lambda x: x IS NOT NULL) AS shown, [a.f, b.f, c.f] AS every FROM s),
+n AS (SELECT account, CAST(LEN(shown) AS INT) AS present_count, CAST(3 - LEN(shown) AS INT) AS missing_count, CAST(LEN(LIST_DISTINCT(shown)) AS INT) AS distinct_values FROM v)
 SELECT *, CASE WHEN present_count = 1 THEN 'C2_ONE_MISSING' WHEN missing_count > 0 AND distinct_values <= 1 THEN 'C1_TWO_PRESENT_ONE_MISSING' WHEN missing_count > 0 THEN 'C3_TWO_PRESENT_CONFLICT'
   WHEN distinct_values <= 2 THEN 'C4_TWO_MATCH_ONE_DIFF' ELSE 'C5_ALL_DIFF' END AS reason_code,
   CASE present_count WHEN 1 THEN 'case_1' WHEN 2 THEN CASE WHEN distinct_values <= 1 THEN 'case_2' ELSE 'case_3' END ELSE CASE WHEN distinct_values >= 3 THEN 'case_5' ELSE 'case_4' END END AS pattern,
@@ -79,47 +83,47 @@ SELECT *, CASE WHEN present_count = 1 THEN 'C2_ONE_MISSING' WHEN missing_count >
 @query("reason_codes", REASON_SQL)
 def reason_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     values, missing = _values("l_returnflag")
-    r = three_sources(spark, sf_dir).select("l_orderkey", consensus.reason(values, missing).alias("r"), consensus.reporting_pattern(values, missing).alias("pattern"))
+    r = three_sources(spark, sf_dir).select("account", consensus.reason(values, missing).alias("r"), consensus.reporting_pattern(values, missing).alias("pattern"))
     ai = consensus.send_to_ai(F.lit("account_type"), F.col("r.reason_code"))
-    return r.select("l_orderkey", "r.present_count", "r.missing_count", "r.distinct_values", "r.reason_code", "pattern", ai.alias("ai_eligible"))
+    return r.select("account", "r.present_count", "r.missing_count", "r.distinct_values", "r.reason_code", "pattern", ai.alias("ai_eligible"))
 
 
 STATES_SQL = f"""WITH {_SOURCES_SQL},
-v AS (SELECT l_orderkey, a.f AS fa, b.f AS fb, c.f AS fc, LIST_FILTER([a.f, b.f, c.f], lambda x: x IS NOT NULL) AS shown FROM s)
-SELECT l_orderkey, {", ".join(f"CASE WHEN f{n} IS NULL THEN 'missing' WHEN LEN(shown) = 1 THEN 'solo' WHEN LEN(LIST_FILTER(shown, lambda x: x = f{n})) > 1 THEN 'aligned' ELSE 'conflict' END AS state_{n}" for n in NAMES)} FROM v"""
+v AS (SELECT account, a.f AS fa, b.f AS fb, c.f AS fc, LIST_FILTER([a.f, b.f, c.f], lambda x: x IS NOT NULL) AS shown FROM s)
+SELECT account, {", ".join(f"CASE WHEN f{n} IS NULL THEN 'missing' WHEN LEN(shown) = 1 THEN 'solo' WHEN LEN(LIST_FILTER(shown, lambda x: x = f{n})) > 1 THEN 'aligned' ELSE 'conflict' END AS state_{n}" for n in NAMES)} FROM v"""
 
 
 @query("source_states", STATES_SQL)
 def source_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     values, missing = _values("l_returnflag")
-    states = three_sources(spark, sf_dir).select("l_orderkey", consensus.source_states(values, missing, NAMES).alias("s"))
-    return states.select("l_orderkey", *[F.col(f"s.{n}").alias(f"state_{n}") for n in NAMES])
+    states = three_sources(spark, sf_dir).select("account", consensus.source_states(values, missing, NAMES).alias("s"))
+    return states.select("account", *[F.col(f"s.{n}").alias(f"state_{n}") for n in NAMES])
 
 
 TOLERANCE_SQL = f"""WITH {_SOURCES_SQL}
-SELECT l_orderkey, CASE WHEN LEN(p) < 2 THEN TRUE ELSE LIST_MAX(p) - LIST_MIN(p) <= GREATEST(50.0, GREATEST(ABS(LIST_MAX(p)), ABS(LIST_MIN(p))) * 0.05) END AS amounts_ok,
+SELECT account, CASE WHEN LEN(p) < 2 THEN TRUE ELSE LIST_MAX(p) - LIST_MIN(p) <= GREATEST(50.0, GREATEST(ABS(LIST_MAX(p)), ABS(LIST_MIN(p))) * 0.05) END AS amounts_ok,
   CASE WHEN LEN(d) < 2 THEN TRUE ELSE LIST_MAX(d) - LIST_MIN(d) <= 30 END AS dates_ok
-FROM (SELECT l_orderkey, LIST_FILTER([a.p, b.p, c.p], lambda x: x IS NOT NULL) AS p, LIST_FILTER([a.d, b.d, c.d], lambda x: x IS NOT NULL) AS d FROM s)"""
+FROM (SELECT account, LIST_FILTER([a.p, b.p, c.p], lambda x: x IS NOT NULL) AS p, LIST_FILTER([a.d, b.d, c.d], lambda x: x IS NOT NULL) AS d FROM s)"""
 
 
 @query("tolerance_spans", TOLERANCE_SQL)
 def tolerance_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices, days = _values("l_extendedprice")[0], _values("l_shipdate")[0]
-    return three_sources(spark, sf_dir).select("l_orderkey", consensus.amounts_agree(prices, 50.0, 0.05).alias("amounts_ok"), consensus.dates_agree(days, 30).alias("dates_ok"))
+    return three_sources(spark, sf_dir).select("account", consensus.amounts_agree(prices, 50.0, 0.05).alias("amounts_ok"), consensus.dates_agree(days, 30).alias("dates_ok"))
 
 
 OVERLAY_SQL = f"""WITH {_SOURCES_SQL},
-v AS (SELECT l_orderkey, a.f AS fa, b.f AS fb, c.f AS fc, LIST_FILTER([a.f, b.f, c.f], lambda x: x IS NOT NULL) AS shown FROM s),
+v AS (SELECT account, a.f AS fa, b.f AS fb, c.f AS fc, LIST_FILTER([a.f, b.f, c.f], lambda x: x IS NOT NULL) AS shown FROM s),
 n AS (SELECT *, LEN(LIST_FILTER(shown, lambda x: x = fa)) AS na, LEN(LIST_FILTER(shown, lambda x: x = fb)) AS nb, LEN(LIST_FILTER(shown, lambda x: x = fc)) AS nc FROM v)
-SELECT l_orderkey, CASE WHEN nc = GREATEST(na, nb, nc) AND fc IS NOT NULL THEN fc WHEN na = GREATEST(na, nb, nc) AND fa IS NOT NULL THEN fa ELSE fb END AS value,
+SELECT account, CASE WHEN nc = GREATEST(na, nb, nc) AND fc IS NOT NULL THEN fc WHEN na = GREATEST(na, nb, nc) AND fa IS NOT NULL THEN fa ELSE fb END AS value,
   CASE WHEN LEN(LIST_DISTINCT(shown)) > 1 THEN 'conflict' ELSE 'agreed' END AS status FROM n"""
 
 
 @query("normalized_overlay", OVERLAY_SQL)
 def normalized_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     values, missing = _values("l_returnflag")
-    found = three_sources(spark, sf_dir).select("l_orderkey", consensus.overlay(values, missing, F.lit(False)).alias("o"))
-    return found.select("l_orderkey", "o.value", "o.status")
+    found = three_sources(spark, sf_dir).select("account", consensus.overlay(values, missing, F.lit(False)).alias("o"))
+    return found.select("account", "o.value", "o.status")
 
 
 @query("majority_flag", """WITH v AS (SELECT l_suppkey, l_returnflag, COUNT(*) AS votes, MIN(l_linenumber) AS p FROM lineitem GROUP BY 1, 2),
@@ -162,17 +166,17 @@ def best_partner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.best_partner(scored, "session", "c_custkey_a", "c_custkey_b", "strong", "points")
 
 
-@query("best_of_nine", f"""WITH {_SOURCES_SQL}, t AS (SELECT x.l_orderkey, [x.a.p, x.b.p, x.c.p] AS l, [y.a.p, y.b.p, y.c.p] AS r FROM s x JOIN s y ON y.l_orderkey = x.l_orderkey + 1),
-e AS (SELECT l_orderkey, i, j, l[i + 1] AS lv, r[j + 1] AS rv FROM t, RANGE(3) g(i), RANGE(3) h(j)),
+@query("best_of_nine", f"""WITH {_SOURCES_SQL}, t AS (SELECT x.account, [x.a.p, x.b.p, x.c.p] AS l, [y.a.p, y.b.p, y.c.p] AS r FROM s x JOIN s y ON y.account = x.account + 10),
+e AS (SELECT account, i, j, l[i + 1] AS lv, r[j + 1] AS rv FROM t, RANGE(3) g(i), RANGE(3) h(j)),
 o AS (SELECT *, ABS(lv - rv) <= GREATEST(100.0, LEAST(ABS(lv), ABS(rv)) * 0.01) AS hit FROM e WHERE lv IS NOT NULL AND rv IS NOT NULL),
-k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY hit DESC, i, j) AS n FROM o)
-SELECT l_orderkey, hit AS matched, CAST(i AS INT) AS left_source, CAST(j AS INT) AS right_source FROM k WHERE n = 1""")
+k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY account ORDER BY hit DESC, i, j) AS n FROM o)
+SELECT account, hit AS matched, CAST(i AS INT) AS left_source, CAST(j AS INT) AS right_source FROM k WHERE n = 1""")
 def best_of_nine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prices = three_sources(spark, sf_dir).select("l_orderkey", *[F.col(f"{n}.l_extendedprice").alias(n) for n in NAMES])
-    right = prices.select((F.col("l_orderkey") - 1).alias("l_orderkey"), *[F.col(n).alias(f"{n}2") for n in NAMES])
+    prices = three_sources(spark, sf_dir).select("account", *[F.col(f"{n}.l_extendedprice").alias(n) for n in NAMES])
+    right = prices.select((F.col("account") - 10).alias("account"), *[F.col(n).alias(f"{n}2") for n in NAMES])
     best = matching.best_of_nine([F.col(n) for n in NAMES], [F.col(f"{n}2") for n in NAMES], lambda a, b: matching.close_for_matching(a, b, 100.0, 0.01))
-    found = prices.join(right, "l_orderkey").select("l_orderkey", best.alias("m")).where("m is not null")
-    return found.select("l_orderkey", F.col("m.matched").alias("matched"), F.col("m.left").alias("left_source"), F.col("m.right").alias("right_source"))
+    found = prices.join(right, "account").select("account", best.alias("m")).where("m is not null")
+    return found.select("account", F.col("m.matched").alias("matched"), F.col("m.left").alias("left_source"), F.col("m.right").alias("right_source"))
 
 
 @query("band_join", """SELECT x.p_partkey AS left_key, y.p_partkey AS right_key FROM part x JOIN part y ON x.p_size = y.p_size AND x.p_partkey < y.p_partkey
