@@ -18,6 +18,8 @@ from ledgermend.workspace import stored
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 MIN_LANGUAGE_SCORE = 0.5
+#: Numbers of 8 bytes; a broadcast of so many takes some 50 MB.
+MAX_BROADCAST_IDS = 2_000_000
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -54,11 +56,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Several rows of that doc_id are one document, whatever their texts: the row with the least hash of
     all its columns stays, so reruns agree.  Rows with a null doc_id can't be told apart by it and stay.
     """
-    kept = stored(neardup.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept-ids")
-    single = docs.join(kept.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
-    several = docs.join(kept.where("rows > 1").select("doc_id"), "doc_id", "left_semi")
+    each = neardup.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    other = stored(each.where("not kept or rows > 1"), "copies")
+    # What goes is the lesser part; while that is few numbers, the texts needn't be shuffled to find it.
+    ids = other.select("doc_id")
+    if ids.count() <= MAX_BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    single = docs.join(ids, "doc_id", "left_anti")
+    several = docs.join(other.where("kept").select("doc_id"), "doc_id", "left_semi")
     several = several.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*")
-    return single.select(docs.columns).unionByName(several.select(docs.columns)).unionByName(docs.where("doc_id is null"))
+    return single.select(docs.columns).unionByName(several.select(docs.columns))
 
 
 @shielded

@@ -235,7 +235,6 @@ def _compare(batches):
         other = column(left, 1)[:, None] != column(right, 1)[None, :]
         a, b = np.nonzero(possible_pairs(sketch(left), sketch(right)) & other)
         x, y = column(left, 0)[a], column(right, 0)[b]
-        # Pairs of the same two components count once: one link of them is enough, but each may fail its exact test.
         if len(x):
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
@@ -284,23 +283,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     a = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketches, "doc_id long, n long, fp1 long, fp2 long, sketch array<long>"), "sketches")
     full = a.where("n > 0 and doc_id is not null")
     classes = stored(full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")), "classes")
-    nodes = repeated_nodes(classes)
+    own = stored(full.select("doc_id", "n", "fp1", "fp2").join(classes.select("fp1", "fp2", "node"), ["fp1", "fp2"]).select("doc_id", "n", "node"), "class-members")
+    rest = stored(a.where("n = 0 or doc_id is null").select("doc_id", "n"), "unlinked")
+    nodes = stored(repeated_nodes(classes), "repeated-nodes")
+    discard(a, classes)
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi").distinct()
     sets = stored(texts.mapInArrow(_sets, "node long, deep array<long>, whole binary").where("octet_length(whole) > 0"), "sets")
     lists = candidate_lists(sets)
-    links = stored(linked_pairs(star_pairs(lists), sets).union(_same_id(full, classes)), "links")
+    links = stored(linked_pairs(star_pairs(lists), sets).union(_same_id(own)), "links")
     labels = components(links)
     left = open_lists(lists, labels)
     more = stored(linked_pairs(remaining_pairs(left, sets), sets), "links")
-    discard(left, lists, sets)
+    discard(left, lists, sets, nodes)
     if not more.isEmpty():
         labels = components(links.union(more))
     discard(links, more)
 
-    own = full.select("doc_id", "n", "fp1", "fp2").join(classes.select("fp1", "fp2", "node"), ["fp1", "fp2"])
     out = own.join(labels, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
-    rest = a.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    out = out.union(rest)
+    out = out.union(rest.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
@@ -308,11 +308,10 @@ def ordered(a: F.Column, b: F.Column) -> list[F.Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _same_id(full: DataFrame, classes: DataFrame) -> DataFrame:
+def _same_id(own: DataFrame) -> DataFrame:
     """Links between the classes that rows of one doc_id belong to."""
-    several = full.groupBy("doc_id").agg(F.count_distinct("fp1").alias("texts")).where("texts > 1").select("doc_id")
-    nodes = full.join(several, "doc_id").join(classes.select("fp1", "fp2", "node"), ["fp1", "fp2"])
-    return nodes.where("node <> doc_id").select(*ordered(F.col("node"), F.col("doc_id")))
+    several = own.groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("doc_id")
+    return own.join(several, "doc_id").where("node <> doc_id").select(*ordered(F.col("node"), F.col("doc_id")))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
