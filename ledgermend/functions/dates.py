@@ -214,3 +214,25 @@ def next_weekday(moment: Column, target: int, zone: str) -> Column:
     """The next date, today included, on a weekday (Monday is 0) in a time zone."""
     day = F.to_date(F.from_utc_timestamp(moment, zone))
     return F.date_add(day, F.pmod(F.lit(target) - F.weekday(day), F.lit(7)).cast("int"))
+
+
+#: What stands for no date.
+NO_DATE = ("--", "-", "N/A", "NA")
+
+
+def registry_date(raw: Column) -> Column:
+    """An ISO date of a registry value and whether its day was made up: struct of value and derived.
+
+    Whole dates first, then a month and year, then a year; digits that are none of them give null and
+    other texts stay as they are.
+    """
+    text = F.trim(raw)
+    part = lambda k: F.regexp_extract(text, r"^(\d{1,2})[.\-/\s](\d{4})$", k)
+    month = F.date_format(F.try_to_date(F.concat_ws("-", part(2), F.lpad(part(1), 2, "0"), F.lit("01")), "yyyy-MM-dd"), "yyyy-MM-dd")
+    year = F.concat(text, F.lit("-01-01"))
+    is_month, is_year = text.rlike(r"^\d{1,2}[.\-/\s]\d{4}$"), text.rlike(r"^\d{4}$")
+    whole = found_date_text(text)
+    value = F.when(whole.isNotNull(), whole).when(is_month, month).when(is_year, year).when(~text.rlike(r"^[\d\s./-]+$"), text)
+    given = raw.isNotNull() & (text != "") & ~F.upper(text).isin(*NO_DATE)
+    made_up = whole.isNull() & ((is_month & month.isNotNull()) | is_year)
+    return F.struct(F.when(given, value).alias("value"), F.coalesce(given & made_up, F.lit(False)).alias("derived"))

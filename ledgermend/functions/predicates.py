@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ast
+import operator
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -85,3 +87,36 @@ def compiled(rule: Mapping) -> Column:
         return ~compiled(rule["not"])
     tests = [_TESTS[k](F.col(rule["field"]), F.lit(v)) for k, v in rule.items() if k in _TESTS]
     return F.coalesce(reduce(Column.__and__, tests, F.lit(True)), F.lit(False))
+
+
+_COMPARISONS = {ast.Eq: operator.eq, ast.NotEq: operator.ne, ast.Gt: operator.gt, ast.GtE: operator.ge, ast.Lt: operator.lt, ast.LtE: operator.le}
+
+
+def rule_text(expression: str, columns: Mapping[str, Column]) -> Column:
+    """A rule such as ``balance > 0 and not (status == 'open')`` as a column; what can't be told is false.
+
+    Allowed are and, or, not, signs, chained comparisons, constants and the names given, in any case.
+    Anything else, and text that doesn't parse, makes the whole rule false.
+    """
+
+    def built(node: ast.AST) -> Column:
+        if isinstance(node, ast.BoolOp):
+            return reduce(Column.__and__ if isinstance(node.op, ast.And) else Column.__or__, [F.coalesce(built(v), F.lit(False)) for v in node.values])
+        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
+            return ~F.coalesce(built(node.operand), F.lit(False))
+        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.UAdd | ast.USub):
+            return built(node.operand) if isinstance(node.op, ast.UAdd) else -built(node.operand)
+        if isinstance(node, ast.Compare):
+            sides = [built(x) for x in (node.left, *node.comparators)]
+            return reduce(Column.__and__, [_COMPARISONS[type(op)](a, b) for op, a, b in zip(node.ops, sides, sides[1:], strict=False)])
+        if isinstance(node, ast.Name):
+            name = node.id.lower()
+            return F.lit(name == "true") if name in ("true", "false") else columns[name]
+        if isinstance(node, ast.Constant):
+            return F.lit(node.value)
+        raise ValueError(ast.dump(node))
+
+    try:
+        return F.coalesce(built(ast.parse(expression, mode="eval").body).cast("boolean"), F.lit(False))
+    except (SyntaxError, ValueError, KeyError):
+        return F.lit(False)

@@ -220,6 +220,54 @@ def canonical_labels(lines: Column, plain_labels: Sequence[str]) -> Column:
     return bound(kept, first)
 
 
+def history_text(raw: Column) -> Column:
+    """Lower case, white space single; null for missing values."""
+    text = F.lower(F.regexp_replace(F.trim(raw), r"\s+", " "))
+    return F.when(~missing_exact(raw), F.nullif(text, F.lit("")))
+
+
+def keyword_hit(normalized: Column, raw: Column, rules: Sequence[Mapping[str, str]]) -> Column:
+    """The first rule that a value meets: struct of rule_hit and matched, or null.
+
+    A rule has an ``id`` and either a ``pattern`` (on the normalized value, or with ``match_on`` raw on the
+    raw one; case doesn't matter) or a ``value`` that the normalized value contains.
+    """
+    hits = []
+    for rule in rules:
+        if "pattern" in rule:
+            target = F.coalesce(raw if rule.get("match_on") == "raw" else normalized, F.lit(""))
+            pattern = "(?i)" + rule["pattern"]
+            hits.append(F.when(target.rlike(pattern), F.struct(F.lit(rule["id"]).alias("rule_hit"), F.regexp_extract(target, pattern, 0).alias("matched"))))
+        else:
+            hits.append(F.when(normalized.contains(rule["value"].strip().lower()), F.struct(F.lit(rule["id"]).alias("rule_hit"), F.lit(rule["value"]).alias("matched"))))
+    return F.coalesce(*hits)
+
+
+def checked_letter(letter: Column, private: Sequence[tuple[str, str]], rules: Sequence[tuple[str, str, str | None]]) -> Column:
+    """A letter with personal data and forbidden phrases replaced, and how often each rule was broken: struct of text and violations.
+
+    ``private`` are (rule, pattern) on the letter as it is; then ``rules`` of rule, pattern (case doesn't matter) and
+    replacement, if it has one, one after the other.
+    """
+    count = lambda text, pattern: F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0))
+    entry = lambda rule, n: F.struct(F.lit(rule).alias("rule"), n.alias("n"))
+    found = [entry(rule, count(letter, pattern)) for rule, pattern in private]
+    text = redacted(letter)
+    for rule, pattern, new in rules:
+        found.append(entry(rule, count(text, "(?i)" + pattern)))
+        text = F.regexp_replace(text, "(?i)" + pattern, new) if new is not None else text
+    return F.struct(text.alias("text"), F.filter(F.array(*found), lambda e: e["n"] > 0).alias("violations"))
+
+
+def ai_payload(fields: Column, allowed: Sequence[str], account: str = "account_number") -> Column:
+    """What may leave for a model from a map of fields: the allowed ones, redacted; which allowed ones there are; the account's last four digits."""
+    names = F.array(*[F.lit(n) for n in allowed])
+    kept = F.transform_values(F.map_filter(fields, lambda k, v: F.array_contains(names, k)), lambda k, v: F.when(v.isNotNull(), redacted(v)))
+    own = F.regexp_replace(F.try_element_at(fields, F.lit(account)), r"\D", "")
+    there = F.map_from_arrays(names, F.transform(names, lambda n: F.map_contains_key(fields, n)))
+    return F.struct(kept.alias("fields"), there.alias("present"), F.when(F.length(own) >= 4, F.right(own, F.lit(4))).alias("last4"))
+
+
 def summary_hash(*columns: str) -> Column:
     """SHA-256 of the JSON object of the columns in the order of their names."""
     return F.sha2(F.to_json(F.struct(*sorted(columns))).cast("binary"), 256)

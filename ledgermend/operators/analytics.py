@@ -104,6 +104,16 @@ def skipped_counts(counts: DataFrame) -> DataFrame:
     return rest.groupBy(F.substring("name", 16, 1 << 20).alias("tag")).agg(F.sum(F.col("value").cast("long")).alias("n"))
 
 
+def usage_totals(calls: DataFrame, keys: list[str], tokens: str, cost: str) -> DataFrame:
+    """Tokens, cost (to the cent) and number of calls by key."""
+    return calls.groupBy(*keys).agg(F.sum(tokens).alias("tokens"), F.round(F.sum(cost), 2).alias("cost"), F.count(F.lit(1)).alias("calls"))
+
+
+def nearest_rank(df: DataFrame, keys: list[str], value: str, percent: float, name: str) -> DataFrame:
+    """The value at rank ``ceil(n p / 100)`` of each key, as for match confidence."""
+    return df.groupBy(*keys).agg(F.expr(f"percentile_disc({percent / 100}) within group (order by `{value}`)").alias(name))
+
+
 def guardrails(counts: DataFrame, render_ms: float, sanitized: float) -> DataFrame:
     """Per template whether its failures, overrides or rendering break the limits."""
     kinds = {"router.finalized.": "total", "validation.failed.": "fails", "letter.render_ms.": "renders", "sanitizer.applied.": "sanitized"}

@@ -76,6 +76,15 @@ def head_and_tail(items: Column, n: int = 6) -> Column:
     return F.struct(F.slice(items, F.lit(1), F.lit(n)).alias("first"), F.slice(items, F.greatest(size - n + 1, F.lit(1)), F.lit(n)).alias("last"))
 
 
+def ends(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, n: int = 6) -> DataFrame:
+    """Per key the first and the last ``n`` values, as arrays in order: two bounded windows, so no group meets in one row."""
+    w = Window.partitionBy(*keys)
+    head = df.withColumn("_n", F.row_number().over(w.orderBy(*order))).where(F.col("_n") <= n)
+    tail = df.withColumn("_n", -F.row_number().over(w.orderBy(*[F.col(c).desc() for c in order]))).where(F.col("_n") >= -n)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_n", value))), lambda x: x[value])
+    return head.groupBy(*keys).agg(listed.alias("first")).join(tail.groupBy(*keys).agg(listed.alias("last")), list(keys))
+
+
 def look_back(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, lines: int, name: str) -> DataFrame:
     """The nearest non-null value within so many rows above."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-lines, -1)

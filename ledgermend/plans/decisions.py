@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermend.functions import dates, money, text
+from ledgermend.functions import dates, money, predicates, text
 from ledgermend.operators import consensus, findings, matching, outcomes, requirements, rules, sequence, taxonomy
 from ledgermend.plans.catalog import query, table
 
@@ -348,3 +348,47 @@ def named_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = text.enum_value(pick(3, F.lit(" O-pen "), F.lit("OPEN"), F.concat(F.lit("x   "), "c_mktsegment")), {"open": "open"})
     c = table(spark, sf_dir, "customer").withColumn("a", F.col("c_mktsegment")).withColumn("b", F.col("c_nationkey"))
     return c.select("c_custkey", text.payment_frequency(said).alias("frequency"), kind.alias("kind"), status.alias("status"), text.summary_hash("b", "a").alias("hash"))
+
+
+@query("rule_texts", """SELECT event_id, value > 20 AND value <= 80 AND (event_type = 'click' OR NOT user_id < 10) AS hit, FALSE AS broken FROM events""")
+def rule_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = {"amount": F.col("value"), "kind": F.col("event_type"), "user": F.col("user_id")}
+    hit = predicates.rule_text("20 < Amount <= 80 and (kind == 'click' or not user < 10)", known)
+    broken = predicates.rule_text("amount > 0 and __import__('os')", known)
+    return table(spark, sf_dir, "events").select("event_id", hit.alias("hit"), broken.alias("broken"))
+
+
+@query("registry_dates", """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN STRFTIME(o_orderdate, '%Y-%m-%d') WHEN 1 THEN STRFTIME(o_orderdate, '%Y-%m-01') WHEN 2 THEN STRFTIME(o_orderdate, '%Y-01-01') WHEN 5 THEN o_orderpriority END AS value, o_orderkey % 6 IN (1, 2) AS derived FROM orders""")
+def registry_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = lambda pattern: F.date_format("o_orderdate", pattern)
+    said = F.element_at(F.array(day("M/d/yyyy"), day("M.yyyy"), day("yyyy"), F.lit(" n/a"), F.lit("12 2 1"), F.col("o_orderpriority")), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.registry_date(said).alias("d")).select("o_orderkey", "d.value", "d.derived")
+
+
+@query("keyword_hits", """SELECT p_partkey, CASE WHEN REGEXP_MATCHES(p_name, '^s[a-z]+') THEN 's_words' WHEN CONTAINS(p_name, 'ring') THEN 'ring' WHEN REGEXP_MATCHES(p_type, 'ECON') THEN 'raw' END AS rule_hit,
+  CASE WHEN REGEXP_MATCHES(p_name, '^s[a-z]+') THEN REGEXP_EXTRACT(p_name, '^s[a-z]+') WHEN CONTAINS(p_name, 'ring') THEN 'Ring' WHEN REGEXP_MATCHES(p_type, 'ECON') THEN 'ECON' END AS matched, LOWER(p_type) AS history FROM part""")
+def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules_ = [{"id": "s_words", "pattern": "^S[a-z]+"}, {"id": "ring", "value": "Ring"}, {"id": "raw", "pattern": "econ", "match_on": "raw"}]
+    hit = text.keyword_hit(F.col("p_name"), F.col("p_type"), rules_)
+    return table(spark, sf_dir, "part").select("p_partkey", hit.alias("h"), text.history_text(F.concat(F.lit("  "), "p_type")).alias("history")).select("p_partkey", "h.rule_hit", "h.matched", "history")
+
+
+@query("letter_checks", """WITH t AS (SELECT conv_id, turn, text, REGEXP_REPLACE(text, 'th(e|is)', 'X', 'gi') AS fixed FROM conversations)
+SELECT conv_id, turn, MD5(fixed) AS digest, CAST(LEN(REGEXP_EXTRACT_ALL(text, '(?i)th(e|is)')) AS INT) AS replaced, CAST(LEN(REGEXP_EXTRACT_ALL(fixed, '(?i)an?d')) AS INT) AS kept FROM t""")
+def letter_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = text.checked_letter(F.col("text"), [("pii", text.SSN)], [("wording", "th(e|is)", "X"), ("style", "an?d", None)])
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", checked.alias("c"))
+    count = lambda rule: F.coalesce(F.get(F.filter("c.violations", lambda e: e["rule"] == rule), F.lit(0))["n"], F.lit(0))
+    return rows.select("conv_id", "turn", F.md5(F.col("c.text").cast("binary")).alias("digest"), count("wording").alias("replaced"), count("style").alias("kept"))
+
+
+@query("ai_payloads", """SELECT c_custkey, 'status=' || c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN ',type=****' || RIGHT(LPAD(CAST(c_custkey AS VARCHAR), 12, '4'), 4) ELSE '' END AS fields, c_custkey % 2 = 0 AS has_type, RIGHT(LPAD(CAST(c_custkey AS VARCHAR), 9, '7'), 4) AS last4 FROM customer""")
+def ai_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' fields, a long number in one of them, as they may be sent."""
+    key = F.col("c_custkey").cast("string")
+    base = F.create_map(F.lit("status"), F.col("c_mktsegment"), F.lit("account_number"), F.concat(F.lit("#"), F.lpad(key, 9, "7")))
+    more = F.create_map(F.lit("type"), F.lpad(key, 12, "4"))
+    fields = F.when(F.col("c_custkey") % 2 == 0, F.map_concat(base, more)).otherwise(base)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", text.ai_payload(fields, ["status", "type"]).alias("p"))
+    shown = F.array_join(F.array_sort(F.transform(F.map_entries("p.fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return rows.select("c_custkey", shown.alias("fields"), F.element_at("p.present", "type").alias("has_type"), "p.last4")

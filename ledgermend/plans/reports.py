@@ -56,8 +56,7 @@ def percentile_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("percentile_ceil", "SELECT o_orderpriority, QUANTILE_DISC(o_totalprice, 0.95) AS p95 FROM orders GROUP BY 1")
 def percentile_ceil(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest rank, as for match confidence."""
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.expr("percentile_disc(0.95) within group (order by o_totalprice)").alias("p95"))
+    return analytics.nearest_rank(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", 95, "p95")
 
 
 @query("heatmap", "SELECT event_type AS tag, STRFTIME(ts, '%Y-%m-%d') AS field, CAST(COUNT(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
@@ -102,10 +101,10 @@ def gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("usage_totals", "SELECT event_type, CAST(SUM(user_id) AS BIGINT) AS tokens, ROUND(SUM(value), 2) AS cost, CAST(COUNT(*) AS BIGINT) AS calls FROM events GROUP BY 1")
 def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum("user_id").alias("tokens"), F.round(F.sum("value"), 2).alias("cost"), F.count(F.lit(1)).alias("calls"))
+    return analytics.usage_totals(table(spark, sf_dir, "events"), ["event_type"], "user_id", "value")
 
 
-GUARD_SQL = """WITH t AS (SELECT 't' || (user_id % 7) AS template, COUNT(*) FILTER (event_type = 'view') AS total, COUNT(*) FILTER (event_type = 'error' AND event_id % 9 = 0) AS fails,
+GUARD_SQL = """WITH t AS (SELECT 't' || (user_id % 7) AS template, COUNT(*) FILTER (event_type = 'view') AS total, COUNT(*) FILTER (event_type = 'error') AS fails,
   COUNT(*) FILTER (event_type = 'click') AS sanitized FROM events GROUP BY 1)
 SELECT template, (total > 0 AND (fails >= 0.01 * total OR sanitized > 0.9 * total)) AS breached FROM t WHERE total + fails + sanitized > 0"""
 
@@ -113,16 +112,16 @@ SELECT template, (total > 0 AND (fails >= 0.01 * total OR sanitized > 0.9 * tota
 @query("guardrails", GUARD_SQL)
 def guardrails(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("t", F.concat(F.lit("t"), (F.col("user_id") % 7).cast("string")))
-    prefix = F.when(F.col("event_type") == "view", "router.finalized.").when((F.col("event_type") == "error") & (F.col("event_id") % 9 == 0), "validation.failed.").when(F.col("event_type") == "click", "sanitizer.applied.")
+    prefix = F.when(F.col("event_type") == "view", "router.finalized.").when(F.col("event_type") == "error", "validation.failed.").when(F.col("event_type") == "click", "sanitizer.applied.")
     counts = e.where(prefix.isNotNull()).groupBy(F.concat(prefix, "t").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value"))
     return analytics.guardrails(counts, 1e9, 0.9).select("template", "breached")
 
 
-@query("eval_change", """WITH a AS (SELECT event_type AS metric, AVG(value) AS pre FROM events WHERE user_id % 2 = 0 GROUP BY 1), b AS (SELECT event_type AS metric, AVG(value) AS post FROM events WHERE user_id % 2 = 1 AND event_type <> 'error' GROUP BY 1)
+@query("eval_change", """WITH a AS (SELECT event_type AS metric, AVG(value) AS pre FROM events WHERE user_id % 2 = 0 GROUP BY 1), b AS (SELECT event_type AS metric, AVG(value) AS post FROM events WHERE user_id % 2 = 1 GROUP BY 1)
 SELECT COALESCE(a.metric, b.metric) AS metric, ROUND(COALESCE(pre, 0), 6) AS pre, ROUND(COALESCE(post, 0), 6) AS post, ROUND(COALESCE(post, 0) - COALESCE(pre, 0), 6) AS delta FROM a FULL OUTER JOIN b ON a.metric = b.metric""")
 def eval_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("metric"), "value")
-    found = analytics.eval_change(e.where("user_id % 2 = 0"), e.where("user_id % 2 = 1 and metric <> 'error'"))
+    found = analytics.eval_change(e.where("user_id % 2 = 0"), e.where("user_id % 2 = 1"))
     return found.select("metric", *[F.round(c, 6).alias(c) for c in ("pre", "post", "delta")])
 
 

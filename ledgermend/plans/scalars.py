@@ -106,9 +106,9 @@ def history_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("l_orderkey", histories.aligned_similarity(F.col("a"), F.col("b")).alias("similarity"))
 
 
-@query("gap_columns", """WITH v AS (SELECT DISTINCT p_brand, p_retailprice AS x FROM part), g AS (SELECT *, CASE WHEN x - LAG(x) OVER (PARTITION BY p_brand ORDER BY x) > 20 OR LAG(x) OVER (PARTITION BY p_brand ORDER BY x) IS NULL THEN 1 ELSE 0 END AS b FROM v),
-i AS (SELECT *, SUM(b) OVER (PARTITION BY p_brand ORDER BY x ROWS UNBOUNDED PRECEDING) AS c FROM g) SELECT p_brand, CAST(c AS BIGINT) AS cluster, ROUND(AVG(x), 4) AS centre FROM i GROUP BY 1, 2""")
+@query("gap_columns", """WITH v AS (SELECT DISTINCT p_partkey % 8 + 8 * (p_partkey // 1000) AS page, p_retailprice AS x FROM part), g AS (SELECT *, CASE WHEN x - LAG(x) OVER (PARTITION BY page ORDER BY x) > 0.9 OR LAG(x) OVER (PARTITION BY page ORDER BY x) IS NULL THEN 1 ELSE 0 END AS b FROM v),
+i AS (SELECT *, SUM(b) OVER (PARTITION BY page ORDER BY x ROWS UNBOUNDED PRECEDING) AS c FROM g) SELECT page, CAST(c AS BIGINT) AS cluster, ROUND(AVG(x), 4) AS centre FROM i GROUP BY 1, 2""")
 def gap_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = table(spark, sf_dir, "part").select("p_brand", F.col("p_retailprice").alias("x")).distinct()
-    runs = sequence.gap_islands(values, ["p_brand"], "x", 20.0, "cluster")
-    return runs.groupBy("p_brand", F.col("cluster").cast("long").alias("cluster")).agg(F.round(F.avg("x"), 4).alias("centre"))
+    values = table(spark, sf_dir, "part").select((F.col("p_partkey") % 8 + 8 * F.floor(F.col("p_partkey") / 1000)).alias("page"), F.col("p_retailprice").alias("x")).distinct()
+    runs = sequence.gap_islands(values, ["page"], "x", 0.9, "cluster")
+    return runs.groupBy("page", F.col("cluster").cast("long").alias("cluster")).agg(F.round(F.avg("x"), 4).alias("centre"))

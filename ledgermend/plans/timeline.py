@@ -207,7 +207,7 @@ def business_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-RANK_SQL = """WITH f AS (SELECT p_brand AS k, p_partkey, p_name AS field, CASE p_partkey % 5 WHEN 0 THEN 'status' WHEN 1 THEN 'activity' WHEN 2 THEN 'terms' WHEN 3 THEN 'history' ELSE 'other' END AS category, p_size AS min_days,
+RANK_SQL = """WITH f AS (SELECT p_partkey // 8 AS k, p_partkey, p_name AS field, CASE p_partkey % 5 WHEN 0 THEN 'status' WHEN 1 THEN 'activity' WHEN 2 THEN 'terms' WHEN 3 THEN 'history' ELSE 'other' END AS category, p_size AS min_days,
   CASE p_partkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS bonus, CAST(p_partkey % 4 AS INT) AS present, CASE p_partkey % 4 WHEN 0 THEN 'opener' WHEN 1 THEN 'supporter' WHEN 2 THEN 'opener' ELSE 'skipped' END AS role FROM part)
 SELECT k, p_partkey, role, min_days + bonus AS score, CAST(ROW_NUMBER() OVER (PARTITION BY k, role ORDER BY min_days + bonus DESC, min_days DESC, present DESC, CASE category WHEN 'status' THEN 1 WHEN 'activity' THEN 2 WHEN 'terms' THEN 3 WHEN 'history' THEN 4 ELSE 5 END, bonus DESC, field, p_partkey) AS INT) AS place FROM f"""
 
@@ -216,7 +216,7 @@ SELECT k, p_partkey, role, min_days + bonus AS score, CAST(ROW_NUMBER() OVER (PA
 def findings_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     parts = table(spark, sf_dir, "part").select(
-        F.col("p_brand").alias("k"), "p_partkey", F.concat("p_name", F.lit(" "), F.lpad(key.cast("string"), 12, "0")).alias("field"),
+        F.floor(key / 8).alias("k"), "p_partkey", F.concat("p_name", F.lit(" "), F.lpad(key.cast("string"), 12, "0")).alias("field"),
         F.element_at(F.array(*[F.lit(c) for c in ("status", "activity", "terms", "history", "other")]), (key % 5 + 1).cast("int")).alias("category"),
         F.col("p_size").alias("min_days"), F.element_at(F.array(*[F.lit(c) for c in ("C5_ALL_DIFF", "C4_TWO_MATCH_ONE_DIFF", "C2_ONE_MISSING")]), (key % 3 + 1).cast("int")).alias("reason_code"),
         (key % 4).cast("int").alias("present_count"), F.array().cast("array<string>").alias("documents"), F.array().cast("array<string>").alias("bureaus"),
@@ -232,12 +232,12 @@ def stronger_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.stronger(items, ["p_brand", "p_type"]).select("p_brand", "p_type", F.col("order_index").alias("p_partkey"))
 
 
-@query("weakest_inner", """WITH r AS (SELECT *, MIN(p_partkey) OVER w AS lo, MAX(p_partkey) OVER w AS hi FROM part WINDOW w AS (PARTITION BY p_brand)),
-n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY p_brand ORDER BY p_size, p_retailprice, p_partkey) AS n FROM r WHERE p_partkey > lo AND p_partkey < hi)
-SELECT p_brand, p_partkey AS order_index, p_size AS strength FROM n WHERE n = 1""")
+@query("weakest_inner", """WITH r AS (SELECT *, p_partkey // 8 AS account, MIN(p_partkey) OVER w AS lo, MAX(p_partkey) OVER w AS hi FROM part WINDOW w AS (PARTITION BY p_partkey // 8)),
+n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY account ORDER BY p_size, p_retailprice, p_partkey) AS n FROM r WHERE p_partkey > lo AND p_partkey < hi)
+SELECT account, p_partkey AS order_index, p_size AS strength FROM n WHERE n = 1""")
 def weakest_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("order_index"), F.col("p_size").alias("strength"), F.col("p_retailprice").alias("min_days"))
-    return findings.weakest_inner(items, ["p_brand"])
+    items = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 8).alias("account"), F.col("p_partkey").alias("order_index"), F.col("p_size").alias("strength"), F.col("p_retailprice").alias("min_days"))
+    return findings.weakest_inner(items, ["account"])
 
 
 @query("turn_blocks", """WITH b AS (SELECT conv_id, turn, role, SUM(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) + CASE WHEN FIRST_VALUE(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'user' THEN 0 ELSE 1 END AS block FROM conversations)
@@ -256,9 +256,5 @@ def look_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("head_and_tail", """WITH h AS (SELECT user_id, LIST(event_type ORDER BY ts, event_id) AS l FROM events GROUP BY 1)
 SELECT user_id, ARRAY_TO_STRING(l[1:6], ',') AS first, ARRAY_TO_STRING(l[GREATEST(LEN(l) - 5, 1):], ',') AS last FROM h""")
 def head_and_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first and last six events: two bounded windows, so no user's whole history meets in one row."""
-    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
-    first = events.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("n <= 6")
-    last = events.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc()))).where("n <= 6")
-    text = lambda order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "event_type"))), lambda e: e["event_type"]), ",")
-    return first.groupBy("user_id").agg(text("n").alias("first")).join(last.groupBy("user_id").agg(text((-F.col("n")).alias("n")).alias("last")), "user_id")
+    found = sequence.ends(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], "event_type")
+    return found.select("user_id", F.array_join("first", ",").alias("first"), F.array_join("last", ",").alias("last"))
