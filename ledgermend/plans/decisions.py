@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermend.functions import dates, money, predicates, text
-from ledgermend.operators import consensus, findings, matching, outcomes, requirements, rules, sequence, taxonomy
+from ledgermend.operators import consensus, findings, matching, monthly, outcomes, requirements, rules, sequence, taxonomy
 from ledgermend.plans.catalog import query, table
 
 LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
@@ -392,3 +392,24 @@ def ai_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_custkey", text.ai_payload(fields, ["status", "type"]).alias("p"))
     shown = F.array_join(F.array_sort(F.transform(F.map_entries("p.fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
     return rows.select("c_custkey", shown.alias("fields"), F.element_at("p.present", "type").alias("has_type"), "p.last4")
+
+
+MONTHLY_SQL = """WITH l AS (SELECT l_orderkey, STRFTIME(MIN(l_shipdate), '%b') AS month, CAST(STRFTIME(MIN(l_shipdate), '%m') AS INT) AS month_number, CASE CAST(MIN(l_quantity) AS INT) % 4 WHEN 0 THEN 'ok' WHEN 1 THEN '30' WHEN 2 THEN 'co' ELSE '--' END AS status, l_linenumber FROM lineitem GROUP BY l_orderkey, l_linenumber)
+SELECT l_orderkey, 'experian' AS bureau, CAST(ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS INT) AS place, month, status, month_number FROM l"""
+
+
+def layout_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as accounts: a section heading, a bureau, a row of statuses and below it a row of months, a column a line number."""
+    n = F.col("l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_shipdate").alias("day"), F.min("l_quantity").cast("int").alias("q"))
+    status = F.element_at(F.array(*[F.lit(x) for x in ("OK", "30", "CO", "none")]), F.col("q") % 4 + 1)
+    token = lambda place, text_, x0, y0, width=8.0: F.struct(place.cast("int").alias("n"), text_.alias("text"), x0.cast("double").alias("x0"), (x0 + width).cast("double").alias("x1"), F.lit(y0).alias("y0"), F.lit(y0 + 1).alias("y1"))
+    cells = lines.select("l_orderkey", F.explode(F.array(token(10 + n, status, n * 10, 0.0), token(100 + n, F.date_format("day", "MMM"), n * 10 + 2, 9.0))).alias("t"))
+    heads = lines.select("l_orderkey").distinct().select("l_orderkey", F.explode(F.array(token(F.lit(1), F.lit("Two-Year"), F.lit(0), 0.0), token(F.lit(2), F.lit("Experian"), F.lit(0), 0.0), token(F.lit(900), F.lit("Seven Years"), F.lit(0), 0.0))).alias("t"))
+    return cells.unionByName(heads).select("l_orderkey", F.lit(1).alias("page"), "t.*")
+
+
+@query("monthly_history", MONTHLY_SQL)
+def monthly_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = monthly.monthly_history(layout_tokens(spark, sf_dir), ["l_orderkey"])
+    return found.select("l_orderkey", "bureau", "place", "month", "status", "month_number")
