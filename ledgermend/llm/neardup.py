@@ -46,7 +46,7 @@ DEEP, DEEP_SHARE = 512, 0.66
 PART = 1024
 BLOCK = 1024
 #: Columns of a block's value matrix held at a time.
-STRIP = 4096
+STRIP = 1024
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray):
@@ -75,24 +75,25 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _sketches(batches):
     for batch in batches:
-        n, fp1, fp2, sketch = [], [], [], []
-        for _, data, offsets in slices(batch):
+        for rows, data, offsets in slices(batch):
+            n, fp1, fp2, sketch = [], [], [], []
             for own in shingle_sets(data, offsets):
                 n.append(len(own))
                 with np.errstate(over="ignore"):
                     fp1.append(int(_signed(mix(own + U64(1)).sum(dtype=U64, keepdims=True))[0]))
                     fp2.append(int(_signed(mix(own ^ U64(0x5BD1E995A5A5A5A5)).sum(dtype=U64, keepdims=True))[0]))
                 sketch.append(_signed(own[:K]))
-        columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64())]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "n", "fp1", "fp2", "sketch"])
+            columns = [batch.column(0)[rows], pa.array(n, pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "n", "fp1", "fp2", "sketch"])
 
 
 def _sets(batches):
     """``node, deep, whole``: the deep sketch as values, the full set as bytes."""
     for batch in batches:
-        own = [s for _, data, offsets in slices(batch) for s in shingle_sets(data, offsets)]
-        deep = pa.array([_signed(s[:DEEP]) for s in own], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), deep, pa.array([s.tobytes() for s in own], pa.binary())], ["node", "deep", "whole"])
+        for rows, data, offsets in slices(batch):
+            own = list(shingle_sets(data, offsets))
+            deep = pa.array([_signed(s[:DEEP]) for s in own], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0)[rows], deep, pa.array([s.tobytes() for s in own], pa.binary())], ["node", "deep", "whole"])
 
 
 def may_link(a: np.ndarray, b: np.ndarray, k: int = K, share: float = SHARE) -> bool:

@@ -43,6 +43,8 @@ WINDOW = 35
 PHRASES = (8, 20)
 HOT = 2000
 BLOCK_BYTES = 16 << 20
+#: Phrases counted together before they are sent.
+LETTER_KEYS = 1 << 18
 SEGMENTS, PASSAGES = 3, 4
 _SPREAD = 0xC2B2AE3D27D4EB4F
 
@@ -55,7 +57,10 @@ class Windows:
         self.starts, self.ends, self.firsts = word_spans(data, offsets)
         self.words = span_hashes(data, self.starts, self.ends)
         self.start = within(self.firsts, WINDOW)
-        self.window = gram_hashes(self.words, WINDOW, _SPREAD)[self.start] if len(self.start) else self.words[:0]
+
+    def window(self) -> np.ndarray:
+        """Of each window: the hash of its words."""
+        return gram_hashes(self.words, WINDOW, _SPREAD)[self.start] if len(self.start) else self.words[:0]
 
     def phrase(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Of each window: where its phrase of ``PHRASES[k]`` words starts, and the phrase's key."""
@@ -88,6 +93,9 @@ def _phrase_keys(n: int):
                     at, one = np.unique(at, return_index=True)
                     keys.append(key[one])
                     blocks.append(block[rows][np.searchsorted(w.firsts, at, "right") - 1])
+                if sum(map(len, keys)) > LETTER_KEYS:
+                    yield from tally(keys, blocks, n)
+                    keys, blocks = [], []
             yield from tally(keys, blocks, n)
 
     return run
@@ -109,7 +117,7 @@ def _segments(n: int):
                 (at, short), (_, long) = w.phrase(0), w.phrase(1)
                 known, hot = common.find(short)
                 both, crowded = common.find(long)
-                home = np.where(hot, np.where(crowded, w.window, long), short)
+                home = np.where(hot, np.where(crowded, w.window(), long), short)
                 # A window that goes by its own hash is a segment of its own.
                 run_of = np.where(hot, np.where(crowded, np.arange(len(home)), -1), at)
                 pick = np.flatnonzero(known & both)
@@ -143,7 +151,7 @@ def _confirm(shard: int, rows: list):
     joined = np.frombuffer(b"\n".join(texts), np.uint8)
     w = Windows(joined, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1], [len(joined)]]))
     owner = np.searchsorted(w.firsts, w.start, "right") - 1
-    _, number = np.unique(w.window, return_inverse=True)
+    _, number = np.unique(w.window(), return_inverse=True)
     found = np.flatnonzero(np.bincount(number, np.concatenate(counts)[owner])[number] > 1)
     if not len(found):
         return

@@ -9,7 +9,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+#: Arrays of eight bytes a byte of text are made of a slice, so this bounds a task's memory.
+SLICE_BYTES = 1 << 19
 #: The word pattern of all operators is [^\x20\x09-\x0D]+.
 SPACES = (9, 10, 11, 12, 13, 32)
 BASE = 0x9E3779B97F4A7C15
