@@ -1,137 +1,97 @@
 """Dispute schedules: which finding opens, which closes, and on which days they go out.
 
-A plan is a search over start weekdays and handoff gaps that each account does for
-itself, so accounts are grouped and planned in pandas; an account has few findings.
+A schedule is a path over states (start weekday, days of the last submission): every
+round joins all open states of all accounts with their next finding, explodes
+the handoff gaps and keeps, of the schedules that meet in the same days, that with the
+smallest gaps.  Submissions are a day apart at least, so a schedule has no more
+than ``SPAN`` + 1 of them, and rounds are bounded by that, whatever an account holds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PLAN = "account string, field string, role string, position int, submit_day int, due_day int, unused_days int, span int, start_weekday int"
-COLUMNS = ("account", "field", "role", "position", "submit_day", "due_day", "unused_days", "span", "start_weekday")
-WEEKEND = (5, 6)
-SPAN = 45
-
-
-def _roll(day: int, start_weekday: int) -> int:
-    while (start_weekday + day) % 7 in WEEKEND:
-        day += 1
-    return day
-
-
-def _due(day: int, days: int, start_weekday: int, business: bool) -> int:
-    """The day on which an answer is due: calendar days, or business days after the submission."""
-    if not business:
-        return day + days
-    left = days
-    while left > 0:
-        day += 1
-        left -= (start_weekday + day) % 7 not in WEEKEND
-    return day
-
-
-def sequence(items: list[tuple]) -> list[tuple]:
-    """The strongest item first, the one with the longest answer time last, the others by strength; (field, strength, days, business)."""
-    best: dict[str, tuple] = {}
-    for item in items:
-        have = best.get(item[0])
-        if have is None or (item[1], item[2]) > (have[1], have[2]):
-            best[item[0]] = item
-    rest = sorted(best.values(), key=lambda x: (-x[1], -x[2], x[0]))
-    if len(rest) < 3:
-        return rest
-    opener = rest.pop(0)
-    closer = max(rest, key=lambda x: (x[2], x[1], x[0]))
-    rest.remove(closer)
-    return [opener, *rest, closer]
+from ledgermend.workspace import stored
 
+#: Monday is 0; nothing goes out on the last two days of a week.
+WORKDAYS = 5
+SPAN = 45
+HANDOFF = (1, 3)
 
-def last_answers(items: list[tuple], handoff: tuple[int, int], start_weekday: int, span: int) -> dict[tuple, tuple]:
-    """Reachable schedules by their last (sent, due), each with its smallest gaps and its days.
 
-    An item goes out so many days before the one before it is due, never on a
-    weekend.  Schedules that meet in the same days are continued once.
-    """
-    first = _roll(0, start_weekday)
-    due = _due(first, items[0][2], start_weekday, items[0][3])
-    states = {(first, due): ((), ((first, due),))}
-    for item in items[1:]:
-        following: dict[tuple, tuple] = {}
-        for (sent, due), (gaps, days) in sorted(states.items(), key=lambda x: x[1][0]):
-            for gap in range(handoff[0], handoff[1] + 1):
-                day = _roll(max(sent + 1, due - gap), start_weekday)
-                key = (day, _due(day, item[2], start_weekday, item[3]))
-                if day <= span:
-                    found = ((*gaps, gap), (*days, key))
-                    following[key] = min(following.get(key, found), found)
-        states = following
-    return states
+def rolled(day: Column, weekday: Column) -> Column:
+    """The day itself, or the Monday after it; days count from a start on ``weekday``."""
+    at = F.pmod(weekday + day, F.lit(7))
+    return (day + F.when(at >= WORKDAYS, 7 - at).otherwise(0)).cast("int")
 
 
-def _earliest(items: list[tuple], handoff: tuple[int, int], start_weekday: int) -> int:
-    """The earliest day of the last answer: the widest gap each time, as rolling and due days keep order."""
-    day = _roll(0, start_weekday)
-    due = _due(day, items[0][2], start_weekday, items[0][3])
-    for item in items[1:]:
-        day = _roll(max(day + 1, due - handoff[1]), start_weekday)
-        due = _due(day, item[2], start_weekday, item[3])
-    return due
+def answer_day(day: Column, days: Column, business: Column, weekday: Column) -> Column:
+    """The day on which an answer to a submission on a working day is due: calendar or business days later."""
+    at, rest = F.pmod(weekday + day, F.lit(7)), days % WORKDAYS
+    working = F.floor(days / WORKDAYS) * 7 + rest + F.when(at + rest >= WORKDAYS, 2).otherwise(0)
+    return (day + F.when(business, working).otherwise(days)).cast("int")
 
 
-def best_plan(items: list[tuple], handoff: tuple[int, int] = (1, 3), span: int = SPAN) -> tuple[list[tuple], list[tuple[int, int]], int]:
-    """The order, days and start weekday whose last answer comes latest within the span; earliest weekday and smallest gaps on ties.
+def in_order(findings: DataFrame, account: str) -> DataFrame:
+    """Findings with ``place`` and ``n``: the strongest first, the one with the longest answer time last, the others by strength.
 
-    Items that don't fit are dropped from between opener and closer, the weakest first;
-    an opener that doesn't fit alone still goes out.
+    Of a field the strongest finding counts, then the one with the longest answer time, then business days.
     """
-    order = sequence(items)
-    while order:
-        found = [(-due, weekday, gaps, days) for weekday in range(7) if weekday not in WEEKEND and _earliest(order, handoff, weekday) <= span for (_, due), (gaps, days) in last_answers(order, handoff, weekday, span).items() if due <= span]
-        if found:
-            _, weekday, _, days = min(found)
-            return order, list(days), weekday
-        if len(order) <= 2:
-            first = _roll(0, 0)
-            return order[:1], [(first, _due(first, order[0][2], 0, order[0][3]))], 0
-        weakest = min(range(1, len(order) - 1), key=lambda k: (order[k][1], order[k][2], -k))
-        order = order[:weakest] + order[weakest + 1 :]
-    return [], [], 0
-
-
-def _plan(account: str, items: list[tuple]) -> list[tuple]:
-    order, days, weekday = best_plan(items)
-    last = days[-1][1] if days else 0
-    role = lambda k: "opener" if k == 0 else "closer" if k == len(order) - 1 else "supporter"
-    return [(account, item[0], role(k), k + 1, sent, due, max(0, (days[k + 1][0] if k + 1 < len(days) else due) - sent - item[2]), last, weekday) for k, (item, (sent, due)) in enumerate(zip(order, days, strict=True))]
-
-
-def _plans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by account: an account may go on in the next batch."""
-    account, items = None, []
-    for batch in batches:
-        out = []
-        for name, field, strength, days, business in batch[["account", "field", "strength", "min_days", "business"]].itertuples(index=False, name=None):
-            if name != account and items:
-                out += _plan(account, items)
-                items = []
-            account = name
-            items.append((field, int(strength), int(days), bool(business)))
-        yield pd.DataFrame(out, columns=list(COLUMNS))
-    if items:
-        yield pd.DataFrame(_plan(account, items), columns=list(COLUMNS))
+    best = F.max(F.struct("strength", "min_days", "business")).alias("x")
+    each = findings.groupBy(account, "field").agg(best).select(account, "field", "x.*")
+    w = Window.partitionBy(account)
+    by_strength = w.orderBy(F.col("strength").desc(), F.col("min_days").desc(), "field")
+    ranked = each.withColumn("_k", F.row_number().over(by_strength)).withColumn("n", F.count(F.lit(1)).over(w).cast("int"))
+    last = F.row_number().over(Window.partitionBy(account, F.col("_k") == 1).orderBy(F.col("min_days").desc(), F.col("strength").desc(), F.col("field").desc()))
+    ranked = ranked.withColumn("_closes", (F.col("_k") > 1) & (last == 1) & (F.col("n") > 2))
+    return ranked.withColumn("place", F.row_number().over(w.orderBy("_closes", "_k"))).drop("_k", "_closes")
 
 
-def plans(findings: DataFrame) -> DataFrame:
+def plans(findings: DataFrame, account: str = "account", span: int = SPAN, handoff: tuple[int, int] = HANDOFF) -> DataFrame:
     """``account, field, strength, min_days, business`` to one row per planned submission.
 
-    Of a field the strongest finding counts, then the one with the longest answer
-    time, then business days; Spark picks it, so an account has a row a field.
+    The plan whose last answer comes latest within the span, then that of the earliest start weekday and the
+    smallest gaps.  A submission goes out so many days (``handoff``) before the answer to the one before it is due,
+    never on a weekend.  Findings that don't fit are left out from between opener and closer, the weakest first; an
+    opener that doesn't fit alone still goes out.
     """
-    best = F.max(F.struct("strength", "min_days", "business")).alias("x")
-    findings = findings.groupBy("account", "field").agg(best).select("account", "field", "x.*")
-    return findings.repartition("account").sortWithinPartitions("account").mapInPandas(_plans, PLAN)
+    items = stored(in_order(findings, account), "plan-items")
+    item = F.struct("field", "min_days", "business")
+    chosen = items.select(account, "place", item.alias("item"))
+    # Every number of findings that may be kept is tried at once; the last one always closes.
+    sizes = items.where("place = 1").select(account, "n", F.explode(F.sequence(F.least(F.col("n"), F.lit(2)), F.least(F.col("n"), F.lit(span + 1)))).alias("size"))
+    starts = sizes.select("*", F.explode(F.array(*[F.lit(d) for d in range(WORKDAYS)])).alias("weekday"))
+    first = starts.join(chosen.where("place = 1").drop("place"), account)
+    sent = rolled(F.lit(0), F.col("weekday"))
+    due = answer_day(F.col("sent"), F.col("item.min_days"), F.col("item.business"), F.col("weekday"))
+    entry = F.struct("item.field", "item.min_days", "sent", "due")
+    state = [account, "n", "size", "weekday", "done", "sent", "due", "gaps", "days"]
+    states = first.withColumn("sent", sent).withColumn("due", due).select(account, "n", "size", "weekday", F.lit(1).alias("done"), "sent", "due", F.array().cast("array<int>").alias("gaps"), F.array(entry).alias("days"))
+    states, ended = stored(states, "plan-states"), []
+    while not states.isEmpty():
+        ended.append(states.where("done = size").select(*state))
+        open_ = states.where("done < size")
+        place = F.when(F.col("done") + 1 == F.col("size"), F.col("n")).otherwise(F.col("done") + 1)
+        met = open_.withColumn("place", place).join(chosen, [account, "place"])
+        met = met.withColumn("gap", F.explode(F.sequence(F.lit(handoff[0]), F.lit(handoff[1]))))
+        met = met.withColumn("sent", rolled(F.greatest(F.col("sent") + 1, F.col("due") - F.col("gap")), F.col("weekday"))).where(F.col("sent") <= span)
+        met = met.withColumn("due", due).withColumn("gaps", F.concat("gaps", F.array("gap"))).withColumn("days", F.concat("days", F.array(entry)))
+        key = [account, "n", "size", "weekday", "sent", "due"]
+        best = met.groupBy(*key, (F.col("done") + 1).alias("done")).agg(F.min(F.struct("gaps", "days")).alias("x"))
+        states = stored(best.select(*key, "done", "x.gaps", "x.days"), "plan-states")
+    found = ended[0]
+    for more in ended[1:]:
+        found = found.unionByName(more)
+    fits = F.struct((-F.col("size")).alias("size"), (-F.col("due")).alias("due"), "weekday", "gaps", "days")
+    planned = found.where(F.col("due") <= span).groupBy(account).agg(F.min(fits).alias("p")).select(account, "p.weekday", "p.days")
+    # An opener that misses the span goes out on a Monday.
+    alone = items.where("place = 1").withColumn("weekday", F.lit(0)).withColumn("sent", F.lit(0)).withColumn("item", item).withColumn("due", due)
+    alone = alone.join(planned, account, "left_anti").select(account, "weekday", F.array(entry).alias("days"))
+    rows = planned.unionByName(alone).select(account, "weekday", F.size("days").alias("size"), F.element_at("days", -1)["due"].alias("span"), "days", F.posexplode("days").alias("k", "d"))
+    until = F.when(F.col("k") + 1 < F.col("size"), F.get("days", F.col("k") + 1)["sent"]).otherwise(F.col("d.due"))
+    role = F.when(F.col("k") == 0, "opener").when(F.col("k") + 1 == F.col("size"), "closer").otherwise("supporter")
+    unused = F.greatest(F.lit(0), until - F.col("d.sent") - F.col("d.min_days"))
+    return rows.select(
+        account, "d.field", role.alias("role"), (F.col("k") + 1).alias("position"), F.col("d.sent").alias("submit_day"), F.col("d.due").alias("due_day"), unused.alias("unused_days"), "span", F.col("weekday").alias("start_weekday"),
+    )

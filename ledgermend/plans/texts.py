@@ -88,7 +88,7 @@ def normalized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dispute_plans")
 def dispute_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as accounts, their lines as findings: a schedule search per account; tests check its invariants."""
+    """Orders as accounts, their lines as findings; tests hold the plans against a search account by account."""
     lines = table(spark, sf_dir, "lineitem")
     findings = lines.select(F.col("l_orderkey").cast("string").alias("account"), F.concat(F.lit("f"), (F.col("l_partkey") % 7).cast("string")).alias("field"), (F.col("l_suppkey") % 5).cast("int").alias("strength"), (F.col("l_quantity").cast("int") % 12 + 3).alias("min_days"), (F.col("l_linenumber") % 2 == 0).alias("business"))
     return planning.plans(findings)

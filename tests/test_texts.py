@@ -2,7 +2,6 @@
 
 import difflib
 import json
-from itertools import product
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -10,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgermend.functions import pages, text
-from ledgermend.operators import consensus, layout, planning, sequence, similarity
+from ledgermend.operators import consensus, layout, sequence, similarity
 from ledgermend.sources import records
 
 
@@ -162,32 +161,3 @@ def test_labels_medians_and_months(spark):
     df = spark.createDataFrame(raw, "k int, n int, t string")
     found = consensus.month_language(df, ["k"], "n", "t", "Two-Year Payment History", text.HEBREW_MONTHS, [*text.ENGLISH_MONTHS, "march", "june"])
     assert tuple(found.first()) == (1, 3, "en", "MDY")
-
-
-items = st.lists(st.tuples(st.sampled_from("abcdef"), st.integers(0, 3), st.integers(1, 15), st.booleans()), min_size=1, max_size=5)
-
-
-@settings(max_examples=60, deadline=None)
-@given(items)
-def test_plans_keep_their_invariants(found):
-    order, days, weekday = planning.best_plan(found)
-    assert len(order) == len({x[0] for x in order}) and len(order) == len(days)
-    assert all((weekday + sent) % 7 not in planning.WEEKEND for sent, _ in days)
-    assert all(a[0] < b[0] for a, b in zip(days, days[1:]))
-    if len(order) > 1:
-        assert days[-1][1] <= planning.SPAN
-
-
-@settings(max_examples=25, deadline=None)
-@given(items)
-def test_plan_search_equals_enumeration(found):
-    order = planning.sequence(found)
-    for weekday in (0, 3):
-        reached = planning.last_answers(order, (1, 3), weekday, 60)
-        for gaps in product((1, 2, 3), repeat=len(order) - 1):
-            days = []
-            for k, item in enumerate(order):
-                day = planning._roll(0 if not k else max(days[-1][0] + 1, days[-1][1] - gaps[k - 1]), weekday)
-                days.append((day, planning._due(day, item[2], weekday, item[3])))
-            if all(d <= 60 for d, _ in days):
-                assert reached[days[-1]][0] <= gaps
