@@ -1,6 +1,7 @@
 """Dispute schedules: which finding opens, which closes, and on which days they go out.
 
-A schedule is a path over states (start weekday, days of the last submission): every
+How many findings fit is told first, by the earliest possible days.  A schedule is then
+a path over states (start weekday, days of the last submission): every
 round joins all open states of all accounts with their next finding, explodes
 the handoff gaps and keeps, of the schedules that meet in the same days, that with the
 smallest gaps.  Submissions are a day apart at least, so a schedule has no more
@@ -48,6 +49,28 @@ def in_order(findings: DataFrame, account: str) -> DataFrame:
     return ranked.withColumn("place", F.row_number().over(w.orderBy("_closes", "_k"))).drop("_k", "_closes")
 
 
+def sizes_that_fit(items: DataFrame, account: str, span: int, handoff: tuple[int, int]) -> DataFrame:
+    """``account, n, size, weekday``: how many findings fit at most, and the start weekdays for which they do; no row where none do.
+
+    The widest gap each time gives the earliest last answer, as rolling and answer days keep order.
+    The last finding always closes, so the weakest before it are left out.
+    """
+    kept = items.where((F.col("place") <= span + 1) | (F.col("place") == F.col("n")))
+    listed = kept.groupBy(account).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("place", "min_days", "business"))).alias("items"))
+    sizes = F.sequence(F.least(F.col("n"), F.lit(2)), F.least(F.col("n"), F.lit(span + 1)))
+    tried = listed.withColumn("size", F.explode(sizes)).withColumn("weekday", F.explode(F.array(*[F.lit(d) for d in range(WORKDAYS)])))
+    path = F.concat(F.slice("items", F.lit(1), F.col("size") - 1), F.slice("items", F.lit(-1), F.lit(1)))
+
+    def step(at: Column, x: Column) -> Column:
+        sent = F.when(at["due"].isNull(), 0).otherwise(rolled(F.greatest(at["sent"] + 1, at["due"] - handoff[1]), F.col("weekday"))).cast("int")
+        return F.struct(sent.alias("sent"), answer_day(sent, x["min_days"], x["business"], F.col("weekday")).alias("due"))
+
+    start = F.struct(F.lit(None).cast("int").alias("sent"), F.lit(None).cast("int").alias("due"))
+    fitting = tried.where(F.aggregate(path, start, step, lambda at: at["due"]) <= span)
+    days = fitting.groupBy(account, "n", "size").agg(F.collect_list("weekday").alias("days"))
+    return days.groupBy(account).agg(F.max(F.struct("size", "n", "days")).alias("x")).select(account, "x.n", "x.size", F.explode("x.days").alias("weekday"))
+
+
 def plans(findings: DataFrame, account: str = "account", span: int = SPAN, handoff: tuple[int, int] = HANDOFF) -> DataFrame:
     """``account, field, strength, min_days, business`` to one row per planned submission.
 
@@ -59,10 +82,7 @@ def plans(findings: DataFrame, account: str = "account", span: int = SPAN, hando
     items = stored(in_order(findings, account), "plan-items")
     item = F.struct("field", "min_days", "business")
     chosen = items.select(account, "place", item.alias("item"))
-    # Every number of findings that may be kept is tried at once; the last one always closes.
-    sizes = items.where("place = 1").select(account, "n", F.explode(F.sequence(F.least(F.col("n"), F.lit(2)), F.least(F.col("n"), F.lit(span + 1)))).alias("size"))
-    starts = sizes.select("*", F.explode(F.array(*[F.lit(d) for d in range(WORKDAYS)])).alias("weekday"))
-    first = starts.join(chosen.where("place = 1").drop("place"), account)
+    first = stored(sizes_that_fit(items, account, span, handoff), "plan-sizes").join(chosen.where("place = 1").drop("place"), account)
     sent = rolled(F.lit(0), F.col("weekday"))
     due = answer_day(F.col("sent"), F.col("item.min_days"), F.col("item.business"), F.col("weekday"))
     entry = F.struct("item.field", "item.min_days", "sent", "due")
@@ -83,7 +103,7 @@ def plans(findings: DataFrame, account: str = "account", span: int = SPAN, hando
     found = ended[0]
     for more in ended[1:]:
         found = found.unionByName(more)
-    fits = F.struct((-F.col("size")).alias("size"), (-F.col("due")).alias("due"), "weekday", "gaps", "days")
+    fits = F.struct((-F.col("due")).alias("due"), "weekday", "gaps", "days")
     planned = found.where(F.col("due") <= span).groupBy(account).agg(F.min(fits).alias("p")).select(account, "p.weekday", "p.days")
     # An opener that misses the span goes out on a Monday.
     alone = items.where("place = 1").withColumn("weekday", F.lit(0)).withColumn("sent", F.lit(0)).withColumn("item", item).withColumn("due", due)
