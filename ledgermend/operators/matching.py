@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermend.functions.lets import bound
-from ledgermend.functions.money import close_for_matching
+from ledgermend.functions.money import close_for_matching, pack_amount
 from ledgermend.functions.text import strict_level, visible_match
 
 #: Points of a matched field.
@@ -104,6 +104,15 @@ def amount_conflicts(fields: dict[str, tuple[Column, Column]], tol_abs: float, t
     return F.array_compact(F.array(*out))
 
 
+def without_zero_debt(scored: DataFrame, amounts: Sequence[str]) -> DataFrame:
+    """Pairs but those whose amounts (texts, ``_a`` and ``_b`` of each) are all zero; what is no number counts as zero."""
+    zero = F.lit(True)
+    for name in amounts:
+        for side in ("a", "b"):
+            zero = zero & (pack_amount(F.col(f"{name}_{side}")) == 0)
+    return scored.where(~zero)
+
+
 def exact_balance(left: Column, right: Column) -> Column:
     """Whether two arrays of cents share a value other than zero."""
     real = lambda a: F.filter(a, lambda x: x.isNotNull() & (x != 0))

@@ -413,3 +413,13 @@ def layout_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def monthly_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = monthly.monthly_history(layout_tokens(spark, sf_dir), ["l_orderkey"])
     return found.select("l_orderkey", "bureau", "place", "month", "status", "month_number")
+
+
+@query("debt_pairs", """WITH a AS (SELECT c_custkey // 12 AS session, c_custkey AS k, c_custkey % 3 > 0 AS owes, c_acctbal < 0 AS due FROM customer)
+SELECT x.session, x.k AS k_a, y.k AS k_b FROM a x JOIN a y ON x.session = y.session AND x.k < y.k WHERE x.owes OR y.owes OR x.due OR y.due""")
+def debt_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of customers in sessions of twelve; a third owes nothing, and only negative balances are due."""
+    owed = F.when(F.col("c_custkey") % 3 > 0, "$1,200").otherwise(F.element_at(F.array(F.lit("$0.00"), F.lit("n/a"), F.lit("")), (F.col("c_custkey") % 2 + 1).cast("int")))
+    due = F.when(F.col("c_acctbal") < 0, F.col("c_acctbal").cast("string")).otherwise("0")
+    accounts = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 12).alias("session"), F.col("c_custkey").alias("k"), owed.alias("owed"), due.alias("due"))
+    return matching.without_zero_debt(matching.pairs(accounts, "session", "k"), ["owed", "due"]).select("session", "k_a", "k_b")
