@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgermend.functions.dates import business_to_calendar
+from ledgermend.operators.findings import downgraded, requirement_bureaus, strength
+
 #: Statuses, and words in them, that make a history delinquent.
 DELINQUENT = ("30", "60", "90", "120", "150", "180", "CO", "LATE30", "LATE60", "LATE90")
 DELINQUENT_WORDS = ("CHARGE", "COLLECT", "DEROG")
@@ -60,3 +63,27 @@ def history_strength(missing: Column, present: Column, structured: Column, count
     late = F.exists(tokens, lambda own: F.exists(own, bad))
     alike = (F.size(F.array_distinct(counts)) <= 1) & (F.size(F.array_distinct(tokens)) > 1) & ~late
     return F.when((missing > 0) & (present > 0), "soft").when(present == 0, "strong").when(~structured | alike, "soft").otherwise("strong")
+
+
+def requirements(fields: DataFrame, rules: DataFrame, everyone: Sequence[str], broadcast_all: bool = False, monday: str = "2024-01-01") -> DataFrame:
+    """Disagreeing fields as requirements: category, calendar days to answer, strength and whom to ask.
+
+    ``fields`` has field, consensus, disagreeing, missing and present (names of sources), is_missing and
+    is_mismatch, and for histories history_differs; ``rules`` has field, kind, category, min_days and
+    duration_unit (business days count from a Monday).  Fields that agree or have no rule are dropped.
+    """
+    found = with_rules(fields.where("consensus <> 'unanimous'"), rules)
+    business = business_to_calendar(F.lit(monday).cast("date"), F.col("min_days"))
+    days = F.when(F.col("duration_unit") == "business_days", business).otherwise(F.col("min_days"))
+    differs = F.col("history_differs") if "history_differs" in fields.columns else F.lit(True)
+    missing_only = F.col("is_missing") & ~F.col("is_mismatch")
+    return found.withColumns({
+        "min_days": days.cast("int"), "duration_unit": F.lit("calendar_days"), "strength": strength(F.col("kind"), missing_only, F.col("consensus"), differs),
+        "bureaus": requirement_bureaus(F.col("disagreeing"), F.col("missing"), F.col("present"), broadcast_all, everyone),
+    })
+
+
+def built_findings(required: DataFrame, matrix: DataFrame, material: Sequence[str] = ()) -> DataFrame:
+    """Requirements with their default decision: by field and reason, context only where nothing but a value is missing."""
+    decided = with_default_decisions(required, matrix)
+    return decided.withColumn("default_decision", downgraded(F.col("default_decision"), F.col("field"), F.col("is_missing"), F.col("is_mismatch"), material))

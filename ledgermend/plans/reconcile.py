@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermend.functions.money import close_for_consensus
-from ledgermend.operators import consensus, matching, outcomes
+from ledgermend.operators import consensus, matching, outcomes, requirements
 from ledgermend.plans.catalog import query, table
 
 NAMES = ("a", "b", "c")
@@ -126,6 +126,28 @@ def normalized_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("account", "o.value", "o.status")
 
 
+BUILT_SQL = f"""WITH {_SOURCES_SQL}, {_labels_sql('f', '$x = $y')},
+v AS (SELECT account, LIST_FILTER([a.f, b.f, c.f], lambda x: x IS NOT NULL) AS shown, LIST_FILTER([CASE WHEN a.f IS NULL THEN 'a' END, CASE WHEN b.f IS NULL THEN 'b' END, CASE WHEN c.f IS NULL THEN 'c' END], lambda x: x IS NOT NULL) AS gone FROM s),
+r AS (SELECT f4.*, gone, LEN(shown) AS p, LEN(LIST_DISTINCT(shown)) AS d FROM f4 JOIN v ON v.account = f4.account WHERE consensus <> 'unanimous'),
+k AS (SELECT *, CASE WHEN p = 1 THEN 'C2' WHEN p = 2 AND d = 1 THEN 'C1' WHEN p = 2 THEN 'C3' WHEN d = 2 THEN 'C4' ELSE 'C5' END AS reason FROM r)
+SELECT account, 'returnflag' AS field, 'status' AS category, CAST(12 AS INT) AS min_days, CASE consensus WHEN 'split' THEN 'strong' ELSE 'soft' END AS strength, CASE WHEN LEN(gone) > 0 THEN 'a,b,c' ELSE disagreeing END AS bureaus,
+  CASE reason WHEN 'C1' THEN 'neutral_context_only' WHEN 'C2' THEN 'neutral_context_only' WHEN 'C3' THEN 'strong_actionable' WHEN 'C4' THEN 'supportive_needs_companion' END AS default_decision FROM k"""
+
+
+@query("built_findings", BUILT_SQL)
+def built_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From three sources to findings: consensus, reason, rule, strength, whom to ask, default decision."""
+    values, missing = _values("l_returnflag")
+    there = F.array_compact(F.array(*[F.when(~m, F.lit(n)) for m, n in zip(missing, NAMES, strict=True)]))
+    found = three_sources(spark, sf_dir).select("account", F.lit("returnflag").alias("field"), consensus.consensus(values, missing, names=NAMES).alias("c"), consensus.reason(values, missing).alias("r"), there.alias("present"))
+    fields = found.where("c is not null").select("account", "field", "c.*", "present", "r.reason_code", "r.is_missing", "r.is_mismatch")
+    rules = spark.createDataFrame([("returnflag", "semantic", "status", 10, "business_days")], "field string, kind string, category string, min_days int, duration_unit string")
+    matrix = [("returnflag", "C1", "supportive_needs_companion"), ("returnflag", "C2", "supportive_needs_companion"), ("returnflag", "C3", "strong_actionable"), ("returnflag", "C4", "supportive_needs_companion")]
+    required = requirements.requirements(fields, rules, NAMES)
+    built = requirements.built_findings(required, spark.createDataFrame(matrix, "field string, reason string, decision string"))
+    return built.select("account", "field", "category", "min_days", "strength", F.array_join("bureaus", ",").alias("bureaus"), "default_decision")
+
+
 @query("majority_flag", """WITH v AS (SELECT l_suppkey, l_returnflag, COUNT(*) AS votes, MIN(l_linenumber) AS p FROM lineitem GROUP BY 1, 2),
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_suppkey ORDER BY votes DESC, p, l_returnflag) AS n FROM v)
 SELECT l_suppkey, l_returnflag, CAST(votes AS BIGINT) AS votes FROM r WHERE n = 1""")
