@@ -30,6 +30,8 @@ SPAN = 10
 MASKS = ((0, 1, 3, 6, 8, 9), (0, 2, 3, 5, 8, 9), (0, 1, 2, 5, 7, 9), (0, 4, 5, 6, 7, 9), (0, 1, 2, 3, 4, 5), (4, 5, 6, 7, 8, 9))
 MIN_SCORE = 10
 MIN_SHARE = 0.6
+#: A token in lower case: letters and digits of ASCII, and everything beyond it.
+TOKEN = r"[a-z0-9[^\x00-\x7F]]+"
 BLOCK_TOKENS = 1_000_000
 MAX_PAIRS = 1 << 21
 SHORT = 17
@@ -196,13 +198,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> Dat
     least ``MIN_SCORE``, or ``MIN_SHARE`` of a short item's tokens.  best_overlap is
     the largest share of an item's tokens that agree, best_item its item (the
     smallest on ties, null if none).  Null and empty texts, and items without
-    tokens or item_id, match nothing.  One row for every row of ``docs``.
+    tokens or item_id, match nothing.  One row for every row of ``docs``, repeated ones included;
+    ``keep`` must not name a column that is added.
     """
     spark = docs.sparkSession
     if "text" not in keep:
         keep = [*keep, "text"]
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    tokens = items.agg(F.sum(F.size(F.split("text", r"\s+")).cast("long"))).first()[0] or 0
+    tokens = items.agg(F.sum(F.regexp_count(F.lower("text"), F.lit(TOKEN)).cast("long"))).first()[0] or 0
     blocks = -(-tokens // BLOCK_TOKENS) or 1
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     out = docs.select(*keep, F.lit(0).cast("long").alias("n_items"), F.lit(None).cast("long").alias("best_item"), F.lit(0.0).alias("best_overlap"))

@@ -7,7 +7,8 @@ alone and is checked.  Batches are scored in numpy by sparse lookups summed per
 text.
 
 The model is fitted on a documented sample: about ``FIT_ROWS`` labelled texts per
-language, chosen by a hash of doc_id.  Counting and scoring are narrow; only
+language, chosen by a hash of doc_id; repeated rows count as often as they stand.  Languages have no prior: how
+many texts a language has doesn't bear on a prediction.  Counting and scoring are narrow; only
 the counts (at most ``BINS`` per language) are shuffled.
 """
 
