@@ -42,7 +42,8 @@ from ledgermend.llm.tokens import U64, gram_hashes, marked, mix, seed_positions,
 WINDOW = 35
 PHRASES = (8, 20)
 HOT = 2000
-BLOCK_BYTES = 16 << 20
+#: Text that one task holds, with the automaton of its passages; more memory bears more and spares letters.
+BLOCK_BYTES = 8 << 20
 #: Phrases counted together before they are sent.
 LETTER_KEYS = 1 << 18
 SEGMENTS, PASSAGES = 3, 4
