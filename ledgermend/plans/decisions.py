@@ -64,7 +64,7 @@ def event_polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORDER_SQL = """WITH i AS (SELECT o_custkey AS k, o_orderkey, SUBSTR(o_orderpriority, 1, 1) AS field, CASE o_orderstatus WHEN 'O' THEN 'opener' WHEN 'F' THEN 'supporter' ELSE 'skipped' END AS role, ROW_NUMBER() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders),
 f AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY k, field ORDER BY CASE role WHEN 'opener' THEN 0 ELSE 1 END, place) AS n FROM i WHERE role <> 'skipped')
-SELECT k, o_orderkey, field, role, ROW_NUMBER() OVER (PARTITION BY k ORDER BY CASE role WHEN 'opener' THEN 0 ELSE 1 END, place) AS position FROM f WHERE n = 1"""
+SELECT k, o_orderkey, field, role, CAST(ROW_NUMBER() OVER (PARTITION BY k ORDER BY CASE role WHEN 'opener' THEN 0 ELSE 1 END, place) AS INT) AS position FROM f WHERE n = 1"""
 
 
 @query("canonical_order", ORDER_SQL)
@@ -314,7 +314,7 @@ def branch_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FORMS_SQL = """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN CAST(p_size * 1000 AS DOUBLE) + 0.5 WHEN 1 THEN CAST(p_size AS DOUBLE) END AS found, CASE p_partkey % 3 WHEN 2 THEN CAST(0 AS DECIMAL(18, 4)) ELSE CAST(p_retailprice AS DECIMAL(18, 4)) END AS packed,
-  CASE WHEN p_partkey % 3 > 0 THEN p_retailprice END AS finite, CASE WHEN p_size < 50 THEN p_size + 2000 ELSE p_size + 1900 END AS year, CASE WHEN p_partkey % 2 = 0 THEN p_size * 12 ELSE p_size END AS months,
+  CASE WHEN p_partkey % 3 > 0 THEN p_retailprice END AS finite, CASE WHEN p_size < 50 THEN p_size + 2000 ELSE p_size + 1900 END AS year, CAST(CASE WHEN p_partkey % 2 = 0 THEN p_size * 12 ELSE p_size END AS BIGINT) AS months,
   CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN 90 WHEN 2 THEN 999 END AS severity FROM part"""
 
 
