@@ -117,9 +117,6 @@ def valid_month(key: Column) -> Column:
     return F.when(good, key)
 
 
-def within_days(a: Column, b: Column, days: int) -> Column:
-    return F.coalesce(F.abs(F.datediff(a, b)) <= max(days, 0), F.lit(False))
-
 
 def elapsed_days(since: Column, now: Column) -> Column:
     """Whole periods of 24 hours, not calendar days."""

@@ -10,26 +10,12 @@ from ledgermend.operators.sequence import floor_rank
 COUNTED_KEYS = ("bureau", "mismatch_type", "cycle", "step")
 
 
-def pass_rates(samples: DataFrame, tag: str, failed: Column) -> DataFrame:
-    """Share of each tag's samples that did not fail validation."""
-    return samples.groupBy(tag).agg((F.count_if(~failed) / F.count(F.lit(1))).alias("pass_rate"))
-
-
-def applied_rates(samples: DataFrame, template: str, applied: Column) -> DataFrame:
-    return samples.groupBy(template).agg((F.count_if(applied) / F.count(F.lit(1))).alias("applied_rate"))
-
 
 def heatmap(samples: DataFrame, tag: str, fields: str) -> DataFrame:
     """How often each entry of an array column occurs by tag."""
     return samples.select(tag, F.explode(fields).alias("field")).groupBy(tag, "field").agg(F.count(F.lit(1)).alias("n"))
 
 
-def latency(samples: DataFrame, template: str, value: str, percent: float = 95.0) -> DataFrame:
-    """Mean and floor-rank percentile of a measure by template; a null counts as 0."""
-    filled = samples.select(template, F.coalesce(F.col(value), F.lit(0.0)).alias("_v"))
-    mean = filled.groupBy(template).agg(F.avg("_v").alias("avg"))
-    return mean.join(floor_rank(filled, [template], "_v", percent, "p95"), template)
-
 
 #: Sections of the report: counted entries, shares, and measures with the names of their mean and percentile.
 RATES = ("finalization_pass_rate", "sanitizer_applied_rate")

@@ -187,7 +187,3 @@ def problem(past_due: Column, late_days: Column, payment_status: Column, account
     issue = F.when(off, F.when(has(pay, ("collection",)) | has(acc, ("collections",)), "collection").otherwise("charge_off"))
     issue = issue.when(due > past_due_gt, "delinquency").when(days >= late_min, "late_history").when(has(pay, BAD_PAYMENT) | has(acc, BAD_ACCOUNT), "status").otherwise("unknown")
     return F.struct(reasons.alias("reasons"), issue.alias("primary_issue"))
-
-
-def valid_months(history: Column) -> Column:
-    return F.filter(history, lambda e: valid_month(e["month_year_key"]).isNotNull())

@@ -64,11 +64,6 @@ def carry_years(df: DataFrame, keys: Sequence[str], position: str, month: str, a
     return df.withColumn("month_year_key", key)
 
 
-def top_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One row per key by an explicit order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-
 
 def head_and_tail(items: Column, n: int = 6) -> Column:
     """The first and the last ``n`` of an array, all of it if it is shorter."""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermend.functions import dates, money, predicates, text
-from ledgermend.operators import consensus, findings, matching, monthly, outcomes, requirements, rules, sequence, taxonomy
+from ledgermend.functions import dates, histories, money, predicates, text
+from ledgermend.operators import consensus, findings, layout, letters, matching, monthly, outcomes, requirements, rules, sequence, taxonomy
 from ledgermend.plans.catalog import query, table
 
 LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
@@ -423,3 +423,54 @@ def debt_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     due = F.when(F.col("c_acctbal") < 0, F.col("c_acctbal").cast("string")).otherwise("0")
     accounts = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 12).alias("session"), F.col("c_custkey").alias("k"), owed.alias("owed"), due.alias("due"))
     return matching.without_zero_debt(matching.pairs(accounts, "session", "k"), ["owed", "due"]).select("session", "k_a", "k_b")
+
+
+@query("bureau_items", """WITH s AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, UNNEST(['a', 'b', 'c']) AS bureau, UNNEST([CASE l_returnflag WHEN 'N' THEN 'missing' ELSE 'aligned' END, CASE l_linestatus WHEN 'O' THEN 'conflict' ELSE 'solo' END, CASE WHEN l_quantity > 25 THEN 'conflict' ELSE 'aligned' END]) AS state FROM lineitem)
+SELECT k, n, p, bureau, state FROM s WHERE state IN ('missing', 'conflict')""")
+def bureau_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each bureau's inventory: lines in which it is missing or differs."""
+    states = F.create_map(
+        F.lit("a"), F.when(F.col("l_returnflag") == "N", "missing").otherwise("aligned"), F.lit("b"), F.when(F.col("l_linestatus") == "O", "conflict").otherwise("solo"),
+        F.lit("c"), F.when(F.col("l_quantity") > 25, "conflict").otherwise("aligned"),
+    )
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), states.alias("states"))
+    return findings.by_bureau(lines, "states").select("k", "n", "p", "bureau", "state")
+
+
+@query("lacking_fields", """SELECT o_orderkey, CONCAT_WS(',', CASE WHEN o_orderstatus = 'O' THEN 'name' END, CASE WHEN o_custkey % 5 = 0 THEN 'number' END) AS critical, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'note' END AS optional FROM orders""")
+def lacking_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    context = F.create_map(
+        F.lit("name"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderpriority")), F.lit("number"), F.when(F.col("o_custkey") % 5 == 0, "").otherwise("1"), F.lit("note"), F.when(F.col("o_orderkey") % 2 == 0, "x"),
+    )
+    gone = letters.lacking(context, ["name", "number"], ["note"])
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(gone["critical"], ",").alias("critical"), F.array_join(gone["optional"], ",").alias("optional"))
+
+
+@query("late_totals", """WITH l AS (SELECT l_orderkey, CAST(SUM(l_quantity) FILTER (l_linenumber % 3 = 0) AS BIGINT) AS a, CAST(SUM(l_quantity) FILTER (l_linenumber % 3 = 1) AS BIGINT) AS b, CAST(SUM(l_quantity) FILTER (l_linenumber % 3 = 2) AS BIGINT) AS c FROM lineitem GROUP BY 1)
+SELECT l_orderkey, COALESCE(a, 0) + COALESCE(b, 0) AS late30, COALESCE(c, 0) AS late60, CAST(0 AS BIGINT) AS late90 FROM l WHERE COALESCE(a, 0) + COALESCE(b, 0) + COALESCE(c, 0) > 0""")
+def late_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities as counters under two spellings of one bucket and one of another."""
+    total = lambda k: F.sum(F.when(F.col("l_linenumber") % 3 == k, F.col("l_quantity"))).cast("long").cast("string")
+    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.create_map(F.lit("30"), total(0), F.lit("Late_30"), total(1), F.lit("60 days"), total(2), F.lit("other"), F.lit("9")).alias("m"))
+    found = histories.seven_year(F.col("m"), {"30": "late30", "late 30": "late30", "60 days": "late60"})
+    return l.select("l_orderkey", found.alias("f")).where("f is not null").select("l_orderkey", "f.*")
+
+
+@query("month_directions", """WITH m AS (SELECT l_orderkey, EXTRACT(month FROM l_shipdate) AS m, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_quantity AS q FROM lineitem),
+p AS (SELECT *, LAG(m) OVER (PARTITION BY l_orderkey ORDER BY n, p, s, q) AS b FROM m)
+SELECT l_orderkey, CASE WHEN SUM(CASE WHEN b IS NULL THEN 0 WHEN b = 12 AND m = 1 THEN 1 WHEN b = 1 AND m = 12 THEN -1 ELSE SIGN(m - b) END) >= 0 THEN 'forward' ELSE 'backward' END AS direction FROM p GROUP BY 1""")
+def month_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.month("l_shipdate").alias("m"))
+    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["m"]).alias("months"))
+    return l.select("l_orderkey", sequence.month_direction(F.col("months")).alias("direction"))
+
+
+@query("token_rows", """WITH t AS (SELECT l_orderkey, l_partkey, l_linenumber, l_quantity AS y, CAST(l_partkey AS DOUBLE) AS x FROM lineitem WHERE l_quantity IS NOT NULL),
+g AS (SELECT *, CASE WHEN y - LAG(y) OVER (PARTITION BY l_orderkey ORDER BY y, x, l_linenumber) > 3 THEN 1 ELSE 0 END AS b FROM t)
+SELECT l_orderkey, CAST(SUM(b) AS BIGINT) + 1 AS rows, CAST(COUNT(*) AS BIGINT) AS tokens FROM g GROUP BY 1""")
+def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as tokens at the height of their quantity."""
+    q, part = F.col("l_quantity"), F.col("l_partkey").cast("double")
+    tokens = table(spark, sf_dir, "lineitem").where(q.isNotNull()).select("l_orderkey", q.alias("y0"), q.alias("y1"), part.alias("x0"))
+    rows = layout.rows_by_gap(tokens, ["l_orderkey"], 3.0)
+    return rows.groupBy("l_orderkey").agg((F.max("row") + 1).alias("rows"), F.count(F.lit(1)).alias("tokens"))

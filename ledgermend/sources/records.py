@@ -53,10 +53,6 @@ def read_records(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame
     return rows.where(~broken).select("r.*").drop("_corrupt"), rows.where(broken).select(F.col("value").alias("line"))
 
 
-def rule_table(spark: SparkSession, rules: dict[str, dict[str, str]], names: tuple[str, str, str]) -> DataFrame:
-    """A nested configuration as three columns; its size is that of a configuration file."""
-    return spark.createDataFrame([(a, b, c) for a, inner in rules.items() for b, c in inner.items()], f"{names[0]} string, {names[1]} string, {names[2]} string")
-
 
 def export_view(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """The fixed columns of an analytics view; what the source lacks is null."""
