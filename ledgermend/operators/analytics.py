@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgermend.operators.sequence import floor_rank
-
 COUNTED_KEYS = ("bureau", "mismatch_type", "cycle", "step")
 
 

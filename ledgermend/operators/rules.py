@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgermend.functions.dates import first_forbidden_month, month_key, valid_month
+from ledgermend.functions.dates import first_forbidden_month, month_key
 from ledgermend.functions.lets import bound
 from ledgermend.functions.histories import BUCKET_NAMES, max_month, month_status, worst_months
 from ledgermend.functions.money import severity
