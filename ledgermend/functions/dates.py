@@ -117,7 +117,6 @@ def valid_month(key: Column) -> Column:
     return F.when(good, key)
 
 
-
 def elapsed_days(since: Column, now: Column) -> Column:
     """Whole periods of 24 hours, not calendar days."""
     return F.floor((F.unix_timestamp(now) - F.unix_timestamp(since)) / 86400)

@@ -8,13 +8,11 @@ from pyspark.sql import functions as F
 COUNTED_KEYS = ("bureau", "mismatch_type", "cycle", "step")
 
 
-
 def heatmap(samples: DataFrame, tag: str, fields: str) -> DataFrame:
     """How often each entry of an array column occurs by tag."""
     return samples.select(tag, F.explode(fields).alias("field")).groupBy(tag, "field").agg(F.count(F.lit(1)).alias("n"))
 
 
-
 #: Sections of the report: counted entries, shares, and measures with the names of their mean and percentile.
 RATES = ("finalization_pass_rate", "sanitizer_applied_rate")
 MEASURES = {"render_ms": ("render_latency_avg_ms", "render_latency_p95_ms"), "ai_cost": ("ai_cost_avg", "ai_cost_p95")}

@@ -64,7 +64,6 @@ def carry_years(df: DataFrame, keys: Sequence[str], position: str, month: str, a
     return df.withColumn("month_year_key", key)
 
 
-
 def head_and_tail(items: Column, n: int = 6) -> Column:
     """The first and the last ``n`` of an array, all of it if it is shorter."""
     size = F.size(items)

@@ -46,8 +46,6 @@ def date_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", dates.match_date(r).alias("match_date"), dates.field_date(r).alias("field_date"), dates.found_date(r).alias("found_date"), dates.convention_date(r, "MDY").alias("convention_date"))
 
 
-
-
 @query("text_forms", """SELECT p_partkey, TRIM(REGEXP_REPLACE(LOWER(p_name || ' / ' || p_type), '[^a-z0-9]+', ' ', 'g')) AS plain, UPPER('JP ' || REPLACE(p_brand, '#', '')) AS issuer,
 REGEXP_REPLACE(p_name, '[^0-9]', '', 'g') AS digits, '****' || RIGHT(REGEXP_REPLACE(p_brand || p_partkey, '[^0-9]', '', 'g'), 4) AS masked FROM part""")
 def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:

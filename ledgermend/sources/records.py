@@ -53,7 +53,6 @@ def read_records(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame
     return rows.where(~broken).select("r.*").drop("_corrupt"), rows.where(broken).select(F.col("value").alias("line"))
 
 
-
 def export_view(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """The fixed columns of an analytics view; what the source lacks is null."""
     names = ("session_id", "account_id", "family_id", "tri_merge_snapshot_id", "plan_id", "step_id", "outcome_id", "cycle_id")
