@@ -8,7 +8,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from ledgermend.llm import ann, decontam, language, phrases, suffixes, toolcalls, toxicity, warc
+from ledgermend.llm import ann, blocks, decontam, language, phrases, suffixes, toolcalls, toxicity, warc
 from tests.llm.test_llm import DOCS, nothing, record, words  # noqa: F401
 
 M64 = (1 << 64) - 1
@@ -278,3 +278,24 @@ def test_toxicity_without_rows_or_labels(spark, nothing):  # noqa: F811
     assert [r.predicted for r in toxicity.score(one, model, ["doc_id"]).collect()] == [1, 1]
     twice = spark.createDataFrame([(1, 1, 0), (1, 1, 1)], labels.schema)
     assert [tuple(r) for r in toxicity.training_rows(one, twice).collect()] == [(1, 1, "text")]
+
+
+def test_letters_of_few_and_of_many_blocks():
+    rng = np.random.default_rng(1)
+    key, block = rng.integers(0, 1 << 63, 300).astype(np.uint64), rng.integers(0, 5, 500)
+    key = rng.choice(key, 500)
+    key[:20] = key[0]
+    for n in (7, blocks.NARROW + 1):
+        want = {int(k) for k in key if (key == k).sum() > 1}
+        found, letters = set(), {}
+        for batch in blocks.tally([key[:200], key[200:]], [block[:200], block[200:]], n):
+            for row in batch.to_pylist():
+                letters.setdefault(row["shard"], []).append((row["kind"], row["block"], row["a"], row["b"], row["c"]))
+        answers = [(r["kind"], r["shard"], r["a"], r["b"], r["c"], r["block"]) for shard, rows in letters.items() for batch in blocks.common_keys(shard, rows, many=15) for r in batch.to_pylist()]
+        for b in range(5):
+            common = blocks.Common([a[:5] for a in answers if a[5] == b], n)
+            own = key[block == b]
+            known, hot = common.find(own)
+            assert {int(k) for k in own[known]} == {int(k) for k in own} & want and set(own[hot].tolist()) <= {int(key[0])}
+            found |= {int(k) for k in own[known]}
+        assert found == want
