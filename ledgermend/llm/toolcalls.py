@@ -93,7 +93,9 @@ def order_calls(calls: DataFrame, needs: DataFrame) -> DataFrame:
     edges = stored(first.join(limits, "conv_id").select(*key, F.col("needed").alias("next"), "gap", F.lit(1).cast("long").alias("hops"), "limit"), "tool-edges")
     while not edges.where("next is not null").isEmpty():
         heads = edges.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("next", "gap", "hops")).alias("only"))
-        ahead = state.join(heads, key, "left").select("conv_id", F.col("call_id").alias("next"), F.col("at").alias("there"), F.coalesce("n", F.lit(0)).alias("n"), "only")
+        # Only what is still waited for takes part: most calls are placed after a round or two.
+        waited = edges.where("next is not null").select("conv_id", F.col("next").alias("call_id")).distinct()
+        ahead = state.join(waited, key, "left_semi").join(heads, key, "left").select("conv_id", F.col("call_id").alias("next"), F.col("at").alias("there"), F.coalesce("n", F.lit(0)).alias("n"), "only")
         met = edges.join(ahead, ["conv_id", "next"], "left")
         jumps = F.coalesce(F.col("n") == 1, F.lit(False))
         hops = F.when(jumps, F.col("hops") + F.col("only.hops")).otherwise(F.col("hops"))
@@ -109,7 +111,8 @@ def order_calls(calls: DataFrame, needs: DataFrame) -> DataFrame:
             edges = moved
             break
         later = moved.groupBy(key).agg(F.max("ready").alias("ready"))
-        raised = stored(state.join(later, key, "left").select(*key, F.greatest("at", "ready").alias("at")), "tool-order")
+        raised = state.join(later, key).select(*key, F.greatest("at", "ready").alias("at"))
+        raised = stored(raised.unionByName(state.join(later, key, "left_anti")), "tool-order")
         discard(state)
         state = raised
         edges = stored(moved.where(~F.col("placed")).select(*key, "next", "gap", "hops", "limit"), "tool-edges")
