@@ -11,9 +11,10 @@ such copy is missed.
 
 Tokens are runs of letters and digits, A-Z lower-cased; punctuation is ignored.
 
-Scale: one narrow pass over the texts per block of the benchmark, no shuffle.
-The benchmark is taken in blocks of at most about ``BLOCK_TOKENS`` tokens (a
-larger one makes more passes), so what is broadcast is bounded.
+Scale: a benchmark of at most ``BLOCK_TOKENS`` tokens is broadcast, and one narrow
+pass over the texts joins, aligns and scores.  Seeds of a larger one meet those
+of the texts in a shuffle join, and blocks of items verify the texts that hit
+them, so no task or broadcast grows with the benchmark.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermend.llm.tokens import U64, WORD_BASE, lowered, mix, ranges, slices, span_hashes
+from ledgermend.workspace import partitions, stored
 
 SPAN = 10
 # The tokens that each mask looks at.
@@ -33,7 +35,12 @@ MIN_SHARE = 0.6
 #: A token in lower case: letters and digits of ASCII, and everything beyond it.
 TOKEN = r"[a-z0-9[^\x00-\x7F]]+"
 BLOCK_TOKENS = 1_000_000
-MAX_PAIRS = 1 << 21
+#: Pairs of tokens or hits that are held at once, and alignments that wait for their score.
+MAX_PAIRS = 1 << 20
+MAX_HELD = 1 << 18
+MANY = 4
+#: Of the seeds of a benchmark of several blocks: 16 MB, two bits a seed.
+FILTER_BITS = 1 << 27
 SHORT = 17
 
 
@@ -104,27 +111,25 @@ def build(items: pa.Table) -> dict:
             item.append(np.full(len(found), k))
     join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
     seeds, place, item = join(seeds, U64), join(place, np.int64), join(item, np.int64)
-    order = np.argsort(seeds, kind="stable")
+    order = np.lexsort((place, item, seeds))
+    seeds, place, item = seeds[order], place[order], item[order]
+    # Places of one seed in one item stand together: a group.
+    start = np.flatnonzero(np.concatenate([[True], (seeds[1:] != seeds[:-1]) | (item[1:] != item[:-1])])) if len(seeds) else np.zeros(0, np.int64)
     sizes = np.array([len(t) for t in tokens], np.int64)
     return {
-        "seeds": seeds[order], "place": place[order], "item": item[order], "tokens": join(tokens, U64),
+        "place": place, "seeds": seeds[start], "item": item[start], "start": start, "count": np.diff(np.append(start, len(seeds))), "tokens": join(tokens, U64),
         "first": np.cumsum(sizes) - sizes, "size": sizes, "ids": np.array(ids, np.int64), "short": sorted(runs),
     }
 
 
-def hits(tokens: np.ndarray, firsts: np.ndarray, bench: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, item, shift): the item's first token would stand at ``shift`` among all tokens.
-
-    Runs of few tokens hit often, so of their alignments only those that score enough are kept.
-    """
-    out = []
-    shapes = [(m, k, False) for k, m in enumerate(MASKS)] + [(*run_seed(n), True) for n in bench["short"]]
-    for mask, number, short in shapes:
+def seed_hits(tokens: np.ndarray, firsts: np.ndarray, bench: dict):
+    """Slices of ``(text, place of the seed, its group in the benchmark)``."""
+    for mask, number in [(m, k) for k, m in enumerate(MASKS)] + [run_seed(n) for n in bench["short"]]:
         found = seed_hashes(tokens, mask, number)
-        if not len(found):
+        if not len(found) or not len(bench["seeds"]):
             continue
         lo = np.searchsorted(bench["seeds"], found, "left")
-        hit = np.flatnonzero((lo < len(bench["seeds"])) & (bench["seeds"][np.minimum(lo, len(bench["seeds"]) - 1)] == found))
+        hit = np.flatnonzero(bench["seeds"][np.minimum(lo, len(bench["seeds"]) - 1)] == found)
         text = np.searchsorted(firsts, hit, "right") - 1
         inside = hit + max(mask) < firsts[text + 1]
         hit, text = hit[inside], text[inside]
@@ -132,14 +137,60 @@ def hits(tokens: np.ndarray, firsts: np.ndarray, bench: dict) -> tuple[np.ndarra
         part = np.cumsum(hi - lo) // MAX_PAIRS
         for some in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(part)) + 1):
             n = (hi - lo)[some]
-            rows = ranges(lo[some], n)
-            found = np.stack([np.repeat(text[some], n), bench["item"][rows], np.repeat(hit[some], n) - bench["place"][rows]])
-            if short:
-                found = np.unique(found, axis=1)
-                found = found[:, overlaps(tokens, firsts, *found, bench)[0] >= needed(bench["size"][found[1]])]
-            out.append(found)
-    every = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((3, 0), np.int64)
-    return every[0], every[1], every[2]
+            yield np.repeat(text[some], n), np.repeat(hit[some], n), ranges(lo[some], n)
+
+
+def alignments(tokens: np.ndarray, firsts: np.ndarray, bench: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, item, share)`` of every alignment with a hit whose best stretch scores enough; share: of the item's tokens that agree.
+
+    A text and an item that repeat the same few tokens hit each other about as often as the product of their lengths.  Such a pair, with
+    more than ``MANY`` hits a token, isn't enumerated by hits: all its alignments are compared, and they are only as many as both have tokens.
+    """
+    n_items = max(len(bench["ids"]), 1)
+    pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for text, _, group in seed_hits(tokens, firsts, bench):
+        every = np.concatenate([pairs, text * n_items + bench["item"][group]])
+        pairs, place = np.unique(every, return_inverse=True)
+        counts = np.bincount(place, np.concatenate([counts, bench["count"][group]]), len(pairs)).astype(np.int64)
+    length = np.diff(firsts)[pairs // n_items] + bench["size"][pairs % n_items] if len(pairs) else counts
+    heavy = pairs[counts > MANY * length]
+    kept, pending, held = [], [], 0
+
+    def score() -> None:
+        nonlocal held
+        text, item, shift = np.unique(np.concatenate(pending, axis=1), axis=1)
+        best, share = overlaps(tokens, firsts, text, item, shift, bench)
+        ok = best >= needed(bench["size"][item])
+        kept.append((text[ok], item[ok], share[ok]))
+        pending.clear()
+        held = 0
+
+    def candidates():
+        for text, hit, group in seed_hits(tokens, firsts, bench):
+            light = ~np.isin(text * n_items + bench["item"][group], heavy)
+            text, hit, group = text[light], hit[light], group[light]
+            part = np.cumsum(bench["count"][group]) // MAX_PAIRS
+            for some in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(part)) + 1):
+                n = bench["count"][group[some]]
+                places = bench["place"][ranges(bench["start"][group[some]], n)]
+                yield np.stack([np.repeat(text[some], n), np.repeat(bench["item"][group[some]], n), np.repeat(hit[some], n) - places])
+        for pair in heavy.tolist():
+            text, item = divmod(pair, n_items)
+            for lo in range(int(firsts[text] - bench["size"][item]) + 1, int(firsts[text + 1]), MAX_PAIRS):
+                shift = np.arange(lo, min(lo + MAX_PAIRS, int(firsts[text + 1])))
+                yield np.stack([np.full(len(shift), text), np.full(len(shift), item), shift])
+
+    for found in candidates():
+        pending.append(np.unique(found, axis=1) if found.shape[1] > 1 else found)
+        held += pending[-1].shape[1]
+        if held >= MAX_HELD:
+            score()
+    if pending:
+        score()
+    if not kept:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    text, item, share = (np.concatenate(x) for x in zip(*kept, strict=True))
+    return text, item, share
 
 
 def overlaps(tokens, firsts, text, item, shift, bench) -> tuple[np.ndarray, np.ndarray]:
@@ -164,33 +215,123 @@ def overlaps(tokens, firsts, text, item, shift, bench) -> tuple[np.ndarray, np.n
     return score, share
 
 
+def judged(batch: pa.RecordBatch, bench: dict) -> tuple[np.ndarray, np.ndarray, list]:
+    """For each text of a batch: how many items contaminate it, the largest share of one, and that item (the smallest on ties)."""
+    n_items, best, best_item = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), [None] * batch.num_rows
+    for rows, data, offsets in slices(batch):
+        if not len(bench["seeds"]):
+            break
+        tokens, firsts = token_hashes(data, offsets)
+        text, item, share = alignments(tokens, firsts, bench)
+        pairs = np.unique(text * len(bench["ids"]) + item) // max(len(bench["ids"]), 1)
+        np.add.at(n_items, rows.start + pairs, 1)
+        for t, i, s in zip(text.tolist(), bench["ids"][item].tolist(), share.tolist(), strict=True):
+            k = rows.start + t
+            if s > best[k] or (s == best[k] and (best_item[k] is None or i < best_item[k])):
+                best[k], best_item[k] = s, i
+    return n_items, best, best_item
+
+
 def _marker(shared, keep: list[str]):
     def run(batches):
-        bench = shared.value
         for batch in batches:
-            col = lambda c: batch.column(batch.schema.get_field_index(c))
-            n_items = np.array(col("n_items"), np.int64)
-            best = np.array(col("best_overlap"), np.float64)
-            best_item = col("best_item").to_pylist()
+            n_items, best, best_item = judged(batch, shared.value)
+            kept = {c: batch.column(batch.schema.get_field_index(c)) for c in keep}
+            yield pa.RecordBatch.from_pydict(kept | {"n_items": n_items, "best_item": pa.array(best_item, pa.int64()), "best_overlap": best})
+
+    return run
+
+
+def _seeds_of_items(batches):
+    for batch in batches:
+        bench = build(pa.Table.from_batches([batch.select(["item_id", "text"])]))
+        numbers = np.array(batch.column(batch.schema.get_field_index("number")))
+        whole = np.array([k for k, n in enumerate(_token_counts(batch)) if n], np.int64)
+        yield pa.RecordBatch.from_pydict({"seed": bench["seeds"].view(np.int64), "number": numbers[whole][bench["item"]]})
+
+
+def _token_counts(batch: pa.RecordBatch) -> list[int]:
+    return [int(n) for _, data, offsets in slices(batch) for n in np.diff(token_hashes(data, offsets)[1])]
+
+
+def bits_of(seeds: np.ndarray) -> np.ndarray:
+    """The two bits of the filter that a seed sets."""
+    return np.concatenate([seeds & U64(FILTER_BITS - 1), (seeds >> U64(32)) & U64(FILTER_BITS - 1)])
+
+
+def _seeds_of_texts(shared):
+    def run(batches):
+        bits, runs = shared.value
+        for batch in batches:
+            keys = batch.column(batch.schema.get_field_index("text_key"))
             for rows, data, offsets in slices(batch):
-                if not len(bench["seeds"]):
-                    break
                 tokens, firsts = token_hashes(data, offsets)
-                text, item, shift = hits(tokens, firsts, bench)
-                score, share = overlaps(tokens, firsts, text, item, shift, bench)
-                ok = score >= needed(bench["size"][item])
-                text, item, share = text[ok], item[ok], share[ok]
-                pairs = np.unique(text * len(bench["ids"]) + item) // max(len(bench["ids"]), 1)
-                np.add.at(n_items, rows.start + pairs, 1)
-                for t, i, s in zip(text.tolist(), bench["ids"][item].tolist(), share.tolist(), strict=True):
-                    k = rows.start + t
-                    if s > best[k] or (s == best[k] and (best_item[k] is None or i < best_item[k])):
-                        best[k], best_item[k] = s, i
-            yield pa.RecordBatch.from_pydict({c: col(c) for c in keep} | {"n_items": n_items, "best_item": pa.array(best_item, pa.int64()), "best_overlap": best})
+                owner, seeds = [], []
+                for mask, number in [(m, k) for k, m in enumerate(MASKS)] + [run_seed(n) for n in runs]:
+                    found = seed_hashes(tokens, mask, number)
+                    at = bits_of(found).reshape(2, -1)
+                    hit = np.flatnonzero((bits[at >> U64(6)] >> (at & U64(63)) & U64(1)).all(axis=0))
+                    text = np.searchsorted(firsts, hit, "right") - 1
+                    inside = hit + max(mask) < firsts[text + 1]
+                    owner.append(text[inside])
+                    seeds.append(found[hit[inside]])
+                both = np.unique(np.stack([np.concatenate(owner).astype(U64), np.concatenate(seeds)]), axis=1)
+                yield pa.RecordBatch.from_pydict({"text_key": keys.take(pa.array(both[0].astype(np.int64) + rows.start)), "seed": both[1].view(np.int64)})
 
     return run
 
 
+def _judge(batches):
+    """Rows sorted by (block, part, role): the items of a block, then the texts that hit one of them."""
+    key, items, bench = None, [], None
+    for batch in batches:
+        block, part, role = (np.array(batch.column(k)) for k in range(3))
+        cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(part) != 0) | (np.diff(role) != 0)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            if lo == hi:
+                continue
+            if key != (block[lo], part[lo]):
+                key, items, bench = (block[lo], part[lo]), [], None
+            rows = batch.slice(lo, hi - lo)
+            if role[lo] == 0:
+                items.append(rows.select(["item_id", "text"]))
+            elif items:
+                bench = bench or build(pa.Table.from_batches(items))
+                n_items, best, best_item = judged(rows.select(["text"]), bench)
+                yield pa.RecordBatch.from_pydict({"text_key": rows.column(3), "n_items": n_items, "best_item": pa.array(best_item, pa.int64()), "best_overlap": best})
+
+
+def joined(docs: DataFrame, items: DataFrame, tokens: int) -> DataFrame:
+    """``text_key, n_items, best_item, best_overlap`` of the texts that an item contaminates, for a benchmark of many blocks.
+
+    Seeds of items and of texts meet in a shuffle join; a filter of fixed size keeps most other seeds of the texts at home.  Texts then go to
+    the blocks of the items that they hit, several parts a block, where the overlaps around the hits are verified.
+    """
+    spark = docs.sparkSession
+    blocks = -(-tokens // BLOCK_TOKENS)
+    parts = max(1, partitions(spark) // blocks)
+    numbered = stored(items.withColumn("number", F.monotonically_increasing_id()).withColumn("block", F.pmod(F.xxhash64("number"), F.lit(blocks)).cast("int")), "decontam-items")
+    seeds = stored(numbered.mapInArrow(_seeds_of_items, "seed long, number long").distinct(), "decontam-seeds")
+    low = F.col("seed").bitwiseAND(FILTER_BITS - 1)
+    high = F.shiftrightunsigned("seed", 32).bitwiseAND(FILTER_BITS - 1)
+    words = seeds.select(F.explode(F.array(low, high)).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()  # at most FILTER_BITS / 64 rows
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
+    sizes = range(1, SHORT)
+    shared = spark.sparkContext.broadcast((bits.view(U64), sorted({run_of(n) for n in sizes})))
+    texts = docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key"), "text").where("text_key is not null")
+    met = texts.mapInArrow(_seeds_of_texts(shared), "text_key binary, seed long").join(seeds, "seed").select("text_key", "number").distinct()
+    asked = stored(met.join(numbered.select("number", "block"), "number").select("text_key", "block").distinct(), "decontam-asked")
+    own = texts.join(asked.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"]).join(asked, "text_key")
+    own = own.select("block", F.pmod(F.xxhash64("text_key"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("role"), "text_key", F.lit(None).cast("long").alias("item_id"), "text")
+    each = numbered.select("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("role"), F.lit(None).cast("binary").alias("text_key"), "item_id", "text")
+    dealt = each.unionByName(own).repartition("block", "part").sortWithinPartitions("block", "part", "role")
+    found = dealt.mapInArrow(_judge, "text_key binary, n_items long, best_item long, best_overlap double").where("n_items > 0")
+    best = F.max(F.struct("best_overlap", (-F.col("best_item")).alias("item")))
+    return found.groupBy("text_key").agg(F.sum("n_items").alias("n_items"), best.alias("best")).select("text_key", "n_items", (-F.col("best.item")).alias("best_item"), F.col("best.best_overlap").alias("best_overlap"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` with contaminated, n_items, best_item and best_overlap.
 
@@ -206,14 +347,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> Dat
         keep = [*keep, "text"]
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     tokens = items.agg(F.sum(F.regexp_count(F.lower("text"), F.lit(TOKEN)).cast("long"))).first()[0] or 0
-    blocks = -(-tokens // BLOCK_TOKENS) or 1
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    out = docs.select(*keep, F.lit(0).cast("long").alias("n_items"), F.lit(None).cast("long").alias("best_item"), F.lit(0.0).alias("best_overlap"))
-    for k in range(blocks):
-        # One block: bounded by BLOCK_TOKENS on average, as items are dealt by a hash.
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
-        shared = spark.sparkContext.broadcast(build(part))
-        out = out.mapInArrow(_marker(shared, keep), f"{fields}, n_items long, best_item long, best_overlap double")
+    if tokens <= BLOCK_TOKENS:
+        fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+        shared = spark.sparkContext.broadcast(build(items.toArrow()))  # bounded by BLOCK_TOKENS, just checked
+        out = docs.select(keep).mapInArrow(_marker(shared, keep), f"{fields}, n_items long, best_item long, best_overlap double")
+    else:
+        found = joined(docs, items, tokens).withColumnRenamed("text_key", "_text_key")
+        out = docs.select(*keep, F.unhex(F.md5(F.col("text").cast("binary"))).alias("_own_key")).join(found, F.col("_own_key") == F.col("_text_key"), "left").drop("_own_key", "_text_key")
+        out = out.withColumns({"n_items": F.coalesce("n_items", F.lit(0)).cast("long"), "best_overlap": F.coalesce("best_overlap", F.lit(0.0))})
     return out.withColumn("contaminated", F.col("n_items") > 0)
 
 

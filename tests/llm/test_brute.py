@@ -97,6 +97,33 @@ def test_long_items_equal_alignment_of_all_pairs(spark):
     assert got == want and got[1] == 1 and got[len(texts) - 1] == 2
 
 
+def test_repetitive_texts_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    for own in ("und", "a b", "a b c"):
+        text, item = (" ".join((own.split() * n)[:n]) for n in (20_000, 2000))
+        bench = decontam.build(pa.table({"item_id": [1, 2], "text": [item, " ".join(words(50, 3, 10**6))]}))
+        tracemalloc.start()
+        n_items, best, best_item = decontam.judged(pa.RecordBatch.from_pydict({"text": [text, "other " + item, "und a b c"]}), bench)
+        assert tracemalloc.get_traced_memory()[1] < 200e6
+        tracemalloc.stop()
+        assert n_items.tolist() == [1, 1, 0] and best.tolist() == [1.0, 1.0, 0.0] and best_item == [1, 1, None]
+
+
+def test_a_large_benchmark_gives_the_same_by_a_join(monkeypatch, spark):
+    rng = np.random.default_rng(23)
+    items = [words(int(n), int(n), 300) for n in rng.integers(1, 60, 40)] + [[], words(30, 5, 10**6), ["und"] * 40]
+    texts = [words(80, 900 + k, 300) + items[k % 43] + words(9, k, 300) for k in range(60)] + [["und"] * 300, [], *[items[41]] * 3]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)] + [(None, "x")], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join(t), "en", "s", 0, "x") for k, t in enumerate(texts)] + [(None, None, None, None, None, None)], DOCS)
+    found = lambda: sorted(map(tuple, decontam.decontaminate(docs, bench, ["doc_id", "extra"]).select("doc_id", "text", "n_items", "best_item", "best_overlap", "contaminated", "extra").collect()), key=str)
+    want = found()
+    monkeypatch.setattr(decontam, "BLOCK_TOKENS", 300)
+    assert found() == want and sum(r[-2] for r in want) >= 40
+
+
 def test_best_item_on_ties_is_the_smallest(spark):
     item = " ".join(words(20, 1, 10**6))
     bench = spark.createDataFrame([(7, item), (3, item), (3, item)], "item_id long, text string")
