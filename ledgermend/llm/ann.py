@@ -6,7 +6,8 @@ asymmetric distance tables, and the best are ranked again by the exact cosine of
 the original vectors.
 
 Centroids and codebooks are fitted on at most about ``FIT_ROWS`` vectors chosen
-by a hash; every vector is indexed.  Vectors are dealt by (cell, part) and queries
+by a hash; every vector is indexed.  How many cells a query probes is measured: about
+``CALIBRATION`` queries are answered by brute force in one pass over the vectors.  Vectors are dealt by (cell, part) and queries
 by (cell, part) too, with as many parts as keep both sides of a cell below
 ``PART_ROWS`` vectors and ``PART_QUERIES`` queries on average, so neither a crowded
 cell nor many queries meet in one task.
@@ -21,9 +22,11 @@ from pyspark.sql import functions as F
 
 FIT_ROWS = 16_384
 MAX_CELLS = 1024
-#: So many cells because vectors without any structure (the hardest case) need them for a recall above 0.9.
-PROBE_SHARE = 0.6
-MIN_PROBES = 32
+#: So many queries are answered by brute force to see how many cells the true neighbours need.
+CALIBRATION = 256
+#: Of the true neighbours so many lie in the probed cells.
+COVERED = 0.97
+MIN_PROBES = 4
 SUBSPACES = 16
 CODES = 256
 SHORTLIST = 40
@@ -48,6 +51,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by the power of two below their largest component: no bit of a cosine changes, and no square over- or underflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres * centres).sum(axis=1) - 2 * (x @ centres.T)).argmin(axis=1)
 
@@ -89,13 +97,63 @@ def _coder(shared):
     return run
 
 
+def cell_order(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """For each vector the cells from the nearest on."""
+    return np.argsort((centres * centres).sum(axis=1) - 2 * (x @ centres.T), axis=1, kind="stable")
+
+
+def _true_neighbours(shared, top: int):
+    """The nearest of a task's vectors to each calibrating query, with their cells."""
+
+    def run(batches):
+        q_ids, q, centres = shared.value
+        best = [np.zeros(0)] * len(q_ids), [np.zeros(0, np.int64)] * len(q_ids)
+        for batch in batches:
+            ids, x = np.array(batch.column(0)), unit(matrix(batch.column(1)))
+            for lo in range(0, len(ids), PART_ROWS):
+                near = q @ x[lo : lo + PART_ROWS].T
+                near[q_ids[:, None] == ids[None, lo : lo + PART_ROWS]] = -np.inf
+                cells = nearest(x[lo : lo + PART_ROWS], centres)
+                pick = np.argpartition(-near, min(top, near.shape[1]) - 1, axis=1)[:, :top]
+                for k in range(len(q_ids)):
+                    both = np.concatenate([best[0][k], near[k, pick[k]]]), np.concatenate([best[1][k], cells[pick[k]]])
+                    order = np.argsort(-both[0], kind="stable")[:top]
+                    best[0][k], best[1][k] = both[0][order], both[1][order]
+        number = np.repeat(np.arange(len(q_ids)), [len(x) for x in best[0]])
+        yield pa.RecordBatch.from_pydict({"query": number, "near": np.concatenate(best[0]), "cell": np.concatenate(best[1]).astype(np.int64)})
+
+    return run
+
+
+def probes_needed(good: DataFrame, rows: int, centres: np.ndarray, top: int) -> int:
+    """How many cells a query probes so that ``COVERED`` of the true neighbours of about ``CALIBRATION`` queries lie in them.
+
+    Structured vectors need few cells; vectors without any structure, the hardest case, most of them.
+    """
+    asking = good.where("asks")
+    n = asking.count()
+    draw = F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1_000_000))
+    sample = asking.where(draw < int(1_000_000 * min(1.0, CALIBRATION / max(n, 1))) + 1).select("vec_id", "embedding").limit(4 * CALIBRATION).toArrow().combine_chunks()
+    if not len(sample) or len(centres) <= MIN_PROBES:
+        return len(centres)
+    q = unit(matrix(sample["embedding"].combine_chunks()))
+    shared = good.sparkSession.sparkContext.broadcast((sample["vec_id"].to_numpy(), q, centres))
+    found = good.select("vec_id", "embedding").mapInArrow(_true_neighbours(shared, top), "query long, near double, cell long").where("near > double('-inf')")
+    best = Window.partitionBy("query").orderBy(F.col("near").desc())
+    true = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= top).select("query", "cell").toArrow()  # top rows a calibrating query
+    place = np.argsort(cell_order(q, centres), axis=1)[true["query"].to_numpy(), true["cell"].to_numpy()]
+    return int(max(MIN_PROBES, np.quantile(place, COVERED, method="higher") + 1)) if len(place) else len(centres)
+
+
 def _prober(shared):
     def run(batches):
-        centres, _, probes = shared.value
+        centres, held, probes = shared.value
         for batch in batches:
-            x = unit(matrix(batch.column(1)))
-            order = np.argsort((centres * centres).sum(axis=1) - 2 * (x @ centres.T), axis=1, kind="stable")[:, :probes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.list_(pa.float64())), pa.array(order.tolist(), pa.list_(pa.int32()))], ["vec_id", "embedding", "cells"])
+            order = cell_order(unit(matrix(batch.column(1))), centres)
+            # Further cells where the nearest ones hold too few vectors for a shortlist.
+            enough = (np.cumsum(held[order], axis=1) < SHORTLIST).sum(axis=1) + 1
+            order = [o[: max(probes, n)].tolist() for o, n in zip(order, enough.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.list_(pa.float64())), pa.array(order, pa.list_(pa.int32()))], ["vec_id", "embedding", "cells"])
 
     return run
 
@@ -107,7 +165,7 @@ def best_of(queries: tuple, rows: tuple, shared: tuple, top: int) -> list[tuple[
     ids, raw, codes, cell = rows
     order = np.argsort(ids, kind="stable")
     ids, raw, codes = ids[order], raw[order], codes[order]
-    q = unit(q_raw)
+    q, raw, q_raw = unit(q_raw), scaled(raw), scaled(q_raw)
     parts = np.array_split(np.arange(centres.shape[1]), len(books))
     near = np.repeat((q @ centres[cell])[:, None], len(ids), axis=1)
     for k, (p, book) in enumerate(zip(parts, books, strict=True)):
@@ -188,14 +246,19 @@ def search(vectors: DataFrame, queries: F.Column, top: int = 5) -> DataFrame:
     if not len(sample):
         sample = good.select("embedding").limit(1).toArrow().combine_chunks()
     centres, books = fit(matrix(sample["embedding"].combine_chunks()), rows)
-    probes = min(len(centres), max(MIN_PROBES, round(PROBE_SHARE * len(centres))))
+    probes = min(len(centres), probes_needed(good, rows, centres, top))
     shared = spark.sparkContext.broadcast((centres, books, probes))
 
     index = good.select("vec_id", "embedding").mapInArrow(_coder(shared), "vec_id long, embedding array<double>, cell int, codes binary")
-    asked = good.where("asks").select("vec_id", "embedding").mapInArrow(_prober(shared), "vec_id long, embedding array<double>, cells array<int>")
+    # At most MAX_CELLS rows each: how many ids and vectors a cell holds, and how many parts its vectors and its queries take.
+    counts = index.groupBy("cell", "vec_id").agg(F.count(F.lit(1)).alias("n")).groupBy("cell").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("ids")).collect()
+    v_parts = {r["cell"]: -(-r["n"] // PART_ROWS) for r in counts}
+    held = np.zeros(len(centres), np.int64)
+    for r in counts:
+        held[r["cell"]] = r["ids"]
+    probing = spark.sparkContext.broadcast((centres, held, probes))
+    asked = good.where("asks").select("vec_id", "embedding").mapInArrow(_prober(probing), "vec_id long, embedding array<double>, cells array<int>")
     asked = asked.select("vec_id", "embedding", F.explode("cells").alias("cell"))
-    # At most MAX_CELLS rows each: how many parts a cell's vectors and its queries take.
-    v_parts = {r["cell"]: -(-r["n"] // PART_ROWS) for r in index.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     q_parts = {r["cell"]: -(-r["n"] // PART_QUERIES) for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     listed = lambda parts: F.array(*[F.lit(parts.get(c, 1)) for c in range(len(centres))])
     v_n, q_n = F.element_at(listed(v_parts), F.col("cell") + 1), F.element_at(listed(q_parts), F.col("cell") + 1)
