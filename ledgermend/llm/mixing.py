@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Words of a block; fewer where the smallest target has no ``LEAST_BLOCKS`` of them.
 BLOCK_WORDS = 64
+LEAST_BLOCKS = 16
 SHARD_WORDS = 65536
 MAX_SHARDS = 4096
 SEED = "mix-1"
@@ -89,19 +91,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     """
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     targets = source_targets(sized, weights, share, cap)
-    blocks = F.floor(F.col("target") / BLOCK_WORDS + F.lit(0.5)).cast("long")
-    total_blocks = F.floor(F.sum("target").over(Window.partitionBy()) / BLOCK_WORDS + F.lit(0.5)).cast("long")
+    every = Window.partitionBy()
+    least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(every)
+    block = F.coalesce(F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.floor(least / LEAST_BLOCKS))), F.lit(1)).cast("long")
+    targets = targets.withColumn("block", block)
+    total_blocks = F.floor(F.sum("target").over(every) / F.col("block") + F.lit(0.5)).cast("long")
     by_source = apportion(targets.withColumn("blocks", total_blocks).withColumn("_one", F.lit(1)), ["_one"], "sid", "target", "blocks")
     shard_count = F.greatest(F.lit(1), F.least(F.lit(MAX_SHARDS), F.ceil(F.col("source_size") / SHARD_WORDS))).cast("int")
-    by_source = by_source.select("source", "sid", "source_size", "target", F.col("quota").alias("source_quota"), shard_count.alias("shards"))
+    by_source = by_source.select("source", "sid", "source_size", "target", "block", F.col("quota").alias("source_quota"), shard_count.alias("shards"))
 
     key = F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     placed = sized.join(by_source, sized["source"].eqNullSafe(by_source["source"])).drop("source")
     placed = placed.withColumn("seeded", key)
     placed = placed.withColumn("shard", (F.conv(F.substring("seeded", 1, 7), 16, 10).cast("long") % F.col("shards")).cast("int"))
-    shards = placed.groupBy("sid", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
+    shards = placed.groupBy("sid", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"), F.first("block").alias("block"))
     quotas = apportion(shards, ["sid"], "shard", "shard_size", "source_quota")
-    words = F.least(F.col("quota") * BLOCK_WORDS, F.floor(F.col("shard_size") * F.lit(float(cap))).cast("long"))
+    words = F.least(F.col("quota") * F.col("block"), F.floor(F.col("shard_size") * F.lit(float(cap))).cast("long"))
     quotas = quotas.select("sid", "shard", "shard_size", words.alias("quota_words"))
 
     placed = placed.join(quotas, ["sid", "shard"])
@@ -138,14 +143,15 @@ e4 AS (SELECT *, (SUM(source_size) OVER () * 1.5::DOUBLE - COALESCE(SUM(lim) OVE
        FROM e3 WINDOW pre AS (ORDER BY lim / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 e5 AS (SELECT *, MAX(CASE WHEN lv * weight <= lim THEN lv END) OVER () AS level FROM e4),
 e6 AS (SELECT source, sid, source_size, LEAST(lim, COALESCE(level * weight, lim)) AS target, 1 AS one FROM e5),
-e7 AS (SELECT *, CAST(FLOOR(SUM(target) OVER () / {BLOCK_WORDS} + 0.5) AS BIGINT) AS blocks FROM e6),
+e6b AS (SELECT *, CAST(COALESCE(GREATEST(1, LEAST({BLOCK_WORDS}, FLOOR(MIN(CASE WHEN target > 0 THEN target END) OVER () / {LEAST_BLOCKS}))), 1) AS BIGINT) AS block FROM e6),
+e7 AS (SELECT *, CAST(FLOOR(SUM(target) OVER () / block + 0.5) AS BIGINT) AS blocks FROM e6b),
 {apportioned.format(out="src_q", src="e7", g="one", p="sid", w="target", s="blocks")},
-placed AS (SELECT doc_id, size, sid, source_size, target, quota AS source_quota, MD5('{SEED}/' || COALESCE(CAST(doc_id AS VARCHAR), 'null')) AS seeded,
+placed AS (SELECT doc_id, size, sid, source_size, target, block, quota AS source_quota, MD5('{SEED}/' || COALESCE(CAST(doc_id AS VARCHAR), 'null')) AS seeded,
        GREATEST(1, LEAST({MAX_SHARDS}, CAST(CEIL(source_size / {SHARD_WORDS}) AS BIGINT))) AS shards FROM sized JOIN src_q ON sized.source IS NOT DISTINCT FROM src_q.source),
 placed2 AS (SELECT *, CAST('0x' || SUBSTR(seeded, 1, 7) AS BIGINT) % shards AS shard FROM placed),
-shards AS (SELECT sid, shard, CAST(SUM(size) AS BIGINT) AS shard_size, MIN(source_quota) AS source_quota FROM placed2 GROUP BY 1, 2),
+shards AS (SELECT sid, shard, CAST(SUM(size) AS BIGINT) AS shard_size, MIN(source_quota) AS source_quota, MIN(block) AS block FROM placed2 GROUP BY 1, 2),
 {apportioned.format(out="shard_q", src="shards", g="sid", p="shard", w="shard_size", s="source_quota")},
-quotas AS (SELECT sid, shard, shard_size, LEAST(quota * {BLOCK_WORDS}, shard_size * 2) AS quota_words FROM shard_q),
+quotas AS (SELECT sid, shard, shard_size, LEAST(quota * block, shard_size * 2) AS quota_words FROM shard_q),
 laid AS (SELECT p.*, q.shard_size, CASE WHEN shard_size > 0 THEN quota_words // shard_size ELSE 0 END AS rounds, quota_words,
        COALESCE(SUM(size) OVER (PARTITION BY p.sid, p.shard ORDER BY seeded, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
        FROM placed2 p JOIN quotas q ON p.sid = q.sid AND p.shard = q.shard)

@@ -99,6 +99,14 @@ def test_common_line_links_nothing(spark):
 # -- mixing ----------------------------------------------------------------------------------
 
 
+def test_small_sources_come_near_their_targets(spark):
+    texts = [("a", "x " * 12), ("b", "y " * 10), ("c", "z " * 3), (None, None)]
+    rows = [(k, t, s) for k, (s, t) in enumerate(texts)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id: (r.size, r.target) for r in got} == {0: (12, 23.625), 1: (10, 7.875), 2: (3, 6.0), 3: (0, 0.0)}
+    assert all(abs(r.taken - r.target) <= 1 and r.taken <= 2 * r.size for r in got)
+
+
 def test_mix_targets_and_limits(spark, docs, nothing):
     got = mixing.mix(docs.drop("extra")).collect()
     assert len(got) == len(corpus())
@@ -155,7 +163,7 @@ def test_grams_stay_inside_texts():
     points = np.array([ord(c) for c in "abcde"], np.uint32)
     firsts = np.array([0, 2, 2, 3, 5])
     for width, want in ((1, [2, 0, 1, 2]), (2, [1, 0, 0, 1]), (3, [0, 0, 0, 0])):
-        bins, counts = language.gram_bins(points, firsts, width)
+        bins, counts, _ = language.gram_bins(points, firsts, width)
         assert counts.tolist() == want and len(bins) == sum(want)
 
 
