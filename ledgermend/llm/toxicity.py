@@ -10,8 +10,8 @@ many of its texts hold other words of the lexicon.  Equal toxic texts have one v
 so the words of a text with many copies are not learned from the copies.  Phrases of a lexicon word and its neighbour that only clean texts use become
 exceptions.  A logistic function of weighted hits and of hits by length is then
 fitted.  All fitting uses about ``FIT_ROWS`` labelled rows, chosen by a hash of
-doc_id; scoring is one narrow pass over all texts with a model of at most
-``MAX_CANDIDATES`` terms and ``MAX_EXCEPTIONS`` phrases.
+doc_id; scoring is one narrow pass over all texts.  The model is bounded by that
+sample: a term stands in ``MIN_DOCS`` different toxic texts of it, an exception in ``MIN_CLEAN`` clean ones.
 """
 
 from __future__ import annotations
@@ -29,9 +29,8 @@ from pyspark.sql import functions as F
 
 FIT_ROWS = 20_000
 MIN_DOCS = 5
+MIN_CLEAN = 3
 MIN_LOG_ODDS = 3.0
-MAX_CANDIDATES = 50_000
-MAX_EXCEPTIONS = 2_000
 BEGINNINGS = (4, 5, 6, 7)
 MAX_BROADCAST_LABELS = 200_000
 
@@ -114,7 +113,7 @@ def _features(batches):
     for batch in batches:
         for vote, label, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             words = set(_WORD.findall(fold(text or "")))
-            found = {w + " " for w in words if 2 < len(w) < 40} | {w[:n] for w in words for n in BEGINNINGS if len(w) > n}
+            found = {w + " " for w in words if len(w) > 2} | {w[:n] for w in words for n in BEGINNINGS if len(w) > n}
             if label:
                 for x in found:
                     toxic.setdefault(x, set()).add(vote)
@@ -184,11 +183,10 @@ def fit(labelled: DataFrame) -> Model:
     summed = parts.groupBy("term").agg(F.size(F.array_distinct(F.flatten(F.collect_list("votes")))).alias("votes"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("votes") + 0.5) / (bad + 1.0)) - F.log((F.col("clean") + 0.5) / (good + 1.0))
     useful = summed.where(F.col("votes") >= MIN_DOCS).withColumn("weight", odds).where(F.col("weight") >= MIN_LOG_ODDS)
-    useful = useful.orderBy(F.col("votes").desc(), "term").limit(MAX_CANDIDATES)
-    model = Model(choose_terms([(r["term"], r["weight"]) for r in useful.collect()]))
+    model = Model(choose_terms([(r["term"], r["weight"]) for r in useful.select("term", "weight").orderBy("term").collect()]))
     seen = labelled.select("doc_id", "toxic", "text").mapInArrow(_contexts(model.terms), "phrase string, toxic int, n long")
     only_clean = seen.groupBy("phrase").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"))
-    only_clean = only_clean.where("clean >= 3 and bad = 0").orderBy(F.col("clean").desc(), "phrase").limit(MAX_EXCEPTIONS)
+    only_clean = only_clean.where((F.col("clean") >= MIN_CLEAN) & (F.col("bad") == 0))
     model.exceptions = {r["phrase"] for r in only_clean.collect()}
     rows = labelled.select("doc_id", "toxic", "text").mapInArrow(_measured(model), "toxic int, a double, b double").toArrow()
     x = np.column_stack([np.ones(len(rows)), rows["a"].to_numpy(), rows["b"].to_numpy()])
