@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 from ledgermend.workspace import partitions
 
 #: A block of documents is held by one task.
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 32 << 20
 #: So many blocks have numbers of two bytes.
 NARROW = 65_535
 #: kind says what the arrays of a row are.
@@ -35,10 +35,8 @@ def shards(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
 
 
 def in_blocks(docs: DataFrame, keep: Iterable[str], n: int) -> DataFrame:
-    """Documents with their block of ``n``: the columns ``keep`` and text.  Rows of one doc_id share a block, rows without one go by text."""
-    key = F.coalesce(F.xxhash64(F.when(F.col("doc_id").isNotNull(), F.col("doc_id"))), F.lit(0))
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(key)
-    return docs.select(F.pmod(key, F.lit(n)).cast("int").alias("block"), *dict.fromkeys([*keep, "text"]))
+    """Documents with their block of ``n``: the columns ``keep`` and text.  Rows of one doc_id are spread by text; only equal rows share a block."""
+    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"), *dict.fromkeys([*keep, "text"]))
 
 
 def to_shards(mail: DataFrame, n: int, fn: Callable[[int, list], Iterator[pa.RecordBatch]]) -> DataFrame:
