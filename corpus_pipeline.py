@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermend.llm import decontam, language, mixing, neardup, phrases
-from ledgermend.workspace import stored
+from ledgermend.workspace import discard, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -39,13 +39,13 @@ def shielded(stage: Stage) -> Stage:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; lang becomes the predicted one.
 
-    Rejected are texts without a letter (null and empty ones included) and those
-    whose best language has a posterior below ``MIN_LANGUAGE_SCORE``.  Without any
-    labelled text nothing can be told and all are rejected.
+    Rejected are texts without a letter (null and empty ones included), those whose best
+    language has a posterior below ``MIN_LANGUAGE_SCORE``, and those whose n-grams are far less
+    likely than those of that language's training texts.  Without any labelled text nothing can be told and all are rejected.
     """
     marked = docs.withColumn("_held_out", language.held_out(docs))
     model = language.fit(marked.where(~F.col("_held_out") & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang"))
-    kept = language.identify(docs, model, docs.columns).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    kept = language.identify(docs, model, docs.columns).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE) & (F.col("oddness") <= 1.0))
     return kept.withColumn("lang", F.col("lang_pred")).select(docs.columns)
 
 
@@ -107,5 +107,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)  # the table of the stage before; documents themselves stay
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgermend.llm.tokens import ranges
+
 BITS = 16
 BINS = 1 << BITS
 GRAMS = (1, 2, 3)
@@ -31,6 +33,9 @@ SMOOTH = 0.5
 MAX_MODEL_BYTES = 256 << 20
 SLICE_CHARS = 1 << 20
 UNKNOWN = "und"
+#: What a text may lack in likelihood, in nats an n-gram: texts of its language with odd signs, and what chance does to n n-grams, times the root of n.
+MARGIN = 1.5
+NOISE = 30.0
 
 
 def _slices(texts: list[str | None]):
@@ -46,25 +51,15 @@ def _slices(texts: list[str | None]):
         yield start, points, np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
-def gram_bins(points: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bin of each n-gram that lies inside one text, and how many each text has."""
+def gram_bins(points: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bin of each n-gram that lies inside one text, how many each text has, and where each starts."""
     counts = np.maximum(np.diff(firsts) - width + 1, 0)
     hashed = np.full(max(len(points) - width + 1, 0), width * 0x9E3779B1, np.uint64)
     for k in range(width):
         hashed = (hashed ^ points[k : k + len(hashed)]) * np.uint64(0xD6E8FEB86659FD93)
         hashed ^= hashed >> np.uint64(32)
-    if width == 1:
-        return (hashed >> np.uint64(64 - BITS)).astype(np.int32), counts
-    keep = np.ones(len(hashed), bool)
-    for back in range(1, width):
-        crossing = firsts[1:-1] - back
-        keep[crossing[(crossing >= 0) & (crossing < len(keep))]] = False
-    # Texts shorter than the n-gram also mark starts of their own; recount what is left by text.
-    owner = np.searchsorted(firsts[1:], np.flatnonzero(keep), "right") if (counts == 0).any() else None
-    if owner is not None:
-        ends = np.flatnonzero(keep) + width <= firsts[owner + 1]
-        keep[np.flatnonzero(keep)[~ends]] = False
-    return (hashed[keep] >> np.uint64(64 - BITS)).astype(np.int32), counts
+    starts = ranges(firsts[:-1], counts)
+    return (hashed[starts] >> np.uint64(64 - BITS)).astype(np.int32), counts, starts
 
 
 _LETTERS: np.ndarray | None = None
@@ -92,7 +87,7 @@ def _counts(batches):
         langs = batch.column(0).to_pylist()
         for start, points, firsts in _slices(batch.column(1).to_pylist()):
             for width in GRAMS:
-                bins, counts = gram_bins(points, firsts, width)
+                bins, counts, _ = gram_bins(points, firsts, width)
                 stops = np.cumsum(counts)
                 for k, stop in enumerate(stops):
                     total = sums.setdefault(langs[start + k], np.zeros(BINS, np.int64))
@@ -106,6 +101,8 @@ def _counts(batches):
 class Model:
     langs: list[str]
     log_p: np.ndarray
+    #: The mean log-probability of an n-gram of each language's training texts.
+    usual: np.ndarray | None = None
 
 
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
@@ -124,50 +121,66 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     place = {x: k for k, x in enumerate(langs)}
     np.add.at(counts, (rows["bin"].to_numpy(), np.array([place[x] for x in rows["lang"].to_pylist()], int)), rows["n"].to_numpy())
     counts += SMOOTH
-    return Model(langs, (np.log(counts) - np.log(counts.sum(axis=0))).astype(np.float32))
+    log_p = (np.log(counts) - np.log(counts.sum(axis=0))).astype(np.float32)
+    seen = counts - SMOOTH
+    return Model(langs, log_p, (seen * log_p).sum(axis=0) / np.maximum(seen.sum(axis=0), 1))
+
+
+def text_scores(texts: list[str | None], log_p: np.ndarray):
+    """Slices of (letters, log-probability in each language) of the texts, and (n-grams, log-probability) of their n-grams without a digit."""
+    for _, points, firsts in _slices(texts):
+        letters = _per_text(letter_table()[points].astype(np.int32), np.diff(firsts))
+        total, numbers = (np.zeros((len(firsts) - 1, log_p.shape[1])) for _ in range(2))
+        grams = np.zeros(len(firsts) - 1, np.int64)
+        digit = np.cumsum(np.concatenate([[0], (points >= 48) & (points <= 57)]))
+        for width in GRAMS:
+            bins, counts, starts = gram_bins(points, firsts, width)
+            for k in range(log_p.shape[1]):
+                total[:, k] += _per_text(log_p[:, k][bins], counts)
+            some = np.flatnonzero(digit[starts + width] > digit[starts])
+            owner = np.searchsorted(firsts, starts[some], "right") - 1
+            np.add.at(numbers, owner, log_p[bins[some]])
+            grams += counts - np.bincount(owner, minlength=len(counts))
+        yield letters, total, grams, total - numbers
 
 
 def _scorer(shared, extra: list[str]):
     def score(batches):
-        langs, log_p = shared.value
+        langs, log_p, usual = shared.value
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            best, sure = [], []
-            for _, points, firsts in _slices(texts):
-                n = len(firsts) - 1
-                letters = _per_text(letter_table()[points].astype(np.int32), np.diff(firsts))
+            best, sure, odd = [], [], []
+            for letters, total, grams, plain in text_scores(texts, log_p):
+                known = (letters > 0) & bool(langs)
                 if not langs:
-                    best += [UNKNOWN] * n
-                    sure += [0.0] * n
-                    continue
-                total = np.zeros((n, len(langs)))
-                for width in GRAMS:
-                    bins, counts = gram_bins(points, firsts, width)
-                    for k in range(len(langs)):
-                        total[:, k] += _per_text(log_p[:, k][bins], counts)
+                    total = plain = np.zeros((len(grams), 1))
                 top = total.argmax(axis=1)
-                odds = np.exp(total - total.max(axis=1, keepdims=True))
-                chance = 1 / odds.sum(axis=1)
-                known = letters > 0
+                chance = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
                 best += [langs[k] if ok else UNKNOWN for k, ok in zip(top, known, strict=True)]
                 sure += np.where(known, chance, 0.0).tolist()
+                n = np.maximum(grams, 1)
+                lack = usual[top] - plain[np.arange(len(n)), top] / n if usual is not None and langs else np.zeros(len(n))
+                odd += np.where(known & (grams > 0), lack / (MARGIN + NOISE / np.sqrt(n)), 0.0).tolist()
             kept = {c: batch.column(batch.schema.get_field_index(c)) for c in extra}
-            yield pa.RecordBatch.from_pydict(kept | {"lang_pred": pa.array(best, pa.string()), "score": pa.array(sure, pa.float64())})
+            yield pa.RecordBatch.from_pydict(kept | {"lang_pred": pa.array(best, pa.string()), "score": pa.array(sure, pa.float64()), "oddness": pa.array(odd, pa.float64())})
 
     return score
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs``, with lang_pred and score (the model's posterior, 0 to 1).
+    """The columns ``keep`` of ``docs``, with lang_pred, score (the model's posterior, 0 to 1) and oddness.
+
+    Oddness is how much less likely the n-grams of a text without digits (which are of no language) are than those of the language's training texts, in terms of what is allowed:
+    ``MARGIN`` nats an n-gram and ``NOISE`` over the root of their number.  Above 1 the text is of none of the languages.
 
     A null text, or one without a letter, is ``und`` with score 0; so is every
     text if the model learned no language.  Ties go to the first language in
     code point order.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.log_p))
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.log_p, model.usual))
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     inputs = docs.select(*dict.fromkeys([*keep, "text"]))
-    return inputs.mapInArrow(_scorer(shared, keep), f"{fields}, lang_pred string, score double")
+    return inputs.mapInArrow(_scorer(shared, keep), f"{fields}, lang_pred string, score double, oddness double")
 
 
 def held_out(docs: DataFrame) -> F.Column:

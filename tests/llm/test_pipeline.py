@@ -1,6 +1,7 @@
 """Every stage of the pipeline against a brute-force version, on its own input."""
 
 import math
+import re
 from collections import Counter
 
 import duckdb
@@ -32,7 +33,8 @@ def documents():
     rows += [(100, " ".join(base), "en", "s0"), (101, " ".join(near), "en", "s1"), (102, " ".join(base), "en", "s1"), (103, " ".join(base + words(60, 33, 10**6)), "en", "s1")]
     rows += [(k, " ".join(words(25, 40 + k, 10**6) + shared), "en", "s2") for k in (110, 111)] + [(112, " ".join(shared), "en", "s2")]
     rows += [(120, BENCH[0][1] + " " + " ".join(words(40, 50, 10**6)), "en", "s0"), (121, " ".join(words(20, 51, 10**6)) + " Seven, plain words make one short ITEM.", "en", "s0")]
-    rows += [(130, None, "en", "s0"), (131, "", "en", "s0"), (132, "12 34 !?", "en", None), (133, "x" * 50_000 + " " + " ".join(words(5000, 52, 10**6)), "en", "s0")]
+    rows += [(130, None, "en", "s0"), (131, "", "en", "s0"), (132, "12 34 !?", "en", None), (133, " ".join([*rng.choice(said["en"].split(), 9000), *words(5000, 52, 10**6)]), "en", "s0"), (138, "q" * 50_000, None, "s0")]
+    rows += [(134, "Совсем другой язык, которого никто не учил. " * 6, None, "s0"), (136, "the house", "en", "s0"), (137, "token = 40d78a45c418324758e099eb7cb89bc0f5fa9f62 the house", "en", "s1")]
     rows += [(140, "one text of a repeated id", "en", "s0"), (140, "another text of that id", "de", "s1"), (140, "one text of a repeated id", "en", "s0"), (None, " ".join(base), "en", "s0"), (None, " ".join(base), "en", "s0")]
     return [(d, t, lang, s, len(t or ""), *[c for c in CLASHING]) for d, t, lang, s in rows]
 
@@ -74,8 +76,14 @@ def test_language_stage(spark, stages):
     for d, t, _, *rest in rows:
         if any(c.isalpha() for c in t or ""):
             logs = {x: sum(math.log((counts[x][plain_bin(g)] + language.SMOOTH) / total[x]) for g in plain_grams(t)) for x in sorted(counts)}
-            want.append((d, t, max(logs, key=logs.get), *rest))
-    assert Counter(made) == Counter(want) and len(made) == len(rows) - 3
+            best = max(logs, key=logs.get)
+            log_p = lambda g: math.log((counts[best][g] + language.SMOOTH) / total[best])  # noqa: B023, E731
+            usual = sum(n * log_p(g) for g, n in counts[best].items()) / sum(counts[best].values())
+            own = [log_p(plain_bin(g)) for g in plain_grams(t) if not re.search("[0-9]", g)]
+            if usual - sum(own) / len(own) <= language.MARGIN + language.NOISE / math.sqrt(len(own)):
+                want.append((d, t, best, *rest))
+    assert Counter(made) == Counter(want) and len(made) == len(rows) - 5
+    assert not {134, 138} & {r[0] for r in made} and {133, 136, 137} <= {r[0] for r in made}
 
 
 def test_near_duplicate_stage(spark, stages, sf_dir):
