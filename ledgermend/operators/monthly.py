@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgermend.functions.text import HEBREW_MONTHS, table
 from ledgermend.operators import layout, sequence
+from ledgermend.workspace import discard, stored
 
 #: Statuses of a history, months, and how a year is marked.
 STATUSES = ("ok", "co", "30", "60", "90", "120", "150", "180")
@@ -38,10 +39,9 @@ def two_years(tokens: DataFrame, keys: list[str]) -> DataFrame:
     heading = low.contains("two") & (low.contains("year") | low.contains("payment"))
     other = low.contains("history") & (F.length(low) > 3)
     seven = (low.contains("seven") | low.contains("7")) & (low.contains("year") | low.contains("history") | (F.length(low) <= 2))
-    first = tokens.groupBy(*keys).agg(F.coalesce(F.min(F.when(heading, F.col("n"))), F.min(F.when(other, F.col("n")))).alias("_from")).where("_from is not null")
-    inside = tokens.join(first, keys).where(F.col("n") >= F.col("_from"))
-    last = inside.where(seven & (F.col("n") > F.col("_from"))).groupBy(*keys).agg(F.min("n").alias("_to"))
-    inside = inside.join(last, keys, "left").where(F.col("_to").isNull() | (F.col("n") < F.col("_to")))
+    every = Window.partitionBy(*keys)
+    inside = tokens.withColumn("_from", F.coalesce(F.min(F.when(heading, F.col("n"))).over(every), F.min(F.when(other, F.col("n"))).over(every))).where(F.col("n") >= F.col("_from"))
+    inside = inside.withColumn("_to", F.min(F.when(seven & (F.col("n") > F.col("_from")), F.col("n"))).over(every)).where(F.col("_to").isNull() | (F.col("n") < F.col("_to")))
     named = F.coalesce(*[F.when(low.contains(b), F.lit(b)) for b in layout.BUREAU_NAMES])
     w = Window.partitionBy(*keys).orderBy("n")
     mark = F.when(F.row_number().over(Window.partitionBy(*keys, named).orderBy("n")) == 1, named)
@@ -92,11 +92,12 @@ def monthly_history(tokens: DataFrame, keys: list[str]) -> DataFrame:
     year; years go on from mark to mark.
     """
     own = [*keys, "bureau"]
-    found = layout.expand_packed(two_years(tokens, keys))
+    found = stored(layout.expand_packed(two_years(tokens, keys)), "monthly-tokens")  # read twice, and what follows several times
     months = in_rows(found.where(month_number(F.col("text")).isNotNull() | marked_year(F.col("text")).isNotNull()), own)
     statuses = in_rows(found.where(F.lower(F.trim("text")).isin(*STATUSES)), own)
     w = Window.partitionBy(*own).orderBy("page", "row", "x", "n")
-    months = months.withColumn("place", F.row_number().over(w))
+    months, statuses = stored(months.withColumn("place", F.row_number().over(w)), "monthly-months"), stored(statuses, "monthly-statuses")
+    discard(found)
     pairs = paired_rows(months, statuses, own)
     left = months.join(pairs, [*own, "page", "row"]).where("s_row is not null").select(*own, F.col("s_page").alias("page"), F.col("s_row").alias("row"), "place", F.col("x0").alias("lo"), F.col("x1").alias("hi"))
     right = statuses.withColumn("_status", F.struct("x", "n", F.lower(F.trim("text")).alias("status"))).select(*own, "page", "row", "_status", F.col("x0").alias("lo"), F.col("x1").alias("hi"))

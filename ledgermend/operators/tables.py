@@ -76,3 +76,27 @@ def text_of(source: str) -> Column:
     parts = F.array_sort(F.collect_list(F.when(F.col("source") == source, F.struct("_part", "_x", "text"))))
     joined = F.trim(F.regexp_replace(F.array_join(F.transform(parts, lambda t: t["text"]), " "), r"\s+", " "))
     return F.when(joined.rlike("^[-–—]+$"), "--").otherwise(joined).alias(source)
+
+
+def in_windows(tokens: DataFrame, windows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The tokens of each window of their page whose middle lies in it: ``windows`` has the keys, block, page, x_min, x_max, y_top, y_bottom."""
+    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    met = tokens.join(windows, [*keys, "page"]).where(x.between(F.col("x_min"), F.col("x_max")) & y.between(F.col("y_top"), F.col("y_bottom")))
+    return met.drop("x_min", "x_max", "y_top", "y_bottom")
+
+
+def template_confidence(tokens: DataFrame, session: str, block: str, labels: Sequence[str]) -> DataFrame:
+    """Per session how surely its blocks follow the template: confidence, blocks_checked, blocks_with_bands, label_coverage_mean.
+
+    Half is the share of blocks that name two sources at least as tokens of their own, half the mean share of ``labels`` (plain texts) that are lines of a block.
+    Blocks without tokens don't count; a session without any isn't listed.
+    """
+    known = sorted(set(labels))
+    named = F.collect_set(F.when(F.lower(F.trim("text")).isin(*SOURCES), F.lower(F.trim("text"))))
+    line = tokens.groupBy(session, block, "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "x1", "text"))), lambda t: t["text"]), " ").alias("_text"), named.alias("_named"))
+    line = line.withColumn("_label", plain_label(F.col("_text")))
+    each = line.groupBy(session, block).agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("_named")))).alias("_sources"), F.count_distinct(F.when(F.col("_label").isin(*known), F.col("_label"))).alias("_found")
+    )
+    total = each.groupBy(session).agg(F.count(F.lit(1)).alias("blocks_checked"), F.count_if(F.col("_sources") >= 2).alias("blocks_with_bands"), F.avg(F.col("_found") / max(len(known), 1)).alias("label_coverage_mean"))
+    return total.withColumn("confidence", 0.5 * F.col("blocks_with_bands") / F.col("blocks_checked") + 0.5 * F.col("label_coverage_mean"))

@@ -91,3 +91,16 @@ clean AS (SELECT k, field, source, CASE WHEN REGEXP_FULL_MATCH(v, '-+') THEN '--
 SELECT r.k, r.field, COALESCE(MAX(CASE WHEN source = 'transunion' THEN v END), '') AS transunion, COALESCE(MAX(CASE WHEN source = 'experian' THEN v END), '') AS experian, COALESCE(MAX(CASE WHEN source = 'equifax' THEN v END), '') AS equifax FROM rws r LEFT JOIN clean c ON c.k = r.k AND c.field = r.field GROUP BY 1, 2""")
 def source_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.source_table(tokens(spark, sf_dir), ["k"], LABELS)
+
+
+@query("template_detection", f"""WITH tok AS ({TOKENS_SQL}), cut AS (SELECT * FROM tok WHERE (y0 + y1) / 2 BETWEEN 0 AND 40 AND (x0 + x1) / 2 BETWEEN 0 AND 450),
+ln AS (SELECT k, line, TRIM(REGEXP_REPLACE(LOWER(STRING_AGG(text, ' ' ORDER BY x0, x1, text)), '[^a-z0-9]+', ' ', 'g')) AS lab FROM cut GROUP BY 1, 2),
+b AS (SELECT k, COUNT(DISTINCT CASE WHEN LOWER(text) IN ('transunion', 'experian', 'equifax') THEN LOWER(text) END) AS s FROM cut GROUP BY 1),
+l AS (SELECT k, COUNT(DISTINCT CASE WHEN lab IN ('high balance', 'date opened', 'status') THEN lab END) / 3.0::DOUBLE AS c FROM ln GROUP BY 1)
+SELECT CAST(FLOOR(b.k / 20) AS BIGINT) AS session, COUNT(*) AS blocks_checked, CAST(SUM((s >= 2)::INT) AS BIGINT) AS blocks_with_bands, ROUND(AVG(c), 9) AS label_coverage_mean, ROUND(0.5::DOUBLE * SUM((s >= 2)::INT) / COUNT(*) + 0.5::DOUBLE * AVG(c), 9) AS confidence FROM b JOIN l USING (k) GROUP BY 1""")
+def template_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as blocks, twenty a session, seen through a window of their page."""
+    laid = tokens(spark, sf_dir).withColumns({"session": F.floor(F.col("k") / 20).cast("long"), "page": F.lit(1)})
+    frame = laid.select("session", "k").distinct().select("session", "k", F.lit(1).alias("page"), F.lit(0.0).alias("x_min"), F.lit(450.0).alias("x_max"), F.lit(0.0).alias("y_top"), F.lit(40.0).alias("y_bottom"))
+    found = tables.template_confidence(tables.in_windows(laid, frame, ["session", "k"]), "session", "k", list(LABELS))
+    return found.withColumns({c: F.round(c, 9) for c in ("label_coverage_mean", "confidence")})
