@@ -31,13 +31,21 @@ GRAMS = (1, 2, 3)
 FIT_ROWS = 4000
 SMOOTH = 0.5
 MAX_MODEL_BYTES = 256 << 20
-SLICE_CHARS = 1 << 20
+#: Arrays of eight bytes a character are made of a slice of texts, and so many texts leave Arrow at once.
+SLICE_CHARS = 1 << 17
+SLICE_ROWS = 256
 UNKNOWN = "und"
 #: What a text may lack in likelihood, in nats an n-gram: texts of its language with odd signs, and what chance does to n n-grams, times the root of n.
 MARGIN = 1.5
 NOISE = 30.0
 
 
+def _parts(column: pa.Array):
+    """A column's values, some rows at a time, with the number of the first."""
+    for at in range(0, len(column), SLICE_ROWS):
+        yield at, column.slice(at, SLICE_ROWS).to_pylist()
+
+
 def _slices(texts: list[str | None]):
     """Consecutive texts of about SLICE_CHARS: the code points of all, lower-cased, and each text's first."""
     at = 0
@@ -85,13 +93,14 @@ def _counts(batches):
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = batch.column(0).to_pylist()
-        for start, points, firsts in _slices(batch.column(1).to_pylist()):
-            for width in GRAMS:
-                bins, counts, _ = gram_bins(points, firsts, width)
-                stops = np.cumsum(counts)
-                for k, stop in enumerate(stops):
-                    total = sums.setdefault(langs[start + k], np.zeros(BINS, np.int64))
-                    np.add.at(total, bins[stop - counts[k] : stop], 1)
+        for at, texts in _parts(batch.column(1)):
+            for start, points, firsts in _slices(texts):
+                for width in GRAMS:
+                    bins, counts, _ = gram_bins(points, firsts, width)
+                    stops = np.cumsum(counts)
+                    for k, stop in enumerate(stops):
+                        total = sums.setdefault(langs[at + start + k], np.zeros(BINS, np.int64))
+                        np.add.at(total, bins[stop - counts[k] : stop], 1)
     for lang, total in sums.items():
         bins = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(bins), pa.string()), "bin": bins.astype(np.int32), "n": total[bins]})
@@ -148,9 +157,9 @@ def _scorer(shared, extra: list[str]):
     def score(batches):
         langs, log_p, usual = shared.value
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            column = batch.column(batch.schema.get_field_index("text"))
             best, sure, odd = [], [], []
-            for letters, total, grams, plain in text_scores(texts, log_p):
+            for letters, total, grams, plain in (scores for _, texts in _parts(column) for scores in text_scores(texts, log_p)):
                 known = (letters > 0) & bool(langs)
                 if not langs:
                     total = plain = np.zeros((len(grams), 1))
