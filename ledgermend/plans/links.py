@@ -11,13 +11,19 @@ from ledgermend.plans.catalog import query, table
 #: The longest run that two pieces share, the first in a, then in b: as one list expression.
 RUN = """LIST_MAX(FLATTEN(FLATTEN([[[CASE WHEN SUBSTR(a, i, n) = SUBSTR(b, j, n) THEN {{'n': n, 'i': -i, 'j': -j}} END FOR n IN RANGE(1, LEAST({ah} - i, {bh} - j) + 1)] FOR j IN RANGE({bl}, {bh})] FOR i IN RANGE({al}, {ah})])))"""
 HOSTS_SQL = r"""hosts AS (SELECT DISTINCT REGEXP_EXTRACT(url, '^https?://([^/]*)\.example\.([a-z]+)', 2) AS domain, REGEXP_EXTRACT(url, '^https?://([^/]*)\.example\.([a-z]+)', 1) AS name FROM pages)"""
-#: Of all pairs of names by brute force: the shares of letters in matching blocks, pieces left and right of a run being matched again.
-RATIO_SQL = f"""{HOSTS_SQL}, two AS (SELECT x.domain, x.name AS a, y.name AS b FROM hosts x JOIN hosts y ON x.domain = y.domain AND x.name < y.name WHERE LENGTH(x.name) > 0),
-piece AS (SELECT *, 1 AS al, LENGTH(a) + 1 AS ah, 1 AS bl, LENGTH(b) + 1 AS bh, {RUN.format(al="1", ah="(LENGTH(a) + 1)", bl="1", bh="(LENGTH(b) + 1)")} AS run FROM two
-UNION ALL SELECT domain, a, b, al, ah, bl, bh, {RUN.format(al="al", ah="ah", bl="bl", bh="bh")} FROM
- (SELECT domain, a, b, CASE s WHEN 0 THEN al ELSE -run.i + run.n END AS al, CASE s WHEN 0 THEN -run.i ELSE ah END AS ah, CASE s WHEN 0 THEN bl ELSE -run.j + run.n END AS bl, CASE s WHEN 0 THEN -run.j ELSE bh END AS bh FROM piece, (VALUES (0), (1)) v(s) WHERE run IS NOT NULL) WHERE al < ah AND bl < bh),
-ratios AS (SELECT domain, a, b, 2.0::DOUBLE * SUM(run.n) / (LENGTH(a) + LENGTH(b)) AS ratio FROM piece WHERE run IS NOT NULL GROUP BY domain, a, b),
-similar_pairs AS (SELECT * FROM ratios WHERE ratio >= 0.8 - 1e-12)"""
+
+
+def matched_sql(two: str) -> str:
+    """CTEs ``piece`` and ``ratios(key, a, b, ratio)`` of a CTE with key, a and b: shares of letters in matching blocks, pieces left and right of a run being matched again."""
+    return f"""piece AS (SELECT *, 1 AS al, LENGTH(a) + 1 AS ah, 1 AS bl, LENGTH(b) + 1 AS bh, {RUN.format(al="1", ah="(LENGTH(a) + 1)", bl="1", bh="(LENGTH(b) + 1)")} AS run FROM {two}
+UNION ALL SELECT key, a, b, al, ah, bl, bh, {RUN.format(al="al", ah="ah", bl="bl", bh="bh")} FROM
+ (SELECT key, a, b, CASE s WHEN 0 THEN al ELSE -run.i + run.n END AS al, CASE s WHEN 0 THEN -run.i ELSE ah END AS ah, CASE s WHEN 0 THEN bl ELSE -run.j + run.n END AS bl, CASE s WHEN 0 THEN -run.j ELSE bh END AS bh FROM piece, (VALUES (0), (1)) v(s) WHERE run IS NOT NULL) WHERE al < ah AND bl < bh),
+ratios AS (SELECT key, a, b, 2.0::DOUBLE * SUM(COALESCE(run.n, 0)) / (LENGTH(a) + LENGTH(b)) AS ratio FROM piece GROUP BY key, a, b)"""
+
+
+#: Of all pairs of names by brute force.
+RATIO_SQL = f"""{HOSTS_SQL}, two AS (SELECT x.domain AS key, x.name AS a, y.name AS b FROM hosts x JOIN hosts y ON x.domain = y.domain AND x.name < y.name WHERE LENGTH(x.name) > 0), {matched_sql("two")},
+similar_pairs AS (SELECT key AS domain, a, b, ratio FROM ratios WHERE ratio >= 0.8 - 1e-12)"""
 
 
 def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgermend.functions import pages, text
 from ledgermend.operators import layout, planning, similarity
 from ledgermend.plans.catalog import query, table
+from ledgermend.plans.links import matched_sql
 
 
 @query("band_assign", """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN (l_quantity + l_quantity + 4) / 2 >= 40 THEN 'eq' WHEN l_quantity + 2 >= 25 THEN 'xp' WHEN l_quantity + 2 >= 10 THEN 'tu' WHEN l_quantity + 2 >= 5 THEN 'label' ELSE 'none' END AS band FROM lineitem""")
@@ -71,9 +72,10 @@ def value_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "value", text.value_type(F.col("value")).alias("kind"), text.history_token(F.col("value")).alias("is_history"))
 
 
-@query("ratio_similarity")
+@query("ratio_similarity", f"""WITH RECURSIVE next AS (SELECT x.p_partkey, x.p_name AS a, y.p_name AS b FROM part x JOIN part y ON y.p_partkey = x.p_partkey + 1), two AS (SELECT DISTINCT 0 AS key, a, b FROM next), {matched_sql("two")}
+SELECT p_partkey, ratio FROM next JOIN ratios ON ratios.a = next.a AND ratios.b = next.b""")
 def ratio_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names against the next part's, by matching blocks; a recursion that SQL can't give, so tests compare it with difflib row by row."""
+    """Part names against the next part's, by matching blocks."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     following = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next_name"))
     return similarity.ratio(part.join(following, "p_partkey"), "p_partkey", "p_name", "next_name").select("p_partkey", "ratio")
