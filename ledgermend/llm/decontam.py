@@ -148,7 +148,11 @@ def alignments(tokens: np.ndarray, firsts: np.ndarray, bench: dict) -> tuple[np.
     """
     n_items = max(len(bench["ids"]), 1)
     pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for text, _, group in seed_hits(tokens, firsts, bench):
+    hits, n_hits = [], 0
+    for text, hit, group in seed_hits(tokens, firsts, bench):
+        n_hits += len(hit)
+        if n_hits <= MAX_PAIRS:
+            hits.append((text, hit, group))
         every = np.concatenate([pairs, text * n_items + bench["item"][group]])
         pairs, place = np.unique(every, return_inverse=True)
         counts = np.bincount(place, np.concatenate([counts, bench["count"][group]]), len(pairs)).astype(np.int64)
@@ -166,7 +170,8 @@ def alignments(tokens: np.ndarray, firsts: np.ndarray, bench: dict) -> tuple[np.
         held = 0
 
     def candidates():
-        for text, hit, group in seed_hits(tokens, firsts, bench):
+        # Few hits are held; many are found again rather than held.
+        for text, hit, group in hits if n_hits <= MAX_PAIRS else seed_hits(tokens, firsts, bench):
             light = ~np.isin(text * n_items + bench["item"][group], heavy)
             text, hit, group = text[light], hit[light], group[light]
             part = np.cumsum(bench["count"][group]) // MAX_PAIRS
