@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ledgermend.llm.tokens import give_back, tidy
 from ledgermend.workspace import partitions
 
 #: A block of documents is held by one task.
@@ -42,6 +43,7 @@ def in_blocks(docs: DataFrame, keep: Iterable[str], n: int) -> DataFrame:
 def to_shards(mail: DataFrame, n: int, fn: Callable[[int, list], Iterator[pa.RecordBatch]]) -> DataFrame:
     """``fn(shard, rows)`` for each of ``n`` shards; rows are (kind, block, a, b, c) and answers are mail again."""
 
+    @tidy
     def run(batches):
         held: dict[int, list] = {}
         for batch in batches:
@@ -66,7 +68,10 @@ def to_blocks(answers: DataFrame, placed: DataFrame, fn: Callable, schema: str)
     def run(key, docs: pa.Table, mail: pa.Table) -> pa.Table:
         letters = list(zip(*(mail.column(c).to_pylist() for c in ("kind", "shard", "a", "b", "c")), strict=True))
         made = fn(key[0].as_py(), letters, iter(docs.select(columns).to_batches()))
-        return pa.Table.from_batches([b.select(wanted.names).cast(wanted) for b in made], wanted)
+        told = pa.Table.from_batches([b.select(wanted.names).cast(wanted) for b in made], wanted)
+        del letters
+        give_back()
+        return told
 
     return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermend.llm.tokens import U64, WORD_BASE, lowered, mix, ranges, slices, span_hashes
+from ledgermend.llm.tokens import U64, WORD_BASE, lowered, mix, ranges, slices, span_hashes, tidy
 from ledgermend.workspace import partitions, stored
 
 SPAN = 10
@@ -238,6 +238,7 @@ def judged(batch: pa.RecordBatch, bench: dict) -> tuple[np.ndarray, np.ndarray,
 
 
 def _marker(shared, keep: list[str]):
+    @tidy
     def run(batches):
         for batch in batches:
             n_items, best, best_item = judged(batch, shared.value)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgermend.llm.tokens import ranges
+from ledgermend.llm.tokens import ranges, tidy
 
 BITS = 16
 BINS = 1 << BITS
@@ -89,6 +89,7 @@ def _per_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+@tidy
 def _counts(batches):
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
@@ -154,6 +155,7 @@ def text_scores(texts: list[str | None], log_p: np.ndarray):
 
 
 def _scorer(shared, extra: list[str]):
+    @tidy
     def score(batches):
         langs, log_p, usual = shared.value
         for batch in batches:

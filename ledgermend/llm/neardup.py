@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermend.llm.components import components
-from ledgermend.llm.tokens import U64, gram_hashes, lowered, mix, slices, span_hashes, word_spans
+from ledgermend.llm.tokens import U64, gram_hashes, lowered, mix, slices, span_hashes, word_spans, tidy
 from ledgermend.workspace import discard, stored
 
 WORDS = 5
@@ -73,6 +73,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+@tidy
 def _sketches(batches):
     for batch in batches:
         for rows, data, offsets in slices(batch):
@@ -87,6 +88,7 @@ def _sketches(batches):
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "n", "fp1", "fp2", "sketch"])
 
 
+@tidy
 def _sets(batches):
     """``node, deep, whole``: the deep sketch as values, the full set as bytes."""
     for batch in batches:
@@ -105,6 +107,7 @@ def may_link(a: np.ndarray, b: np.ndarray, k: int = K, share: float = SHARE) ->
     return same >= (share if len(union) == k else SIMILARITY / 100) * len(union)
 
 
+@tidy
 def _verify(batches):
     for batch in batches:
         keep = []
@@ -222,6 +225,7 @@ def possible_pairs(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     return same >= np.where(whole, SIMILARITY / 100 - 0.01, DEEP_SHARE) * np.maximum(union, 1)
 
 
+@tidy
 def _compare(batches):
     """Rows of one pair of blocks of a list come together; emits the pairs across components that may be links."""
     held: dict = {"key": None, "left": [], "right": []}
@@ -249,6 +253,7 @@ def _compare(batches):
     yield from flush()
 
 
+@tidy
 def _high_bits(batches):
     for batch in batches:
         deep = [np.asarray(x.values).view(U64) >> U64(32) for x in batch.column(1)]

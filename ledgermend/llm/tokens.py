@@ -6,6 +6,9 @@ follows the slice size and the longest single text, not the table.
 
 from __future__ import annotations
 
+import ctypes
+from functools import wraps
+
 import numpy as np
 import pyarrow as pa
 
@@ -18,6 +21,28 @@ WORD_BASE = 0xD6E8FEB86659FD93
 U64 = np.uint64
 
 
+def give_back() -> None:
+    """Freed memory to the system: a worker lives on for later tasks, beside an executor's other workers."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run):
+    """A task's function over batches that gives its memory back at its end."""
+
+    @wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every input bit."""
     x = (x ^ (x >> U64(32))) * U64(0xD6E8FEB86659FD93)
