@@ -3,7 +3,9 @@
 Method: an inverted file of coarse centroids with product-quantised residuals.
 A query probes the cells whose centroids are nearest, ranks their vectors by
 asymmetric distance tables, and the best are ranked again by the exact cosine of
-the original vectors.
+the original vectors.  A vector is left out of that only where its code can't be
+near enough: the length of what its code misses bounds the error of the tables, so
+crowds of almost equal vectors, which share their codes, lose no neighbour.
 
 Centroids and codebooks are fitted on at most about ``FIT_ROWS`` vectors chosen
 by a hash; every vector is indexed.  How many cells a query probes is measured: about
@@ -29,7 +31,10 @@ COVERED = 0.97
 MIN_PROBES = 4
 SUBSPACES = 16
 CODES = 256
-SHORTLIST = 40
+#: A query probes cells that hold at least so many ids.
+ENOUGH = 40
+#: Far above the rounding of a cosine.
+ROUNDING = 1e-9
 PART_ROWS = 4096
 PART_QUERIES = 1024
 
@@ -92,7 +97,10 @@ def _coder(shared):
             cell = nearest(x, centres)
             rest = x - centres[cell]
             codes = np.stack([nearest(rest[:, p], b) for p, b in zip(parts, books, strict=True)], axis=1).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.list_(pa.float64())), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "embedding", "cell", "codes"])
+            for k, (p, b) in enumerate(zip(parts, books, strict=True)):
+                rest[:, p] -= b[codes[:, k]]
+            missed = np.sqrt((rest * rest).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.list_(pa.float64())), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(missed)], ["vec_id", "embedding", "cell", "codes", "missed"])
 
     return run
 
@@ -150,8 +158,8 @@ def _prober(shared):
         centres, held, probes = shared.value
         for batch in batches:
             order = cell_order(unit(matrix(batch.column(1))), centres)
-            # Further cells where the nearest ones hold too few vectors for a shortlist.
-            enough = (np.cumsum(held[order], axis=1) < SHORTLIST).sum(axis=1) + 1
+            # Further cells where the nearest ones hold too few vectors.
+            enough = (np.cumsum(held[order], axis=1) < ENOUGH).sum(axis=1) + 1
             order = [o[: max(probes, n)].tolist() for o, n in zip(order, enough.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.list_(pa.float64())), pa.array(order, pa.list_(pa.int32()))], ["vec_id", "embedding", "cells"])
 
@@ -159,24 +167,33 @@ def _prober(shared):
 
 
 def best_of(queries: tuple, rows: tuple, shared: tuple, top: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per query: ids and exact cosines of its ``top`` among these rows, after the shortlist by distance tables."""
+    """Per query: ids and exact cosines of its ``top`` among these rows, after the shortlist by distance tables.
+
+    A table is off by at most what a vector's code misses, so the shortlist holds whatever may be among the ``top``.
+    """
     centres, books, _ = shared
     q_ids, q_raw = queries
-    ids, raw, codes, cell = rows
+    ids, raw, codes, missed, cell = rows
     order = np.argsort(ids, kind="stable")
-    ids, raw, codes = ids[order], raw[order], codes[order]
+    ids, raw, codes, missed = ids[order], raw[order], codes[order], missed[order] + ROUNDING
+    starts = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
     q, raw, q_raw = unit(q_raw), scaled(raw), scaled(q_raw)
     parts = np.array_split(np.arange(centres.shape[1]), len(books))
     near = np.repeat((q @ centres[cell])[:, None], len(ids), axis=1)
     for k, (p, book) in enumerate(zip(parts, books, strict=True)):
         near += (q[:, p] @ book.T)[:, codes[:, k]]
-    size = min(SHORTLIST, len(ids))
     norm, q_norm = np.sqrt((raw * raw).sum(axis=1)), np.sqrt((q_raw * q_raw).sum(axis=1))
     out = []
     for k in range(len(q_ids)):
-        short = np.argsort(-np.where(ids == q_ids[k], -np.inf, near[k]), kind="stable")[:size]
-        short = short[ids[short] != q_ids[k]]
-        cosine = raw[short] @ q_raw[k] / (norm[short] * q_norm[k])
+        approximate = np.where(ids == q_ids[k], -np.inf, near[k])
+        # The least cosine that each id surely has; whatever can't reach the top-th of them is out.
+        sure = np.maximum.reduceat(approximate - missed, starts)
+        bar = np.partition(sure, len(sure) - top)[len(sure) - top] if len(sure) > top else -np.inf
+        short = np.flatnonzero((approximate + missed >= bar) & (ids != q_ids[k]))
+        if len(short) > len(ids) / 4:
+            cosine = (raw @ q_raw[k])[short] / (norm[short] * q_norm[k])
+        else:
+            cosine = raw[short] @ q_raw[k] / (norm[short] * q_norm[k])
         pick = np.lexsort((ids[short], -cosine))
         # Several vectors of one id are one candidate, with the best of their scores.
         pick = pick[np.sort(np.unique(ids[short][pick], return_index=True)[1])][:top]
@@ -194,7 +211,7 @@ def _searcher(shared, top: int):
             if held["q"] and held["v"]:
                 join = lambda k, x: np.concatenate([y[k] for y in x])
                 q, v = held["q"], held["v"]
-                found = best_of((join(0, q), join(1, q)), (join(0, v), join(1, v), join(2, v), held["key"][0]), shared.value, top)
+                found = best_of((join(0, q), join(1, q)), (join(0, v), join(1, v), join(2, v), join(3, v), held["key"][0]), shared.value, top)
                 a, b, c = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], ["query_id", "vec_id", "score"])
             held["v"] = []
@@ -215,7 +232,7 @@ def _searcher(shared, top: int):
                     held["q"].append((ids, raw))
                 elif held["q"]:
                     codes = np.frombuffer(b"".join(rows.column(5).to_pylist()), np.uint8).reshape(len(ids), -1)
-                    held["v"].append((ids, raw, codes))
+                    held["v"].append((ids, raw, codes, rows.column(6).to_numpy()))
                     if sum(len(x[0]) for x in held["v"]) >= 4 * PART_ROWS:
                         yield from flush()
         yield from flush()
@@ -249,7 +266,7 @@ def search(vectors: DataFrame, queries: F.Column, top: int = 5) -> DataFrame:
     probes = min(len(centres), probes_needed(good, rows, centres, top))
     shared = spark.sparkContext.broadcast((centres, books, probes))
 
-    index = good.select("vec_id", "embedding").mapInArrow(_coder(shared), "vec_id long, embedding array<double>, cell int, codes binary")
+    index = good.select("vec_id", "embedding").mapInArrow(_coder(shared), "vec_id long, embedding array<double>, cell int, codes binary, missed double")
     # At most MAX_CELLS rows each: how many ids and vectors a cell holds, and how many parts its vectors and its queries take.
     counts = index.groupBy("cell", "vec_id").agg(F.count(F.lit(1)).alias("n")).groupBy("cell").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("ids")).collect()
     v_parts = {r["cell"]: -(-r["n"] // PART_ROWS) for r in counts}
@@ -263,8 +280,8 @@ def search(vectors: DataFrame, queries: F.Column, top: int = 5) -> DataFrame:
     listed = lambda parts: F.array(*[F.lit(parts.get(c, 1)) for c in range(len(centres))])
     v_n, q_n = F.element_at(listed(v_parts), F.col("cell") + 1), F.element_at(listed(q_parts), F.col("cell") + 1)
     own = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
-    v_rows = index.select("cell", F.explode(F.transform(F.sequence(F.lit(0), q_n - 1), lambda k: own(v_n) * q_n + k)).alias("part"), F.lit(1).alias("kind"), "vec_id", "embedding", "codes")
-    q_rows = asked.select("cell", F.explode(F.transform(F.sequence(F.lit(0), v_n - 1), lambda k: k * q_n + own(q_n))).alias("part"), F.lit(0).alias("kind"), "vec_id", "embedding", F.lit(None).cast("binary").alias("codes"))
+    v_rows = index.select("cell", F.explode(F.transform(F.sequence(F.lit(0), q_n - 1), lambda k: own(v_n) * q_n + k)).alias("part"), F.lit(1).alias("kind"), "vec_id", "embedding", "codes", "missed")
+    q_rows = asked.select("cell", F.explode(F.transform(F.sequence(F.lit(0), v_n - 1), lambda k: k * q_n + own(q_n))).alias("part"), F.lit(0).alias("kind"), "vec_id", "embedding", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("missed"))
     dealt = q_rows.unionByName(v_rows).repartition("cell", "part").sortWithinPartitions("cell", "part", "kind")
     found = dealt.mapInArrow(_searcher(shared, top), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -200,6 +200,21 @@ def test_recall_with_part_of_the_cells_and_repeated_rows(monkeypatch, spark, clu
     assert hits / (5 * 40) >= 0.95
 
 
+@pytest.mark.parametrize("wide", [0.0, 0.5])
+def test_recall_in_crowds_of_almost_equal_vectors(spark, wide):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4, 16))[rng.integers(0, 4, 2000)] + 1e-4 * rng.normal(size=(2000, 16))
+    lone = rng.random(2000) < wide
+    x[lone] = rng.normal(size=(lone.sum(), 16))
+    got = {}
+    for r in ann.search(spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u[::50] @ u.T
+    near[np.arange(40), np.arange(0, 2000, 50)] = -9
+    assert sum(len(got[50 * k] & set(np.argsort(-n)[:5].tolist())) for k, n in enumerate(near)) / 200 >= 0.93
+
+
 def test_cosines_of_extreme_vectors(spark):
     rows = [(0, [1e200, 2e200, 0.0]), (1, [1e200, 2.1e200, 0.0]), (2, [1e-200, 3e-200, 1e-200]), (3, [0.0, 0.0, 5e-324]), (4, [3.0, 1.0, 0.0]), (50, [1e-200, 2e-200, 0.0])]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
