@@ -82,6 +82,25 @@ def test_band_join_equals_nested_loop(spark):
     assert {tuple(r) for r in got} == want
 
 
+def test_families_of_one_number_stay_apart(spark, tmp_path):
+    """Two identities whose first ten hex digits agree are two families, in SQL too."""
+    import datetime
+
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    day = datetime.datetime(1995, 1, 1)
+    rows = [(1, 1, part, supplier, "N" if flag is None else flag, status, 5.0, day) for part, supplier, flag in ((80778, 4414, "R"), (104923, 5568, "R"), (7, 7, None)) for status in "FO"]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string, l_quantity double, l_shipdate timestamp")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = sorted(tuple(r) for r in entry.queries()["families"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert [r[0] for r in got].count("282bd15b7e") == 2 and len(got) == 3
+    assert sorted(con.sql(entry.oracle_sql()["families"]).fetchall()) == got
+
+
 def test_first_snapshot_gives_no_events(spark):
     old = spark.createDataFrame([("a", "f1", 1), ("a", "f2", 1), ("a", "f3", 1)], "account string, family string, n int")
     new = spark.createDataFrame([("a", "f1", 1), ("a", "f2", 2), ("a", "f4", 1), ("b", "f9", 1)], "account string, family string, n int")
