@@ -82,6 +82,20 @@ def test_band_join_equals_nested_loop(spark):
     assert {tuple(r) for r in got} == want
 
 
+def test_band_links_count_every_pair_of_the_band_join(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice("kk2"), rng.choice([-1, 1]) * round(10 ** rng.uniform(0, 4), rng.choice([0, 2]))) for i in range(300)]
+    rows += [(300 + i, "k", v) for i, v in enumerate([20.0, 40.0, 60.0, 0.0, -0.0, None, float("nan"), float("inf"), float("inf")])] + [(400 + i, "c", 7.5) for i in range(3000)] + [(5000, None, 7.5)]
+    got = {r.id: (r.class_id, r.links) for r in matching.band_links(spark.createDataFrame(rows, "id long, key string, v double"), ["key"], "id", "v", 20.0, 0.05).collect()}
+    real = [r for r in rows if r[1] and r[1] != "c" and r[2] is not None and abs(r[2]) < float("inf")]
+    close = lambda p, q: p[1] == q[1] and abs(p[2] - q[2]) <= max(20.0, 0.05 * min(abs(p[2]), abs(q[2])))
+    assert {p[0]: got[p[0]] for p in real} == {p[0]: (min(q[0] for q in real if q[1:] == p[1:]), sum(close(p, q) for q in real) - 1) for p in real}
+    assert all(got[k] == (k, 0) for k in (305, 306, 5000)) and got[308] == (307, 0) and len(got) == len(rows)
+    assert all(got[400 + i] == (400, 2999) for i in range(3000))
+
+
 def test_families_of_one_number_stay_apart(spark, tmp_path):
     """Two identities whose first ten hex digits agree are two families, in SQL too."""
     import datetime
