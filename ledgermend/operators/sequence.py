@@ -57,7 +57,9 @@ def carry_years(df: DataFrame, keys: Sequence[str], position: str, month: str, a
     turn = F.when(F.col("_forward") & (F.col("_before") == 12) & (F.col(month) == 1), 1).when(~F.col("_forward") & (F.col("_before") == 1) & (F.col(month) == 12), -1).otherwise(0)
     df = df.withColumn("_turns", F.sum(F.coalesce(turn, F.lit(0))).over(to_here))
     base = F.when(F.col(anchor).isNotNull(), F.col(anchor) - F.col("_turns"))
-    before, after = F.last(base, ignorenulls=True).over(to_here), F.first(base, ignorenulls=True).over(from_here)
+    # What follows is read from the end: a frame that ends at the list's end would be read anew for every row.
+    from_end = parts.orderBy(F.col(position).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    before, after = F.last(base, ignorenulls=True).over(to_here), F.last(base, ignorenulls=True).over(from_end)
     year = F.when(F.col(month).isNotNull(), F.coalesce(before, after) + F.col("_turns"))
     df = df.withColumn("derived_year", F.coalesce(F.col(anchor), year).cast("int")).drop("_before", "_step", "_forward", "_turns")
     key = F.when(F.col("derived_year").isNotNull() & F.col(month).isNotNull(), F.format_string("%04d-%02d", "derived_year", F.col(month).cast("int")))
