@@ -79,6 +79,11 @@ def plain(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
 
 
+def is_plain(text: Column, *words: str) -> Column:
+    """Whether the text is one of these words but for marks, spaces and capitals; texts too short for any are told by their length."""
+    return (F.length(text) >= min(map(len, words))) & plain(text).isin(*words)
+
+
 def is_triad(text: Column) -> Column:
     found = F.lit(True)
     for name in SOURCES:
@@ -92,8 +97,8 @@ def is_anchor(text: Column) -> Column:
 
 def is_headline(text: Column) -> Column:
     """All capitals: at least three letters, digits or ``/&-``, none of them a small letter."""
-    core = F.regexp_replace(text, r"[^A-Za-z0-9/&\-]", "")
-    return (F.length(core) >= 3) & core.rlike("[A-Z]") & ~core.rlike("[a-z]")
+    # Most lines have a small letter, which is told soonest.
+    return ~text.rlike("[a-z]") & text.rlike("[A-Z]") & (F.length(F.regexp_replace(text, r"[^A-Za-z0-9/&\-]", "")) >= 3)
 
 
 def line_kind(text: Column) -> Column:
@@ -104,7 +109,7 @@ def line_kind(text: Column) -> Column:
     short = (F.size(words) == 1) & (F.length(F.trim(text)) <= 3)
     return (
         F.when(F.coalesce(F.trim(text), F.lit("")) == "", "other")
-        .when(plain(text) == STOP_MARKER, "stop").when(plain(text).isin(*SECTION_NAMES), "section")
+        .when(is_plain(text, STOP_MARKER), "stop").when(is_plain(text, *SECTION_NAMES), "section")
         .when(is_anchor(text), "anchor").when(text.rlike(TWO_YEARS), "two_years").when(text.rlike(SEVEN_YEARS), "seven_years")
         .when(is_triad(text), "triad").when(bare.isin(*SOURCES), "source").when(grid, "grid")
         .when(text.rlike(LABEL), "row").when(is_headline(text) | short, "other").otherwise("values")
@@ -148,8 +153,8 @@ def split_accounts(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     back = page.rowsBetween(-BACK_LINES, -1)
     text = F.trim(F.coalesce("text", F.lit("")))
     head = is_headline(text) & ~is_triad(text)
-    marked = lines.withColumn("_stopped", F.max(plain(text) == STOP_MARKER).over(upto)).where(~F.col("_stopped"))
-    marked = marked.withColumns({"_triad": is_triad(text), "_head": head, "_anchor": is_anchor(text), "_section": F.when(plain(text).isin(*SECTION_NAMES), plain(text))})
+    marked = lines.withColumn("_stopped", F.max(is_plain(text, STOP_MARKER)).over(upto)).where(~F.col("_stopped"))
+    marked = marked.withColumns({"_triad": is_triad(text), "_head": head, "_anchor": is_anchor(text), "_section": F.when(is_plain(text, *SECTION_NAMES), plain(text))})
     here = F.struct("position", text.alias("text"))
     above = F.struct("position", F.when(F.lag("_head").over(page), F.lag(here).over(page)).alias("head"))
     marked = marked.withColumns({"_names": F.when(F.col("_triad"), above), "_row": F.row_number().over(page)})
@@ -188,8 +193,9 @@ def split_accounts(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     placed = placed.where("account is not null").withColumn("_cut", cut).where((F.col("_cut").isNull() | (F.col("position") < F.col("_cut"))) & ~text.rlike(NOISE))
     last = F.max(F.when(~F.col("_triad"), F.col("position"))).over(within)
     placed = placed.withColumn("_last", last).withColumn("_owner", F.when(F.col("position") <= F.col("_last"), F.col("account")))
-    later = w.rowsBetween(0, Window.unboundedFollowing)
-    placed = placed.withColumn("account", F.first("_owner", ignorenulls=True).over(later)).where("account is not null")
+    # Read from the end: a frame that ends at the document's end would be read anew for every line.
+    later = Window.partitionBy(*keys).orderBy(F.col("position").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("account", F.last("_owner", ignorenulls=True).over(later)).where("account is not null")
     return placed.select(*keys, "page", "position", "text", "account").join(joined.drop("position"), [*keys, "account"])
 
 

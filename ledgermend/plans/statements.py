@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgermend.operators import statements
@@ -55,7 +55,12 @@ split AS (SELECT o.doc, o.page, o.position, o.text, CAST(o.owner AS INT) AS acco
 
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(LINES_SQL.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+    """The rows of ``LINES_SQL``, from one pass over the orders."""
+    number = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    price = F.floor("o_totalprice").cast("long")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"), price.alias("price"), number.alias("n"))
+    lines = orders.select("doc", "n", F.posexplode(F.array(*[F.expr(text) for text in LINES])).alias("j", "text")).where("text is not null")
+    return lines.select("doc", (1 + F.floor(F.col("n") / 3)).cast("int").alias("page"), (16 * F.col("n") + F.col("j")).cast("long").alias("position"), "text")
 
 
 def split(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,3 +126,14 @@ def test_open_rows(spark):
         (1, 1, "Account", 1, "11*", "22*", "33*"), (1, 2, "Creditor", 2, "", "", ""), (1, 3, "Type", 4, "Bank", "Store", "Card of record x"),
         (1, 4, "Status", 7, "$5", "$6", "$7"), (1, 5, "Account", 13, "5", "6", "7"),
     ]
+
+
+def test_no_window_reads_to_the_end_from_every_row(spark):
+    """Such a frame takes the square of a document's lines."""
+    from ledgermend.operators import sequence
+
+    lines = spark.createDataFrame([("d", 1, 0, "BANK"), ("d", 1, 1, "Account # 1")], "doc string, page int, position long, text string")
+    months = spark.createDataFrame([("d", 0, 9, None), ("d", 1, 1, 2025)], "doc string, pos int, mon int, anchor int")
+    for df in (st.split_accounts(lines, ["doc"]), sequence.carry_years(months, ["doc"], "pos", "mon", "anchor")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "RowFrame" in plan and "currentrow$(), unboundedfollowing$()" not in plan
