@@ -21,9 +21,9 @@ Steps, and why they hold on large inputs:
   one list of each kind stays.
 * Each list gives one pair per member, with its least member as centre; pairs whose
   sketches allow a link are verified and linked members merge.  In lists that still hold several
-  components, the members outside the largest are compared with all others by deep
-  sketches, in blocks; a block gives only pairs that pass, so nothing grows with the
-  square of a group but arithmetic inside a task.
+  components, the members outside the largest are compared with all others in blocks, by deep
+  sketches and then by full sets; a block gives only links that join components not yet joined
+  in it, so nothing grows with the square of a group but arithmetic inside a task.
 * Lists with many members are dealt in parts (``PART``); the join that counts how often
   values occur leaves a very common value to Spark's skew join.
 """
@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgermend.llm.components import components
@@ -44,7 +44,7 @@ SIMILARITY = 75  # per cent
 K, SHARE = 64, 0.5
 DEEP, DEEP_SHARE = 512, 0.66
 PART = 1024
-BLOCK = 1024
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 #: Columns of a block's value matrix held at a time.
 STRIP = 1024
 
@@ -172,13 +172,23 @@ def star_pairs(lists: DataFrame) -> DataFrame:
     return with_list_columns(lists, centres).where("a < node").select("a", F.col("node").alias("b")).distinct()
 
 
-def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Lists that still hold several components: members with theirs, the list's largest, and how many are outside it."""
-    joined = stored(lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "list-components")
-    sizes = joined.groupBy("value", "members", "component").agg(F.count(F.lit(1)).alias("size"))
-    each = sizes.groupBy("value", "members").agg(F.max(F.struct("size", "component")).alias("top")).where("top.size < members")
-    each = each.select("value", "members", F.col("top.component").alias("largest"), (F.col("members") - F.col("top.size")).alias("outside"))
-    found = stored(with_list_columns(joined, each), "open-lists")
+def blocks(rows: Column, size: Column) -> Column:
+    """How many blocks hold so many rows of so many bytes in all."""
+    return F.greatest(F.ceil(rows / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+
+
+def open_lists(lists: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Lists that still hold several components: members with theirs, the list's largest, and the blocks of all members and of those outside it.
+
+    The centre (least member) was compared with every other, so it is left out, and a list of two is settled.
+    """
+    held = lists.join(sets.select("node", F.octet_length("whole").cast("long").alias("bytes")), "node")
+    joined = stored(held.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "list-components")
+    sizes = joined.groupBy("value", "members", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("bytes"), F.min("node").alias("least"))
+    each = sizes.groupBy("value", "members").agg(F.max(F.struct("size", "component", "bytes")).alias("top"), F.sum("bytes").alias("all"), F.min("least").alias("centre")).where("top.size < members and members > 2")
+    inner, outer = blocks(F.col("members"), F.col("all")), blocks(F.col("members") - F.col("top.size"), F.col("all") - F.col("top.bytes"))
+    each = each.select("value", "members", "centre", F.col("top.component").alias("largest"), inner.alias("inner_blocks"), outer.alias("outer_blocks"))
+    found = stored(with_list_columns(joined, each).where("node <> centre").select("value", "node", "component", "largest", "inner_blocks", "outer_blocks"), "open-lists")
     discard(joined)
     return found
 
@@ -225,57 +235,71 @@ def possible_pairs(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     return same >= np.where(whole, SIMILARITY / 100 - 0.01, DEEP_SHARE) * np.maximum(union, 1)
 
 
+def joining_links(left: list[tuple], right: list[tuple]) -> list[tuple[int, int]]:
+    """Links between ``left`` and ``right`` (node, component, full set) that join different components, one for each join.
+
+    Every pair that sketches don't rule out is verified on full sets, unless links found before have joined its components.
+    """
+    sets_l, sets_r = ([np.frombuffer(r[2], U64) for r in rows] for rows in (left, right))
+    high = lambda rows: [np.unique((x[:DEEP] >> U64(32)).astype(np.uint32)) for x in rows]
+    own, at = np.unique(np.array([r[1] for r in left] + [r[1] for r in right], np.int64), return_inverse=True)
+    at_l, at_r, label = at[: len(left)], at[len(left) :], np.arange(len(own))
+    may, found = possible_pairs(high(sets_l), high(sets_r)), []
+    for i in range(len(left)):
+        near, x = np.nonzero(may[i])[0], sets_l[i]
+        near = near[label[at_r[near]] != label[at_l[i]]]
+        while len(near):
+            k, near = near[0], near[1:]
+            y = sets_r[k]
+            same = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * same >= SIMILARITY * (len(x) + len(y) - same):
+                found.append((min(left[i][0], right[k][0]), max(left[i][0], right[k][0])))
+                label[label == label[at_r[k]]] = label[at_l[i]]
+                near = near[label[at_r[near]] != label[at_l[i]]]
+    return found
+
+
 @tidy
 def _compare(batches):
-    """Rows of one pair of blocks of a list come together; emits the pairs across components that may be links."""
+    """Rows of one pair of blocks of a list come together; emits the links that join components."""
     held: dict = {"key": None, "left": [], "right": []}
 
     def flush():
         left, right = held["left"], held["right"]
         held["left"], held["right"] = [], []
-        if not left or not right:
-            return
-        sketch = lambda rows: [np.unique(np.frombuffer(r[2], np.uint32)) for r in rows]
-        column = lambda rows, k: np.array([r[k] for r in rows], np.int64)
-        other = column(left, 1)[:, None] != column(right, 1)[None, :]
-        a, b = np.nonzero(possible_pairs(sketch(left), sketch(right)) & other)
-        x, y = column(left, 0)[a], column(right, 0)[b]
-        if len(x):
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        found = joining_links(left, right) if left and right else []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
     for batch in batches:
-        for key, is_left, *row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            if key != held["key"]:
-                yield from flush()
-                held["key"] = key
-            held["left" if is_left else "right"].append(row)
+        for start in range(0, len(batch), 256):
+            part = batch.slice(start, 256)
+            for key, is_left, is_right, *row in zip(*(part.column(k).to_pylist() for k in range(6)), strict=True):
+                if key != held["key"]:
+                    yield from flush()
+                    held["key"] = key
+                for side in ["left"] * is_left + ["right"] * is_right:
+                    held[side].append(row)
     yield from flush()
 
 
-@tidy
-def _high_bits(batches):
-    for batch in batches:
-        deep = [np.asarray(x.values).view(U64) >> U64(32) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(np.uint32).tobytes() for x in deep], pa.binary())], ["node", "high"])
-
-
-def remaining_pairs(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of different components within an open list that deep sketches don't rule out.
+def remaining_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between different components within an open list, enough to join all that links join.
 
     Members outside a list's largest component are compared with all its members, in
-    blocks; inside the largest there is nothing left to link.
+    blocks; inside the largest there is nothing left to link.  Rows of a single block are sent once, for both sides.
     """
-    high = sets.join(lists.select("node").distinct(), "node", "left_semi").select("node", "deep").mapInArrow(_high_bits, "node long, high binary")
-    placed = lists.join(high, "node")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    block = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1)).alias("other")
+    placed = lists.join(sets.select("node", "whole"), "node")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
     key = lambda i, j: F.concat_ws("/", "value", i, j).alias("key")
-    row = ["node", "component", "high"]
-    left = placed.where("component <> largest").select("*", every("members")).select(key(block("outside"), F.col("other")), F.lit(True).alias("is_left"), *row)
-    right = placed.select("*", every("outside")).select(key(F.col("other"), block("members")), F.lit(False).alias("is_left"), *row)
-    return left.union(right).repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "a long, b long").distinct()
+    row = ["node", "component", "whole"]
+    role = lambda is_left, is_right: [is_left.alias("is_left"), is_right.alias("is_right")]
+    outside, single = F.col("component") != F.col("largest"), F.col("inner_blocks") * F.col("outer_blocks") == 1
+    whole = placed.where(single).select(key(F.lit(0), F.lit(0)), *role(outside, F.lit(True)), *row)
+    left = placed.where(~single & outside).select("*", every("inner_blocks")).select(key(block("outer_blocks"), F.col("other")), *role(F.lit(True), F.lit(False)), *row)
+    right = placed.where(~single).select("*", every("outer_blocks")).select(key(F.col("other"), block("inner_blocks")), *role(F.lit(False), F.lit(True)), *row)
+    return whole.union(left).union(right).repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -298,8 +322,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lists = candidate_lists(sets)
     links = stored(linked_pairs(star_pairs(lists), sets).union(_same_id(own)), "links")
     labels = components(links)
-    left = open_lists(lists, labels)
-    more = stored(linked_pairs(remaining_pairs(left, sets), sets), "links")
+    left = open_lists(lists, labels, sets)
+    more = stored(remaining_links(left, sets), "links")
     discard(left, lists, sets, nodes)
     if not more.isEmpty():
         labels = components(links.union(more))

@@ -90,6 +90,24 @@ def test_chain_of_near_copies_is_one_component(spark):
     assert {r.doc_id: r.component_id for r in got} == want and set(want.values()) == {0}
 
 
+def test_links_of_a_group_join_it_and_are_no_more():
+    """Near copies that all link with each other, those of another text, and a pair just under the similarity."""
+    base = np.arange(1, 2001, dtype=np.uint64) << np.uint64(33)
+    near = lambda first, k: np.unique(np.concatenate([first[k:], np.arange(k, dtype=np.uint64) + first[-1] + np.uint64(1000 * k)]))
+    rows = [(k, k, near(base, k).tobytes()) for k in range(40)] + [(100 + k, 100 + k, near(base + np.uint64(1 << 45), k).tobytes()) for k in range(40)]
+    found = neardup.joining_links(rows, rows)
+    least = {r[0]: r[0] for r in rows}
+    for _ in rows:
+        for a, b in found:
+            least[a] = least[b] = min(least[a], least[b])
+    assert least == {r[0]: r[0] // 100 * 100 for r in rows} and len(found) == 78
+    same = 1500 * 2 * 75 // 175
+    under = [(k, k, np.concatenate([base[:same], base[same:1500] + np.uint64(k)]).tobytes()) for k in range(2)]
+    assert neardup.joining_links(under[:1], under[1:]) == []
+    over = [(k, k, np.concatenate([base[: same + 1], base[same + 1 : 1500] + np.uint64(k)]).tobytes()) for k in range(2)]
+    assert neardup.joining_links(over[:1], over[1:]) == [(0, 1)]
+
+
 def test_common_line_links_nothing(spark):
     line = " ".join(words(10, 12))
     rows = [(k, line + " " + " ".join(words(60, 100 + k, 10**6)), None, None, None, None) for k in range(80)]
