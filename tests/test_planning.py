@@ -136,3 +136,10 @@ def test_plans_equal_the_search(spark, accounts):
     df = spark.createDataFrame(rows, "account string, field string, strength int, min_days int, business boolean")
     got = sorted(map(tuple, planning.plans(df).collect()))
     assert got == sorted(row for k, found in enumerate(accounts) for row in plan(str(k), best_items(found)))
+
+
+def test_plans_shuffle_findings_and_no_states(spark):
+    """Nothing is joined or written on the way: states stay within an account's row."""
+    df = spark.createDataFrame([("x", "a", 3, 7, True), ("x", "b", 2, 5, False)], "account string, field string, strength int, min_days int, business boolean")
+    plan = planning.plans(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "plan-" not in plan and plan.count("Exchange") <= 2
