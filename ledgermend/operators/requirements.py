@@ -18,9 +18,10 @@ DELINQUENT_WORDS = ("CHARGE", "COLLECT", "DEROG")
 def with_rules(fields: DataFrame, rules: DataFrame) -> DataFrame:
     """Each disagreeing field with the columns of its rule; fields without a rule are dropped.
 
-    ``rules`` has one row per field and is a configuration, so the join is broadcast by its size.
+    ``rules`` has one row per field and is a configuration.  It is broadcast by name: its size is unknown to the planner, and where
+    fields hold one name a product would compute them anew for each of its partitions.
     """
-    return fields.join(rules, "field")
+    return fields.join(F.broadcast(rules), "field")
 
 
 def reason_prefix(code: Column) -> Column:
@@ -31,7 +32,7 @@ def with_default_decisions(findings: DataFrame, matrix: DataFrame) -> DataFrame:
     """``default_decision`` by field and the reason's prefix, from ``matrix(field, reason, decision)``; null if it has none."""
     named = matrix.select(F.trim("field").alias("_field"), reason_prefix(F.col("reason")).alias("_reason"), F.trim("decision").alias("default_decision"))
     keyed = findings.withColumn("_field", F.trim("field")).withColumn("_reason", reason_prefix(F.col("reason_code")))
-    return keyed.join(named, ["_field", "_reason"], "left").drop("_field", "_reason")
+    return keyed.join(F.broadcast(named), ["_field", "_reason"], "left").drop("_field", "_reason")
 
 
 def with_results(findings: DataFrame, results: DataFrame, key: str, order: str) -> DataFrame:
