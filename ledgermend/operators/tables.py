@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgermend.operators.statements import SOURCES
+from ledgermend.workspace import stored
 
 HALF_WIDTHS = (60.0, 140.0)
 BAND = 3.0
@@ -55,7 +56,8 @@ def source_table(tokens: DataFrame, keys: Sequence[str], labels: dict[str, str])
     )
     line = line.select(*keys, "line", plain_label(F.col("_text")).alias("_label"), F.get("_ys", F.floor(F.size("_ys") / 2).cast("int")).alias("y"))
     field = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
-    line = line.withColumn("field", F.element_at(field, F.col("_label")))
+    # Lines are read five times below, so they are written once.
+    line = stored(line.select(*keys, "line", "y", F.element_at(field, F.col("_label")).alias("field")), "lines")
     rows = line.where("field is not null").groupBy(*keys, "field").agg(F.min("y").alias("row_y"))
     span = lambda low, high: F.explode(F.sequence(F.floor(low / BUCKET), F.floor(high / BUCKET))).alias("_bucket")
     placed = line.withColumn("_bucket", F.floor(F.col("y") / BUCKET))

@@ -73,3 +73,10 @@ def test_source_columns_and_table(spark):
     assert cols == {"transunion": (35.0, 225.0), "experian": (270.0, 349.5), "equifax": (350.5, 430.0)}
     got = {r.field: (r.transunion, r.experian, r.equifax) for r in tables.source_table(made, ["k"], {"high balance": "high", "status": "status"}).collect()}
     assert got == {"high": ("$5 more", "--", ""), "status": ("", "", "")}
+
+
+def test_lines_of_a_source_table_are_made_once(spark):
+    """The plan reads lines that are written already, however often they are met."""
+    made = spark.createDataFrame([(1, 0, "Status", 0.0, 9.0, 0.0, 4.0)], "k long, line int, text string, x0 double, x1 double, y0 double, y1 double")
+    plan = tables.source_table(made, ["k"], {"status": "status"})._jdf.queryExecution().executedPlan().toString()
+    assert "struct(x0" not in plan
