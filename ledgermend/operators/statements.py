@@ -1,42 +1,118 @@
 """Report lines to accounts and their three-source rows: a parallel automaton, account starts, open rows.
 
 A line moves an automaton from state to state, so a line is a function of
-states, and so are 64 lines in a row.  ``scan_states`` composes the functions of
+states, and so are many lines in a row.  ``scan_states`` composes the functions of
 chunks level by level and then hands states down again: a document of any length
-is spread over tasks, and no group holds more than a chunk.
+is spread over tasks, and a task reads its chunks in order, batch by batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from ledgermend.functions.lets import bound
 from ledgermend.workspace import stored
 
-CHUNK = 64
+#: Positions a chunk; a document that is shorter is read in one pass.
+CHUNK = 65_536
 
 # -- the automaton ----------------------------------------------------------------------------
 
 
-def _before(moves: DataFrame, keys: list[str], start: int, states: int, longest: int, chunk: int) -> DataFrame:
-    """``moves(keys, _at, _moves, ...)`` with ``_state``, the state before each row.  Rows travel whole inside their chunk."""
-    row = F.struct("_at", "_moves", *[c for c in moves.columns if c not in (*keys, "_at", "_moves")])
-    chunks = moves.groupBy(*keys, F.floor(F.col("_at") / chunk).alias("_chunk")).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+def _packed(moves: Iterable[int]) -> bytes:
+    """A function of states as bytes, two for each state."""
+    return np.asarray(list(moves), "<u2").tobytes()
+
+
+def composed(moves: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """What rows do together, from the ``first`` one of their run up to each row: rows of next states, composed by doubling."""
+    at = np.arange(len(moves))
+    since = at - np.maximum.accumulate(np.where(first, at, 0))
+    done, reach = moves, 1
+    while reach <= since.max(initial=0):
+        later = np.flatnonzero(since >= reach)
+        further = done.copy()
+        further[later] = np.take_along_axis(done[later], done[later - reach], axis=1)
+        done, reach = further, 2 * reach
+    return done
+
+
+def _functions(batch: pa.RecordBatch, states: int) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("_moves").to_pylist()), "<u2").reshape(-1, states).astype(np.intp)
+
+
+def _whole(batches: Iterable[pa.RecordBatch], names: Sequence[str], states: int) -> Iterator[pa.RecordBatch]:
+    """A row a chunk, with what all its rows do together."""
+    held = last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        moves, first = _functions(batch, states), batch.column("_row").to_numpy() == 1
+        if not first[0]:
+            moves[0] = moves[0][held]
+        elif last is not None:
+            yield last
+        done = composed(moves, first)
+        ends = np.append(np.flatnonzero(first[1:]), batch.num_rows - 1)
+        rows = pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(ends)) for c in names], pa.array([_packed(done[k]) for k in ends], pa.binary())], names=[*names, "_moves"])
+        yield rows.slice(0, len(ends) - 1)
+        held, last = done[-1], rows.slice(len(ends) - 1)
+    if last is not None:
+        yield last
+
+
+def _states(batches: Iterable[pa.RecordBatch], names: Sequence[str], states: int) -> Iterator[pa.RecordBatch]:
+    """Each row with the states before and after it: the rows that are as far into their chunk take a step at once."""
+    now = 0
+    for batch in batches:
+        size = batch.num_rows
+        if not size:
+            continue
+        moves, first, at = _functions(batch, states).ravel(), batch.column("_row").to_numpy() == 1, np.arange(size)
+        since = at - np.maximum.accumulate(np.where(first, at, 0))
+        before, after = batch.column("_entry").to_numpy().astype(np.intp), np.empty(size, np.intp)
+        if not first[0]:
+            before[0] = now
+        order, ends = np.argsort(since, kind="stable"), np.cumsum(np.bincount(since))
+        for low, high in zip([0, *ends], ends, strict=False):
+            rows = order[low:high]
+            if low:
+                before[rows] = after[rows - 1]
+            after[rows] = moves[rows * states + before[rows]]
+        now = after[-1]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(before, pa.int32()), pa.array(after, pa.int32())], names=[*names, "_before", "_after"])
+
+
+def _around(moves: DataFrame, keys: list[str], start: int, states: int, longest: int, chunk: int) -> DataFrame:
+    """``moves(keys, _at, _moves, ...)`` with ``_before`` and ``_after``, the states around each row, without ``_moves``."""
+    parts = moves.withColumn("_chunk", F.floor(F.col("_at") / chunk).cast("long"))
+    order = Window.partitionBy(*keys, "_chunk").orderBy("_at")
+    schema = moves.drop("_moves").schema
+
+    def in_order(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_row", F.row_number().over(order)).sortWithinPartitions(*keys, "_chunk", "_at")
+
     if longest < chunk:
-        entered = chunks.withColumn("_entry", F.lit(start))
+        entered = parts.withColumn("_entry", F.lit(start))
     else:
-        chunks = stored(chunks, "chunks")
-        identity = F.array(*[F.lit(s) for s in range(states)])
-        composed = F.aggregate("_rows", identity, lambda done, r: F.transform(done, lambda s: F.get(r["_moves"], s)))
-        above = _before(chunks.select(*keys, F.col("_chunk").alias("_at"), composed.alias("_moves")), keys, start, states, longest // chunk, chunk)
-        entered = chunks.join(above.select(*keys, F.col("_at").alias("_chunk"), F.col("_state").alias("_entry")), [*keys, "_chunk"])
-    first = F.struct(F.col("_entry").alias("now"), F.array().cast("array<int>").alias("seen"))
-    seen = F.aggregate("_rows", first, lambda done, r: F.struct(F.get(r["_moves"], done["now"]).alias("now"), F.concat(done["seen"], F.array(done["now"])).alias("seen")))["seen"]
-    paired = entered.select(*keys, F.explode(F.arrays_zip(F.col("_rows").alias("row"), seen.alias("state"))).alias("_x"))
-    return paired.select(*keys, "_x.row.*", F.col("_x.state").alias("_state"))
+        parts = stored(parts, "chunks")
+        whole = StructType([*parts.select(*keys, "_chunk").schema, StructField("_moves", BinaryType())])
+        each = stored(in_order(parts.select(*keys, "_chunk", "_at", "_moves")).mapInArrow(partial(_whole, names=[*keys, "_chunk"], states=states), whole), "chunk-moves")
+        above = _around(each.withColumnRenamed("_chunk", "_at"), keys, start, states, longest // chunk, chunk)
+        above = above.select(*[F.col(k).alias(f"_up_{n}") for n, k in enumerate(keys)], F.col("_at").alias("_up"), F.col("_before").alias("_entry"))
+        met = F.col("_chunk") == F.col("_up")
+        for n, k in enumerate(keys):
+            met = met & F.col(k).eqNullSafe(F.col(f"_up_{n}"))
+        entered = parts.join(above, met).select(*parts.columns, "_entry")
+    out = StructType([*schema, StructField("_before", IntegerType()), StructField("_after", IntegerType())])
+    return in_order(entered).mapInArrow(partial(_states, names=schema.names, states=states), out)
 
 
 def scan_states(lines: DataFrame, keys: Sequence[str], position: str, kind: str, table: dict[str, Sequence[int]], start: int = 0, chunk: int = CHUNK) -> DataFrame:
@@ -45,17 +121,16 @@ def scan_states(lines: DataFrame, keys: Sequence[str], position: str, kind: str,
     ``table`` gives for a kind of line the next state of every state; a kind that it doesn't name, or null, changes nothing.
     ``position`` numbers the lines of a key from 0 without repeats; gaps are allowed.
     """
-    states = len(next(iter(table.values())))
-    whole = lambda moves: F.array(*[F.lit(s) for s in moves])
-    moves = whole(range(states))
+    keys, states = list(keys), len(next(iter(table.values())))
+    moves = F.lit(_packed(range(states)))
     for name, to in table.items():
-        moves = F.when(F.col(kind) == name, whole(to)).otherwise(moves)
+        moves = F.when(F.col(kind) == name, F.lit(_packed(to))).otherwise(moves)
     placed = lines.select(*keys, F.col(position).cast("long").alias("_at"), moves.alias("_moves"), F.struct(*[c for c in lines.columns if c not in keys]).alias("_line"))
     longest = placed.agg(F.max("_at")).first()[0]
     if longest is None:
         return lines.withColumns({"before": F.lit(start), "after": F.lit(start)})
-    found = _before(placed, list(keys), start, states, longest, chunk)
-    return found.select(*keys, "_line.*", F.col("_state").alias("before"), F.get("_moves", F.col("_state")).alias("after"))
+    found = _around(placed, keys, start, states, longest, chunk)
+    return found.select(*keys, "_line.*", F.col("_before").alias("before"), F.col("_after").alias("after"))
 
 
 # -- what a line is ---------------------------------------------------------------------------
@@ -68,7 +143,7 @@ TWO_YEARS = r"(?i)\bTwo[-\s]?Year\b.*\bPayment\b.*\bHistory\b"
 SEVEN_YEARS = r"(?i)Days\s*Late|7\s*Year\s*History"
 GRID_TOKENS = ("ok", "0", "30", "60", "90")
 NOISE = r"(?i)^https?://|^\d{1,2}/\d{1,2}/\d{2,4}.*(Credit\s*Report|SmartCredit)"
-LABEL = r"^([^:#：﹕︓]*[^:#：﹕︓\s][^:#：﹕︓]*)[:#：﹕︓]\s*(.*)$"
+LABEL = r"^(\s*+[^:#：﹕︓\s][^:#：﹕︓]*+)[:#：﹕︓]\s*(.*)$"  # possessive: a line without a mark is told in one pass
 MONTH = r"(?i)^(jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\.?$"
 NO_HEADING = "public information|inquiries|collections|total accounts|credit summary"
 BACK_LINES = 7
@@ -80,8 +155,9 @@ def plain(text: Column) -> Column:
 
 
 def is_plain(text: Column, *words: str) -> Column:
-    """Whether the text is one of these words but for marks, spaces and capitals; texts too short for any are told by their length."""
-    return (F.length(text) >= min(map(len, words))) & plain(text).isin(*words)
+    """Whether the text is one of these words but for marks, spaces and capitals: most texts are told by their length or first letter."""
+    spelled = "|".join("".join(f"{letter}[^a-z0-9]*" for letter in word) for word in words)
+    return (F.length(text) >= min(map(len, words))) & F.lower(text).rlike(rf"^[^a-z0-9]*(?:{spelled})\z")
 
 
 def is_triad(text: Column) -> Column:
@@ -103,15 +179,18 @@ def is_headline(text: Column) -> Column:
 
 def line_kind(text: Column) -> Column:
     """What a report line does to the automaton of ``MOVES``; null and blank lines are ``other``."""
-    bare = F.regexp_replace(F.lower(text), r"[®\s]", "")
-    words = F.split(F.lower(F.trim(text)), r"\s+")
-    grid = (F.size(words) == 3) & F.forall(words, lambda w: w.isin(*GRID_TOKENS))
-    short = (F.size(words) == 1) & (F.length(F.trim(text)) <= 3)
+    low = F.lower(text)
+    spelled = "|".join("".join(rf"{letter}[®\s]*" for letter in name) for name in SOURCES)
+    token = f"(?:{'|'.join(GRID_TOKENS)})"
+    grid = F.lower(F.trim(text)).rlike(rf"^{token}\s+{token}\s+{token}\z")
+    short = (F.length(F.trim(text)) <= 3) & ~F.trim(text).rlike(r"\s")
+    # The words that a heading can't be without are looked for first.
+    year = F.contains(low, F.lit("year"))
     return (
         F.when(F.coalesce(F.trim(text), F.lit("")) == "", "other")
         .when(is_plain(text, STOP_MARKER), "stop").when(is_plain(text, *SECTION_NAMES), "section")
-        .when(is_anchor(text), "anchor").when(text.rlike(TWO_YEARS), "two_years").when(text.rlike(SEVEN_YEARS), "seven_years")
-        .when(is_triad(text), "triad").when(bare.isin(*SOURCES), "source").when(grid, "grid")
+        .when(is_anchor(text), "anchor").when(year & text.rlike(TWO_YEARS), "two_years").when((year | F.contains(low, F.lit("days"))) & text.rlike(SEVEN_YEARS), "seven_years")
+        .when(is_triad(text), "triad").when(low.rlike(rf"^[®\s]*(?:{spelled})\z"), "source").when(grid, "grid")
         .when(text.rlike(LABEL), "row").when(is_headline(text) | short, "other").otherwise("values")
     )
 

@@ -29,6 +29,20 @@ def test_scan_equals_a_loop(spark, chunk):
     assert st.scan_states(made.where("doc > 9"), ["doc"], "n", "kind", st.MOVES).collect() == []
 
 
+def test_a_long_document_is_scanned_without_gathering_it(spark):
+    """200,000 lines of one document and of one without a key, in several chunks; the frame's plan gathers no lists."""
+    kinds = spark.range(200_000).select(F.col("id").alias("n"), F.element_at(F.array(*[F.lit(k) for k in KINDS if k != "stop"]), (F.pmod(F.xxhash64("id"), F.lit(len(KINDS) - 1)) + 1).cast("int")).alias("kind"))
+    made = kinds.select(F.lit(1).alias("doc"), "n", "kind").union(kinds.select(F.lit(None).cast("int"), "n", "kind")).repartition(5)
+    found = st.scan_states(made, ["doc"], "n", "kind", st.MOVES)
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    state, wrong, seen = 0, 0, 0
+    for r in found.orderBy("doc", "n").toLocalIterator():
+        state = state if r.n else 0
+        after = st.MOVES[r.kind][state] if r.kind in st.MOVES else state
+        wrong, seen, state = wrong + ((r.before, r.after) != (state, after)), seen + 1, after
+    assert (wrong, seen) == (0, 400_000)
+
+
 def headline(t):
     core = re.sub(r"[^A-Za-z0-9/&\-]", "", t)
     return len(core) >= 3 and core.isupper()
