@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ledgermend.operators import textlines
 from ledgermend.plans.catalog import query, table
 from ledgermend.plans.scoring import SOURCES_SQL
+from ledgermend.workspace import partitions
+
+#: Orders whose lines a task reads.
+ORDERS = 100_000
 
 #: The lines of an order by place; both engines read this.
 LINES = (
@@ -21,8 +25,15 @@ MARKED_SQL = f"""lines AS ({LINES_SQL}),
 named AS (SELECT *, LENGTH(REGEXP_EXTRACT(LOWER(text), 'transunion')) / 10 + LENGTH(REGEXP_EXTRACT(LOWER(text), 'experian')) / 8 + LENGTH(REGEXP_EXTRACT(LOWER(text), 'equifax')) / 7 AS several, LOWER(REGEXP_EXTRACT(text, '(?i)^(transunion|experian|equifax)\\b', 1)) AS name FROM lines)"""
 
 
+def tasks(spark: SparkSession, sf_dir: str) -> int:
+    return max(partitions(spark), -(-table(spark, sf_dir, "orders").count() // ORDERS))
+
+
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(LINES_SQL.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+    """The rows of ``LINES_SQL``, from one pass over the orders, which are dealt by key before they become lines: so many that a task sorts about ``ORDERS`` of them."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))
+    orders = orders.repartition(tasks(spark, sf_dir), "k")
+    return orders.select("k", F.posexplode(F.array(*[F.expr(text) for text in LINES])).alias("position", "text")).where("text is not null")
 
 
 @query("line_numbers", f"""WITH {MARKED_SQL}, held AS (SELECT *, NULLIF(LAST_VALUE(CASE WHEN several > 1 THEN '' WHEN name <> '' THEN name END IGNORE NULLS) OVER (PARTITION BY k ORDER BY position ROWS UNBOUNDED PRECEDING), '') AS source FROM named),
@@ -44,7 +55,8 @@ tot AS (SELECT k, source, ARG_MIN(CAST(n.a AS INT) + CAST(n.b AS INT) + CAST(n.c
 SELECT COALESCE(h.k, t.k) AS k, COALESCE(h.source, t.source) AS source, history, days_late FROM hist h FULL JOIN tot t ON t.k = h.k AND t.source = h.source""")
 def line_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = report_lines(spark, sf_dir)
-    return textlines.two_year_texts(lines, ["k"]).join(textlines.seven_year_totals(lines, ["k"]), ["k", "source"], "full")
+    two, seven = (df.repartition(tasks(spark, sf_dir), "k", "source") for df in (textlines.two_year_texts(lines, ["k"]), textlines.seven_year_totals(lines, ["k"])))
+    return two.join(seven, ["k", "source"], "full")
 
 
 @query("field_summaries", f"""WITH src AS ({SOURCES_SQL}), v AS (SELECT c_custkey, 'kind' AS field, n, kind AS "value" FROM src UNION ALL SELECT c_custkey, 'status', n, status FROM src UNION ALL SELECT c_custkey, 'number', n, number FROM src),

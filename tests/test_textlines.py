@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgermend.operators import layout, textlines
+from ledgermend.plans import textlines as plans
 
 
 def lines_of(spark, *blocks):
@@ -45,3 +46,15 @@ def test_source_summary(spark):
     rows = [(1, "b", "f", "x"), (1, "a", "f", "y"), (1, "c", "f", "x "), (1, "a", "g", "1"), (1, "b", "g", "2"), (1, "a", "h", ""), (1, "b", "h", None), (2, "a", "f", "z"), (2, "a", "f", "z")]
     got = {(r.k, r.field): (list(r.by_source.items()), r.majority, r.disagrees) for r in textlines.source_summary(spark.createDataFrame(rows, "k int, source string, field string, value string"), ["k"]).collect()}
     assert got == {(1, "f"): ([("a", "y"), ("b", "x"), ("c", "x")], "x", True), (1, "g"): ([("a", "1"), ("b", "2")], "1", True), (2, "f"): ([("a", "z")], "z", False)}
+
+
+def test_tasks_grow_in_number_not_in_orders(spark, tmp_path, monkeypatch):
+    orders = spark.range(2_000).select(F.col("id").alias("o_orderkey"), F.lit("O").alias("o_orderstatus"))
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(plans, "ORDERS", 100)
+    orders.createOrReplaceTempView("orders")
+    made = plans.report_lines(spark, str(tmp_path))
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, spark.sql(plans.LINES_SQL).collect()))
+    held = [r.n for r in plans.line_numbers(spark, str(tmp_path)).groupBy(F.spark_partition_id()).agg(F.count_distinct("k").alias("n")).collect()]
+    lines = [r.n for r in made.groupBy(F.spark_partition_id()).agg(F.count_distinct("k").alias("n")).collect()]
+    assert len(lines) == 20 and max(lines) < 200 and sum(held) > 0
