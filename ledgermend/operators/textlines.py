@@ -50,16 +50,20 @@ def _split_row(lines: DataFrame, keys: list[str], found: Column, names: Column)
     return first.select(*keys, F.posexplode(F.coalesce("x.names", F.array().cast("array<string>"))).alias("_k", "source"), parts.alias("parts")).select(*keys, "source", F.get("parts", F.col("_k")).alias("value"))
 
 
-def _last_of(row: DataFrame, own: DataFrame, keys: list[str]) -> DataFrame:
+def _last_of(row: DataFrame, own: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame:
     """Values of the row that names no source, unless a source's own lines tell another: the last of those counts."""
     last = own.where("value is not null").groupBy(*keys, "source").agg(F.max_by("value", "position").alias("own"))
-    return row.where("value is not null").join(last, [*keys, "source"], "full").select(*keys, "source", F.coalesce("own", "value").alias("value"))
+    row = row.where("value is not null")
+    if tasks:
+        row, last = (df.repartition(tasks, *keys, "source") for df in (row, last))
+    return row.join(last, [*keys, "source"], "full").select(*keys, "source", F.coalesce("own", "value").alias("value"))
 
 
-def account_numbers(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+def account_numbers(lines: DataFrame, keys: Sequence[str], tasks: int | None = None) -> DataFrame:
     """``keys, source, value``: the account number of each source of a block of lines.
 
     From a row of three values apart by wide gaps (in the order TransUnion, Experian, Equifax), and from the lines that a source's name begins or that follow it.
+    ``tasks``: into how many both kinds meet (else as the session says).
     """
     keys = list(keys)
     told = with_source(lines, keys)
@@ -68,7 +72,7 @@ def account_numbers(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     row = _split_row(told, keys, three, F.array(*[F.lit(n) for n in BUREAU_NAMES]))
     at = F.when(F.col("named").isNotNull(), F.regexp_extract("clean", NUMBER, 1)).otherwise(F.regexp_extract("clean", "(?i)^" + NUMBER[4:], 1))
     own = told.where("source is not null").select(*keys, "position", "source", account_number(F.nullif(at, F.lit(""))).alias("value"))
-    return _last_of(row.withColumn("value", account_number(F.col("value"))), own, keys)
+    return _last_of(row.withColumn("value", account_number(F.col("value"))), own, keys, tasks)
 
 
 def payment_statuses(lines: DataFrame, keys: Sequence[str], order: DataFrame) -> DataFrame:

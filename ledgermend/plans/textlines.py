@@ -43,7 +43,7 @@ wide AS (SELECT k, STRING_SPLIT(SUBSTR(text, 13), '  ') AS p FROM lines WHERE te
 rows3 AS (SELECT k, source, REGEXP_REPLACE(v, '[ -]', '', 'g') AS v FROM parts WHERE REGEXP_MATCHES(v, '[0-9]'))
 SELECT COALESCE(r.k, l.k) AS k, COALESCE(r.source, l.source) AS source, COALESCE(l.v, r.v) AS "value" FROM rows3 r FULL JOIN last l ON l.k = r.k AND l.source = r.source""")
 def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return textlines.account_numbers(report_lines(spark, sf_dir), ["k"])
+    return textlines.account_numbers(report_lines(spark, sf_dir), ["k"], tasks(spark, sf_dir))
 
 
 @query("line_histories", f"""WITH {MARKED_SQL}, w AS (SELECT *, MIN(CASE WHEN text = 'Two-Year Payment History' THEN position END) OVER (PARTITION BY k) AS a, MIN(CASE WHEN text = 'Days Late -7 Year History' THEN position END) OVER (PARTITION BY k) AS z FROM named),
