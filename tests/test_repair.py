@@ -96,3 +96,12 @@ def test_repairs_equal_loops(spark):
         assert [(r.position, r.submit_day, r.due_day) for r in mine] == spread and {r.position for r in mine if r.infeasible} == bad
         assert {r.days_after for r in mine} == {covered(spread)}
     assert moved > 50 and any(r.infeasible for x in even.values() for r in x) and any(r.too_few for x in even.values() for r in x)
+
+
+def test_schedules_are_walked_by_the_batch(spark):
+    """No step is an interpreted lambda; a missing answer day counts no days, and longer and shorter schedules share a batch."""
+    rows = spark.createDataFrame([(1, 2, 3, None, None, 0), (1, 1, 0, 7, 5, 0), (2, 1, 0, 7, 5, 0), (None, 1, 1, 8, 5, 0)], "account int, position int, submit_day int, due_day int, min_days int, start_weekday int").coalesce(1)
+    for walked in (repair.capped(rows, cap=20), repair.rebalanced(rows, cap=20)):
+        assert "lambda" not in walked._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted((r.account or 0, r.position, r.submit_day, r.due_day, r.days_after) for r in walked.collect())
+        assert got == [(0, 1, 1, 8, 7), (1, 1, 0, 7, 3), (1, 2, 3, None, 3), (2, 1, 0, 7, 7)]
