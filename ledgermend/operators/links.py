@@ -55,7 +55,8 @@ def similar_names(names: DataFrame, keys: Sequence[str], name: str, at_least: fl
 def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component``: of every node with a link the least node that links reach.
 
-    A round takes the least label of a node's neighbours and then that label's own, so the rounds grow with the logarithm of a path's length.
+    A round takes the least label of a node's neighbours and then that label's own, which is the least that any node of the label has seen: rounds
+    grow with the logarithm of a path's length, in whatever order its nodes stand.
     Labels are one row a node and aggregate before they are shuffled: neither a node of many links nor a large group meets in one task.
     """
     both = stored(links.select(F.col(a).alias("node"), F.col(b).alias("other")).union(links.select(b, a)).distinct(), "links")
@@ -64,7 +65,8 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while moving:
         around = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("seen"))
         lowered = labels.join(around, "node").select("node", F.col("component").alias("was"), F.least("component", "seen").alias("component"))
-        own = lowered.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        own = lowered.select(F.col("node").alias("component"), F.col("component").alias("further")).union(lowered.select("was", "component").where("component < was"))
+        own = own.groupBy("component").agg(F.min("further").alias("further"))
         step = stored(lowered.join(own, "component", "left").select("node", "was", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
         moving = not step.where("component < was").isEmpty()
         discard(labels)
@@ -93,6 +95,61 @@ def distinct_accounts(accounts: DataFrame, session: str) -> DataFrame:
     return same.groupBy(session, "_name", "_last", "_bureaus", "_status", "opened", "closed").agg(F.min_by(F.struct(*kept), "id").alias("_row"), F.sort_array(F.collect_set("category")).alias("categories")).select(session, "_row.*", "categories", "_name", "_last")
 
 
+def _balance_cell(balance: Column) -> Column:
+    """Balances of one cell don't differ too much for suspects, and those that don't are two cells apart at most; this needs cells a little narrower than what may differ."""
+    inside = F.greatest(F.least(balance, F.lit(1e300)), F.lit(-1e12))
+    cell = F.when(inside < 1000, F.floor(inside / 99)).otherwise(11 + F.floor(F.log(inside / 1000) / math.log(1.0999)))
+    return F.when(balance.isNotNull(), cell)
+
+
+def _day_cell(day: Column) -> Column:
+    """So many days that all of them fit each other; fitting days are one cell apart at most."""
+    return F.floor(F.date_diff(day, F.lit("1970-01-01").cast("date")) / (MAX_DAYS + 1))
+
+
+def _asks(cell: Column, reach: int) -> Column:
+    """What a row joins on so that it meets, once each, those of ``_offers`` whose cell is so near or missing; a missing cell meets all."""
+    near = F.array(*[(cell + k).cast("string") for k in range(-reach, reach + 1)], F.lit("none"))
+    return F.explode(F.when(cell.isNull(), F.array(F.lit("all"))).otherwise(near))
+
+
+def _offers(cell: Column) -> Column:
+    return F.explode(F.array(F.coalesce(cell.cast("string"), F.lit("none")), F.lit("all")))
+
+
+def suspect_links(accounts: DataFrame, alike: DataFrame, session: str) -> DataFrame:
+    """``a, b``: links between ids that join the same accounts as all pairs of suspects would, without making these pairs.
+
+    ``accounts`` has the session, id, _name, _last, balance, opened, closed; ``alike`` the session and names a, b that may be suspects, both ways, each name with itself.
+    Accounts of one name, number and cell of balance and dates are all suspects of each other: they link to the least id of their cell.  Cells
+    link if accounts of theirs do: dates are compared day by day, and of balances in different cells the nearest two decide.  Equal
+    numbers meet by number; the missing ones, of which a name has no more than cells and days, meet the cells near theirs.
+    """
+    # What isn't finite (or below all cells) need not fit its like.
+    odd = F.when(~((F.col("balance") > -1e12) & (F.col("balance") < 1e300)), F.col("id"))
+    each = accounts.select(session, "id", F.col("_name").alias("name"), F.col("_last").alias("last"), F.col("balance").cast("double"), "opened", "closed")
+    each = each.withColumns({"step": _balance_cell(F.col("balance")), "era": _day_cell(F.col("opened")), "end": _day_cell(F.col("closed")), "_odd": odd})
+    each = stored(each.withColumn("cell", F.min("id").over(Window.partitionBy(session, "name", "last", "step", "era", "end", "_odd"))), "cells")
+    nodes = each.groupBy(session, "name", "last", "cell", "step", "era", "opened", "closed").agg(F.min("balance").alias("low"), F.max("balance").alias("high"))
+    alike = stored(alike, "alike")
+    value = F.struct("cell", "last", "step", "opened", "closed", "low", "high")
+    left = alike.join(nodes.withColumnRenamed("name", "a"), [session, "a"]).select(session, "b", "last", "step", "era", value.alias("_a"))
+    right = nodes.select(session, F.col("name").alias("b"), "last", "step", "era", value.alias("_b"))
+    x, y = F.col("_a"), F.col("_b")
+    below = x["step"] <= y["step"]
+    bal_a, bal_b = F.when(below, x["high"]).otherwise(x["low"]), F.when(below, y["low"]).otherwise(y["high"])
+    fits = (x["cell"] != y["cell"]) & F.coalesce(F.abs(bal_a - bal_b) <= F.greatest(F.lit(100.0), 0.1 * F.least(bal_a, bal_b)), F.lit(True))
+    for field in ("opened", "closed"):
+        fits = fits & F.coalesce(F.abs(F.date_diff(x[field], y[field])) <= MAX_DAYS, F.lit(True))
+    same = left.where("last <> ''").join(right.where("last <> ''").drop("step", "era"), [session, "b", "last"])
+    asking = left.where("last = ''").select(session, "b", "_a", "era", _asks(F.col("step"), 2).alias("_step")).withColumn("_era", _asks(F.col("era"), 1)).drop("era")
+    offering = right.select(session, "b", "_b", "era", _offers(F.col("step")).alias("_step")).withColumn("_era", _offers(F.col("era"))).drop("era")
+    missing = asking.join(offering, [session, "b", "_step", "_era"])
+    found = same.where(fits).select("_a.cell", "_b.cell").union(missing.where(fits).select("_a.cell", "_b.cell")).toDF("a", "b")
+    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return found.union(each.where("id <> cell").select("cell", "id"))
+
+
 def duplicate_suspects(accounts: DataFrame, session: str) -> DataFrame:
     """``distinct_accounts`` with ``duplicate_suspect`` and ``suspect_group``, the least id of a group of suspects (null for others).
 
@@ -106,16 +163,7 @@ def duplicate_suspects(accounts: DataFrame, session: str) -> DataFrame:
     starts = names.select(session, F.col("name").alias("b"), F.explode(F.transform(F.sequence(F.lit(0), F.length("name")), lambda k: F.substr(F.col("name"), F.lit(1), k))).alias("a"))
     begun = starts.join(names.select(session, F.col("name").alias("a")), [session, "a"]).select(session, "a", "b")
     alike = similar.union(similar.select(session, F.col("b").alias("a"), F.col("a").alias("b"))).union(begun).union(begun.select(session, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    side = lambda c: negative.select(session, F.col("_name").alias(c), F.struct("id", "_last", "balance", "opened", "closed").alias(f"_{c}"))
-    met = alike.join(side("a"), [session, "a"]).join(side("b"), [session, "b"]).where(F.col("_a.id") < F.col("_b.id"))
-    both = lambda f: (F.col(f"_a.{f}"), F.col(f"_b.{f}"))
-    (last_a, last_b), (bal_a, bal_b) = both("_last"), both("balance")
-    fits = (last_a == "") | (last_b == "") | (last_a == last_b)
-    fits = fits & F.coalesce(F.abs(bal_a - bal_b) <= F.greatest(F.lit(100.0), 0.1 * F.least(bal_a, bal_b)), F.lit(True))
-    for field in ("opened", "closed"):
-        x, y = both(field)
-        fits = fits & F.coalesce(F.abs(F.date_diff(x, y)) <= MAX_DAYS, F.lit(True))
-    groups = connected(met.where(fits).select(F.col("_a.id").alias("a"), F.col("_b.id").alias("b")))
+    groups = connected(suspect_links(negative, alike, session))
     marked = each.join(groups.select(F.col("node").alias("id"), F.col("component").alias("suspect_group")), "id", "left")
     return marked.withColumn("duplicate_suspect", F.col("suspect_group").isNotNull()).drop("_name", "_last")
 

@@ -55,6 +55,50 @@ def test_duplicate_accounts(spark):
     assert next(r.categories for r in got if r.id == 1) == ["all_accounts", "negative_accounts"]
 
 
+ACCOUNT = "s int, id int, name string, account_number string, bureaus array<string>, status string, opened date, closed date, balance double, category string"
+
+
+def suspects(x, y):
+    """Whether two accounts of the negative category are suspects; NaN is the largest number and equals itself, as in Spark."""
+    alike = x[2].startswith(y[2]) or y[2].startswith(x[2]) or ratio(min(x[2], y[2]), max(x[2], y[2])) >= 0.8
+    number = not x[3] or not y[3] or x[3] == y[3]
+    days = all(p is None or q is None or abs((p - q).days) <= 90 for p, q in zip(x[6:8], y[6:8]))
+    a, b = x[8], y[8]
+    if a is None or b is None or (a != a and b != b):
+        near = True
+    else:
+        near = abs(a - b) <= max(100, 0.1 * min(a, b)) if a == a and b == b else False
+    return x[0] == y[0] and alike and number and days and near
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_suspects_equal_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    edge = (None, 0.0, 99.0, 100.0, 989.99, 990.0, 999.99, 1000.0, 1099.9, 1099.95, 1100.0, 1100.1, 1210.0, float("nan"), float("inf"), float("-inf"), -50.0, -1e13, -1e13 - 64, 1e301)
+    balance = lambda: rng.choice(edge) if rng.random() < 0.3 else round(10 ** rng.uniform(1, 6), 2)
+    day = lambda gap: None if rng.random() < gap else date.fromordinal(date(2020, 1, 1).toordinal() + rng.choice((-1, 0, 90, 91, rng.randrange(-900, 900))))
+    names = ("first bank", "first bankk", "first", "other", "otter store", "otter stores")
+    rows = [(rng.choice((1, 2)), k, rng.choice(names), rng.choice(("", "1111", "2222", "3333", "4444", "5555")), ["x"], f"Collection {k}", day(0.05), day(0.3), balance(), "negative_accounts") for k in range(260)]
+    least = {r[1]: r[1] for r in rows}
+    pairs = [(x[1], y[1]) for x, y in combinations(rows, 2) if suspects(x, y)]
+    for _ in rows:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    linked = {k for pair in pairs for k in pair}
+    got = {r.id: r.suspect_group for r in links.duplicate_suspects(spark.createDataFrame(rows, ACCOUNT), "s").collect()}
+    want = {k: least[k] if k in linked else None for k in least}
+    assert got == want and len(set(want.values())) > 10
+
+
+def test_links_of_suspects_grow_with_the_accounts(spark, monkeypatch):
+    """Accounts of one name that are all suspects of each other are joined without making their pairs."""
+    made, connected = [], links.connected
+    monkeypatch.setattr(links, "connected", lambda found: made.append(found.count()) or connected(found))
+    rows = [(1, k, "first bank", "" if k % 3 else str(1000 + k), ["x"], f"Collection {k}", date(2020, 1, 1 + k % 28), None, 500.0 + k % 7, "negative_accounts") for k in range(300)]
+    got = links.duplicate_suspects(spark.createDataFrame(rows, ACCOUNT), "s").collect()
+    assert {r.suspect_group for r in got} == {0} and made[0] < 600
+
+
 def test_merged_inquiries(spark):
     ours = spark.createDataFrame([("d1", "b", "capital one"), ("d1", "b", "capital onee"), ("d1", "b", "zz top"), ("d2", "b", "capital one"), (None, "b", "amex")], "d string, b string, n string")
     theirs = spark.createDataFrame([("d1", "b", "capital one"), ("d1", "b", "unseen"), ("d2", "b", "capitol one"), (None, "b", "amexx")], "d string, b string, n string")
