@@ -57,7 +57,7 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     A round takes the least label of a node's neighbours and then that label's own, which is the least that any node of the label has seen: rounds
     grow with the logarithm of a path's length, in whatever order its nodes stand.
-    Labels are one row a node and aggregate before they are shuffled: neither a node of many links nor a large group meets in one task.
+    Labels are one row a node and aggregate before they are shuffled.  Nodes of one label meet where its own label is read, a row each.
     """
     both = stored(links.select(F.col(a).alias("node"), F.col(b).alias("other")).union(links.select(b, a)).distinct(), "links")
     labels = stored(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component")), "labels")
