@@ -7,13 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgermend.functions.lets import bound
 from ledgermend.operators.statements import SOURCES
-from ledgermend.workspace import stored
 
 HALF_WIDTHS = (60.0, 140.0)
 BAND = 3.0
 WRAP = 9.0
-BUCKET = 6.0
 
 
 def source_columns(tokens: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -28,12 +27,17 @@ def source_columns(tokens: DataFrame, keys: Sequence[str]) -> DataFrame:
     middles = F.array_sort(F.collect_list((F.col("x0") + F.col("x1")) / 2))
     centres = named.groupBy(*keys, "source").agg(middles.alias("_all")).select(*keys, "source", F.get("_all", F.floor(F.size("_all") / 2).cast("int")).alias("mid"))
     w = Window.partitionBy(*keys).orderBy("mid", "source")
-    before, after = F.lag("mid").over(w), F.lead("mid").over(w)
-    gap = F.least(F.col("mid") - before, after - F.col("mid"))
+    sided = centres.withColumn("_column", _column(F.col("mid"), F.lag("mid").over(w), F.lead("mid").over(w))).where("_column is not null")
+    return sided.select(*keys, "source", "_column.left", "_column.right")
+
+
+def _column(mid: Column, before: Column, after: Column) -> Column:
+    """left and right of a column between the middles of its neighbours; null if it has none."""
+    gap = F.least(mid - before, after - mid)
     half = F.least(F.lit(HALF_WIDTHS[1]), F.greatest(F.lit(HALF_WIDTHS[0]), gap / 2 * 0.95))
-    sided = centres.withColumns({"left": F.greatest(F.col("mid") - half, (before + F.col("mid")) / 2 + 0.5), "right": F.least(F.col("mid") + half, (F.col("mid") + after) / 2 - 0.5), "_gap": gap}).where("_gap is not null")
-    odd = F.col("left") > F.col("right")
-    return sided.select(*keys, "source", F.when(odd, F.col("mid") - 1).otherwise(F.col("left")).alias("left"), F.when(odd, F.col("mid") + 1).otherwise(F.col("right")).alias("right"))
+    left, right = F.greatest(mid - half, (before + mid) / 2 + 0.5), F.least(mid + half, (mid + after) / 2 - 0.5)
+    sides = F.when(left > right, F.struct((mid - 1).alias("left"), (mid + 1).alias("right"))).otherwise(F.struct(left.alias("left"), right.alias("right")))
+    return F.when(gap.isNotNull(), sides)
 
 
 def plain_label(text: Column) -> Column:
@@ -47,37 +51,70 @@ def source_table(tokens: DataFrame, keys: Sequence[str], labels: dict[str, str])
     topmost, if several) gives a row: tokens of lines within ``BAND`` of its middle, left to right, then those around each further
     line, top to bottom, up to ``WRAP`` below that is no label.  Dashes alone are ``--``.
 
-    Rows meet tokens on buckets of height (an equi-join; the exact distance is checked) and then the block's three columns.
+    A block is one row of lines, so tokens are shuffled at most to their lines and these to their block, and neither where ``tokens`` lies dealt by
+    the keys already.  Null keys have rows without values.
     """
     keys = list(keys)
-    words = tokens.withColumn("text", F.trim("text"))
-    line = words.groupBy(*keys, "line").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "x1", "text"))), lambda t: t["text"]), " ").alias("_text"), F.array_sort(F.collect_list((F.col("y0") + F.col("y1")) / 2)).alias("_ys")
-    )
-    line = line.select(*keys, "line", plain_label(F.col("_text")).alias("_label"), F.get("_ys", F.floor(F.size("_ys") / 2).cast("int")).alias("y"))
+    words = tokens.withColumns({"text": F.trim("text"), "_x": (F.col("x0") + F.col("x1")) / 2})
+    # Most tokens are told by their first letter.
+    named = F.when(F.lower("text").rlike("^[^a-z]*[te]"), F.regexp_replace(F.lower("text"), "[^a-z]", ""))
+    token = F.struct(F.col("x0").alias("from"), F.col("x1").alias("to"), "text", "_x", ((F.col("y0") + F.col("y1")) / 2).alias("y"), F.when(named.isin(*SOURCES), named).alias("source"))
+    line = words.groupBy(*keys, "line").agg(F.array_sort(F.collect_list(token)).alias("_tokens"))
+    heights = F.array_sort(F.filter(F.col("_tokens.y"), lambda y: y.isNotNull()))
     field = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
-    # Lines are read five times below, so they are written once.
-    line = stored(line.select(*keys, "line", "y", F.element_at(field, F.col("_label")).alias("field")), "lines")
-    rows = line.where("field is not null").groupBy(*keys, "field").agg(F.min("y").alias("row_y"))
-    span = lambda low, high: F.explode(F.sequence(F.floor(low / BUCKET), F.floor(high / BUCKET))).alias("_bucket")
-    placed = line.withColumn("_bucket", F.floor(F.col("y") / BUCKET))
-    # The row's own middle, then the middles of further lines below it.
-    below = rows.select(*keys, "field", "row_y", span(F.col("row_y") + BAND, F.col("row_y") + WRAP)).join(placed.where("field is null").select(*keys, "_bucket", "y"), [*keys, "_bucket"])
-    below = below.where((F.col("y") > F.col("row_y") + BAND) & (F.col("y") <= F.col("row_y") + WRAP)).select(*keys, "field", "y")
-    middles = rows.select(*keys, "field", F.col("row_y").alias("y")).unionByName(below).withColumn("_part", F.row_number().over(Window.partitionBy(*keys, "field").orderBy("y")))
-    near = middles.select(*keys, "field", "_part", F.col("y").alias("_middle"), span(F.col("y") - BAND, F.col("y") + BAND)).join(placed.select(*keys, "_bucket", "line", "y"), [*keys, "_bucket"])
-    near = near.where(F.abs(F.col("y") - F.col("_middle")) <= BAND).select(*keys, "field", "_part", "line")
-    banded = words.where("text <> ''").withColumn("_x", (F.col("x0") + F.col("x1")) / 2).join(source_columns(tokens, keys), keys).where(F.col("_x").between(F.col("left"), F.col("right")))
-    values = near.join(banded.select(*keys, "line", "source", "_x", "text"), [*keys, "line"])
-    values = values.groupBy(*keys, "field").agg(*[text_of(source) for source in SOURCES])
-    return rows.select(*keys, "field").join(values, [*keys, "field"], "left").fillna("", list(SOURCES))
-
-
-def text_of(source: str) -> Column:
-    """One source's joined tokens; runs of dashes are ``--``."""
-    parts = F.array_sort(F.collect_list(F.when(F.col("source") == source, F.struct("_part", "_x", "text"))))
-    joined = F.trim(F.regexp_replace(F.array_join(F.transform(parts, lambda t: t["text"]), " "), r"\s+", " "))
-    return F.when(joined.rlike("^[-–—]+$"), "--").otherwise(joined).alias(source)
+    shown = F.filter("_tokens", lambda t: t["text"] != "")
+    line = line.select(
+        *keys, bound(heights, lambda ys: F.get(ys, F.floor(F.size(ys) / 2).cast("int"))).alias("y"), F.element_at(field, plain_label(F.array_join(F.col("_tokens.text"), " "))).alias("field"),
+        F.transform(shown, lambda t: F.struct(t["_x"].alias("x"), t["text"].alias("text"), t["source"].alias("source"))).alias("tokens"),
+    )
+    block = line.groupBy(*keys).agg(F.collect_list(F.struct("y", "field", "tokens")).alias("_lines"))
+    block = block.select(*keys, "_lines", F.filter(F.array_distinct(F.col("_lines.field")), lambda f: f.isNotNull()).alias("_fields")).where(F.size("_fields") > 0)
+    block = block.select(*keys, "_lines", "_fields", bound(F.filter(F.flatten("_lines.tokens"), lambda t: t["source"].isNotNull()), _columns_of).alias("_columns"))
+    found = block.select(*keys, "_lines", "_columns", F.explode("_fields").alias("field"))
+    found = found.select(*keys, "field", bound(_pieces(F.col("_lines"), F.col("field")), lambda pieces: F.struct(*[_text_of(pieces, F.col("_columns")[source]).alias(source) for source in SOURCES])).alias("_values"))
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    return found.select(*keys, "field", *[F.when(known, F.col("_values")[source]).otherwise("").alias(source) for source in SOURCES])
+
+
+def _columns_of(tokens: Column) -> Column:
+    """The columns of ``source_columns`` by source, from a block's tokens that name them."""
+
+    def centre(source: str) -> Column:
+        middles = F.array_sort(F.transform(F.filter(tokens, lambda t: (t["source"] == source) & t["x"].isNotNull()), lambda t: t["x"]))
+        return bound(middles, lambda xs: F.get(xs, F.floor(F.size(xs) / 2).cast("int")))
+
+    centres = F.filter(F.array_sort(F.array(*[F.struct(centre(source).alias("mid"), F.lit(source).alias("source")) for source in SOURCES])), lambda c: c["mid"].isNotNull())
+    sided = lambda cs: F.transform(cs, lambda c, k: F.struct(c["source"].alias("source"), _column(c["mid"], F.get(cs, k - 1)["mid"], F.get(cs, k + 1)["mid"]).alias("column")))
+    of = lambda cs, source: F.get(F.filter(cs, lambda c: c["source"] == source), F.lit(0))["column"].alias(source)
+    return bound(bound(centres, sided), lambda cs: F.struct(*[of(cs, source) for source in SOURCES]))
+
+
+def _pieces(lines: Column, field: Column) -> Column:
+    """part, x and text of the tokens around a field's row and the lines below it that go on with it."""
+    row = F.array_min(F.transform(F.filter(lines, lambda line: line["field"] == field), lambda line: line["y"]))
+
+    def middles(y: Column) -> Column:
+        below = F.filter(lines, lambda line: line["field"].isNull() & (line["y"] > y + BAND) & (line["y"] <= y + WRAP))
+        return F.array_sort(F.concat(F.array(y), F.transform(below, lambda line: line["y"])))
+
+    def around(middle: Column, part: Column) -> Column:
+        near = F.filter(lines, lambda line: F.abs(line["y"] - middle) <= BAND)
+        return F.flatten(F.transform(near, lambda line: F.transform(line["tokens"], lambda t: F.struct(part.alias("part"), t["x"].alias("x"), t["text"].alias("text")))))
+
+    return F.flatten(F.transform(bound(row, middles), around))
+
+
+def _text_of(pieces: Column, column: Column) -> Column:
+    """One column's joined tokens; runs of dashes are ``--``."""
+    within = F.array_sort(F.filter(pieces, lambda p: p["x"].between(column["left"], column["right"])))
+
+    def shown(found: Column) -> Column:
+        joined = F.trim(F.regexp_replace(F.array_join(F.transform(found, lambda p: p["text"]), " "), r"\s+", " "))
+        return F.when(F.size(found) == 0, "").otherwise(bound(joined, lambda text: F.when(text.rlike("^[-–—]+$"), "--").otherwise(text)))
+
+    return bound(within, shown)
 
 
 def in_windows(tokens: DataFrame, windows: DataFrame, keys: Sequence[str]) -> DataFrame:

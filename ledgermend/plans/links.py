@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgermend.operators import links, tables
 from ledgermend.plans.catalog import query, table
+from ledgermend.plans.textlines import tasks
 
 #: The longest run that two pieces share, the first in a, then in b: as one list expression.
 RUN = """LIST_MAX(FLATTEN(FLATTEN([[[CASE WHEN SUBSTR(a, i, n) = SUBSTR(b, j, n) THEN {{'n': n, 'i': -i, 'j': -j}} END FOR n IN RANGE(1, LEAST({ah} - i, {bh} - j) + 1)] FOR j IN RANGE({bl}, {bh})] FOR i IN RANGE({al}, {ah})])))"""
@@ -79,7 +80,10 @@ cols AS (SELECT k, source, GREATEST(mid - h, COALESCE((lo + mid) / 2 + 0.5, mid
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(TOKENS_SQL.replace("FROM orders", "FROM {orders}").replace("FROM lineitem", "FROM {lineitem}"), orders=table(spark, sf_dir, "orders"), lineitem=table(spark, sf_dir, "lineitem"))
+    """The rows of ``TOKENS_SQL``; orders and their lines are dealt by key before they become tokens, which then lie by block."""
+    count = tasks(spark, sf_dir)
+    orders, lines = (table(spark, sf_dir, name).repartition(count, key) for name, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")))
+    return spark.sql(TOKENS_SQL.replace("FROM orders", "FROM {orders}").replace("FROM lineitem", "FROM {lineitem}"), orders=orders, lineitem=lines)
 
 
 @query("source_columns", f'WITH {COLUMNS_SQL} SELECT k, source, ROUND("left", 6) AS "left", ROUND("right", 6) AS "right" FROM cols')
