@@ -115,18 +115,20 @@ def _around(moves: DataFrame, keys: list[str], start: int, states: int, longest:
     return in_order(entered).mapInArrow(partial(_states, names=schema.names, states=states), out)
 
 
-def scan_states(lines: DataFrame, keys: Sequence[str], position: str, kind: str, table: dict[str, Sequence[int]], start: int = 0, chunk: int = CHUNK) -> DataFrame:
+def scan_states(lines: DataFrame, keys: Sequence[str], position: str, kind: str, table: dict[str, Sequence[int]], start: int = 0, chunk: int = CHUNK, longest: int | None = None) -> DataFrame:
     """``lines`` with ``before`` and ``after``, the states of an automaton around each line.
 
     ``table`` gives for a kind of line the next state of every state; a kind that it doesn't name, or null, changes nothing.
-    ``position`` numbers the lines of a key from 0 without repeats; gaps are allowed.
+    ``position`` numbers the lines of a key from 0 without repeats; gaps are allowed.  ``longest``, a number that no position
+    exceeds, spares a pass over ``lines`` that finds the greatest one.
     """
     keys, states = list(keys), len(next(iter(table.values())))
     moves = F.lit(_packed(range(states)))
     for name, to in table.items():
         moves = F.when(F.col(kind) == name, F.lit(_packed(to))).otherwise(moves)
     placed = lines.select(*keys, F.col(position).cast("long").alias("_at"), moves.alias("_moves"), F.struct(*[c for c in lines.columns if c not in keys]).alias("_line"))
-    longest = placed.agg(F.max("_at")).first()[0]
+    if longest is None:
+        longest = placed.agg(F.max("_at")).first()[0]
     if longest is None:
         return lines.withColumns({"before": F.lit(start), "after": F.lit(start)})
     found = _around(placed, keys, start, states, longest, chunk)
@@ -242,11 +244,11 @@ def split_accounts(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     foot = lines.select(*keys, "page", "position", text.alias("text")).withColumn("_up", F.row_number().over(Window.partitionBy(*keys, "page").orderBy(F.col("position").desc()))).where("_up <= 3")
     usable = is_headline(F.col("text")) & ~F.lower("text").rlike(rf"^https?://|\bpage\s+\d+\s+of\s+\d+\b|^\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}$|{NO_HEADING}")
     foot = foot.where(usable).groupBy(*keys, (F.col("page") + 1).alias("page")).agg(F.min_by("text", "_up").alias("_foot"))
-    marked = marked.join(foot, [*keys, "page"], "left")
     start = F.coalesce("_names.head.position", "_near.position", "_names.position", "position")
     heading = F.coalesce("_names.head.text", "_near.text", F.when(F.col("_row") <= 3, F.col("_foot")))
     source = F.when(F.col("_names.head").isNotNull(), "triad_above").when(F.col("_near").isNotNull(), "backtrack").when((F.col("_row") <= 3) & F.col("_foot").isNotNull(), "cross_page_backtrack").otherwise("anchor_no_heading")
-    anchors = marked.where("_anchor").select(*keys, "position", start.alias("start"), heading.alias("heading"), source.alias("source")).withColumn("account", F.row_number().over(w))
+    # Only anchors meet the foot of the page before: lines stay where they are.
+    anchors = marked.where("_anchor").join(foot, [*keys, "page"], "left").select(*keys, "position", start.alias("start"), heading.alias("heading"), source.alias("source")).withColumn("account", F.row_number().over(w))
     # A section line comes before the first account that starts after it.
     ahead = F.array(*[F.when(F.lead("_head", k).over(w), F.lead(here, k).over(w)) for k in range(1, 5)])
     following = F.coalesce(F.get(F.array_compact(ahead), F.lit(0)), F.lead(here).over(w))
@@ -282,7 +284,9 @@ def split_accounts(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def clean(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.replace(text, F.lit("®"), F.lit("")), r"\s+", " "))
+    bare = F.replace(text, F.lit("®"), F.lit(""))
+    # Most texts have single spaces only.
+    return F.trim(F.when(bare.rlike(r"\s\s|[^\S ]"), F.regexp_replace(bare, r"\s+", " ")).otherwise(bare))
 
 
 def split_tail(tail: Column) -> Column:
@@ -291,8 +295,8 @@ def split_tail(tail: Column) -> Column:
     Dashes alone are three dashes; an empty part between dashes is one.  With single spaces a month and its year are one
     word and the third value takes the rest; a fourth value and those after it join the third; missing ones are empty.
     """
-    text = F.trim(F.regexp_replace(F.coalesce(tail, F.lit("")), " ", " "))
-    text = F.regexp_replace(text, "[—–]", "--")
+    text = F.trim(F.replace(F.coalesce(tail, F.lit("")), F.lit("\u00a0"), F.lit(" ")))
+    text = F.replace(F.replace(text, F.lit("—"), F.lit("--")), F.lit("–"), F.lit("--"))
 
     def parts(s: Column) -> Column:
         trimmed = F.transform(F.split(s, "--"), lambda p: F.trim(p))
@@ -313,8 +317,10 @@ def split_tail(tail: Column) -> Column:
 
             return bound(taken(F.lit(0)), grouped)
 
-        dashes = F.contains(s, F.lit(" -- ")) | (F.size(F.split(s, "--")) > 2)
-        some = F.when(dashes, by_dash).when(F.size(by_gap) >= 3, by_gap).when(F.size(tokens) >= 3, bound(tokens, months)).otherwise(tokens)
+        # Dashes and wide gaps are looked for before texts are cut at them.
+        dashes = F.contains(s, F.lit("--")) & (F.contains(s, F.lit(" -- ")) | (F.size(F.split(s, "--")) > 2))
+        gaps = s.rlike(r"\s\s") & (F.size(by_gap) >= 3)
+        some = F.when(dashes, by_dash).when(gaps, by_gap).otherwise(bound(tokens, lambda words: F.when(F.size(words) >= 3, months(words)).otherwise(words)))
         cleaned = lambda p: F.transform(p, clean)
         third = lambda p: clean(F.array_join(F.slice(p, F.lit(3), F.greatest(F.size(p) - 2, F.lit(0))), " "))
         three = lambda p: F.array(F.coalesce(F.get(p, F.lit(0)), F.lit("")), F.coalesce(F.get(p, F.lit(1)), F.lit("")), third(p))
@@ -333,51 +339,50 @@ SEVERAL = (
 
 def looks_multi(text: Column) -> Column:
     sample = F.trim(F.replace(text, F.lit(" "), F.lit(" ")))
-    found = F.lit(False)
+    found, digits = F.lit(False), sample.rlike("[0-9]")
     for pattern, least in SEVERAL:
-        found = found | (F.regexp_count(F.regexp_replace(sample, r"\s+", " ") if pattern == "--" else sample, F.lit(pattern)) >= least)
+        if pattern == "--":
+            several = F.contains(sample, F.lit("--")) & (F.regexp_count(F.regexp_replace(sample, r"\s+", " "), F.lit(pattern)) >= least)
+        elif least == 1:
+            several = sample.rlike(pattern)
+        else:  # all of these have a digit
+            several = digits & (F.regexp_count(sample, F.lit(pattern)) >= least)
+        found = found | several
     return found
 
 
-def appended(value: Column, fragment: Column) -> Column:
-    """A value after one more fragment: a dash only fills an empty value, and text replaces a dash."""
-    return F.when(fragment == "", value).when(fragment == "--", F.when(value == "", "--").otherwise(value)).when(value.isin("", "--"), fragment).otherwise(F.concat(value, F.lit(" "), fragment))
-
-
-def triad_rows(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+def triad_rows(lines: DataFrame, keys: Sequence[str], longest: int | None = None) -> DataFrame:
     """``keys, row, label, first_position, transunion, experian, equifax``: labelled rows with their continuation lines.
 
     ``lines(keys, position, text)``: positions number a key's lines.  A labelled line opens a row after an anchor; a line of values goes on with
     it, split in three if it looks like several values, else as one more fragment of the source that last got text (the first
-    if none did); any other line closes it.  A label without values takes them from the lines that follow.
+    if none did); any other line closes it.  A label without values takes them from the lines that follow.  ``longest`` is that of ``scan_states``.
     """
     keys = list(keys)
-    held = scan_states(lines.select(*keys, "position", "text", line_kind(F.col("text")).alias("kind")), keys, "position", "kind", MOVES)
+    held = scan_states(lines.select(*keys, "position", "text", line_kind(F.col("text")).alias("kind")), keys, "position", "kind", MOVES, longest=longest)
     opens = F.col("kind").isin("row", "anchor") & (F.col("after") == OPEN)
     goes_on = (F.col("kind") == "values") & (F.col("before") == OPEN)
     kept = held.where(opens | goes_on).withColumn("_opens", opens)
     w = Window.partitionBy(*keys).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     kept = kept.withColumn("row", F.sum(F.col("_opens").cast("int")).over(w).cast("long"))
     text = F.trim("text")
-    tail = F.when(F.col("_opens"), F.regexp_extract(text, LABEL, 2)).otherwise(text)
+    kept = kept.withColumn("_tail", F.when(F.col("_opens"), F.regexp_extract(text, LABEL, 2)).otherwise(text))
+    tail = F.col("_tail")
     single = ~F.col("_opens") & ~F.coalesce(looks_multi(tail), F.lit(False))
-    pieces = F.when(single, F.array(clean(tail))).otherwise(split_tail(tail))
-    listed = F.array_sort(F.collect_list(F.struct("position", pieces.alias("parts"))))
+    told = lambda v: ~v.isin("", "--")
+    kept = kept.withColumns({"_single": single, "_parts": F.when(single, F.array(clean(tail))).otherwise(split_tail(tail))})
+    part = [F.get("_parts", F.lit(k)) for k in range(3)]
+    # The source that last got text: a fragment goes to it and changes nothing, so it is that of the latest line of several values, or of the row's first.
+    latest = F.when(~F.col("_single"), F.when(told(part[2]), 2).when(told(part[1]), 1).when(told(part[0]) | F.col("_opens"), 0))
+    kept = kept.withColumn("_source", F.last(latest, ignorenulls=True).over(w))
+    values = [F.when(F.col("_single"), F.when(F.col("_source") == k, part[0]).otherwise("")).otherwise(part[k]).alias(name) for k, name in enumerate(SOURCES)]
+    listed = F.array_sort(F.collect_list(F.struct("position", *values)))
     label = F.min_by(F.when(F.col("_opens"), clean(F.regexp_extract(text, LABEL, 1))), "position")
     rows = kept.groupBy(*keys, "row").agg(label.alias("label"), F.min("position").alias("first_position"), listed.alias("_pieces"))
-    start = F.struct(F.array(*[F.lit("")] * 3).alias("values"), F.lit(0).alias("last"))
-
-    def step(done: Column, piece: Column) -> Column:
-        parts = piece["parts"]
-        wide = F.when(F.size(parts) == 3, parts).otherwise(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.when(k == done["last"], F.get(parts, F.lit(0))).otherwise("")))
-
-        def add(three: Column) -> Column:
-            values = F.transform(done["values"], lambda v, k: appended(v, F.get(three, k)))
-            last = F.coalesce(F.array_max(F.transform(three, lambda v, k: F.when(~v.isin("", "--"), k))), done["last"])
-            return F.struct(values.alias("values"), last.alias("last"))
 
-        return bound(wide, add)
+    def joined(fragments: Column) -> Column:
+        """Fragments one after another: a dash only fills an empty value, and text replaces a dash."""
+        texts = F.filter(fragments, told)
+        return bound(texts, lambda some: F.when(F.size(some) > 0, F.array_join(some, " ")).when(F.array_contains(fragments, "--"), "--").otherwise(""))
 
-    values = F.aggregate("_pieces", start, step)["values"]
-    rows = rows.withColumn("_values", values)
-    return rows.select(*keys, "row", "label", "first_position", *[F.get("_values", F.lit(k)).alias(name) for k, name in enumerate(SOURCES)])
+    return rows.select(*keys, "row", "label", "first_position", *[joined(F.col(f"_pieces.{name}")).alias(name) for name in SOURCES])

@@ -63,6 +63,12 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc", (1 + F.floor(F.col("n") / 3)).cast("int").alias("page"), (16 * F.col("n") + F.col("j")).cast("long").alias("position"), "text")
 
 
+def longest(spark: SparkSession, sf_dir: str) -> int | None:
+    """A number that no position of ``report_lines`` exceeds."""
+    most = table(spark, sf_dir, "orders").groupBy("o_custkey").count().agg(F.max("count")).first()[0]
+    return most and 16 * most
+
+
 def split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statements.split_accounts(report_lines(spark, sf_dir), ["doc"])
 
@@ -108,7 +114,7 @@ SELECT doc, account, "row", label, first_position, v0 AS transunion, v1 AS exper
 @query("account_rows", ROWS_SQL)
 def account_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled rows of every account, with what their continuation lines add."""
-    return statements.triad_rows(split(spark, sf_dir).select("doc", "account", "position", "text"), ["doc", "account"])
+    return statements.triad_rows(split(spark, sf_dir).select("doc", "account", "position", "text"), ["doc", "account"], longest(spark, sf_dir))
 
 
 @query("report_states", f"""WITH RECURSIVE lines AS ({LINES_SQL}), kinds AS (SELECT *, {KIND_SQL} AS kind, ROW_NUMBER() OVER (PARTITION BY doc ORDER BY position) AS i FROM (SELECT *, REGEXP_REPLACE(LOWER(text), '[^a-z0-9]', '', 'g') AS low, REGEXP_REPLACE(text, '[^A-Za-z0-9/&-]', '', 'g') AS core FROM lines)),
@@ -118,4 +124,4 @@ SELECT doc, position, kind, before, after FROM run WHERE i > 0""")
 def report_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The automaton over whole reports, as one parallel scan."""
     lines = report_lines(spark, sf_dir).select("doc", "position", statements.line_kind(F.col("text")).alias("kind"))
-    return statements.scan_states(lines, ["doc"], "position", "kind", statements.MOVES).select("doc", "position", "kind", "before", "after")
+    return statements.scan_states(lines, ["doc"], "position", "kind", statements.MOVES, longest=longest(spark, sf_dir)).select("doc", "position", "kind", "before", "after")
