@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgermend.operators import statements
 from ledgermend.plans.catalog import query, table
+from ledgermend.plans.textlines import tasks
 
 #: The lines of an order, by place: both engines read this.  Names, gaps, dashes, sections, noise and ends come and go with the key.
 LINES = (
@@ -56,9 +57,10 @@ split AS (SELECT o.doc, o.page, o.position, o.text, CAST(o.owner AS INT) AS acco
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of ``LINES_SQL``, from one pass over the orders."""
-    number = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
     price = F.floor("o_totalprice").cast("long")
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"), price.alias("price"), number.alias("n"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"), price.alias("price"))
+    # Dealt by the name that lines keep, so that they lie by document already, into tasks of bounded size.
+    orders = orders.repartition(tasks(spark, sf_dir), "doc").withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("k")) - 1)
     lines = orders.select("doc", "n", F.posexplode(F.array(*[F.expr(text) for text in LINES])).alias("j", "text")).where("text is not null")
     return lines.select("doc", (1 + F.floor(F.col("n") / 3)).cast("int").alias("page"), (16 * F.col("n") + F.col("j")).cast("long").alias("position"), "text")
 

@@ -17,3 +17,12 @@ def test_fragments_follow_the_last_source_with_text(spark):
     made = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "doc int, position int, text string")
     got = sorted(tuple(r)[2:4] + tuple(r)[4:] for r in st.triad_rows(made, ["doc"], longest=len(texts)).collect())
     assert got == sorted(tuple(r)[2:] for r in st.triad_rows(made, ["doc"]).collect()) and {r[0]: r[2:] for r in got}["Late"] == ("1 $4 onward", "2 more again", "--")
+
+
+def test_lines_lie_by_document(spark):
+    """Orders are dealt before they become lines, which aren't shuffled for what is done by document."""
+    import __spark_entry__ as entry
+    from ledgermend.plans import statements
+
+    plan = statements.report_lines(spark, entry.SMOKE_DIR).groupBy("doc").agg(F.max("position"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
